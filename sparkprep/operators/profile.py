@@ -113,8 +113,8 @@ def category_report(df: DataFrame, col: str) -> DataFrame:
 
 
 def grouped_counts(df: DataFrame, by: str, target: str) -> DataFrame:
-    """A15."""
-    return df.groupBy(by, target).agg(F.count(F.lit(1)).alias("count"))
+    """Rows per (group, target); NULL keys are skipped (pandas groupby)."""
+    return df.dropna(subset=[by, target]).groupBy(by, target).agg(F.count(F.lit(1)).alias("count"))
 
 
 def grouped_proportions(df: DataFrame, by: str, target: str) -> DataFrame:
@@ -208,6 +208,8 @@ def box_stats(df: DataFrame, y: str, by: Sequence[str] = ()) -> DataFrame:
     by = list(by)
     yv = F.col(y).cast("double")
     base = df.select(*by, yv.alias("_y")).where(F.col("_y").isNotNull())
+    if by:
+        base = base.dropna(subset=by)
     q = exact_quantiles(base, "_y", [0.25, 0.5, 0.75], by=by, names=["q1", "median", "q3"])
     q = q.withColumn("_iqr", F.col("q3") - F.col("q1"))
     q = q.withColumns({"_lf": F.col("q1") - 1.5 * F.col("_iqr"), "_uf": F.col("q3") + 1.5 * F.col("_iqr")})
@@ -232,7 +234,7 @@ def _join_null_safe(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFram
 def percent_counts(df: DataFrame, col: str, hue: str | None = None) -> DataFrame:
     """Counts by category (x hue) with percent of *all* rows."""
     keys = [col] + ([hue] if hue else [])
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
+    counts = df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
     total = df.agg(F.count(F.lit(1)).alias("_total"))
     return attach_row(counts, total).select(
         *keys, "count", (F.col("count") * 100.0 / F.col("_total")).alias("percent"))
@@ -243,7 +245,7 @@ def percent_counts_many(df: DataFrame, cols: Sequence[str], hue: str | None = No
     keep = [hue] if hue else []
     long = _stack(df, cols, "string", keep=keep)
     keys = ["column_name", "value"] + keep
-    counts = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
+    counts = long.dropna(subset=["value"] + keep).groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
     total = df.agg(F.count(F.lit(1)).alias("_total"))
     return attach_row(counts, total).select(
         *keys, "count", (F.col("count") * 100.0 / F.col("_total")).alias("percent"))
@@ -252,7 +254,7 @@ def percent_counts_many(df: DataFrame, cols: Sequence[str], hue: str | None = No
 def bar_values(df: DataFrame, x: str, y: str, hue: str | None = None, decimals: int = 2) -> DataFrame:
     """Mean of y by x (and hue), half-even rounded."""
     keys = [x] + ([hue] if hue else [])
-    return df.groupBy(*keys).agg(np_round(F.avg(y), decimals).alias("mean"))
+    return df.dropna(subset=keys).groupBy(*keys).agg(np_round(F.avg(y), decimals).alias("mean"))
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
