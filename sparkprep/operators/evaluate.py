@@ -152,7 +152,8 @@ def _curve_base(df: DataFrame, y: str, p: str, pos_label) -> DataFrame:
     by_score = df.groupBy(F.col(p).cast("double").alias("threshold")).agg(
         F.count_if(F.col(y) == F.lit(pos_label)).alias("pos"),
         F.count_if(F.col(y) != F.lit(pos_label)).alias("neg"))
-    return ordered_prefix_sums(by_score, [F.col("threshold").desc()], ["pos", "neg"], pos_name="i")
+    by_score = by_score.withColumn("_neg_t", -F.col("threshold"))
+    return ordered_prefix_sums(by_score, ["_neg_t"], ["pos", "neg"], pos_name="i")
 
 
 def roc_curve(df: DataFrame, model: str, y="y", p="p", pos_label=1, drop_intermediate: bool = True) -> DataFrame:

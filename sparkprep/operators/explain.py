@@ -43,7 +43,7 @@ def impurity_importance(model, names: Sequence[str]) -> DataFrame:
 
 def index_background(background: DataFrame, key: Sequence[str], seed) -> DataFrame:
     """Number background rows 0..B-1 in seeded hash order (``_bg``)."""
-    return rank_within(background.withColumn("_bh", hash_hex(key, seed)), ["_bh", *key], name="_bg").drop("_bh")
+    return rank_within(background.withColumn("_bh", hash_hex(key, seed)), ["_bh", *key], name="_bg", hashed=True).drop("_bh")
 
 
 def shapley_values(score: Callable[[DataFrame], DataFrame], explain: DataFrame, background: DataFrame,
@@ -101,7 +101,8 @@ def shapley_summary(sv: DataFrame, x: DataFrame, id_col: str, features: Sequence
     long = x.select(id_col, F.inline(F.array(*[
         F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("feature_value")) for f in features])))
     imp = shapley_importance(sv)
-    ranked = rank_within(imp, [F.col("shap_feature_importance").desc(), F.col("feature")], name="_r")
+    imp = imp.withColumn("_neg", -F.col("shap_feature_importance"))
+    ranked = rank_within(imp, ["_neg", "feature"], name="_r")
     ranked = ranked.select("feature", (F.col("_r") + 1).alias("rank"))
     return (sv.select(id_col, "feature", "shap_value").join(long, [id_col, "feature"])
             .join(F.broadcast(ranked), "feature"))

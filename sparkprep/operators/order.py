@@ -3,9 +3,9 @@ distributed ordering primitives the rest of the package builds on.
 
 ``row_number() OVER (PARTITION BY label ORDER BY h)`` moves every row of a
 label into one task; with two classes that is half the table in one sort.
-The primitives below instead range-partition on ``(group, order)`` so a hot
-group is spread over many tasks, and stitch the tasks together with a small
-per-(task, group) offset table (at most ``partitions + groups`` rows).
+The primitives below instead cut the order key into deterministic,
+order-preserving buckets, number rows per (group, bucket) in parallel, and
+stitch the buckets together with a small per-(group, bucket) offset table.
 """
 
 from __future__ import annotations
@@ -15,21 +15,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkprep.functions.exprs import as_col, hash_hex
 
 
-def _partitions(df: DataFrame, n: int | None) -> int:
-    if n:
-        return n
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
-def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
-    conds = [left[c].eqNullSafe(right[c]) for c in cols]
-    return reduce(lambda a, b: a & b, conds)
-
-
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Append the columns of a one-row aggregate to every row (constant-key
     equi-join; the one-row side is broadcast)."""
@@ -37,85 +27,129 @@ def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
             .join(F.broadcast(one_row.withColumn("_k1", F.lit(1))), "_k1").drop("_k1"))
 
 
-def rank_within(df: DataFrame, order_by: Sequence[str | Column],
-                partition_by: Sequence[str] = (), name: str = "_rank",
-                num_partitions: int | None = None) -> DataFrame:
+HEX_DIGITS = 4            # 16**4 hash buckets for hash-ordered ranks (fixed value)
+NUMERIC_BUCKETS = 4096    # quantile buckets for numeric orders (fixed value)
+GENERIC_BUCKETS = 256     # sampled bounds for other orders (fixed value)
+
+
+def _bucket_tree(key: Column, bounds: list, lo: int, hi: int) -> Column:
+    """Bucket index in [lo, hi] by binary search over literal bounds."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi + 1) // 2
+    return F.when(key < bounds[mid - 1], _bucket_tree(key, bounds, lo, mid - 1)).otherwise(
+        _bucket_tree(key, bounds, mid, hi))
+
+
+def with_bucket(df: DataFrame, order_by: Sequence[str], hashed: bool = False,
+                buckets: int | None = None) -> DataFrame:
+    """Add ``_b``: a deterministic, order-preserving bucket of the order key.
+
+    * ``hashed``: the first order column is an md5 hex string (uniform), so
+      its leading hex digits are the bucket; no pass over the data.
+    * one numeric order column: quantile splits from ``approxQuantile``
+      (computed once; literals afterwards), applied by ``Bucketizer``.
+    * otherwise: bounds from a seeded sample of the key (at most
+      ``GENERIC_BUCKETS``), applied as a literal binary-search expression.
+
+    Because the bucket is an ordinary deterministic column, every branch of
+    a plan (and any recomputation after an executor loss) sees the same one.
+    """
+    order = list(order_by)
+    if hashed:
+        return df.withColumn("_b", F.conv(F.substring(F.col(order[0]), 1, HEX_DIGITS), 16, 10).cast("int"))
+    dtype = df.schema[order[0]].dataType
+    if len(order) == 1 and isinstance(dtype, T.NumericType):
+        from pyspark.ml.feature import Bucketizer
+        nb = buckets or NUMERIC_BUCKETS
+        probs = [i / nb for i in range(1, nb)]
+        qs = df.approxQuantile(order[0], probs, 1.0 / (4 * nb)) if probs else []
+        splits = [float("-inf")] + sorted({float(q) for q in qs if q is not None}) + [float("inf")]
+        tmp = df.withColumn("_bx", F.col(order[0]).cast("double"))
+        out = Bucketizer(splits=splits, inputCol="_bx", outputCol="_bd", handleInvalid="keep").transform(tmp)
+        return out.withColumn("_b", F.col("_bd").cast("int")).drop("_bx", "_bd")
+    nb = buckets or GENERIC_BUCKETS
+    n = df.count()
+    frac = min(1.0, 20.0 * nb / max(n, 1))
+    sample = [tuple(r) for r in df.select(*order).sample(False, frac, 17).orderBy(*order).collect()]
+    step = max(1, len(sample) // nb)
+    bounds = sample[step::step][: nb - 1]
+    if not bounds:
+        return df.withColumn("_b", F.lit(0))
+    key = F.struct(*[F.col(c) for c in order])
+    lits = [F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for v, c in zip(b, order)])
+            for b in bounds]
+    return df.withColumn("_b", _bucket_tree(key, lits, 0, len(lits)))
+
+
+def _join_offsets(rows: DataFrame, offs: DataFrame, part: Sequence[str]) -> DataFrame:
+    """Join per-(group, bucket) offsets back onto the rows."""
+    keys = [*part, "_b"]
+    nullable = any(rows.schema[c].nullable for c in part)
+    if not nullable:
+        return rows.join(offs, keys, "inner")
+    r, o = rows.alias("_r"), offs.alias("_o")
+    cond = reduce(lambda a, b: a & b, [F.col(f"_r.{c}").eqNullSafe(F.col(f"_o.{c}")) for c in keys])
+    other = [c for c in offs.columns if c not in keys]
+    return r.join(o, cond, "inner").select("_r.*", *[F.col(f"_o.{c}") for c in other])
+
+
+def rank_within(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str] = (),
+                name: str = "_rank", hashed: bool = False, buckets: int | None = None) -> DataFrame:
     """Add ``name`` = 0-based position of each row within its ``partition_by``
-    group, in ``order_by`` order (a distributed ``row_number() - 1``).
-
-    One range shuffle on ``(partition_by, order_by)``; inside each task rows
-    are sorted and numbered with ``monotonically_increasing_id``; a
-    per-(task, group) table of first ids and counts supplies the offsets.
-    ``partition_by`` should be low-cardinality (class labels, split names).
-    Ties in ``order_by`` are numbered in an arbitrary but consistent order;
-    pass a unique tie-break for reproducible ranks.
+    group in ascending ``order_by`` order (a distributed ``row_number() - 1``).
+
+    Rows are split into order-preserving buckets (:func:`with_bucket`); the
+    window runs per (group, bucket), so even a group holding a third of the
+    table is numbered by many tasks.  Offsets come from a per-(group,
+    bucket) count table, its exclusive running sum, and a join.  Order keys
+    should be non-NULL and unique for reproducible ranks.
     """
     part = list(partition_by)
-    keys = [*(F.col(c) for c in part), *(as_col(c) for c in order_by)]
-    ranged = (df.repartitionByRange(_partitions(df, num_partitions), *keys)
-              .sortWithinPartitions(*keys)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_seq", F.monotonically_increasing_id()))
-    stats = ranged.groupBy("_pid", *part).agg(
-        F.min("_seq").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*part).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    stats = stats.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    s = stats.alias("_s")
-    r = ranged.alias("_r")
-    cond = (F.col("_r._pid") == F.col("_s._pid"))
-    for c in part:
-        cond = cond & F.col(f"_r.{c}").eqNullSafe(F.col(f"_s.{c}"))
-    out = r.join(s, cond, "inner").select(
-        "_r.*", (F.col("_s._off") + F.col("_r._seq") - F.col("_s._first")).alias(name))
-    return out.drop("_pid", "_seq")
-
-
-def ordered_prefix_sums(df: DataFrame, order_by: Sequence[str | Column],
-                        value_cols: Sequence[str], partition_by: Sequence[str] = (),
-                        prefix: str = "cum_", pos_name: str | None = None,
-                        num_partitions: int | None = None) -> DataFrame:
-    """Inclusive running sums of ``value_cols`` in ``order_by`` order, per group.
-
-    Meant for pre-aggregated inputs (one row per distinct order key), e.g. the
-    per-score counts behind ROC / PR curves or the per-value counts behind
-    exact quantiles.  Two passes: per-(task, group) totals -> exclusive
-    offsets on that small table, then a window inside each range task.
+    b = with_bucket(df, order_by, hashed, buckets)
+    local = b.withColumn("_l", F.row_number().over(
+        Window.partitionBy(*part, "_b").orderBy(*[F.col(c) for c in order_by])) - 1)
+    counts = b.groupBy(*part, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select(*part, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    out = _join_offsets(local, offs, part)
+    return out.withColumn(name, F.col("_off") + F.col("_l")).drop("_b", "_l", "_off")
+
+
+def ordered_prefix_sums(df: DataFrame, order_by: Sequence[str], value_cols: Sequence[str],
+                        partition_by: Sequence[str] = (), prefix: str = "cum_", pos_name: str | None = None,
+                        buckets: int | None = None) -> DataFrame:
+    """Inclusive running sums of ``value_cols`` in ascending ``order_by``
+    order, per group (use a negated column for descending order).
+
+    Meant for pre-aggregated inputs (one row per distinct order key), e.g.
+    per-score counts behind ROC / PR curves or per-value counts behind exact
+    quantiles.  Same bucket scheme as :func:`rank_within`: a window per
+    (group, bucket) plus offsets from a per-(group, bucket) totals table.
     ``pos_name`` adds the 0-based position within the group.
     """
     part = list(partition_by)
-    order_cols = [as_col(c) for c in order_by]
-    keys = [*(F.col(c) for c in part), *order_cols]
-    ranged = (df.repartitionByRange(_partitions(df, num_partitions), *keys)
-              .withColumn("_pid", F.spark_partition_id()))
-    aggs = [F.sum(v).alias(f"_t_{v}") for v in value_cols] + [F.count(F.lit(1)).alias("_t__n")]
-    totals = ranged.groupBy("_pid", *part).agg(*aggs)
-    before = Window.partitionBy(*part).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    for v in [*value_cols, "_n"]:
-        totals = totals.withColumn(f"_o_{v}", F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)))
-    totals = totals.select("_pid", *part, *[f"_o_{v}" for v in [*value_cols, "_n"]])
-
-    local = Window.partitionBy("_pid", *part).orderBy(*order_cols)
-    running = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    scanned = ranged.select(
-        "*",
-        *[F.sum(v).over(running).alias(f"_c_{v}") for v in value_cols],
-        (F.row_number().over(local) - 1).alias("_c__n"),
-    )
-    s = totals.alias("_s")
-    r = scanned.alias("_r")
-    cond = F.col("_r._pid") == F.col("_s._pid")
-    for c in part:
-        cond = cond & F.col(f"_r.{c}").eqNullSafe(F.col(f"_s.{c}"))
-    outs = [(F.col(f"_s._o_{v}") + F.col(f"_r._c_{v}")).alias(f"{prefix}{v}") for v in value_cols]
+    b = with_bucket(df, order_by, False, buckets)
+    w = Window.partitionBy(*part, "_b").orderBy(*[F.col(c) for c in order_by])
+    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = b.select("*", *[F.sum(v).over(running).alias(f"_c_{v}") for v in value_cols],
+                     (F.row_number().over(w) - 1).alias("_c__n"))
+    totals = b.groupBy(*part, "_b").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols],
+                                       F.count(F.lit(1)).alias("_t__n"))
+    before = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = totals.select(*part, "_b", *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_o_{v}")
+                                        for v in [*value_cols, "_n"]])
+    out = _join_offsets(local, offs, part)
+    cols = [(F.col(f"_o_{v}") + F.col(f"_c_{v}")).alias(f"{prefix}{v}") for v in value_cols]
     if pos_name:
-        outs.append((F.col("_s._o__n") + F.col("_r._c__n")).alias(pos_name))
-    drop = ["_pid", *[f"_c_{v}" for v in value_cols], "_c__n"]
-    return r.join(s, cond, "inner").select("_r.*", *outs).drop(*drop)
+        cols.append((F.col("_o__n") + F.col("_c__n")).alias(pos_name))
+    keep = [c for c in df.columns]
+    return out.select(*keep, *cols)
 
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                     by: Sequence[str] = (), names: Sequence[str] | None = None,
-                    num_partitions: int | None = None) -> DataFrame:
+                    buckets: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas / numpy default,
     DuckDB ``quantile_cont``), one row per ``by`` group; NULL values skipped.
 
@@ -128,8 +162,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     x = F.col(value_col)
     counts = (df.where(x.isNotNull())
               .groupBy(*by, value_col).agg(F.count(F.lit(1)).alias("_cnt")))
-    ranked = ordered_prefix_sums(counts, [value_col], ["_cnt"], partition_by=by,
-                                 num_partitions=num_partitions)
+    ranked = ordered_prefix_sums(counts, [value_col], ["_cnt"], partition_by=by, buckets=buckets)
     sizes = counts.groupBy(*by).agg(F.sum("_cnt").alias("_total"))
     if by:
         a, b = ranked.alias("_a"), sizes.alias("_b")

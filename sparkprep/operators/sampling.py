@@ -64,7 +64,7 @@ def split_stratified(df: DataFrame, label: str, test_size: float, seed, key: Seq
     """train/test split with exact per-class test counts."""
     tests = stratified_test_counts(class_counts(df, label), test_size)
     h = hash_hex(key, seed)
-    ranked = rank_within(df.withColumn("_h", h), ["_h", *key], [label], name="_rk")
+    ranked = rank_within(df.withColumn("_h", h), ["_h", *key], [label], name="_rk", hashed=True)
     return ranked.withColumn(
         split_col, F.when(F.col("_rk") < _per_class(label, tests), "test").otherwise("train")
     ).drop("_h", "_rk")
@@ -75,7 +75,7 @@ def split_random(df: DataFrame, test_size: float, seed, key: Sequence[str],
     """Plain split; exactly ``ceil(test_size * n)`` test rows."""
     n = df.count()
     n_test = math.ceil(test_size * n)
-    ranked = rank_within(df.withColumn("_h", hash_hex(key, seed)), ["_h", *key], name="_rk")
+    ranked = rank_within(df.withColumn("_h", hash_hex(key, seed)), ["_h", *key], name="_rk", hashed=True)
     return ranked.withColumn(
         split_col, F.when(F.col("_rk") < F.lit(n_test), "test").otherwise("train")).drop("_h", "_rk")
 
@@ -89,7 +89,7 @@ def split_three(df: DataFrame, label: str, test_size: float, valid_size: float,
     tests = stratified_test_counts(counts, test_size)
     rest = {c: counts[c] - tests[c] for c in counts}
     valids = stratified_test_counts(rest, valid_size)
-    ranked = rank_within(df.withColumn("_h", hash_hex(key, seed)), ["_h", *key], [label], name="_rk")
+    ranked = rank_within(df.withColumn("_h", hash_hex(key, seed)), ["_h", *key], [label], name="_rk", hashed=True)
     t = _per_class(label, tests)
     v = _per_class(label, valids)
     return ranked.withColumn(
@@ -105,7 +105,7 @@ def sample_proportional(df: DataFrame, label: str, n: int, seed, key: Sequence[s
     counts = class_counts(df, label)
     total = sum(counts.values())
     take = {c: int(n * counts[c] / total) for c in counts}
-    ranked = rank_within(df.withColumn("_h", hash_hex(key, seed)), ["_h", *key], [label], name="_rk")
+    ranked = rank_within(df.withColumn("_h", hash_hex(key, seed)), ["_h", *key], [label], name="_rk", hashed=True)
     return (ranked.where(F.col("_rk") < _per_class(label, take))
             .withColumn(order_col, hash_hex(key, f"{seed}s")).drop("_h", "_rk"))
 
@@ -123,5 +123,5 @@ def kfold(df: DataFrame, k: int, seed, key: Sequence[str], label: str | None = N
     every fold up to one row)."""
     if label is None:
         return df.withColumn(fold_col, F.pmod(hash_int(key, seed), F.lit(k)).cast("int"))
-    ranked = rank_within(df.withColumn("_h", hash_hex(key, seed)), ["_h", *key], [label], name="_rk")
+    ranked = rank_within(df.withColumn("_h", hash_hex(key, seed)), ["_h", *key], [label], name="_rk", hashed=True)
     return ranked.withColumn(fold_col, F.pmod(F.col("_rk"), F.lit(k)).cast("int")).drop("_h", "_rk")

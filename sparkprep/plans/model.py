@@ -260,10 +260,11 @@ def load_bundle(spark, path: str) -> Bundle:
                   ScalerModel(sc["kind"], sc["center"], sc["scale"]) if sc else None, meta["raw_features"])
 
 
-def score_batch(spark, df: DataFrame, path: str) -> DataFrame:
-    """M12 + F9: load a stored bundle, check the feature list, score."""
+def score_batch(spark, df: DataFrame, path: str, key: Sequence[str] = ()) -> DataFrame:
+    """M12 + F9: load a stored bundle, check the feature list (key columns
+    pass through), score."""
     b = load_bundle(spark, path)
-    check_features(df, b.raw_features, target=b.target)
+    check_features(df.drop(*key), b.raw_features, target=b.target)
     return predict(b, df)
 
 
