@@ -28,8 +28,16 @@ def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
 
 
 HEX_DIGITS = 4            # 16**4 hash buckets for hash-ordered ranks (fixed value)
-NUMERIC_BUCKETS = 4096    # quantile buckets for numeric orders (fixed value)
-GENERIC_BUCKETS = 256     # sampled bounds for other orders (fixed value)
+BUCKETS_PER_PARTITION = 4  # numeric / generic buckets per shuffle partition (fixed value)
+MAX_NUMERIC_BUCKETS = 65536
+MAX_GENERIC_BUCKETS = 256
+
+
+def _default_buckets(df: DataFrame, cap: int) -> int:
+    """Bucket count from ``spark.sql.shuffle.partitions`` (which a cluster
+    sizes to its data), so each bucket stays a task-sized slice."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(16, min(cap, BUCKETS_PER_PARTITION * parts))
 
 
 def _bucket_tree(key: Column, bounds: list, lo: int, hi: int) -> Column:
@@ -50,7 +58,7 @@ def with_bucket(df: DataFrame, order_by: Sequence[str], hashed: bool = False,
     * one numeric order column: quantile splits from ``approxQuantile``
       (computed once; literals afterwards), applied by ``Bucketizer``.
     * otherwise: bounds from a seeded sample of the key (at most
-      ``GENERIC_BUCKETS``), applied as a literal binary-search expression.
+      ``MAX_GENERIC_BUCKETS``), applied as a literal binary-search expression.
 
     Because the bucket is an ordinary deterministic column, every branch of
     a plan (and any recomputation after an executor loss) sees the same one.
@@ -61,14 +69,14 @@ def with_bucket(df: DataFrame, order_by: Sequence[str], hashed: bool = False,
     dtype = df.schema[order[0]].dataType
     if len(order) == 1 and isinstance(dtype, T.NumericType):
         from pyspark.ml.feature import Bucketizer
-        nb = buckets or NUMERIC_BUCKETS
+        nb = buckets or _default_buckets(df, MAX_NUMERIC_BUCKETS)
         probs = [i / nb for i in range(1, nb)]
         qs = df.approxQuantile(order[0], probs, 1.0 / (4 * nb)) if probs else []
         splits = [float("-inf")] + sorted({float(q) for q in qs if q is not None}) + [float("inf")]
         tmp = df.withColumn("_bx", F.col(order[0]).cast("double"))
         out = Bucketizer(splits=splits, inputCol="_bx", outputCol="_bd", handleInvalid="keep").transform(tmp)
         return out.withColumn("_b", F.col("_bd").cast("int")).drop("_bx", "_bd")
-    nb = buckets or GENERIC_BUCKETS
+    nb = buckets or _default_buckets(df, MAX_GENERIC_BUCKETS)
     n = df.count()
     frac = min(1.0, 20.0 * nb / max(n, 1))
     sample = [tuple(r) for r in df.select(*order).sample(False, frac, 17).orderBy(*order).collect()]
