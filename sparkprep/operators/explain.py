@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from sparkprep.functions.exprs import hash_hex, hash_int
 from sparkprep.operators.order import rank_within
 
+MAX_BROADCAST_BACKGROUND = 200_000  # rows; larger backgrounds use a shuffle join (fixed value)
+
 
 def impurity_importance(model, names: Sequence[str]) -> DataFrame:
     """(feature, importance) sorted descending; empty when the model has
@@ -59,7 +61,11 @@ def shapley_values(score: Callable[[DataFrame], DataFrame], explain: DataFrame,
     nf = len(feats)
     bg = index_background(background.select(*(bg_key or []), *feats), bg_key or feats, seed)
     b_count = bg.count()
+    if b_count == 0:
+        raise ValueError("empty background sample")
     bg = bg.select("_bg", *[F.col(f).alias(f"_b_{f}") for f in feats])
+    if b_count <= MAX_BROADCAST_BACKGROUND:
+        bg = F.broadcast(bg)
 
     rows = explain.select(id_col, *feats).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
     rows = rows.withColumn("_bg", F.pmod(hash_int([id_col, "_s"], f"{seed}b"), F.lit(b_count)))
@@ -67,7 +73,7 @@ def shapley_values(score: Callable[[DataFrame], DataFrame], explain: DataFrame,
     keyed = F.array(*[F.struct(hash_hex([id_col, "_s", F.lit(f)], f"{seed}p").alias("h"), F.lit(j).alias("j"))
                       for j, f in enumerate(feats)])
     rows = rows.withColumn("_perm", F.transform(F.array_sort(keyed), lambda e: e["j"]))
-    paired = rows.join(F.broadcast(bg), "_bg")
+    paired = rows.join(bg, "_bg")
     steps = paired.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(nf))))
     pos = {f: F.array_position(F.col("_perm"), F.lit(j)) for j, f in enumerate(feats)}
     hybrid = steps.select(

@@ -14,7 +14,8 @@ import time
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import StorageLevel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
@@ -157,12 +158,20 @@ def train(df: DataFrame, target: str, model_type: str, params: Mapping | None =
     if is_clf and (balanced or (balanced is None and params.get("class_weight") == "balanced")):
         prepared = class_weights(prepared, "label", "weight")
         weight = "weight"
-    if model_type.startswith("Auto"):
-        est, _ = auto_search(prepared, feats, is_clf, params.get("time_budget", 30), seed)
-    else:
-        est = estimator(model_type, params, weight=weight)
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep"), est])
-    b.pipeline = pipe.fit(prepared)
+    # Spark ML makes many passes over its input (one per tree level or
+    # optimizer iteration): keep the assembled training table cached for the
+    # fit only (recomputed from lineage if an executor is lost).
+    assembler = VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep")
+    cols = ["features", "label"] + (["weight"] if weight else [])
+    fit_input = assembler.transform(prepared).select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if model_type.startswith("Auto"):
+            est, _ = auto_search(fit_input, feats, is_clf, params.get("time_budget", 30), seed, assembled=True)
+        else:
+            est = estimator(model_type, params, weight=weight)
+        b.pipeline = PipelineModel(stages=[assembler, est.fit(fit_input)])
+    finally:
+        fit_input.unpersist()
     return b, train_df, test_df
 
 
@@ -348,10 +357,11 @@ def _family(name):
 
 
 def auto_search(df: DataFrame, feats: Sequence[str], is_clf: bool, budget_s: float = 30, seed: int = 2,
-                k: int = 3):
+                k: int = 3, assembled: bool = False):
     """M7 / M8: try Spark ML families x settings by k-fold CV until the time
     budget is spent; return the best (unfitted) estimator and the trial table."""
-    assembled = VectorAssembler(inputCols=list(feats), outputCol="features", handleInvalid="keep").transform(df)
+    if not assembled:
+        df = VectorAssembler(inputCols=list(feats), outputCol="features", handleInvalid="keep").transform(df)
     deadline = time.monotonic() + budget_s
     metric = "f1" if is_clf else "rmse"
     best, best_score, trials = None, None, []
@@ -360,7 +370,7 @@ def auto_search(df: DataFrame, feats: Sequence[str], is_clf: bool, budget_s: flo
         for m in _grid(est, space):
             if time.monotonic() > deadline and best is not None:
                 break
-            cvm = _cv(est, [m], k, metric, seed, is_clf).fit(assembled)
+            cvm = _cv(est, [m], k, metric, seed, is_clf).fit(df)
             s = cvm.avgMetrics[0]
             trials.append((fam, json.dumps({p.name: v for p, v in m.items()}, sort_keys=True), float(s)))
             better = best_score is None or (s > best_score if is_clf else s < best_score)

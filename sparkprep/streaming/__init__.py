@@ -1,0 +1,12 @@
+"""Streaming.
+
+The reference works on bounded tables only: no stream source, watermark,
+event-time window or stateful operator exists in it, so this package
+provides no streaming operators.
+
+The preprocessing stage (``sparkprep.plans.preprocess.clean`` /
+``model_table``) is built from filters and projections only, so it is
+stateless and already applies unchanged to a streaming DataFrame
+(``spark.readStream...``).  The profiling, splitting and evaluation
+operators aggregate whole tables and are batch operators.
+"""
