@@ -701,3 +701,36 @@ def q_shapley_row(spark, sf):
     sv, ex = _shap(spark, sf)
     first = ex.agg(F.min("id")).first()[0]
     return _r(E.shapley_row(sv, "id", first), ["value"], 9)
+
+
+# --------------------------------------------------------------- M6
+
+
+def _knn_table(spark, sf):
+    o = table(spark, sf, "orders")
+    t = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("label"),
+                 (F.col("o_totalprice") / 1000).alias("x1"), (F.col("o_custkey") / 100.0).alias("x2"),
+                 (((F.col("o_orderkey") * 37) % 101) / 10.0).alias("x3"))
+    return X.split_random(t, 0.2, 4, ["id"])
+
+
+@register("knn_vote", f"""
+with t as (select o_orderkey as id, o_orderstatus as label, o_totalprice / 1000 as x1, o_custkey / 100.0 as x2,
+  ((o_orderkey * 37) % 101) / 10.0 as x3 from orders),
+sp as (select *, row_number() over (order by {_h('id', 4)}, id) - 1 < (select ceil(cast(0.2 as double) * count(*))
+  from orders) as is_test from t),
+te as (select * from sp where is_test), tr as (select * from sp where not is_test),
+d as (select te.id as qid, tr.id as tid, tr.label,
+  sqrt((te.x1 - tr.x1) * (te.x1 - tr.x1) + (te.x2 - tr.x2) * (te.x2 - tr.x2) + (te.x3 - tr.x3) * (te.x3 - tr.x3))
+  as dist from te, tr),
+r as (select *, row_number() over (partition by qid order by dist, tid) as rn from d),
+v as (select qid, label, count(*) as n from r where rn <= 5 group by qid, label),
+w as (select qid, label, row_number() over (partition by qid order by n desc, label) as rk from v)
+select qid as id, label as predicted_label from w where rk = 1
+""")
+def q_knn_vote(spark, sf):
+    from sparkprep.operators.neighbors import knn_predict
+    t = _knn_table(spark, sf)
+    train = t.where("split = 'train'")
+    query = t.where("split = 'test'")
+    return knn_predict(train, query, ["x1", "x2", "x3"], "label", k=5)
