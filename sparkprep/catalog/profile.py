@@ -304,12 +304,39 @@ def q_positive_share(spark, sf):
     return A.class_share(fx_eval(spark, sf), "y", 1)
 
 
-@register("bivariate_summary")
+def _box_sql(feature: str) -> str:
+    return f"""
+select '{feature}' as feature, 'box' as kind, cast(b.y as varchar) as "group", count(*) as count,
+  round(any_value(q1), 6) as q1, round(any_value(median), 6) as median, round(any_value(q3), 6) as q3,
+  round(min({feature}) filter (where {feature} >= q1 - 1.5 * (q3 - q1)), 6) as whisker_low,
+  round(max({feature}) filter (where {feature} <= q3 + 1.5 * (q3 - q1)), 6) as whisker_high,
+  count(*) filter (where {feature} < q1 - 1.5 * (q3 - q1) or {feature} > q3 + 1.5 * (q3 - q1)) as outliers,
+  null as category, null::double as percent
+from bv b join (select y, quantile_cont({feature}, 0.25) as q1, quantile_cont({feature}, 0.5) as median,
+  quantile_cont({feature}, 0.75) as q3 from bv group by y) q on b.y = q.y
+group by b.y"""
+
+
+BIV_SQL = f"""with bv as (select x1, x2, case when x3 >= 0.04 then 'high' else 'low' end as qbin,
+  cast(y as varchar) as y from fx_rule)
+{_box_sql('x1')}
+union all {_box_sql('x2')}
+union all select 'qbin', 'count', y, count(*), null, null, null, null, null, null, qbin,
+  round(count(*) * 100.0 / (select count(*) from bv), 9) from bv group by qbin, y
+"""
+
+
+@register("bivariate_summary", BIV_SQL, ["fx_rule"])
 def q_bivariate_summary(spark, sf):
     rule = fx_rule(spark, sf)
-    corr = A.correlation_matrix(rule, ["x1", "x2", "x3", "y"]).where((F.col("var2") == "y") & (F.col("var1") != "y"))
-    ranking = corr.select(F.col("var1").alias("feature"), F.abs("corr").alias("importance"))
-    return A.bivariate(rule.withColumn("y", F.col("y").cast("string")), ranking, 2, "y")
+    bv = rule.select("x1", "x2", F.when(F.col("x3") >= 0.04, "high").otherwise("low").alias("qbin"),
+                     F.col("y").cast("string").alias("y"))
+    ranking = bv.agg(*[F.count_distinct(c).alias(c) for c in ["x1", "x2", "qbin"]]).select(
+        F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("importance"))
+                           for c in ["x1", "x2", "qbin"]])))
+    out = A.bivariate(bv, ranking, 3, "y")
+    return _r(out, ["q1", "median", "q3", "whisker_low", "whisker_high"]).withColumn(
+        "percent", F.round("percent", 9))
 
 
 # --------------------------------------------------------------- O1 - O4, U3
