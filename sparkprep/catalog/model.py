@@ -734,3 +734,16 @@ def q_knn_vote(spark, sf):
     train = t.where("split = 'train'")
     query = t.where("split = 'test'")
     return knn_predict(train, query, ["x1", "x2", "x3"], "label", k=5)
+
+
+@register("train_knn", """select l_orderkey, l_partkey, l_suppkey, l_linenumber, y as predicted
+from fx_rule where l_quantity <> 25 and l_quantity <> 26""".replace("l_quantity", "x1"), ["fx_rule"])
+def q_train_knn(spark, sf):
+    """KNN through the estimator registry (M9 -> M10).  Rows at the rule's
+    boundary (x1 = 25 or 26) are left out: their five nearest neighbours mix
+    both labels, so a majority there is not fixed by the rule."""
+    rule = _rule(spark, sf)
+    b, _, test = M.train(rule, "y", "KNN", {"n_neighbors": 5}, key=RULE_KEY, split=True, seed=2)
+    _ = test
+    scored = _predicted(b, rule.where("x1 <> 25 and x1 <> 26"))
+    return scored

@@ -156,7 +156,3 @@ def check_features(df: DataFrame, expected: Sequence[str], target: str | None =
         missing = sorted(set(expected) - set(have))
         extra = sorted(set(have) - set(expected))
         raise ValueError(f"feature mismatch: missing {missing}, unexpected {extra}")
-
-
-def label_map(values: Mapping) -> dict:
-    return dict(values)

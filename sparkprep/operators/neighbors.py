@@ -6,7 +6,7 @@ each round joins a query only to the training rows whose ``r`` lies in a
 band of width ``w`` around ``r(q)``, as an equi-join on band buckets (each
 query explodes to three bucket ids).  A query is resolved when its k-th
 candidate distance is ``<= w``: nothing outside the band can be closer.
-Unresolved queries go to the next round with ``w`` doubled; once ``w``
+Unresolved queries go to the next round with a wider band; once ``w``
 covers the whole range of ``r`` every query resolves.  The result is
 exact, with no cap on candidates, and the work per query is the number of
 training rows in its final band, not the whole training table.
@@ -25,7 +25,10 @@ from pyspark.sql import functions as F
 
 from sparkprep.functions.exprs import hash_hex
 
-MAX_ROUNDS = 64  # band doublings; the last band always covers every row (fixed value)
+MAX_ROUNDS = 64  # band widenings; the last band always covers every row (fixed value)
+START = 16.0     # first band holds about START * k training rows (fixed value)
+GROWTH = 4.0     # band width factor between rounds (fixed value)
+LAST_ROUNDS = 0
 
 
 def _dist(a: str, b: str, features: Sequence[str]):
@@ -60,11 +63,13 @@ def knn_neighbors(train: DataFrame, query: DataFrame, features: Sequence[str], k
     n_train, span = int(stats["n"]), float(stats["hi"] - stats["lo"])
     need = min(k, n_train)
     # start with a band expected to hold a few times k training rows
-    width = max(span * 4.0 * need / max(n_train, 1), 1e-12)
+    width = max(span * START * need / max(n_train, 1), 1e-12)
+    global LAST_ROUNDS
 
     pending = qr
     found = []
-    for _ in range(MAX_ROUNDS):
+    for rnd in range(MAX_ROUNDS):
+        LAST_ROUNDS = rnd + 1
         w = F.lit(width)
         tb = tr.withColumn("_bk", F.floor(F.col("_tr") / w))
         qb = pending.withColumn("_bk", F.explode(F.sequence(F.floor((F.col("_qr") - w) / w),
@@ -81,7 +86,7 @@ def knn_neighbors(train: DataFrame, query: DataFrame, features: Sequence[str], k
         pending = pending.join(done, "_qk", "left_anti").checkpoint(eager=True)
         if covered or pending.isEmpty():
             break
-        width *= 2.0
+        width *= GROWTH
     out = reduce(lambda a, b: a.unionByName(b), found)
     tk_name = train_key if train_key != query_key else f"neighbor_{train_key}"
     return out.select(F.col("_qk").alias(query_key), F.col("_tk").alias(tk_name),

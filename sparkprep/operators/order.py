@@ -126,7 +126,7 @@ def rank_within(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[s
 
 def ordered_prefix_sums(df: DataFrame, order_by: Sequence[str], value_cols: Sequence[str],
                         partition_by: Sequence[str] = (), prefix: str = "cum_", pos_name: str | None = None,
-                        buckets: int | None = None) -> DataFrame:
+                        buckets: int | None = None, materialize: bool = True) -> DataFrame:
     """Inclusive running sums of ``value_cols`` in ascending ``order_by``
     order, per group (use a negated column for descending order).
 
@@ -135,8 +135,15 @@ def ordered_prefix_sums(df: DataFrame, order_by: Sequence[str], value_cols: Sequ
     quantiles.  Same bucket scheme as :func:`rank_within`: a window per
     (group, bucket) plus offsets from a per-(group, bucket) totals table.
     ``pos_name`` adds the 0-based position within the group.
+
+    The (pre-aggregated) input is read three times (bucket splits, window,
+    totals), so by default it is checkpointed once to the shared checkpoint
+    folder instead of being recomputed from the raw table each time.
     """
     part = list(partition_by)
+    if materialize:
+        from sparkprep.session import cut_lineage
+        df = cut_lineage(df)
     b = with_bucket(df, order_by, False, buckets)
     w = Window.partitionBy(*part, "_b").orderBy(*[F.col(c) for c in order_by])
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)

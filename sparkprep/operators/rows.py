@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkprep.functions.exprs import any_match, as_col, bound_literal, compare, np_round, null_false
+from sparkprep.functions.exprs import any_match, bound_literal, compare, np_round, null_false
 
 LABEL_COLUMNS = ("true_label", "predicted_label")
 
@@ -172,7 +172,3 @@ def audit(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
     out = one.select(F.inline(F.array(*rows)))
     return out.withColumn(
         "pct", F.when(F.col("base") > 0, np_round(F.col("rows") * 100.0 / F.col("base"), 2)))
-
-
-def as_condition(c: str | Column) -> Column:
-    return as_col(c)

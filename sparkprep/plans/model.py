@@ -36,7 +36,7 @@ from sparkprep.operators.sampling import split_random, split_stratified
 
 MAX_TREE_DEPTH = 30  # Spark ML limit; deeper requests are capped (fixed value)
 
-CLASSIFIERS = ("DT", "RFC", "LR", "SVM", "Auto-Classification")
+CLASSIFIERS = ("DT", "RFC", "LR", "SVM", "KNN", "Auto-Classification")
 REGRESSORS = ("RFR", "Auto-Regression")
 
 
@@ -93,11 +93,14 @@ class Bundle:
     model_type: str
     target: str
     features: list
-    pipeline: PipelineModel
+    pipeline: PipelineModel | None
     classes: list = field(default_factory=list)
     onehot: OneHotModel | None = None
     scaler: ScalerModel | None = None
     raw_features: list = field(default_factory=list)
+    # KNN keeps its (prepared) training rows instead of a fitted stage
+    neighbors: DataFrame | None = None
+    k: int = 5
 
     @property
     def is_classifier(self) -> bool:
@@ -158,6 +161,13 @@ def train(df: DataFrame, target: str, model_type: str, params: Mapping | None =
     if is_clf and (balanced or (balanced is None and params.get("class_weight") == "balanced")):
         prepared = class_weights(prepared, "label", "weight")
         weight = "weight"
+    if model_type == "KNN":
+        # lazy learner: the "model" is the prepared training table (written
+        # by save_bundle); prediction is the exact band-join vote
+        b.k = int(params.get("n_neighbors", 5))
+        b.neighbors = prepared.select(*feats, F.col("label"),
+                                      F.monotonically_increasing_id().alias("_nid"))
+        return b, train_df, test_df
     # Spark ML makes many passes over its input (one per tree level or
     # optimizer iteration): keep the assembled training table cached for the
     # fit only (recomputed from lineage if an executor is lost).
@@ -178,6 +188,15 @@ def train(df: DataFrame, target: str, model_type: str, params: Mapping | None =
 def predict(b: Bundle, df: DataFrame) -> DataFrame:
     """Adds ``predicted_label`` and, when the model has them,
     ``proba`` (array of class probabilities) and ``p`` (positive class)."""
+    if b.model_type == "KNN":
+        from sparkprep.operators.neighbors import knn_predict
+        q = _prepare(df, b, with_label=False).withColumn("_qid", F.monotonically_increasing_id())
+        q = q.checkpoint(eager=True)  # pins the row ids the vote is joined back on
+        votes = knn_predict(b.neighbors, q, b.features, "label", k=b.k, train_key="_nid", query_key="_qid",
+                            out="prediction")
+        scored = q.join(votes, "_qid").drop("_qid")
+        labels = F.array(*[F.lit(str(c)) for c in b.classes])
+        return scored.withColumn("predicted_label", F.element_at(labels, F.col("prediction").cast("int") + 1))
     scored = b.pipeline.transform(_prepare(df, b, with_label=False))
     if b.is_classifier:
         labels = F.array(*[F.lit(str(c)) for c in b.classes])
@@ -247,10 +266,14 @@ def write_reports(results: Mapping[str, DataFrame | None], folder: str, tag: str
 
 
 def save_bundle(b: Bundle, path: str) -> None:
-    """Spark ML directory + JSON side file (names, classes, encoders, scaler)."""
-    b.pipeline.write().overwrite().save(f"{path}/pipeline")
+    """Spark ML directory (or, for KNN, the training rows as Parquet) +
+    JSON side file (names, classes, encoders, scaler)."""
+    if b.model_type == "KNN":
+        b.neighbors.write.mode("overwrite").parquet(f"{path}/neighbors")
+    else:
+        b.pipeline.write().overwrite().save(f"{path}/pipeline")
     meta = {"model_type": b.model_type, "target": b.target, "features": b.features,
-            "classes": b.classes, "raw_features": b.raw_features,
+            "classes": b.classes, "raw_features": b.raw_features, "k": b.k,
             "onehot": b.onehot.values if b.onehot else None,
             "scaler": ({"kind": b.scaler.kind, "center": b.scaler.center, "scale": b.scaler.scale}
                        if b.scaler else None)}
@@ -264,9 +287,12 @@ def load_bundle(spark, path: str) -> Bundle:
     """M13."""
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
     sc = meta["scaler"]
-    return Bundle(meta["model_type"], meta["target"], meta["features"], PipelineModel.load(f"{path}/pipeline"),
+    knn = meta["model_type"] == "KNN"
+    return Bundle(meta["model_type"], meta["target"], meta["features"],
+                  None if knn else PipelineModel.load(f"{path}/pipeline"),
                   meta["classes"], OneHotModel(meta["onehot"]) if meta["onehot"] else None,
-                  ScalerModel(sc["kind"], sc["center"], sc["scale"]) if sc else None, meta["raw_features"])
+                  ScalerModel(sc["kind"], sc["center"], sc["scale"]) if sc else None, meta["raw_features"],
+                  spark.read.parquet(f"{path}/neighbors") if knn else None, int(meta.get("k", 5)))
 
 
 def score_batch(spark, df: DataFrame, path: str, key: Sequence[str] = ()) -> DataFrame:
