@@ -14,7 +14,7 @@ from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkprep.operators.order import attach_row, exact_quantiles
+from sparkprep.operators.order import attach_row, exact_quantiles, join_small
 
 
 # ---------------------------------------------------------------- F1 / F2
@@ -146,7 +146,7 @@ def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     totals = counts.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))
     w = attach_row(counts, totals).select(
         label, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias(out))
-    return df.join(F.broadcast(w), label, "left")
+    return join_small(df, w, [label], how="left", null_safe=True)
 
 
 def check_features(df: DataFrame, expected: Sequence[str], target: str | None = None) -> None:

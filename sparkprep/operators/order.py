@@ -20,6 +20,26 @@ from pyspark.sql import types as T
 from sparkprep.functions.exprs import as_col, hash_hex
 
 
+MAX_BROADCAST_ROWS = 1_000_000  # per-group tables broadcast up to this many rows (fixed value)
+
+
+def join_small(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner",
+               null_safe: bool = False) -> DataFrame:
+    """Join a per-group table onto a large one.  The small side is counted
+    first and broadcast only when it has at most ``MAX_BROADCAST_ROWS`` rows;
+    otherwise a shuffle join is planned (AQE splits skewed partitions).
+    ``null_safe`` matches NULL keys to NULL keys."""
+    small_n = small.count()
+    right = F.broadcast(small) if small_n <= MAX_BROADCAST_ROWS else small
+    keys = list(keys)
+    if not null_safe:
+        return big.join(right, keys, how)
+    a, b = big.alias("_big"), right.alias("_small")
+    cond = reduce(lambda p, q: p & q, [F.col(f"_big.{k}").eqNullSafe(F.col(f"_small.{k}")) for k in keys])
+    other = [c for c in small.columns if c not in keys]
+    return a.join(b, cond, how).select("_big.*", *[F.col(f"_small.{c}") for c in other])
+
+
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Append the columns of a one-row aggregate to every row (constant-key
     equi-join; the one-row side is broadcast)."""
@@ -180,10 +200,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     ranked = ordered_prefix_sums(counts, [value_col], ["_cnt"], partition_by=by, buckets=buckets)
     sizes = counts.groupBy(*by).agg(F.sum("_cnt").alias("_total"))
     if by:
-        a, b = ranked.alias("_a"), sizes.alias("_b")
-        cond = reduce(lambda p, q: p & q,
-                      [F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}")) for c in by])
-        ranked = a.join(b, cond, "inner").select("_a.*", "_b._total")
+        ranked = join_small(ranked, sizes, by, null_safe=True)
     else:
         ranked = attach_row(ranked, sizes)
     lo = F.col("cum__cnt") - F.col("_cnt")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkprep.functions.exprs import hash_hex, np_round
-from sparkprep.operators.order import attach_row, exact_quantiles, rank_within
+from sparkprep.operators.order import attach_row, exact_quantiles, join_small, rank_within
 
 
 def _unpivot_struct(one_row: DataFrame, rows: Sequence[Column]) -> DataFrame:
@@ -213,7 +213,7 @@ def box_stats(df: DataFrame, y: str, by: Sequence[str] = ()) -> DataFrame:
     q = exact_quantiles(base, "_y", [0.25, 0.5, 0.75], by=by, names=["q1", "median", "q3"])
     q = q.withColumn("_iqr", F.col("q3") - F.col("q1"))
     q = q.withColumns({"_lf": F.col("q1") - 1.5 * F.col("_iqr"), "_uf": F.col("q3") + 1.5 * F.col("_iqr")})
-    joined = attach_row(base, q) if not by else _join_null_safe(base, q, by)
+    joined = attach_row(base, q) if not by else join_small(base, q, by, null_safe=True)
     yy = F.col("_y")
     agg = joined.groupBy(*by).agg(
         F.count(F.lit(1)).alias("count"),
@@ -224,13 +224,6 @@ def box_stats(df: DataFrame, y: str, by: Sequence[str] = ()) -> DataFrame:
     return agg
 
 
-def _join_null_safe(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    la, rb = a.alias("_l"), b.alias("_r")
-    cond = reduce(lambda p, q: p & q, [F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}")) for k in keys])
-    other = [c for c in b.columns if c not in keys]
-    return la.join(rb, cond, "inner").select("_l.*", *[F.col(f"_r.{c}") for c in other])
-
-
 def percent_counts(df: DataFrame, col: str, hue: str | None = None) -> DataFrame:
     """Counts by category (x hue) with percent of *all* rows."""
     keys = [col] + ([hue] if hue else [])
