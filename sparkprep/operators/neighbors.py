@@ -11,6 +11,9 @@ covers the whole range of ``r`` every query resolves.  The result is
 exact, with no cap on candidates, and the work per query is the number of
 training rows in its final band, not the whole training table.
 
+Training rows are first reduced to at most k copies per distinct feature
+vector (the smallest keys), so heavy duplication cannot blow up a band.
+
 The vote is the majority label of the k nearest (distance ties broken by
 training key); a tie between labels goes to the smallest label.
 """
@@ -24,7 +27,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkprep.functions.exprs import hash_hex
+from sparkprep.session import cut_lineage
 
+SALT = 64        # salt buckets for the per-vector top-k (fixed value)
 MAX_ROUNDS = 64  # band widenings; the last band always covers every row (fixed value)
 START = 16.0     # first band holds about START * k training rows (fixed value)
 GROWTH = 4.0     # band width factor between rounds (fixed value)
@@ -36,6 +41,18 @@ def _dist(a: str, b: str, features: Sequence[str]):
     return F.sqrt(reduce(lambda x, y: x + y, terms))
 
 
+def _k_copies(tr: DataFrame, vec: Sequence[str], k: int) -> DataFrame:
+    """Keep at most ``k`` training rows (smallest keys) per distinct feature
+    vector: only those can be among any query's k nearest, since copies are
+    equally distant and ties go by key.  Two stages, the first salted, so a
+    vector shared by a third of the table is never ranked in one task."""
+    salted = tr.withColumn("_salt", F.pmod(F.xxhash64("_tk"), F.lit(SALT)))
+    first = salted.withColumn("_r", F.row_number().over(Window.partitionBy(*vec, "_salt").orderBy("_tk")))
+    first = first.where(F.col("_r") <= k).drop("_r", "_salt")
+    second = first.withColumn("_r", F.row_number().over(Window.partitionBy(*vec).orderBy("_tk")))
+    return second.where(F.col("_r") <= k).drop("_r")
+
+
 def knn_neighbors(train: DataFrame, query: DataFrame, features: Sequence[str], k: int,
                   train_key: str, query_key: str, label: str, seed: int = 0) -> DataFrame:
     """The k nearest training rows of every query row:
@@ -55,7 +72,7 @@ def knn_neighbors(train: DataFrame, query: DataFrame, features: Sequence[str], k
 
     tr = train.select(F.col(train_key).alias("_tk"), F.col(label).alias("_lab"),
                       *[F.col(f).cast("double").alias(f"t_{f}") for f in feats])
-    tr = tr.withColumn("_tr", radius("t_"))
+    tr = cut_lineage(_k_copies(tr, [f"t_{f}" for f in feats], k).withColumn("_tr", radius("t_")))
     qr = query.select(F.col(query_key).alias("_qk"), *[F.col(f).cast("double").alias(f"q_{f}") for f in feats])
     qr = qr.withColumn("_qr", radius("q_"))
 
