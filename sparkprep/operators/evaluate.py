@@ -77,7 +77,7 @@ def log_loss(df: DataFrame, y="y", p="p", pos_label=1) -> DataFrame:
 def auc_score(df: DataFrame, y="y", p="p", pos_label=1) -> DataFrame:
     """V3 (score form): area under the ROC curve from scores, ties counted
     half (Mann-Whitney).  Per-score counts -> ascending prefix sums."""
-    by_score = df.groupBy(F.col(p).alias("score")).agg(
+    by_score = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("score")).agg(
         F.count_if(F.col(y) == F.lit(pos_label)).alias("pos"),
         F.count_if(F.col(y) != F.lit(pos_label)).alias("neg"))
     cum = ordered_prefix_sums(by_score, ["score"], ["neg"])
@@ -148,8 +148,9 @@ def confusion_matrix(df: DataFrame, y="y", y_hat="y_hat") -> DataFrame:
 
 
 def _curve_base(df: DataFrame, y: str, p: str, pos_label) -> DataFrame:
-    """Per distinct score (descending): cumulative tps / fps and position."""
-    by_score = df.groupBy(F.col(p).cast("double").alias("threshold")).agg(
+    """Per distinct score (descending): cumulative tps / fps and position.
+    Rows without a score are left out."""
+    by_score = df.where(F.col(p).isNotNull()).groupBy(F.col(p).cast("double").alias("threshold")).agg(
         F.count_if(F.col(y) == F.lit(pos_label)).alias("pos"),
         F.count_if(F.col(y) != F.lit(pos_label)).alias("neg"))
     by_score = by_score.withColumn("_neg_t", -F.col("threshold"))
