@@ -629,6 +629,30 @@ def q_ingest_pipeline(spark, sf):
     return merged(spark, sf)
 
 
+MAIN_CSV_SCHEMA = Ty.StructType([
+    Ty.StructField("key", Ty.LongType()), Ty.StructField("o_custkey", Ty.LongType()),
+    Ty.StructField("status", Ty.StringType()), Ty.StructField("priority", Ty.StringType()),
+    Ty.StructField("price", Ty.DoubleType()), Ty.StructField("ORDER_DATE", Ty.StringType()),
+    Ty.StructField("urgent", Ty.StringType()), Ty.StructField("high", Ty.StringType())])
+
+
+@register("ingest_folder", f"with {MERGED_SQL} select * from merged", ["symptom_rows"])
+def q_ingest_folder(spark, sf):
+    """J3 as run from files: three CSV inputs in one folder, routed by name
+    token, main table with extra NA tokens, Latin-1 main and vaccine files,
+    ingest, Parquet sink, re-read."""
+    from sparkprep.plans.ingest import ingest_folder
+    folder = shared_path(spark, "ingest")
+    main = main_rows(spark, sf).withColumn(
+        "priority", F.coalesce(F.col("priority"), F.lit("-"))).withColumn(
+        "status", F.coalesce(F.col("status"), F.lit("n/a")))
+    write_stage(main, f"{folder}/orders_DATA.csv", "csv", encoding="ISO-8859-1")
+    write_stage(symptom_rows(spark, sf), f"{folder}/lines_SYMPTOMS.csv", "csv")
+    write_stage(vax_rows(spark, sf), f"{folder}/lines_VAX.csv", "csv", encoding="ISO-8859-1")
+    schemas = {"main": MAIN_CSV_SCHEMA, "symptoms": symptom_rows(spark, sf).schema, "vax": vax_rows(spark, sf).schema}
+    return ingest_folder(spark, folder, INGEST_CFG, out=shared_path(spark, "merged"), schemas=schemas)
+
+
 PREP_CFG = PreprocessConfig(
     lowercase=("SYMP", "priority"),
     error_rules={"price": ["<", 5000], "ORDER_DATE": ["<", "1995-02-01"]},
@@ -694,6 +718,22 @@ def q_preprocess_pipeline(spark, sf):
     return model_table(clean_table(spark, sf), PREP_CFG)
 
 
+@register("preprocess_written", f"""with {CLEAN_SQL}
+select key, case when status = 'F' then 1 when status = 'O' then 0 when status = 'N' then 0
+    else try_cast(status as integer) end as status,
+  price, case when MANU = 'A' then 1 when MANU = 'N' then 0 else try_cast(MANU as integer) end as MANU,
+  case when COUNT_SYMPT > 20 then 20 else COUNT_SYMPT end as COUNT_SYMPT,
+  case when NUMDAYS_CAL > 10 then 10 else NUMDAYS_CAL end as NUMDAYS_CAL,
+  priority_DUM, P_URGENT, P_HIGH, S_RETURN, URGENT_IND, TARGET from clean
+""", ["symptom_rows"])
+def q_preprocess_written(spark, sf):
+    """J4 with its two CSV stage sinks; the modelling table is read back."""
+    from sparkprep.plans.preprocess import preprocess_to_files
+    _, mod = preprocess_to_files(merged(spark, sf), PREP_CFG, shared_path(spark, "clean"),
+                                 shared_path(spark, "model"), fmt="csv")
+    return mod
+
+
 @register("flagship", f"""with {CLEAN_SQL},
 g as (select MANU, TARGET, count(*) as count from clean group by MANU, TARGET)
 select MANU, TARGET, count / sum(count) over (partition by MANU) as proportion from g

@@ -77,6 +77,20 @@ def preprocess(df: DataFrame, cfg: PreprocessConfig) -> tuple[DataFrame, DataFra
     return vis, model_table(vis, cfg)
 
 
+def preprocess_to_files(df: DataFrame, cfg: PreprocessConfig, clean_path: str, model_path: str,
+                        fmt: str = "parquet") -> tuple[DataFrame, DataFrame]:
+    """J4 with both stage sinks (S5): writes the visualization and modelling
+    tables and returns them re-read from storage."""
+    from sparkprep.sources.files import read_stage, write_stage
+    vis, mod = preprocess(df, cfg)
+    write_stage(vis, clean_path, fmt)
+    write_stage(mod, model_path, fmt)
+    spark = df.sparkSession
+    schema_v = vis.schema if fmt != "parquet" else None
+    schema_m = mod.schema if fmt != "parquet" else None
+    return read_stage(spark, clean_path, fmt, schema_v), read_stage(spark, model_path, fmt, schema_m)
+
+
 def audit_steps(cfg: PreprocessConfig) -> list:
     """P13 steps matching :func:`clean`'s drop / impute / replace order."""
     steps = [P.drop_step(c, r) for c, r in cfg.error_rules.items()]
