@@ -33,6 +33,7 @@ from sparkprep.operators.features import (OneHotModel, ScalerModel, check_featur
 from sparkprep.operators.order import union_all
 from sparkprep.operators.rows import feature_names
 from sparkprep.operators.sampling import split_random, split_stratified
+from sparkprep.session import cut_lineage
 
 MAX_TREE_DEPTH = 30  # Spark ML limit; deeper requests are capped (fixed value)
 
@@ -165,8 +166,8 @@ def train(df: DataFrame, target: str, model_type: str, params: Mapping | None =
         # lazy learner: the "model" is the prepared training table (written
         # by save_bundle); prediction is the exact band-join vote
         b.k = int(params.get("n_neighbors", 5))
-        b.neighbors = prepared.select(*feats, F.col("label"),
-                                      F.monotonically_increasing_id().alias("_nid"))
+        b.neighbors = cut_lineage(prepared.select(*feats, F.col("label"),
+                                                  F.monotonically_increasing_id().alias("_nid")))
         return b, train_df, test_df
     # Spark ML makes many passes over its input (one per tree level or
     # optimizer iteration): keep the assembled training table cached for the
@@ -222,6 +223,10 @@ def evaluate(b: Bundle, df: DataFrame, n_samples: int = 20, seed: int = 2, key:
     name = name or b.model_type
     scored = predict(b, df).withColumn("true_label", F.col(b.target).cast("string") if b.is_classifier
                                        else F.col(b.target).cast("double"))
+    # every table below reads the predictions: score once, materialize the
+    # needed columns in the shared checkpoint folder, derive all tables from it
+    keep = [*key, *b.features, "true_label", "predicted_label"] + (["p"] if "p" in scored.columns else [])
+    scored = cut_lineage(scored.select(*dict.fromkeys(keep)))
     out = {}
     if b.is_classifier:
         ev = scored.select(F.col("true_label").alias("y"), F.col("predicted_label").alias("y_hat"),
