@@ -41,10 +41,16 @@ def join_small(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str =
 
 
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Append the columns of a one-row aggregate to every row (constant-key
-    equi-join; the one-row side is broadcast)."""
-    return (df.withColumn("_k1", F.lit(1))
-            .join(F.broadcast(one_row.withColumn("_k1", F.lit(1))), "_k1").drop("_k1"))
+    """Append the columns of a one-row aggregate (a total, a range, a set of
+    moments) to every row.  The row is computed once and its values become
+    typed literals, so the plan has no join at all (an empty aggregate gives
+    NULLs)."""
+    row = one_row.first()
+    vals = {}
+    for f in one_row.schema.fields:
+        v = None if row is None else row[f.name]
+        vals[f.name] = F.lit(v).cast(f.dataType)
+    return df.withColumns(vals)
 
 
 HEX_DIGITS = 4            # 16**4 hash buckets for hash-ordered ranks (fixed value)
