@@ -22,19 +22,33 @@ def _q(name: str) -> str:
 
 
 def collapse_strings(df: DataFrame, key: Sequence[str] | str, col: str, order: Sequence[str],
-                     sep: str = ",", new: str | None = None) -> DataFrame:
+                     sep: str = ",", new: str | None = None, chunked: bool = False) -> DataFrame:
     """A1: one row per key; the key's strings joined with ``sep`` in ``order``.
 
     ``listagg ... WITHIN GROUP (ORDER BY ...)`` fixes the order explicitly, so
-    the result does not depend on how the shuffle delivered the rows.  The
-    output string of a hot key is as long as its input: that size is the
-    operator's result, not an intermediate.
+    the result does not depend on how the shuffle delivered the rows; it is
+    partially aggregated in every map task.  The result row of a key is as
+    long as the key's input, so a key's output is inherently one row.  With
+    ``chunked=True`` the ordering work of large keys is split: rows are cut
+    into order-preserving chunks of the order key (:func:`with_bucket`),
+    joined per (key, chunk), and the chunk strings are joined per key in
+    chunk order (same string).  That costs two extra small jobs for the
+    chunk bounds, so it is opt-in.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    order_sql = ", ".join(_q(c) for c in order)
+    out = new or col
     sep_sql = sep.replace("'", "''")
-    agg = F.expr(f"listagg({_q(col)}, '{sep_sql}') WITHIN GROUP (ORDER BY {order_sql})")
-    return df.groupBy(*keys).agg(agg.alias(new or col))
+
+    def agg(c, order_cols):
+        order_sql = ", ".join(_q(o) for o in order_cols)
+        return F.expr(f"listagg({_q(c)}, '{sep_sql}') WITHIN GROUP (ORDER BY {order_sql})")
+
+    if not chunked:
+        return df.groupBy(*keys).agg(agg(col, order).alias(out))
+    from sparkprep.operators.order import with_bucket
+    parts = with_bucket(df.select(*keys, *dict.fromkeys([*order, col])), list(order))
+    first = parts.groupBy(*keys, "_b").agg(agg(col, order).alias("_part"))
+    return first.groupBy(*keys).agg(agg("_part", ["_b"]).alias(out))
 
 
 def build_symptoms(df: DataFrame, key: str, parts: Mapping[str, Sequence[str]], order: Sequence[str],

@@ -128,3 +128,12 @@ def test_grouped_proportions(spark):
     df = spark.createDataFrame([("a", "y"), ("a", "n"), ("a", "y"), ("b", "y"), (None, "y")], "g string, t string")
     out = {(r.g, r.t): r.proportion for r in A.grouped_proportions(df, "g", "t").collect()}
     assert out == {("a", "y"): 2 / 3, ("a", "n"): 1 / 3, ("b", "y"): 1.0}
+
+
+def test_collapse_chunked_equals_single_stage(spark):
+    rows = [(k, pos, f"s{pos}") for k in (1, 2) for pos in range(200 if k == 1 else 3)]
+    df = spark.createDataFrame(rows, "k int, pos int, s string")
+    one = {r.k: r.s for r in K.collapse_strings(df, "k", "s", ["pos"]).collect()}
+    two = {r.k: r.s for r in K.collapse_strings(df, "k", "s", ["pos"], chunked=True).collect()}
+    assert one == two
+    assert one[1] == ",".join(f"s{i}" for i in range(200))
