@@ -77,7 +77,11 @@ def knn_neighbors(train: DataFrame, query: DataFrame, features: Sequence[str], k
     qr = qr.withColumn("_qr", radius("q_"))
 
     stats = tr.agg(F.count(F.lit(1)).alias("n"), F.min("_tr").alias("lo"), F.max("_tr").alias("hi")).first()
+    qstats = qr.agg(F.min("_qr").alias("lo"), F.max("_qr").alias("hi")).first()
     n_train, span = int(stats["n"]), float(stats["hi"] - stats["lo"])
+    # a band this wide holds every training row for every query
+    full = max(float(stats["hi"]), float(qstats["hi"] or stats["hi"])) - \
+        min(float(stats["lo"]), float(qstats["lo"] if qstats["lo"] is not None else stats["lo"]))
     need = min(k, n_train)
     # start with a band expected to hold a few times k training rows
     width = max(span * START * need / max(n_train, 1), 1e-12)
@@ -91,11 +95,14 @@ def knn_neighbors(train: DataFrame, query: DataFrame, features: Sequence[str], k
         tb = tr.withColumn("_bk", F.floor(F.col("_tr") / w))
         qb = pending.withColumn("_bk", F.explode(F.sequence(F.floor((F.col("_qr") - w) / w),
                                                             F.floor((F.col("_qr") + w) / w))))
-        cand = qb.join(tb, "_bk").select("_qk", "_tk", "_lab", _dist("q_", "t_", feats).alias("distance"))
+        # rows outside the band are farther than w, and a query only settles
+        # once its k-th distance is <= w, so they can be dropped right away
+        cand = (qb.join(tb, "_bk").where(F.abs(F.col("_qr") - F.col("_tr")) <= w)
+                .select("_qk", "_tk", "_lab", _dist("q_", "t_", feats).alias("distance")))
         order = Window.partitionBy("_qk").orderBy("distance", "_tk")
         top = cand.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= need)
         top = top.checkpoint(eager=True)
-        covered = width >= span
+        covered = width >= full
         done = (top.groupBy("_qk").agg(F.count(F.lit(1)).alias("_c"), F.max("distance").alias("_d"))
                 .where((F.col("_c") == need) & ((F.col("_d") <= F.lit(width)) | F.lit(covered)))
                 .select("_qk"))

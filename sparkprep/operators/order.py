@@ -98,7 +98,8 @@ def with_bucket(df: DataFrame, order_by: Sequence[str], hashed: bool = False,
         nb = buckets or _default_buckets(df, MAX_NUMERIC_BUCKETS)
         probs = [i / nb for i in range(1, nb)]
         qs = df.approxQuantile(order[0], probs, 1.0 / (4 * nb)) if probs else []
-        splits = [float("-inf")] + sorted({float(q) for q in qs if q is not None}) + [float("inf")]
+        inner = sorted({float(q) for q in qs if q is not None}) or [0.0]  # empty input: one split
+        splits = [float("-inf")] + inner + [float("inf")]
         tmp = df.withColumn("_bx", F.col(order[0]).cast("double"))
         out = Bucketizer(splits=splits, inputCol="_bx", outputCol="_bd", handleInvalid="keep").transform(tmp)
         return out.withColumn("_b", F.col("_bd").cast("int")).drop("_bx", "_bd")

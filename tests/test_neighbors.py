@@ -47,3 +47,15 @@ def test_knn_ties_and_vote(spark):
         counts = {lb: labels.count(lb) for lb in set(labels)}
         best = sorted(counts, key=lambda lb: (-counts[lb], lb))[0]
         assert pred[qi] == best
+
+
+def test_knn_far_away_queries(spark):
+    """Queries much farther from the pivot than any training row still get
+    their k nearest rows (the last band must cover train and query radii)."""
+    tr, _, tdf, _ = _data(spark, 200, 1, 3)
+    q = {5000: (100.0, -80.0, 3.0), 5001: (-60.0, 40.0, 0.0), 5002: (0.1, 0.2, 0.0)}
+    qdf = spark.createDataFrame([(i, *x) for i, x in q.items()], "id long, a double, b double, c double")
+    got = {}
+    for r in knn_neighbors(tdf, qdf, ["a", "b", "c"], 3, "id", "id", "y").collect():
+        got.setdefault(r.id, []).append((r["rank"], r.neighbor_id))
+    assert {k: [t for _, t in sorted(v)] for k, v in got.items()} == _brute(tr, q, 3)

@@ -57,3 +57,13 @@ def test_exact_quantiles_match_numpy(spark):
         want = np.percentile(part["x"].to_numpy(), [0, 10, 25, 50, 90, 100])
         row = got[g]
         assert np.allclose([row.q0, row.q10, row.q25, row.q50, row.q90, row.q100], want, rtol=0, atol=1e-9)
+
+
+def test_empty_and_constant_inputs(spark):
+    empty = spark.createDataFrame([], "g string, x double")
+    assert exact_quantiles(empty, "x", [0.5], by=["g"]).count() == 0
+    assert [r.q50 for r in exact_quantiles(empty, "x", [0.5]).collect()] == [None]  # SQL: one NULL row
+    const = spark.createDataFrame([("a", 2.0)] * 5, "g string, x double")
+    assert exact_quantiles(const, "x", [0.1, 0.9], by=["g"]).first().q10 == 2.0
+    nulls = spark.createDataFrame([("a", None), ("a", 1.0)], "g string, x double")
+    assert exact_quantiles(nulls, "x", [0.5], by=["g"]).first().q50 == 1.0
