@@ -82,7 +82,7 @@ def auc_score(df: DataFrame, y="y", p="p", pos_label=1) -> DataFrame:
         F.count_if(F.col(y) != F.lit(pos_label)).alias("neg"))
     cum = ordered_prefix_sums(by_score, ["score"], ["neg"])
     part = F.col("pos") * (F.col("cum_neg") - F.col("neg") + 0.5 * F.col("neg"))
-    return cum.agg((F.sum(part) / (F.sum("pos") * F.sum("neg"))).alias("auc_score"))
+    return cum.agg(F.try_divide(F.sum(part), F.sum("pos") * F.sum("neg")).alias("auc_score"))
 
 
 def prf(df: DataFrame, y="y", y_hat="y_hat", pos_label=1) -> DataFrame:
@@ -175,8 +175,11 @@ def roc_curve(df: DataFrame, model: str, y="y", p="p", pos_label=1, drop_interme
         d2n = F.col("_pn") - 2 * F.col("cum_neg") + F.col("_nn")
         keep = (F.col("i") == 0) | (F.col("i") == F.col("_last")) | (F.col("_last") < 2) | (d2p != 0) | (d2n != 0)
         pts = pts.where(keep)
-    curve = pts.select((F.col("cum_neg") / F.col("_N")).alias("fpr"), (F.col("cum_pos") / F.col("_P")).alias("tpr"))
-    origin = tot.select((F.lit(0.0) / F.col("_N")).alias("fpr"), (F.lit(0.0) / F.col("_P")).alias("tpr"))
+    # one class only: the rates are undefined -> NULL (ANSI would raise on x / 0)
+    curve = pts.select(F.try_divide(F.col("cum_neg"), F.col("_N")).alias("fpr"),
+                       F.try_divide(F.col("cum_pos"), F.col("_P")).alias("tpr"))
+    origin = tot.select(F.try_divide(F.lit(0.0), F.col("_N")).alias("fpr"),
+                        F.try_divide(F.lit(0.0), F.col("_P")).alias("tpr"))
     return origin.unionByName(curve).withColumn("model", F.lit(model))
 
 
@@ -190,9 +193,9 @@ def pr_curve(df: DataFrame, model: str, y="y", p="p", pos_label=1) -> DataFrame:
     pts = attach_row(full, last).where(F.col("i") <= F.col("_stop"))
     prec = F.when((F.col("cum_pos") + F.col("cum_neg")) > 0,
                   F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).otherwise(F.lit(0.0))
-    curve = pts.select(prec.alias("precision"), (F.col("cum_pos") / F.col("_P")).alias("recall"))
+    curve = pts.select(prec.alias("precision"), F.try_divide(F.col("cum_pos"), F.col("_P")).alias("recall"))
     end = tot.select(F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
-    share = tot.select((F.col("_P") / (F.col("_P") + F.col("_N"))).alias("proportion_1"))
+    share = tot.select(F.try_divide(F.col("_P"), F.col("_P") + F.col("_N")).alias("proportion_1"))
     return attach_row(curve.unionByName(end).withColumn("model", F.lit(model)), share)
 
 
@@ -202,8 +205,8 @@ def regression_scores(df: DataFrame, name: str, y="y", y_hat="y_hat") -> DataFra
     one = df.agg(F.var_pop(err).alias("_ve"), F.var_pop(F.col(y)).alias("_vy"),
                  F.avg(F.abs(err)).alias("mae"), F.avg(err * err).alias("mse"))
     return one.select(F.lit(name).alias("model"),
-                      (1 - F.col("_ve") / F.col("_vy")).alias("explained_variance"),
-                      (1 - F.col("mse") / F.col("_vy")).alias("r2"),
+                      (1 - F.try_divide(F.col("_ve"), F.col("_vy"))).alias("explained_variance"),
+                      (1 - F.try_divide(F.col("mse"), F.col("_vy"))).alias("r2"),
                       "mae", "mse", F.sqrt("mse").alias("rmse"))
 
 

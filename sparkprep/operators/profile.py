@@ -47,7 +47,7 @@ def missing_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
                  *[F.count_if(F.col(c).isNull()).alias(f"m{i}") for i, c in enumerate(cols)])
     rows = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"),
                      F.col(f"m{i}").alias("missing"),
-                     (F.col(f"m{i}") * 100.0 / F.col("_n")).alias("pct"))
+                     F.try_divide(F.col(f"m{i}") * 100.0, F.col("_n")).alias("pct"))
             for i, c in enumerate(cols)]
     return _unpivot_struct(one, rows)
 
@@ -196,8 +196,9 @@ def density(df: DataFrame, col: str, grid_size: int = 200, bins: int = 1024, cut
     g_step = (span + F.lit(2 * cut) * F.col("_h")) / F.lit(grid_size - 1)
     pts = binned.select("*", F.explode(F.sequence(F.lit(0), F.lit(grid_size - 1))).alias("grid"))
     gx = g_lo + F.col("grid") * g_step
-    u = (gx - centre) / F.col("_h")
-    contrib = F.col("_c") * F.exp(-0.5 * u * u) / (F.col("_n") * F.col("_h") * F.lit(math.sqrt(2 * math.pi)))
+    u = F.try_divide(gx - centre, F.col("_h"))  # zero bandwidth (constant data): NULL density
+    contrib = F.try_divide(F.col("_c") * F.exp(-0.5 * u * u),
+                           F.col("_n") * F.col("_h") * F.lit(math.sqrt(2 * math.pi)))
     return (pts.groupBy("grid").agg(F.first(gx).alias("x"), F.sum(contrib).alias("density")))
 
 

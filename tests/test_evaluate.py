@@ -91,3 +91,13 @@ def test_single_class_curve_guard(spark):
     pts = V.pr_curve(df, "m").collect()
     assert (1.0, 0.0) in [(r.precision, r.recall) for r in pts]
     _ = F
+
+
+def test_degenerate_inputs_do_not_raise(spark):
+    one_class = spark.createDataFrame([(1, 1, 0.2), (1, 1, 0.7)], "y int, y_hat int, p double")
+    roc = V.roc_curve(one_class, "m").collect()
+    assert all(r.fpr is None for r in roc)
+    assert V.auc_score(one_class).first().auc_score is None
+    const = spark.createDataFrame([(2.0, 1.0), (2.0, 3.0)], "y double, y_hat double")
+    r = V.regression_scores(const, "m").first()
+    assert r.r2 is None and r.mse == 1.0
