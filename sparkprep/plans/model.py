@@ -42,7 +42,7 @@ REGRESSORS = ("RFR", "Auto-Regression")
 
 
 def estimator(model_type: str, params: Mapping | None = None, label: str = "label",
-              features: str = "features", weight: str | None = None):
+              features: str = "features", weight: str | None = None, n_rows: int | None = None):
     """M1 - M5 registry with the reference's parameter names mapped to Spark ML.
 
     ``max_depth`` (capped at 30), ``min_samples_leaf`` -> minInstancesPerNode,
@@ -79,12 +79,15 @@ def estimator(model_type: str, params: Mapping | None = None, label: str = "labe
         return RandomForestRegressor(numTrees=int(p.get("n_estimators", 20)),
                                      featureSubsetStrategy=str(p.get("max_features", "auto")),
                                      **common, **tree)
+    # linear models: L2 penalty C (default 1) as Spark's averaged-loss
+    # regParam = 1 / (C * n), and the reference library's default tolerance
+    reg = float(p["reg"]) if "reg" in p else (1.0 / (float(p.get("C", 1.0)) * n_rows) if n_rows else 0.0)
     if model_type == "LR":
-        return LogisticRegression(maxIter=int(p.get("max_iter", 100)), regParam=float(p.get("reg", 0.0)),
-                                  **common, **wcol)
+        return LogisticRegression(maxIter=int(p.get("max_iter", 100)), regParam=reg,
+                                  tol=float(p.get("tol", 1e-4)), **common, **wcol)
     if model_type == "SVM":
-        return LinearSVC(maxIter=int(p.get("max_iter", 100)), regParam=float(p.get("reg", 0.0)),
-                         **common, **wcol)
+        return LinearSVC(maxIter=int(p.get("max_iter", 100)), regParam=reg,
+                         tol=float(p.get("tol", 1e-4)), **common, **wcol)
     raise ValueError(f"Unsupported model type specified: {model_type!r}")
 
 
@@ -179,7 +182,7 @@ def train(df: DataFrame, target: str, model_type: str, params: Mapping | None =
         if model_type.startswith("Auto"):
             est, _ = auto_search(fit_input, feats, is_clf, params.get("time_budget", 30), seed, assembled=True)
         else:
-            est = estimator(model_type, params, weight=weight)
+            est = estimator(model_type, params, weight=weight, n_rows=fit_input.count())
         b.pipeline = PipelineModel(stages=[assembler, est.fit(fit_input)])
     finally:
         fit_input.unpersist()
