@@ -195,23 +195,42 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     """Exact quantiles with linear interpolation (pandas / numpy default,
     DuckDB ``quantile_cont``), one row per ``by`` group; NULL values skipped.
 
-    Values are first collapsed to (value, count) with map-side combine, then
-    ranked with :func:`ordered_prefix_sums`; no group is ever gathered into a
-    single task, unlike the ``percentile`` aggregate.
+    1. Collapse to (group, value, count) with map-side combine; checkpoint it
+       (it is read several times).
+    2. Cut values into order-preserving buckets; per (group, bucket) totals
+       and their running offsets form a small table that says which bucket
+       holds each wanted rank (floor and ceil of ``(n - 1) * p``).
+    3. Only rows of those buckets are kept (semi join) and ranked by a window
+       per (group, bucket); the values at the wanted ranks are interpolated.
+
+    No group is gathered into one task (unlike the ``percentile`` aggregate),
+    and only about ``2 * len(probs)`` buckets per group are ever sorted.
     """
+    from sparkprep.session import cut_lineage
     names = list(names or [f"q{int(round(p * 100))}" for p in probs])
     by = list(by)
     x = F.col(value_col)
-    counts = (df.where(x.isNotNull())
-              .groupBy(*by, value_col).agg(F.count(F.lit(1)).alias("_cnt")))
-    ranked = ordered_prefix_sums(counts, [value_col], ["_cnt"], partition_by=by, buckets=buckets)
-    sizes = counts.groupBy(*by).agg(F.sum("_cnt").alias("_total"))
-    if by:
-        ranked = join_small(ranked, sizes, by, null_safe=True)
-    else:
-        ranked = attach_row(ranked, sizes)
-    lo = F.col("cum__cnt") - F.col("_cnt")
-    hi = F.col("cum__cnt") - 1
+    keys = [*by, "_b"]
+    null_safe = bool(by)
+    counts = cut_lineage(df.where(x.isNotNull()).groupBy(*by, value_col).agg(F.count(F.lit(1)).alias("_cnt")))
+    b = with_bucket(counts, [value_col], False, buckets)
+    bt = b.groupBy(*keys).agg(F.sum("_cnt").alias("_bn"))
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    bt = bt.select(*keys, "_bn", F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_boff"),
+                   F.sum("_bn").over(Window.partitionBy(*by)).alias("_total"))
+    wanted = []
+    for p in probs:
+        h = (F.col("_total") - 1) * F.lit(float(p))
+        wanted += [F.floor(h), F.ceil(h)]
+    hit_bucket = reduce(lambda a, c: a | c, [(r >= F.col("_boff")) & (r < F.col("_boff") + F.col("_bn"))
+                                             for r in wanted])
+    target = bt.where(hit_bucket)
+    scoped = join_small(b, target.select(*keys), keys, how="left_semi", null_safe=null_safe)
+    running = Window.partitionBy(*keys).orderBy(value_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    scoped = scoped.withColumn("_cl", F.sum("_cnt").over(running))
+    ranked = join_small(scoped, target.select(*keys, "_boff", "_total"), keys, null_safe=null_safe)
+    lo = F.col("_boff") + F.col("_cl") - F.col("_cnt")
+    hi = F.col("_boff") + F.col("_cl") - 1
     aggs = []
     for p, nm in zip(probs, names):
         h = (F.col("_total") - 1) * F.lit(float(p))
@@ -221,13 +240,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
             F.max(F.when((lo <= c) & (c <= hi), x)).alias(f"_vc_{nm}"),
             F.max(h - f).alias(f"_fr_{nm}"),
         ]
-    hits = []
-    for p in probs:
-        h = (F.col("_total") - 1) * F.lit(float(p))
-        f, c = F.floor(h), F.ceil(h)
-        hits.append(((lo <= f) & (f <= hi)) | ((lo <= c) & (c <= hi)))
-    near = ranked.where(reduce(lambda p, q: p | q, hits))
-    res = near.groupBy(*by).agg(*aggs)
+    res = ranked.groupBy(*by).agg(*aggs)
     cols = [*by]
     for nm in names:
         vf, vc, fr = F.col(f"_vf_{nm}"), F.col(f"_vc_{nm}"), F.col(f"_fr_{nm}")
