@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from sparkprep.functions.exprs import np_round
 from sparkprep.operators import columns as C
