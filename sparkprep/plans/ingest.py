@@ -52,7 +52,11 @@ def ingest_folder(spark: SparkSession, folder: str, cfg: IngestConfig, out: str
                   schemas: dict | None = None) -> DataFrame:
     """J3 end to end: S1 folder scan -> ingest -> S5 sink (Parquet)."""
     opts = {"main": {"na_tokens": MAIN_NA_TOKENS, "encoding": "ISO-8859-1"},
-            "vax": {"encoding": "ISO-8859-1"}}
+            "vax": {"encoding": "ISO-8859-1"}, "symptoms": {}}
+    # the default configuration orders symptom and vaccine rows by file order
+    for table, order in (("symptoms", cfg.symptom_order), ("vax", cfg.vax_order)):
+        if "_pos" in order:
+            opts[table]["position_col"] = "_pos"
     t = scan_folder(spark, folder, cfg.routes, schemas=schemas, options=opts)
     merged = ingest(t["main"], t["symptoms"], t["vax"], cfg)
     if out:

@@ -26,8 +26,13 @@ def _string_schema(schema: T.StructType) -> T.StructType:
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
              na_tokens: Sequence[str] = (), encoding: str = "UTF-8", multiline: bool = True,
-             glob: str | None = None) -> DataFrame:
-    """Header CSV; ``na_tokens`` (beyond the empty field) become NULL."""
+             glob: str | None = None, position_col: str | None = None) -> DataFrame:
+    """Header CSV; ``na_tokens`` (beyond the empty field) become NULL.
+
+    ``position_col`` adds the row's position in file order (ids increase
+    with file and offset; a file scan's partitioning is deterministic), for
+    operators whose result follows input order (first row per key, string
+    collapse)."""
     reader = (spark.read.option("header", True).option("encoding", encoding)
               .option("multiLine", multiline).option("quote", '"').option("escape", '"')
               .option("mode", "PERMISSIVE"))
@@ -42,6 +47,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
                              for c in df.columns})
     if schema is not None:
         df = df.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
+    if position_col:
+        df = df.withColumn(position_col, F.monotonically_increasing_id())
     return df
 
 

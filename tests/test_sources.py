@@ -39,3 +39,25 @@ def test_scan_folder_routes_by_token(spark):
     t = scan_folder(spark, d, {"main": "DATA", "symptoms": "SYMPTOMS"}, schemas={"main": SCHEMA})
     assert t["main"].count() == 1
     assert sorted(r.SYMPTOM1 for r in t["symptoms"].collect()) == ["Fever", "Headache"]
+
+
+def test_ingest_folder_default_config(spark):
+    """J3 with the default configuration on reference-shaped files."""
+    from sparkprep.plans.ingest import IngestConfig, ingest_folder
+    d = tempfile.mkdtemp(prefix="sparkprep-ingest-")
+    _write(os.path.join(d, "2021VAERSDATA.csv"),
+           "VAERS_ID,RECVDATE,AGE_YRS,SYMPTOM_TEXT\n"
+           "1,01/15/2021,34,fever\n2,02/01/2021,n/a,rash\n3,05/01/2021,50,late report\n", "ISO-8859-1")
+    _write(os.path.join(d, "2021VAERSSYMPTOMS.csv"),
+           "VAERS_ID,SYMPTOM1,SYMPTOM2,SYMPTOM3,SYMPTOM4,SYMPTOM5\n"
+           "1,Pyrexia,Headache,,,\n2,Rash,,,,\n1,Chills,,,,\n3,Pain,,,,\n", "utf-8")
+    _write(os.path.join(d, "2021VAERSVAX.csv"),
+           "VAERS_ID,VAX_MANU,VAX_TYPE\n1,PFIZER\\BIONTECH,COVID19\n1,MODERNA,COVID19\n2,JANSSEN,COVID19\n"
+           "3,MODERNA,COVID19\n", "ISO-8859-1")
+    rows = {r.VAERS_ID: r for r in ingest_folder(spark, d, IngestConfig()).collect()}
+    # key 2 has no Pfizer / Moderna row; key 3 is past the date bound
+    assert set(rows) == {"1"}
+    r = rows["1"]
+    assert r.VAX_MANU == "PFIZER\\BIONTECH"          # first matching row in file order
+    assert r.SYMP == "Pyrexia,Headache,Chills" and r.COUNT_SYMPT == 3
+    assert str(r.RECVDATE) == "2021-01-15"
