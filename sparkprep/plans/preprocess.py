@@ -102,3 +102,10 @@ def audit_steps(cfg: PreprocessConfig) -> list:
     steps += [P.impute_step(c) for c in cfg.impute]
     steps += [P.replace_step(end, start) for end, start in cfg.interval.values()]
     return steps
+
+
+def audit_preprocess(df: DataFrame, cfg: PreprocessConfig) -> DataFrame:
+    """P13 for the whole cleaning stage: rows affected by each drop / impute /
+    replace step of :func:`clean`, seen after the same lowercasing, in one
+    aggregation pass."""
+    return P.audit(C.lowercase(df, list(cfg.lowercase)), audit_steps(cfg))

@@ -2,8 +2,7 @@
 
 import datetime as dt
 
-from sparkprep.plans.preprocess import PreprocessConfig, audit_steps, preprocess
-from sparkprep.operators.rows import audit
+from sparkprep.plans.preprocess import PreprocessConfig, audit_preprocess, preprocess
 
 D = dt.date
 ROWS = [
@@ -55,5 +54,7 @@ def test_preprocess_end_to_end(spark):
     m = {r.VAERS_ID: r for r in mod.collect()}
     assert m[4].COUNT_SYMPT == 20 and m[1].SEX == 0 and m[4].SEX == 1
     assert "SYMP" not in mod.columns and "composite" not in mod.columns
-    steps = {r.step: r.rows for r in audit(df.transform(lambda d: d), audit_steps(CFG)).collect()}
+    steps = {r.step: r.rows for r in audit_preprocess(df, CFG).collect()}
     assert steps["drop AGE_YRS < 12"] == 1 and steps["null AGE_YRS"] == 1
+    assert steps["drop SYMP matching"] == 1            # matched after lowercasing, as in clean()
+    assert steps["replace ONSET_DATE < VAX_DATE"] == 1
