@@ -4,7 +4,8 @@ Triangle inequality: for a pivot ``c`` and ``r(x) = |x - c|``, any training
 row within distance ``w`` of a query ``q`` has ``|r(x) - r(q)| <= w``.  So
 each round joins a query only to the training rows whose ``r`` lies in a
 band of width ``w`` around ``r(q)``, as an equi-join on band buckets (each
-query explodes to three bucket ids).  A query is resolved when its k-th
+query explodes to three bucket ids); a second pivot prunes the candidates
+with the same bound.  A query is resolved when its k-th
 candidate distance is ``<= w``: nothing outside the band can be closer.
 Unresolved queries go to the next round with a wider band; once ``w``
 covers the whole range of ``r`` every query resolves.  The result is
@@ -59,22 +60,25 @@ def knn_neighbors(train: DataFrame, query: DataFrame, features: Sequence[str], k
     (query_key, train_key [``neighbor_<key>`` when both keys share a name],
     label, distance, rank)."""
     feats = list(features)
-    pivot_row = (train.select(*feats, hash_hex([train_key], seed).alias("_h"))
-                 .orderBy("_h").select(*feats).first())
-    if pivot_row is None:
+    # two pivots: the first two training rows in seeded hash order (the
+    # second only prunes candidates; any pivot gives a valid lower bound)
+    pivots = (train.select(*feats, hash_hex([train_key], seed).alias("_h"))
+              .orderBy("_h").select(*feats).limit(2).collect())
+    if not pivots:
         raise ValueError("empty training table")
-    pivot = {f: float(pivot_row[f]) for f in feats}
+    pivot = {f: float(pivots[0][f]) for f in feats}
+    pivot2 = {f: float(pivots[-1][f]) for f in feats}
 
-    def radius(prefix):
-        terms = [(F.col(f"{prefix}{f}") - F.lit(pivot[f])) * (F.col(f"{prefix}{f}") - F.lit(pivot[f]))
-                 for f in feats]
+    def radius(prefix, c=pivot):
+        terms = [(F.col(f"{prefix}{f}") - F.lit(c[f])) * (F.col(f"{prefix}{f}") - F.lit(c[f])) for f in feats]
         return F.sqrt(reduce(lambda x, y: x + y, terms))
 
     tr = train.select(F.col(train_key).alias("_tk"), F.col(label).alias("_lab"),
                       *[F.col(f).cast("double").alias(f"t_{f}") for f in feats])
-    tr = cut_lineage(_k_copies(tr, [f"t_{f}" for f in feats], k).withColumn("_tr", radius("t_")))
+    tr = cut_lineage(_k_copies(tr, [f"t_{f}" for f in feats], k)
+                     .withColumns({"_tr": radius("t_"), "_tr2": radius("t_", pivot2)}))
     qr = query.select(F.col(query_key).alias("_qk"), *[F.col(f).cast("double").alias(f"q_{f}") for f in feats])
-    qr = qr.withColumn("_qr", radius("q_"))
+    qr = qr.withColumns({"_qr": radius("q_"), "_qr2": radius("q_", pivot2)})
 
     stats = tr.agg(F.count(F.lit(1)).alias("n"), F.min("_tr").alias("lo"), F.max("_tr").alias("hi")).first()
     qstats = qr.agg(F.min("_qr").alias("lo"), F.max("_qr").alias("hi")).first()
@@ -97,7 +101,8 @@ def knn_neighbors(train: DataFrame, query: DataFrame, features: Sequence[str], k
                                                             F.floor((F.col("_qr") + w) / w))))
         # rows outside the band are farther than w, and a query only settles
         # once its k-th distance is <= w, so they can be dropped right away
-        cand = (qb.join(tb, "_bk").where(F.abs(F.col("_qr") - F.col("_tr")) <= w)
+        cand = (qb.join(tb, "_bk")
+                .where((F.abs(F.col("_qr") - F.col("_tr")) <= w) & (F.abs(F.col("_qr2") - F.col("_tr2")) <= w))
                 .select("_qk", "_tk", "_lab", _dist("q_", "t_", feats).alias("distance")))
         order = Window.partitionBy("_qk").orderBy("distance", "_tk")
         top = cand.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= need)
