@@ -78,8 +78,8 @@ ORACLES = {
 with recursive v as (
   select row_number() over () as r, vec_id, label, cast(embedding as double[]) as e,
          coalesce(vec_id is not null and label is not null and len(embedding) > 0
-           and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0
-           and len(list_filter(embedding, x -> x <> 0)) > 0, false) as good
+           and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+           and len(list_filter(embedding, lambda x: x <> 0)) > 0, false) as good
   from embeddings),
 link as (
   select a.r as ar, b.r as br, a.vec_id as av, b.vec_id as bv
