@@ -88,14 +88,15 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     ident = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), ident.alias("ident"), F.col(text_col).cast("string").alias("text"))
     lines = cut_lineage(line_templates(rows))
-    per_doc = lines.groupBy("key", "ident").agg(
-        F.min("constants").alias("constants"), F.min(F.struct(F.coalesce("doc", F.lit((1 << 63) - 1)).alias("doc"), "ident", "pos")).alias("first"))
-    recurring = per_doc.groupBy("key").agg(
-        F.min("constants").alias("constants"), F.count("*").alias("n_docs"), F.min("first").alias("first"))
-    recurring = recurring.where(enough(F.col("constants"), F.col("n_docs"))).select(
-        "key", F.col("first.ident").alias("f_ident"), F.col("first.pos").alias("f_pos"))
-    gone = (lines.select("key", "ident", "pos").join(recurring, "key")
-            .where("ident <> f_ident or pos <> f_pos")
+    # one pass over all keys drops those of a single document; documents are counted exactly for the rest
+    shared = lines.groupBy("key").agg(
+        F.min("constants").alias("constants"), F.min("ident").alias("low"), F.max("ident").alias("high"),
+        F.min(F.struct(F.coalesce("doc", F.lit((1 << 63) - 1)).alias("doc"), "ident", "pos")).alias("first")).where("low <> high")
+    hits = cut_lineage(lines.select("key", "ident", "pos").join(shared.select(
+        "key", "constants", F.col("first.ident").alias("f_ident"), F.col("first.pos").alias("f_pos")), "key"))
+    n_docs = hits.groupBy("key", "constants", "ident").count().groupBy("key", "constants").agg(F.count("*").alias("n_docs"))
+    recurring = n_docs.where(enough(F.col("constants"), F.col("n_docs"))).select("key")
+    gone = (hits.where("ident <> f_ident or pos <> f_pos").join(recurring, "key", "left_semi")
             .groupBy("ident").agg(F.collect_set("pos").alias("_gone")))
     parts = F.split(F.col(text_col).cast("string"), "\n", -1)
     kept = F.filter(parts, lambda line, at: ~F.array_contains(F.col("_gone"), at))
