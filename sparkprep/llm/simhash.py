@@ -131,11 +131,16 @@ def simhash_groups(docs: DataFrame, width: int = 3, max_distance: int = 2, segme
     An empty table gives an empty result.  Other columns are ignored.
     """
     d = cut_lineage(fingerprints(docs, width, id_col, text_col))
-    nodes = d.groupBy("fp").agg(F.min(id_col).alias("_low"))
+    nodes = d.groupBy("fp").agg(F.min(id_col).alias("_low"), F.count("*").alias("_n"))
     links = pigeonring_links(nodes.select("fp"), max_distance, segments, block)
     comp = connected_components(links, "a", "b")
     names = comp.join(nodes, comp["node"] == nodes["fp"]).select("node", "component", "_low")
     lows = names.groupBy("component").agg(F.min("_low").alias("component_id"))
     named = names.join(lows, "component").select(F.col("node").alias("fp"), "component_id")
-    every = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "_low").alias("component_id"))
-    return d.join(every, "fp", "left").select(id_col, "fp", "component_id")
+    every = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "_low").alias("component_id"), "_n")
+    # fingerprints with over a thousandth of all rows are under a thousand: broadcast, so that no task gathers their rows
+    often = F.broadcast(every.where(F.col("_n") * 1000 > d.count()).select("fp", F.col("component_id").alias("_often"), F.lit(True).alias("_is")))
+    d = d.join(often, "fp", "left")
+    rest = d.where("_is is null").join(every, "fp", "left")
+    return (d.where("_is").select(id_col, "fp", F.col("_often").alias("component_id"))
+            .unionByName(rest.select(id_col, "fp", "component_id")))
