@@ -89,13 +89,15 @@ def count_words(train: DataFrame) -> DataFrame:
 
 
 def count_grams(table: DataFrame, slots: int) -> DataFrame:
-    """Blocks of the hashed count table of a (word, c0, c1) table, one set per task.
+    """Blocks of the hashed count table of a (word, c0, c1) table, one set per
+    task; block -1 has the number of different words per class.
 
     The class level counts every occurrence; the shared levels count each
     word once, so that a byte's count is the number of words it continues.
     """
     def run(batches):
         out = np.zeros((ROWS, slots), dtype=np.uint32)
+        types = np.zeros((ROWS, min(BLOCK, slots)), dtype=np.uint32)
         mask = slots - 1
         for b in iter_slices(batches, 8192):
             words = b.column(0).to_pylist()
@@ -107,6 +109,7 @@ def count_grams(table: DataFrame, slots: int) -> DataFrame:
                 out[WORDS + k] += np.bincount(at, count[k], slots).astype(np.uint32)
                 n = count[k][word]
                 some = n > 0
+                types[k, 0] += (count[k] > 0).sum()
                 c, g = slot(ctx[-1], mask)[some], slot(ctx[-1], mask, byte)[some]
                 out[GRAMS + k] += np.bincount(g, n[some], slots).astype(np.uint32)
                 out[TOTALS + k] += np.bincount(c, n[some], slots).astype(np.uint32)
@@ -117,10 +120,9 @@ def count_grams(table: DataFrame, slots: int) -> DataFrame:
                 out[SHARED_TOTALS + j - 1] += np.bincount(c, minlength=slots).astype(np.uint32)
                 np.bitwise_or.at(out[SHARED_BITS + j - 1], c, bit)
         src = TaskContext.get().partitionId()
-        for at in range(0, slots, BLOCK):
-            part = out[:, at:at + BLOCK]
+        for block, part in [(-1, types), *((at // BLOCK, out[:, at:at + BLOCK]) for at in range(0, slots, BLOCK))]:
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([at // BLOCK], pa.int32()), pa.array([src], pa.int32()),
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([src], pa.int32()),
                                                   pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["block", "src", "data"])
 
     return table.mapInArrow(run, "block int, src int, data binary")
@@ -180,18 +182,22 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float =
     return w
 
 
-def fit_counts(train: DataFrame, slots: int) -> dict:
-    table = cut_lineage(count_words(train))
-    sums = table.agg(F.sum("c0"), F.sum("c1"), F.count(F.when(F.col("c0") > 0, 1)), F.count(F.when(F.col("c1") > 0, 1))).first()
-    total = np.zeros((ROWS, slots), dtype=np.uint32)
+def fit_counts(train: DataFrame, slots: int, tasks: int) -> dict:
+    total, types = np.zeros((ROWS, slots), dtype=np.uint32), [0, 0]
     width = min(BLOCK, slots)
-    # slots / 65536 rows reach the driver
-    for r in sum_blocks(count_grams(table, slots), "uint32", (ROWS, width), bits=ROWS - BITS).toLocalIterator():
-        total[:, r["block"] * width:(r["block"] + 1) * width] = np.frombuffer(zlib.decompress(r["data"]), dtype=np.uint32).reshape(ROWS, width)
-    return {"total": total, "tokens": [sums[0] or 0, sums[1] or 0], "types": [sums[2], sums[3]], "name": uuid.uuid4().hex}
-
-
-def score_toxicity(docs: DataFrame, labels: DataFrame, slots: int = 1 << 20, fit_rows: int = 50_000,
+    # every task returns a table, so a bounded number of tasks; slots / 65536 rows reach the driver
+    blocks = count_grams(count_words(train).coalesce(tasks), slots)
+    for r in sum_blocks(blocks, "uint32", (ROWS, width), bits=ROWS - BITS).toLocalIterator():
+        part = np.frombuffer(zlib.decompress(r["data"]), dtype=np.uint32).reshape(ROWS, width)
+        if r["block"] < 0:
+            types = part[:2, 0].tolist()
+        else:
+            total[:, r["block"] * width:(r["block"] + 1) * width] = part
+    tokens = total[WORDS:WORDS + 2].sum(axis=1, dtype=np.int64).tolist()
+    return {"total": total, "tokens": tokens, "types": types, "name": uuid.uuid4().hex}
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, slots: int = 1 << 20, fit_rows: int = 50_000, tasks: int = 32,
                    id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """One row per input row: id, held_out, the features (``FEATURES``), score, predicted.
 
@@ -206,7 +212,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, slots: int = 1 << 20, fit
     classes share, so that what neither class knows well says nothing.  Words
     are counted exactly by a grouped sum over all labelled texts; the model
     folds the counts into ``slots`` hashed cells, which bounds it (80 bytes a
-    slot, broadcast) whatever the corpus.  A text's first feature is its
+    slot, broadcast, made by at most ``tasks`` tasks) whatever the corpus.  A text's first feature is its
     length-normalised log-likelihood ratio; the others say how toxic its worst words are.
 
     Null and empty texts have features 0.  A null id is in no fold: scored,
@@ -219,8 +225,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, slots: int = 1 << 20, fit
     known = (labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
              .groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
              .withColumn("f", F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(5))))
-    train = src.where("fold between 1 and 3").select("id", "text").join(known.where("f between 1 and 3").select("id", "label"), "id")
-    shared = docs.sparkSession.sparkContext.broadcast(fit_counts(train, slots))
+    train = src.where("fold between 1 and 3").select("id", "text").join(
+        known.where("f between 1 and 3").select("id", "label").hint("merge"), "id")  # labels grow with the corpus: never broadcast
+    shared = docs.sparkSession.sparkContext.broadcast(fit_counts(train, slots, tasks))
 
     def run(batches):
         m, state = shared.value, worker_state()
