@@ -227,12 +227,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, slots: int = 1 << 20, fit
              .withColumn("f", F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(5))))
     train = src.where("fold between 1 and 3").select("id", "text").join(
         known.where("f between 1 and 3").select("id", "label").hint("merge"), "id")  # labels grow with the corpus: never broadcast
-    shared = docs.sparkSession.sparkContext.broadcast(fit_counts(train, slots, tasks))
+    model = fit_counts(train, slots, tasks)
+    model["packed"], model["shape"] = zlib.compress(model["total"].tobytes(), 1), model.pop("total").shape
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m, state = shared.value, worker_state()
         if state.get("toxicity_model") != m["name"]:
             state["toxicity_model"], state["toxicity_words"] = m["name"], {}
+            state["toxicity_total"] = np.frombuffer(zlib.decompress(m["packed"]), dtype=np.uint32).reshape(m["shape"])
+        m = {**m, "total": state["toxicity_total"]}
         ratio = state["toxicity_words"]
         for b in iter_slices(batches):
             texts = [words_of(t) for t in b.column(1).to_pylist()]
