@@ -465,7 +465,7 @@ def q_train_dt(spark, sf):
 
 @register("train_dt_sampled")
 def q_train_dt_sampled(spark, sf):
-    b, _, _ = _fit(spark, sf, "DT", {"max_depth": 50, "max_features": "sqrt", "min_samples_leaf": 2,
+    b, _, _ = _fit(spark, sf, "DT", {"max_depth": 30, "max_features": "sqrt", "min_samples_leaf": 2,
                                      "random_state": 2, "class_weight": "balanced"})
     return _predicted(b, _rule(spark, sf))
 

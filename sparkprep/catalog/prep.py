@@ -452,8 +452,9 @@ def q_recode_null(spark, sf):
 
 
 @register("composite_target", """
-select id, composite, case when coalesce(composite = 0, false) then 'No' else 'Yes' end as TARGET from (
-  select id, (case when a = 'Y' then 1 when a = 'N' then 0 end) + b + c as composite from (
+select id, a, b, c, composite, case when coalesce(composite = 0, false) then 'No' else 'Yes' end as TARGET from (
+  select id, case when a = 'Y' then 1 when a = 'N' then 0 end as a, b, c,
+    (case when a = 'Y' then 1 when a = 'N' then 0 end) + b + c as composite from (
     select id, case when status = 'F' then 'Y' when status = 'O' then 'N' end as a,
       cast(price > 300000 as integer) as b, case when o_custkey % 5 = 0 then 1 else 0 end as c from fx_main))
 """, ["fx_main"])
@@ -462,7 +463,7 @@ def q_composite_target(spark, sf):
         "id", F.when(F.col("status") == "F", "Y").when(F.col("status") == "O", "N").alias("a"),
         (F.col("price") > 300000).cast("int").alias("b"),
         F.when(F.col("o_custkey") % 5 == 0, 1).otherwise(0).alias("c"))
-    return C.composite_target(m, ["a", "b", "c"], "TARGET").select("id", "composite", "TARGET")
+    return C.composite_target(m, ["a", "b", "c"], "TARGET").select("id", "a", "b", "c", "composite", "TARGET")
 
 
 @register("clip_upper", """
@@ -692,7 +693,8 @@ c6 as (select *, case when priority is null then 0 else 1 end as priority_DUM,
   cast(coalesce(regexp_matches(SYMP, 'open'), false) as integer) as S_OPEN,
   cast(coalesce(regexp_matches(SYMP, 'bulk'), false) as integer) as S_BULK,
   case when priority is null then null when priority = '1-urgent' then 1 else 0 end as URGENT_IND from c5),
-c7 as (select *, (case when urgent = 'Y' then 1 when urgent = 'N' then 0 end)
+c7 as (select * replace (case when urgent = 'Y' then 1 when urgent = 'N' then 0 end as urgent,
+  case when high = 'Y' then 1 when high = 'N' then 0 end as high), (case when urgent = 'Y' then 1 when urgent = 'N' then 0 end)
   + (case when high = 'Y' then 1 when high = 'N' then 0 end) + S_OPEN + S_BULK as composite from c6),
 clean as (select *, case when coalesce(composite = 0, false) then 'No' else 'Yes' end as TARGET from c7)"""
 

@@ -99,8 +99,8 @@ def replace_values(df: DataFrame, spec: Mapping[str, Mapping]) -> DataFrame:
     """Dictionary recode, unmapped values kept.
 
     A Spark column has one type, so the result takes the replacement values'
-    type and an unmapped value is kept through ``try_cast`` to that type
-    (text that cannot become a number turns NULL).
+    type and an unmapped value is cast to it; text that cannot become a number
+    is an error, as it can be neither kept nor dropped unseen.
     """
     out = {}
     for c, mapping in spec.items():
@@ -110,7 +110,7 @@ def replace_values(df: DataFrame, spec: Mapping[str, Mapping]) -> DataFrame:
             out[c] = _lookup(col, mapping, "string").otherwise(col.cast("string"))
         else:
             kind = "double" if any(isinstance(v, float) for v in mapping.values()) else "int"
-            out[c] = _lookup(col, mapping, kind).otherwise(col.try_cast(kind))
+            out[c] = _lookup(col, mapping, kind).otherwise(col.cast(kind))
     return df.withColumns(out)
 
 
@@ -121,7 +121,7 @@ def map_labels(df: DataFrame, cols: Sequence[str], mapping: Mapping) -> DataFram
 
 def composite_target(df: DataFrame, parts: Sequence[str], new: str,
                      sum_col: str | None = "composite", yes: str = "Yes", no: str = "No") -> DataFrame:
-    """Y/N parts -> 1/0 (numeric parts as is), row-wise ``+`` (NULL
+    """Y/N parts become 1/0 in the table (numeric parts as is), row-wise ``+`` (NULL
     propagates), then ``no`` when the sum is 0 and ``yes`` otherwise (a NULL
     sum is ``yes``, matching the reference's ``NaN == 0`` being False)."""
     def as_number(c):
@@ -130,6 +130,7 @@ def composite_target(df: DataFrame, parts: Sequence[str], new: str,
         return F.when(F.col(c) == "Y", 1).when(F.col(c) == "N", 0)
     total = reduce(lambda a, b: a + b, [as_number(c) for c in parts])
     out = df.withColumn(sum_col or "_composite", total)
+    out = out.withColumns({c: as_number(c) for c in parts})
     out = out.withColumn(new, F.when(null_false(F.col(sum_col or "_composite") == 0), F.lit(no))
                          .otherwise(F.lit(yes)))
     return out if sum_col else out.drop("_composite")

@@ -135,16 +135,16 @@ def confusion_matrix(df: DataFrame, y="y", y_hat="y_hat") -> DataFrame:
     the number of classes)."""
     counts = df.groupBy(F.col(y).alias("_t"), F.col(y_hat).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
     classes = sorted({r[0] for r in counts.select("_t").union(counts.select("_p")).distinct().collect()},
-                     key=lambda v: (v is None, v))
+                     key=lambda v: (v is None, 0 if v is None else v))
     spark = df.sparkSession
     typ = df.schema[y].dataType
     rows = spark.createDataFrame([(c,) for c in classes], T.StructType([T.StructField("_t", typ)]))
-    wide = counts.groupBy("_t").pivot("_p", classes).agg(F.sum("_n"))
-    full = rows.join(wide, "_t", "left")
-    cols = [F.col("_t")] + [F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("bigint").alias(f"Predicted: {c}")
-                            for c in classes]
-    return full.select(*cols).select(F.concat(F.lit("True: "), F.col("_t").cast("string")).alias("label"),
-                                     *[f"`Predicted: {c}`" for c in classes])
+    name = {c: "Predicted: " + ("null" if c is None else str(c)) for c in classes}
+    wide = counts.groupBy(F.col("_t").alias("_w")).agg(
+        *[F.coalesce(F.sum(F.when(F.col("_p").eqNullSafe(F.lit(c)), F.col("_n"))), F.lit(0)).alias(f"_c{i}") for i, c in enumerate(classes)])
+    full = rows.join(wide, F.col("_t").eqNullSafe(F.col("_w")), "left")
+    return full.select(F.concat(F.lit("True: "), F.coalesce(F.col("_t").cast("string"), F.lit("null"))).alias("label"),
+                       *[F.coalesce(F.col(f"_c{i}"), F.lit(0)).cast("bigint").alias(name[c]) for i, c in enumerate(classes)])
 
 
 def _curve_base(df: DataFrame, y: str, p: str, pos_label) -> DataFrame:

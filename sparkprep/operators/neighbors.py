@@ -34,7 +34,6 @@ SALT = 64        # salt buckets for the per-vector top-k (fixed value)
 MAX_ROUNDS = 64  # band widenings; the last band always covers every row (fixed value)
 START = 16.0     # first band holds about START * k training rows (fixed value)
 GROWTH = 4.0     # band width factor between rounds (fixed value)
-LAST_ROUNDS = 0
 
 
 def _dist(a: str, b: str, features: Sequence[str]):
@@ -60,6 +59,10 @@ def knn_neighbors(train: DataFrame, query: DataFrame, features: Sequence[str], k
     (query_key, train_key [``neighbor_<key>`` when both keys share a name],
     label, distance, rank)."""
     feats = list(features)
+    # a missing feature has no distance: refused, so that no row is lost on the way
+    for side, df in (("training", train), ("query", query)):
+        if df.where(reduce(lambda a, b: a | b, [F.col(f).isNull() for f in feats])).limit(1).count():
+            raise ValueError(f"NULL feature in a {side} row: impute or drop it before k-nearest neighbours")
     # two pivots: the first two training rows in seeded hash order (the
     # second only prunes candidates; any pivot gives a valid lower bound)
     pivots = (train.select(*feats, hash_hex([train_key], seed).alias("_h"))
@@ -89,12 +92,9 @@ def knn_neighbors(train: DataFrame, query: DataFrame, features: Sequence[str], k
     need = min(k, n_train)
     # start with a band expected to hold a few times k training rows
     width = max(span * START * need / max(n_train, 1), 1e-12)
-    global LAST_ROUNDS
-
     pending = qr
     found = []
-    for rnd in range(MAX_ROUNDS):
-        LAST_ROUNDS = rnd + 1
+    for _ in range(MAX_ROUNDS):
         w = F.lit(width)
         tb = tr.withColumn("_bk", F.floor(F.col("_tr") / w))
         qb = pending.withColumn("_bk", F.explode(F.sequence(F.floor((F.col("_qr") - w) / w),
@@ -116,6 +116,9 @@ def knn_neighbors(train: DataFrame, query: DataFrame, features: Sequence[str], k
         if covered or pending.isEmpty():
             break
         width *= GROWTH
+    else:
+        if not pending.isEmpty():
+            raise RuntimeError(f"neighbours not settled after {MAX_ROUNDS} rounds")
     out = reduce(lambda a, b: a.unionByName(b), found)
     tk_name = train_key if train_key != query_key else f"neighbor_{train_key}"
     return out.select(F.col("_qk").alias(query_key), F.col("_tk").alias(tk_name),

@@ -295,14 +295,15 @@ def class_share(df: DataFrame, label: str, positive=1) -> DataFrame:
     return df.agg(F.avg((F.col(label) == F.lit(positive)).cast("double")).alias("positive_share"))
 
 
-def bivariate(df: DataFrame, ranking: DataFrame, n: int, target: str, task: str = "classification",
+def bivariate(df: DataFrame, ranking: DataFrame, n: int, target: str, task: str = "classification", sample: int | None = None,
               feature_col: str = "feature", score_col: str = "importance") -> DataFrame:
     """Target-vs-feature summaries for the top-``n`` ranked features.
 
     Dispatch by (task, column type): classification + numeric -> box summary
     by target; classification + categorical -> percent counts with the target
     as hue; regression -> box summary of the target by a categorical feature,
-    or a 1,000-row hash sample of (feature, target) pairs for a numeric one.
+    or the (feature, target) pairs of all rows for a numeric one, or of
+    ``sample`` rows picked by a hash of the whole row if asked for.
     Ranked names missing from ``df`` are reported with kind 'missing'.
     Output is one long table.
     """
@@ -330,10 +331,9 @@ def bivariate(df: DataFrame, ranking: DataFrame, n: int, target: str, task: str
                 F.col(f).cast("string").alias("group"), "count", "q1", "median", "q3",
                 "whisker_low", "whisker_high", "outliers")
         else:
-            b = (df.withColumn("_h", F.md5(F.concat_ws("|", F.col(f).cast("string"),
-                                                       F.col(target).cast("string"))))
-                 .orderBy("_h").limit(1000)
-                 .select(F.lit(f).alias("feature"), F.lit("scatter").alias("kind"),
+            rows = df if sample is None else (
+                df.withColumn("_h", F.xxhash64(*df.columns)).orderBy("_h", *df.columns).limit(sample))
+            b = (rows.select(F.lit(f).alias("feature"), F.lit("scatter").alias("kind"),
                          F.col(f).cast("double").alias("x"), F.col(target).cast("double").alias("y")))
         parts.append(b)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -35,7 +35,7 @@ from sparkprep.operators.rows import feature_names
 from sparkprep.operators.sampling import split_random, split_stratified
 from sparkprep.session import cut_lineage
 
-MAX_TREE_DEPTH = 30  # Spark ML limit; deeper requests are capped (fixed value)
+MAX_TREE_DEPTH = 30  # Spark ML limit (fixed value)
 
 CLASSIFIERS = ("DT", "RFC", "LR", "SVM", "KNN", "Auto-Classification")
 REGRESSORS = ("RFR", "Auto-Regression")
@@ -45,7 +45,7 @@ def estimator(model_type: str, params: Mapping | None = None, label: str = "labe
               features: str = "features", weight: str | None = None, n_rows: int | None = None):
     """M1 - M5 registry with the reference's parameter names mapped to Spark ML.
 
-    ``max_depth`` (capped at 30), ``min_samples_leaf`` -> minInstancesPerNode,
+    ``max_depth`` (an error above 30), ``min_samples_leaf`` -> minInstancesPerNode,
     ``max_features`` -> featureSubsetStrategy, ``n_estimators`` -> numTrees,
     ``random_state`` -> seed, ``class_weight='balanced'`` -> a weight column.
     A decision tree that asks for feature sampling becomes a one-tree forest
@@ -55,7 +55,9 @@ def estimator(model_type: str, params: Mapping | None = None, label: str = "labe
     common = {"labelCol": label, "featuresCol": features}
     tree = {}
     if "max_depth" in p and p["max_depth"] is not None:
-        tree["maxDepth"] = min(int(p["max_depth"]), MAX_TREE_DEPTH)
+        if int(p["max_depth"]) > MAX_TREE_DEPTH:
+            raise ValueError(f"max_depth {p['max_depth']} is beyond Spark ML's limit of {MAX_TREE_DEPTH}")
+        tree["maxDepth"] = int(p["max_depth"])
     if "min_samples_leaf" in p:
         tree["minInstancesPerNode"] = int(p["min_samples_leaf"])
     if "max_bins" in p:

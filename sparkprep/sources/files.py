@@ -29,8 +29,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
              glob: str | None = None, position_col: str | None = None) -> DataFrame:
     """Header CSV; ``na_tokens`` (beyond the empty field) become NULL.
 
-    ``position_col`` adds the row's position in file order (ids increase
-    with file and offset; a file scan's partitioning is deterministic), for
+    ``position_col`` adds the row's position in file order, a struct of file
+    path, offset of the split and id within the scan, for
     operators whose result follows input order (first row per key, string
     collapse)."""
     reader = (spark.read.option("header", True).option("encoding", encoding)
@@ -41,14 +41,18 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     if schema is not None:
         reader = reader.schema(_string_schema(schema))
     df = reader.csv(path)
+    if position_col:  # a scan packs files into tasks by size, so ids alone don't follow the files' order
+        df = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+                       F.monotonically_increasing_id().alias("_id"))
     tokens = list(na_tokens)
     if tokens:
         df = df.withColumns({c: F.when(~F.coalesce(F.col(c).isin(tokens), F.lit(False)), F.col(c))
-                             for c in df.columns})
+                             for c in df.columns if not position_col or c not in ("_file", "_start", "_id")})
     if schema is not None:
-        df = df.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
+        df = df.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields],
+                       *(["_file", "_start", "_id"] if position_col else []))
     if position_col:
-        df = df.withColumn(position_col, F.monotonically_increasing_id())
+        df = df.withColumn(position_col, F.struct("_file", "_start", "_id")).drop("_file", "_start", "_id")
     return df
 
 

@@ -19,7 +19,7 @@ def _rule(spark):
 
 def test_tree_learns_rule_and_roundtrips(spark):
     df = _rule(spark).cache()
-    b, _, test = M.train(df, "t", "DT", {"max_depth": 50, "max_bins": 64}, key=["rid"], split=True)
+    b, _, test = M.train(df, "t", "DT", {"max_depth": 30, "max_bins": 64}, key=["rid"], split=True)
     assert b.classes == ["No", "Yes"]
     pred = M.predict(b, test)
     assert pred.where(F.col("predicted_label") != F.col("t")).count() == 0
