@@ -20,3 +20,12 @@ def test_filter_and_projection_reach_scan(spark):
     plan = final_plan(E.queries()["filter_isin"](spark, SF_SMALL))
     assert "PushedFilters: [In(l_returnflag, [A,N])" in plan
     assert "ReadSchema: struct<l_orderkey:bigint,l_linenumber:int,l_returnflag:string>" in plan
+
+
+@pytest.mark.parametrize("name", ["split_stratified", "split_random", "split_three", "sample_proportional"])
+def test_splits_do_not_shuffle_the_table(spark, name):
+    df = E.queries()[name](spark, SF_SMALL)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan
+    assert "Window" not in plan
