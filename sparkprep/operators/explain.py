@@ -19,6 +19,7 @@ rows x samples x (features + 1).
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,9 +51,13 @@ def index_background(background: DataFrame, key: Sequence[str], seed) -> DataFra
 
 def shapley_values(score: Callable[[DataFrame], DataFrame], explain: DataFrame, background: DataFrame,
                    features: Sequence[str], id_col: str, n_samples: int = 10, seed: int = 0,
-                   bg_key: Sequence[str] | None = None, score_col: str = "score") -> DataFrame:
+                   bg_key: Sequence[str] | None = None, score_col: str = "score",
+                   classes: Sequence[str | None] | None = None) -> DataFrame:
     """(id, feature, shap_value, base, fx) for every explained row and feature.
 
+    With ``classes``, ``score_col`` is an array with one output per class,
+    all from the same scoring pass, and the result has a column ``class``.
+
     ``score`` maps a DataFrame holding the feature columns to the same rows
     plus ``score_col`` (e.g. a model's positive-class probability).
     ``background`` must be a bounded sample (its size B is counted).
@@ -79,20 +84,30 @@ def shapley_values(score: Callable[[DataFrame], DataFrame], explain: DataFrame,
     hybrid = steps.select(
         id_col, "_s", "_t", "_perm",
         *[F.when(pos[f] <= F.col("_t"), F.col(f)).otherwise(F.col(f"_b_{f}")).alias(f) for f in feats])
-    scored = score(hybrid).select(id_col, "_s", "_t", "_perm", F.col(score_col).cast("double").alias("_f"))
-    w = Window.partitionBy(id_col, "_s").orderBy("_t")
+    by = [id_col]
+    scored = score(hybrid)
+    if classes is None:
+        scored = scored.select(id_col, "_s", "_t", "_perm", F.col(score_col).cast("double").alias("_f"))
+    else:
+        by = [id_col, "class"]
+        names = F.array(*[F.lit(c).cast("string") for c in classes])
+        scored = scored.select(id_col, "_s", "_t", "_perm", F.posexplode(score_col).alias("_o", "_f")).select(
+            id_col, F.element_at(names, F.col("_o") + 1).alias("class"), "_s", "_t", "_perm", F.col("_f").cast("double").alias("_f"))
+    w = Window.partitionBy(*by, "_s").orderBy("_t")
     deltas = scored.select(
-        id_col, "_s", "_t", "_f",
+        *by, "_s", "_t", "_f",
         (F.col("_f") - F.lag("_f").over(w)).alias("_d"),
         F.element_at(F.col("_perm"), F.greatest(F.col("_t"), F.lit(1))).alias("_j"))
     names = F.array(*[F.lit(f) for f in feats])
     contrib = (deltas.where(F.col("_t") > 0)
-               .groupBy(id_col, "_j").agg(F.avg("_d").alias("shap_value"))
+               .groupBy(*by, "_j").agg(F.avg("_d").alias("shap_value"))
                .withColumn("feature", F.element_at(names, F.col("_j") + 1)).drop("_j"))
-    ends = deltas.groupBy(id_col).agg(
+    ends = deltas.groupBy(*by).agg(
         F.avg(F.when(F.col("_t") == 0, F.col("_f"))).alias("base"),
         F.max(F.when(F.col("_t") == nf, F.col("_f"))).alias("fx"))
-    return contrib.join(ends, id_col).select(id_col, "feature", "shap_value", "base", "fx")
+    same = reduce(lambda a, b: a & b, [F.col(f"_a.{c}").eqNullSafe(F.col(f"_e.{c}")) for c in by])
+    return contrib.alias("_a").join(ends.alias("_e"), same).select(
+        *[f"_a.{c}" for c in by], "feature", "shap_value", "base", "fx")
 
 
 def shapley_importance(sv: DataFrame) -> DataFrame:

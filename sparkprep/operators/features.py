@@ -36,38 +36,54 @@ def decode_label(df: DataFrame, labels: Sequence[str], col: str = "prediction",
 # ---------------------------------------------------------------- F3
 
 
+MAX_CATEGORIES = 10_000  # categories of all encoded columns; more raise an error (fixed value)
+
+
 @dataclass
 class OneHotModel:
-    """F3 fitted state: category values per column (sorted, NULL as 'nan')."""
+    """F3 fitted state: category values per column (sorted texts, then None if
+    the column has NULLs)."""
     values: dict = field(default_factory=dict)
 
+    def names(self, col: str) -> list[str]:
+        """Output columns of ``col``.  NULL is named ``nan`` (``nan_``, ... if
+        a text of that name is a category of its own)."""
+        vals = self.values[col]
+        null = "nan"
+        while null in vals:
+            null += "_"
+        return [f"{col}_{null if v is None else v}" for v in vals]
+
     def output_columns(self) -> list[str]:
-        return [f"{c}_{v}" for c, vals in self.values.items() for v in vals]
+        return [n for c in self.values for n in self.names(c)]
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Replace each encoded column by one 0/1 column per category; an
-        unseen category fails the job (the reference's ``handle_unknown='error'``)."""
+        unseen category, NULL included, fails the job (the reference's
+        ``handle_unknown='error'``)."""
         out = df
         for c, vals in self.values.items():
-            known = [v for v in vals if v != "nan"]
+            known = [v for v in vals if v is not None]
             col = F.col(c).cast("string")
-            unseen = col.isNotNull() & ~col.isin(known)
-            guard = F.when(unseen, F.raise_error(F.concat(F.lit(f"unseen category in {c}: "), col)))
+            unseen = col.isNotNull() & ~col.isin(known) if None in vals else col.isNull() | ~col.isin(known)
+            guard = F.when(unseen, F.raise_error(F.concat(F.lit(f"unseen category in {c}: "), F.coalesce(col, F.lit("NULL")))))
             new = {}
-            for v in vals:
-                hit = col.isNull() if v == "nan" else (col == F.lit(v))
-                new[f"{c}_{v}"] = F.coalesce(guard.cast("int"), F.when(hit, 1).otherwise(0))
+            for v, name in zip(vals, self.names(c)):
+                hit = col.isNull() if v is None else F.coalesce(col == F.lit(v), F.lit(False))
+                new[name] = F.coalesce(guard.cast("int"), F.when(hit, 1).otherwise(0))
             out = out.withColumns(new).drop(c)
         return out
 
 
-def fit_one_hot(df: DataFrame, cols: Sequence[str]) -> OneHotModel:
-    """F3 fit: distinct values per column (bounded by category cardinality)."""
-    vals = {}
-    for c in cols:
-        seen = [r[0] for r in df.select(F.col(c).cast("string")).distinct().collect()]
-        present = sorted(v for v in seen if v is not None)
-        vals[c] = present + (["nan"] if any(v is None for v in seen) else [])
+def fit_one_hot(df: DataFrame, cols: Sequence[str], most: int = MAX_CATEGORIES) -> OneHotModel:
+    """F3 fit: distinct values per column, all columns in one scan.  More than
+    ``most`` categories in all are an error."""
+    cells = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])))
+    seen = cells.distinct().limit(most + 1).collect()
+    if len(seen) > most:
+        raise ValueError(f"over {most} categories in {list(cols)}")
+    vals = {c: sorted((r["v"] for r in seen if r["c"] == c), key=lambda v: (v is None, v or "")) for c in cols}
     return OneHotModel(vals)
 
 

@@ -133,3 +133,12 @@ def knn_predict(train: DataFrame, query: DataFrame, features: Sequence[str], lab
     w = Window.partitionBy(query_key).orderBy(F.col("_v").desc(), F.col(label))
     return (votes.withColumn("_r", F.row_number().over(w)).where("_r = 1")
             .select(query_key, F.col(label).alias(out)))
+
+
+def knn_shares(train: DataFrame, query: DataFrame, features: Sequence[str], label: str, n_classes: int, k: int = 5,
+               train_key: str = "id", query_key: str = "id", out: str = "proba") -> DataFrame:
+    """M11 for kNN: the share of each class 0 .. n_classes - 1 among the k
+    nearest training rows, as an array."""
+    nb = knn_neighbors(train, query, features, k, train_key, query_key, label)
+    shares = [F.avg((F.col(label) == F.lit(c)).cast("double")) for c in range(n_classes)]
+    return nb.groupBy(query_key).agg(F.array(*shares).alias(out))

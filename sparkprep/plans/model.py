@@ -18,25 +18,32 @@ from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkprep.functions.exprs import hash_hex
 from sparkprep.operators import evaluate as V
+from sparkprep.operators.explain import shapley_values
 from sparkprep.operators.features import (OneHotModel, ScalerModel, check_features, class_weights,
                                           fit_one_hot, fit_scaler)
 from sparkprep.operators.order import union_all
 from sparkprep.operators.rows import feature_names
-from sparkprep.operators.sampling import split_random, split_stratified
+from sparkprep.operators.sampling import class_counts, kfold, split_random, split_stratified, with_cuts
 from sparkprep.session import cut_lineage
 
 MAX_TREE_DEPTH = 30  # Spark ML limit (fixed value)
 
+TREE_PARAMS = {"max_depth", "min_samples_leaf", "max_bins", "max_features", "criterion", "random_state"}
+LINEAR_PARAMS = {"max_iter", "tol", "reg", "C", "class_weight"}
+PARAMS = {"DT": TREE_PARAMS | {"class_weight"}, "RFC": TREE_PARAMS | {"class_weight", "n_estimators"},
+          "RFR": TREE_PARAMS | {"n_estimators"}, "LR": LINEAR_PARAMS, "SVM": LINEAR_PARAMS}
+OTHER_PARAMS = {"KNN": {"n_neighbors"}, "Auto-Classification": {"time_budget", "metric", "class_weight"},
+                "Auto-Regression": {"time_budget", "metric"}}
+
 CLASSIFIERS = ("DT", "RFC", "LR", "SVM", "KNN", "Auto-Classification")
 REGRESSORS = ("RFR", "Auto-Regression")
 
@@ -47,14 +54,25 @@ def estimator(model_type: str, params: Mapping | None = None, label: str = "labe
 
     ``max_depth`` (an error above 30), ``min_samples_leaf`` -> minInstancesPerNode,
     ``max_features`` -> featureSubsetStrategy, ``n_estimators`` -> numTrees,
-    ``random_state`` -> seed, ``class_weight='balanced'`` -> a weight column.
+    ``criterion`` -> impurity, ``random_state`` -> seed,
+    ``class_weight='balanced'`` -> a weight column (see :func:`train`).  A name
+    that a model has no counterpart for, or a value Spark can't follow, is an error.
     A decision tree that asks for feature sampling becomes a one-tree forest
     without bootstrap (Spark's tree has no per-split feature sampling).
     """
-    p = dict(params or {})
+    p = {k: v for k, v in dict(params or {}).items() if v is not None}
+    if model_type not in PARAMS:
+        raise ValueError(f"Unsupported model type specified: {model_type!r}")
+    unknown = sorted(set(p) - PARAMS[model_type])
+    if unknown:
+        raise ValueError(f"{model_type} has no counterpart for {unknown}")
+    if p.get("class_weight", "balanced") != "balanced":
+        raise ValueError("class_weight can only be 'balanced'")
     common = {"labelCol": label, "featuresCol": features}
     tree = {}
-    if "max_depth" in p and p["max_depth"] is not None:
+    if "criterion" in p:
+        tree["impurity"] = {"gini": "gini", "entropy": "entropy", "log_loss": "entropy", "squared_error": "variance"}[p["criterion"]]
+    if "max_depth" in p:
         if int(p["max_depth"]) > MAX_TREE_DEPTH:
             raise ValueError(f"max_depth {p['max_depth']} is beyond Spark ML's limit of {MAX_TREE_DEPTH}")
         tree["maxDepth"] = int(p["max_depth"])
@@ -80,7 +98,7 @@ def estimator(model_type: str, params: Mapping | None = None, label: str = "labe
     if model_type == "RFR":
         return RandomForestRegressor(numTrees=int(p.get("n_estimators", 20)),
                                      featureSubsetStrategy=str(p.get("max_features", "auto")),
-                                     **common, **tree)
+                                     **common, **tree, **wcol)
     # linear models: L2 penalty C (default 1) as Spark's averaged-loss
     # regParam = 1 / (C * n), and the reference library's default tolerance
     reg = float(p["reg"]) if "reg" in p else (1.0 / (float(p.get("C", 1.0)) * n_rows) if n_rows else 0.0)
@@ -107,6 +125,8 @@ class Bundle:
     # KNN keeps its (prepared) training rows instead of a fitted stage
     neighbors: DataFrame | None = None
     k: int = 5
+    # (family, params, score) of every setting the automatic choice tried
+    trials: list = field(default_factory=list)
 
     @property
     def is_classifier(self) -> bool:
@@ -139,17 +159,25 @@ def train(df: DataFrame, target: str, model_type: str, params: Mapping | None =
           test_size: float = 0.2, seed: int = 2, split: bool = True,
           balanced: bool | None = None) -> tuple[Bundle, DataFrame, DataFrame]:
     """M9: feature/target split -> label encoding -> one-hot -> split ->
-    scaling (fit on train) -> fit.  Returns (bundle, train, test)."""
+    scaling (fit on train) -> fit.  Returns (bundle, train, test).
+
+    One-hot categories come from the whole table, as the encoding precedes
+    the split, so a category that falls only in the test part can be scored.
+    A NULL target is an error, as is a parameter without a counterpart."""
     if model_type not in CLASSIFIERS + REGRESSORS:
         raise ValueError(f"Unsupported model type specified: {model_type!r}")
     params = dict(params or {})
+    unknown = sorted(set(params) - (PARAMS | OTHER_PARAMS)[model_type])
+    if unknown:
+        raise ValueError(f"{model_type} has no counterpart for {unknown}")
     is_clf = model_type in CLASSIFIERS
     raw = feature_names(df, target)
     if key:
         raw = [c for c in raw if c not in key]
-    classes = []
-    if is_clf:
-        classes = sorted(r[0] for r in df.select(F.col(target).cast("string")).distinct().collect())
+    if df.where(F.col(target).isNull()).limit(1).count():
+        raise ValueError(f"NULL in target {target}: drop or fill these rows before training")
+    classes = sorted(str(c) for c in class_counts(df.select(F.col(target).cast("string")), target)) if is_clf else []
+    oh = fit_one_hot(df, onehot_cols) if onehot_cols else None
     if split:
         parts = (split_stratified(df, target, test_size, seed, key) if is_clf
                  else split_random(df, test_size, seed, key))
@@ -157,7 +185,6 @@ def train(df: DataFrame, target: str, model_type: str, params: Mapping | None =
         test_df = parts.where(F.col("split") == "test").drop("split")
     else:
         train_df, test_df = df, None
-    oh = fit_one_hot(train_df, onehot_cols) if onehot_cols else None
     tmp = oh.transform(train_df) if oh else train_df
     feats = [c for c in feature_names(tmp, target) if c not in key]
     sc = fit_scaler(tmp, feats, scaler) if scaler else None
@@ -171,8 +198,9 @@ def train(df: DataFrame, target: str, model_type: str, params: Mapping | None =
         # lazy learner: the "model" is the prepared training table (written
         # by save_bundle); prediction is the exact band-join vote
         b.k = int(params.get("n_neighbors", 5))
-        b.neighbors = cut_lineage(prepared.select(*feats, F.col("label"),
-                                                  F.monotonically_increasing_id().alias("_nid")))
+        # distance ties go to the smallest key, or (without one) to the smallest label
+        ident = F.struct(*[F.col(c) for c in key]) if key else F.struct("label", *feats)
+        b.neighbors = cut_lineage(prepared.select(*feats, F.col("label"), ident.alias("_nid")))
         return b, train_df, test_df
     # Spark ML makes many passes over its input (one per tree level or
     # optimizer iteration): keep the assembled training table cached for the
@@ -182,7 +210,8 @@ def train(df: DataFrame, target: str, model_type: str, params: Mapping | None =
     fit_input = assembler.transform(prepared).select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if model_type.startswith("Auto"):
-            est, _ = auto_search(fit_input, feats, is_clf, params.get("time_budget", 30), seed, assembled=True)
+            est, b.trials = auto_search(fit_input, feats, is_clf, params.get("time_budget", 30), seed, assembled=True,
+                                        metric=params.get("metric"), weight=weight)
         else:
             est = estimator(model_type, params, weight=weight, n_rows=fit_input.count())
         b.pipeline = PipelineModel(stages=[assembler, est.fit(fit_input)])
@@ -195,14 +224,18 @@ def predict(b: Bundle, df: DataFrame) -> DataFrame:
     """Adds ``predicted_label`` and, when the model has them,
     ``proba`` (array of class probabilities) and ``p`` (positive class)."""
     if b.model_type == "KNN":
-        from sparkprep.operators.neighbors import knn_predict
-        q = _prepare(df, b, with_label=False).withColumn("_qid", F.monotonically_increasing_id())
-        q = q.checkpoint(eager=True)  # pins the row ids the vote is joined back on
-        votes = knn_predict(b.neighbors, q, b.features, "label", k=b.k, train_key="_nid", query_key="_qid",
-                            out="prediction")
+        from sparkprep.operators.neighbors import knn_shares
+        q = _prepare(df, b, with_label=False).withColumn("_qid", F.struct(*[F.col(f).cast("double").alias(f) for f in b.features]))
+        # the vote depends on the features alone: rows of one vector share it
+        vectors = cut_lineage(q.select("_qid").distinct())
+        votes = knn_shares(b.neighbors, vectors.select("_qid", "_qid.*"), b.features, "label", len(b.classes), k=b.k,
+                           train_key="_nid", query_key="_qid", out="proba")
         scored = q.join(votes, "_qid").drop("_qid")
+        # the most votes; a tie goes to the smallest class
+        scored = scored.withColumn("prediction", (F.array_position("proba", F.array_max("proba")) - 1).cast("double"))
         labels = F.array(*[F.lit(str(c)) for c in b.classes])
-        return scored.withColumn("predicted_label", F.element_at(labels, F.col("prediction").cast("int") + 1))
+        scored = scored.withColumn("predicted_label", F.element_at(labels, F.col("prediction").cast("int") + 1))
+        return scored.withColumn("p", F.col("proba")[1]) if len(b.classes) == 2 else scored
     scored = b.pipeline.transform(_prepare(df, b, with_label=False))
     if b.is_classifier:
         labels = F.array(*[F.lit(str(c)) for c in b.classes])
@@ -316,36 +349,61 @@ def score_batch(spark, df: DataFrame, path: str, key: Sequence[str] = ()) -> Dat
 # ---------------------------------------------------------------- M14 - M18
 
 
+SPARK_NAMES = {"max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode", "max_features": "featureSubsetStrategy",
+               "n_estimators": "numTrees", "max_bins": "maxBins", "random_state": "seed", "max_iter": "maxIter",
+               "criterion": "impurity"}
+METRICS = {"roc_auc": "areaUnderROC", "average_precision": "areaUnderPR", "f1_weighted": "f1"}
+
+
 def _grid(est, space: Mapping[str, Sequence]):
+    """All settings of a search space (the reference's names or Spark's); a
+    name the estimator lacks is an error."""
     g = ParamGridBuilder()
     for name, values in space.items():
-        g = g.addGrid(est.getParam(name), list(values))
+        spark_name = SPARK_NAMES.get(name, name)
+        if not est.hasParam(spark_name):
+            raise ValueError(f"{type(est).__name__} has no counterpart for {name!r}")
+        if spark_name == "maxDepth" and max(values) > MAX_TREE_DEPTH:
+            raise ValueError(f"max_depth {max(values)} is beyond Spark ML's limit of {MAX_TREE_DEPTH}")
+        g = g.addGrid(est.getParam(spark_name), [str(v) for v in values] if spark_name == "featureSubsetStrategy" else list(values))
     return g.build()
 
 
+def _evaluator(metric: str, is_clf: bool = True):
+    metric = METRICS.get(metric, metric)
+    if metric in ("areaUnderROC", "areaUnderPR"):
+        return BinaryClassificationEvaluator(metricName=metric)
+    return MulticlassClassificationEvaluator(metricName=metric) if is_clf else RegressionEvaluator(metricName=metric)
+
+
+def _folded(df: DataFrame, k: int, seed, key: Sequence[str]) -> DataFrame:
+    """Fold numbers from a seeded hash of the key (or, without one, of the
+    features and the label), so that they don't depend on partitioning."""
+    by = list(key) or [F.to_json(F.struct(vector_to_array("features").alias("f"), "label"))]
+    return kfold(df, k, seed, by, fold_col="_fold")
+
+
 def _cv(est, maps, k, metric, seed, is_clf=True):
-    ev = (MulticlassClassificationEvaluator(metricName=metric) if is_clf
-          else RegressionEvaluator(metricName=metric))
-    return CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=ev, numFolds=k,
-                          seed=seed, parallelism=4)
+    return CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=_evaluator(metric, is_clf), numFolds=k,
+                          seed=seed, parallelism=4, foldCol="_fold")
 
 
 def grid_search(df: DataFrame, est, space: Mapping[str, Sequence], k: int = 3, metric: str = "f1",
-                seed: int = 2) -> tuple[DataFrame, object]:
+                seed: int = 2, key: Sequence[str] = ()) -> tuple[DataFrame, object]:
     """Every grid point x k folds (weighted F1 by default).  Returns the
     score table (one row per setting) and the best model."""
     maps = _grid(est, space)
-    cvm = _cv(est, maps, k, metric, seed).fit(df)
+    cvm = _cv(est, maps, k, metric, seed).fit(_folded(df, k, seed, key))
     return _score_table(df, maps, cvm.avgMetrics), cvm.bestModel
 
 
 def random_search(df: DataFrame, est, space: Mapping[str, Sequence], n_iter: int = 100, k: int = 3,
-                  metric: str = "f1", seed: int = 2) -> tuple[DataFrame, object]:
+                  metric: str = "f1", seed: int = 2, key: Sequence[str] = ()) -> tuple[DataFrame, object]:
     """``n_iter`` settings drawn (seeded, without repetition) from the grid."""
     maps = _grid(est, space)
     rng = random.Random(seed)
     chosen = rng.sample(maps, min(n_iter, len(maps)))
-    cvm = _cv(est, chosen, k, metric, seed).fit(df)
+    cvm = _cv(est, chosen, k, metric, seed).fit(_folded(df, k, seed, key))
     return _score_table(df, chosen, cvm.avgMetrics), cvm.bestModel
 
 
@@ -359,18 +417,24 @@ def learning_curve(df: DataFrame, est, sizes: Sequence[int], k: int = 5, seed: i
                    key: Sequence[str] = (), metric: str = "f1") -> DataFrame:
     """For each training size and fold, fit on the first ``size`` rows (in
     seeded hash order) of the other folds; score train and validation.  Returns
-    (size, train_mean, train_std, valid_mean, valid_std)."""
-    ev = MulticlassClassificationEvaluator(metricName=metric)
-    h = df.withColumn("_h", hash_hex(list(key), seed))
-    folded = h.withColumn("_fold", F.pmod(F.conv(F.substring("_h", 9, 8), 16, 10).cast("bigint"), F.lit(k)))
+    (size, train_mean, train_std, valid_mean, valid_std).
+
+    A training set is a filter (a hash threshold per fold and size), so it
+    stays spread over the table's partitions."""
+    ev = _evaluator(metric)
+    names = [f"_size{i}" for i in range(len(sizes))]
     rows = []
-    for fold in range(k):
-        tr_all = folded.where(F.col("_fold") != fold)
-        va = folded.where(F.col("_fold") == fold)
-        for s in sizes:
-            tr = tr_all.orderBy("_h").limit(int(s))
-            m = est.fit(tr)
-            rows.append((int(s), fold, float(ev.evaluate(m.transform(tr))), float(ev.evaluate(m.transform(va)))))
+    folded = kfold(df, k, f"{seed}f", list(key), fold_col="_fold").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for fold in range(k):
+            tr_all = with_cuts(folded.where(F.col("_fold") != fold), {None: list(map(int, sizes))}, seed, key, names=names)
+            va = folded.where(F.col("_fold") == fold)
+            for s, name in zip(sizes, names):
+                tr = tr_all.where(name)
+                m = est.fit(tr)
+                rows.append((int(s), fold, float(ev.evaluate(m.transform(tr))), float(ev.evaluate(m.transform(va)))))
+    finally:
+        folded.unpersist()
     res = df.sparkSession.createDataFrame(rows, "size int, fold int, train double, valid double")
     return res.groupBy("size").agg(F.avg("train").alias("train_mean"), F.stddev_pop("train").alias("train_std"),
                                    F.avg("valid").alias("valid_mean"), F.stddev_pop("valid").alias("valid_std"))
@@ -381,45 +445,82 @@ AUTO_SPACES = {
     "clf": [("LR", {"regParam": [0.0, 0.01, 0.1]}),
             ("DT", {"maxDepth": [3, 5, 8, 12]}),
             ("RFC", {"numTrees": [10, 30], "maxDepth": [5, 8]})],
-    "reg": [("LinReg", {"regParam": [0.0, 0.01, 0.1]}),
-            ("DTR", {"maxDepth": [3, 5, 8, 12]}),
+    "reg": [("DTR", {"maxDepth": [3, 5, 8, 12]}),
+            ("LinReg", {"regParam": [0.0, 0.01, 0.1]}),
             ("RFR", {"numTrees": [10, 30], "maxDepth": [5, 8]})],
 }
+AUTO_BINS = 128  # candidate thresholds per feature of the tree families (fixed value)
 
 
 def _family(name):
-    return {"LR": LogisticRegression(), "DT": DecisionTreeClassifier(), "RFC": RandomForestClassifier(),
-            "LinReg": LinearRegression(), "DTR": DecisionTreeRegressor(), "RFR": RandomForestRegressor()}[name]
+    return {"LR": LogisticRegression(), "DT": DecisionTreeClassifier(maxBins=AUTO_BINS),
+            "RFC": RandomForestClassifier(maxBins=AUTO_BINS), "LinReg": LinearRegression(),
+            "DTR": DecisionTreeRegressor(maxBins=AUTO_BINS), "RFR": RandomForestRegressor(maxBins=AUTO_BINS)}[name]
 
 
 def auto_search(df: DataFrame, feats: Sequence[str], is_clf: bool, budget_s: float = 30, seed: int = 2,
-                k: int = 3, assembled: bool = False):
+                k: int = 3, assembled: bool = False, metric: str | None = None, weight: str | None = None,
+                key: Sequence[str] = ()):
     """M7 / M8: try Spark ML families x settings by k-fold CV until the time
-    budget is spent; return the best (unfitted) estimator and the trial table."""
+    budget is spent; return the best (unfitted) estimator and the trial table.
+
+    ``metric``: ``roc_auc`` by default for two classes, weighted F1 for more,
+    RMSE for a number.  The first best setting wins a tie.  All settings see
+    the same folds."""
     if not assembled:
         df = VectorAssembler(inputCols=list(feats), outputCol="features", handleInvalid="keep").transform(df)
     deadline = time.monotonic() + budget_s
-    metric = "f1" if is_clf else "rmse"
+    if metric is None:
+        metric = "rmse" if not is_clf else "roc_auc" if len(class_counts(df, "label")) == 2 else "f1"
+    larger = _evaluator(metric, is_clf).isLargerBetter()
+    folded = _folded(df, k, seed, key).persist(StorageLevel.MEMORY_AND_DISK)
     best, best_score, trials = None, None, []
-    for fam, space in AUTO_SPACES["clf" if is_clf else "reg"]:
-        est = _family(fam).setLabelCol("label").setFeaturesCol("features")
-        for m in _grid(est, space):
-            if time.monotonic() > deadline and best is not None:
-                break
-            cvm = _cv(est, [m], k, metric, seed, is_clf).fit(df)
-            s = cvm.avgMetrics[0]
-            trials.append((fam, json.dumps({p.name: v for p, v in m.items()}, sort_keys=True), float(s)))
-            better = best_score is None or (s > best_score if is_clf else s < best_score)
-            if better:
-                best, best_score = est.copy(m), s
+    try:
+        for fam, space in AUTO_SPACES["clf" if is_clf else "reg"]:
+            est = _family(fam).setLabelCol("label").setFeaturesCol("features")
+            if weight:
+                est = est.setWeightCol(weight)
+            for m in _grid(est, space):
+                if time.monotonic() > deadline and best is not None:
+                    break
+                s = _cv(est, [m], k, metric, seed, is_clf).fit(folded).avgMetrics[0]
+                trials.append((fam, json.dumps({p.name: v for p, v in m.items()}, sort_keys=True), float(s)))
+                if best_score is None or (s > best_score if larger else s < best_score):
+                    best, best_score = est.copy(m), s
+    finally:
+        folded.unpersist()
     return best, trials
 
 
+LOWER_IS_BETTER = ("log_loss", "mae", "mse", "rmse")
+
+
 def compare_models(score_tables: Sequence[DataFrame], metrics: Sequence[str]) -> DataFrame:
-    """Appended score rows (U1) restricted to chosen metrics, with a rank
-    per metric (1 = best)."""
-    allrows = union_all(score_tables).select("model", *metrics)
-    return allrows
+    """Appended score rows (U1) restricted to chosen metrics, with
+    ``rank_<metric>`` (1 = best, ties share a rank, NULL scores last) and
+    ``best`` (rank 1 on the first metric).  One row per model, so one window
+    over them is small."""
+    out = union_all(score_tables).select("model", *metrics)
+    for m in metrics:
+        order = F.col(m).asc_nulls_last() if m in LOWER_IS_BETTER else F.col(m).desc_nulls_last()
+        out = out.withColumn(f"rank_{m}", F.rank().over(Window.partitionBy(F.lit(0)).orderBy(order)))
+    return out.withColumn("best", F.col(f"rank_{metrics[0]}") == 1)
+
+
+def shapley_model(b: Bundle, explain: DataFrame, background: DataFrame, id_col: str, n_samples: int = 10,
+                  seed: int = 0, bg_key: Sequence[str] | None = None) -> DataFrame:
+    """E2 on a trained model: (id, class, feature, shap_value, base, fx) with
+    one result per class of a classifier with probabilities (a regressor's
+    class is NULL).  The features are the raw ones, before encoding and scaling."""
+    classes = [str(c) for c in b.classes] if b.is_classifier else [None]
+
+    def score(df: DataFrame) -> DataFrame:
+        out = predict(b, df)
+        if b.is_classifier and "proba" not in out.columns:
+            raise ValueError(f"{b.model_type} has no class probabilities to explain")
+        return out.withColumn("score", F.col("proba") if b.is_classifier else F.array(F.col("prediction").cast("double")))
+
+    return shapley_values(score, explain, background, b.raw_features, id_col, n_samples, seed, bg_key, classes=classes)
 
 
 def set_sizes(split_df: DataFrame, split_col: str = "split") -> DataFrame:
