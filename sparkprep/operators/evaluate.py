@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from sparkprep.functions.exprs import np_round
 from sparkprep.operators.order import attach_row, ordered_prefix_sums
+from sparkprep.session import cut_lineage
 
 EPS = 1e-15  # log-loss clipping (fixed value)
 
@@ -148,13 +149,15 @@ def confusion_matrix(df: DataFrame, y="y", y_hat="y_hat") -> DataFrame:
 
 
 def _curve_base(df: DataFrame, y: str, p: str, pos_label) -> DataFrame:
-    """Per distinct score (descending): cumulative tps / fps and position.
-    Rows without a score are left out."""
+    """Per distinct score (descending): cumulative tps / fps and position,
+    kept in the shared folder, as a curve reads it several times.  Rows
+    without a score are left out."""
     by_score = df.where(F.col(p).isNotNull()).groupBy(F.col(p).cast("double").alias("threshold")).agg(
         F.count_if(F.col(y) == F.lit(pos_label)).alias("pos"),
         F.count_if(F.col(y) != F.lit(pos_label)).alias("neg"))
     by_score = by_score.withColumn("_neg_t", -F.col("threshold"))
-    return ordered_prefix_sums(by_score, ["_neg_t"], ["pos", "neg"], pos_name="i")
+    sums = ordered_prefix_sums(by_score, ["_neg_t"], ["pos", "neg"], pos_name="i")
+    return cut_lineage(sums.select("i", "cum_pos", "cum_neg"))
 
 
 def roc_curve(df: DataFrame, model: str, y="y", p="p", pos_label=1, drop_intermediate: bool = True) -> DataFrame:
@@ -164,7 +167,7 @@ def roc_curve(df: DataFrame, model: str, y="y", p="p", pos_label=1, drop_interme
     A point is kept when the second difference of fps or tps is non-zero
     (first and last always); neighbours come from an equi-join on position.
     """
-    base = _curve_base(df, y, p, pos_label).select("i", "cum_pos", "cum_neg")
+    base = _curve_base(df, y, p, pos_label)
     tot = base.agg(F.max("i").alias("_last"), F.max("cum_pos").alias("_P"), F.max("cum_neg").alias("_N"))
     pts = attach_row(base, tot)
     if drop_intermediate:
@@ -186,7 +189,7 @@ def roc_curve(df: DataFrame, model: str, y="y", p="p", pos_label=1, drop_interme
 def pr_curve(df: DataFrame, model: str, y="y", p="p", pos_label=1) -> DataFrame:
     """(precision, recall, model, proportion_1) per threshold up to the
     first one reaching full recall, plus the closing (1, 0) point."""
-    base = _curve_base(df, y, p, pos_label).select("i", "cum_pos", "cum_neg")
+    base = _curve_base(df, y, p, pos_label)
     tot = base.agg(F.max("cum_pos").alias("_P"), F.max("cum_neg").alias("_N"))
     full = attach_row(base, tot)
     last = full.where(F.col("cum_pos") == F.col("_P")).agg(F.min("i").alias("_stop"))
