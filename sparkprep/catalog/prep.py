@@ -157,6 +157,28 @@ def q_parse_dates(spark, sf):
     return S.parse_dates(raw, "DATE", "MM/dd/yyyy")
 
 
+@register("parse_failures", """
+select count(*) filter (o_orderpriority = '5-LOW') as ORDER_DATE from orders
+""")
+def q_parse_failures(spark, sf):
+    o = table(spark, sf, "orders")
+    txt = F.date_format("o_orderdate", "MM/dd/yyyy")
+    return S.parse_failures(o.select(F.when(F.col("o_orderpriority") == "5-LOW", F.lit("not a date")).otherwise(txt).alias("ORDER_DATE"),
+                                     txt.alias("note")))
+
+
+@register("cast_failures", """
+select count(*) filter (o_orderstatus is not null) as o_orderstatus, 0 as o_custkey,
+  count(*) filter (try_cast(substr(o_orderpriority, 1, 1) || case when o_orderkey % 7 = 0 then 'x' else '' end as integer) is null)
+    as code from orders
+""")
+def q_cast_failures(spark, sf):
+    o = table(spark, sf, "orders")
+    code = F.concat(F.substring("o_orderpriority", 1, 1), F.when(F.col("o_orderkey") % 7 == 0, "x").otherwise(""))
+    return S.cast_failures(o.select("o_orderstatus", "o_custkey", code.alias("code")),
+                           {"o_orderstatus": "int", "o_custkey": "double", "code": "int"})
+
+
 @register("schema_profile", """
 select 0 as position, 'id' as column_name, 'bigint' as data_type, count(id) as non_null from fx_main
 union all select 1, 'o_custkey', 'bigint', count(o_custkey) from fx_main

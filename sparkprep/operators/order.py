@@ -21,16 +21,18 @@ from sparkprep.functions.exprs import hash_hex
 
 
 MAX_BROADCAST_ROWS = 1_000_000  # per-group tables broadcast up to this many rows (fixed value)
+MAX_BROADCAST_BYTES = 64 << 20  # ... and this many bytes as JSON text (fixed value)
 
 
 def join_small(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner",
                null_safe: bool = False) -> DataFrame:
-    """Join a per-group table onto a large one.  The small side is counted
-    first and broadcast only when it has at most ``MAX_BROADCAST_ROWS`` rows;
-    otherwise a shuffle join is planned (AQE splits skewed partitions).
+    """Join a per-group table onto a large one.  The small side is measured
+    first and broadcast only when it has at most ``MAX_BROADCAST_ROWS`` rows
+    and ``MAX_BROADCAST_BYTES`` bytes, however wide its rows; otherwise a shuffle join is planned (AQE splits skewed partitions).
     ``null_safe`` matches NULL keys to NULL keys."""
-    small_n = small.count()
-    right = F.broadcast(small) if small_n <= MAX_BROADCAST_ROWS else small
+    rows, size = small.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    fits = rows <= MAX_BROADCAST_ROWS and (size or 0) <= MAX_BROADCAST_BYTES
+    right = F.broadcast(small) if fits else small
     keys = list(keys)
     if not null_safe:
         return big.join(right, keys, how)

@@ -30,6 +30,7 @@ class IngestConfig:
     vax_order: tuple = ("_pos",)
     date_token: str = "DATE"
     date_format: str = "MM/dd/yyyy"
+    bad_dates: str = "raise"  # 'null' keeps such rows only as far as the date bound lets NULL pass
     max_date_col: str = "RECVDATE"
     max_date: str = "2021-04-01"
     compat: bool = True
@@ -43,7 +44,7 @@ def ingest(main: DataFrame, symptoms: DataFrame, vax: DataFrame, cfg: IngestConf
     v = first_per_key(keep_cols(v, [*cfg.vax_cols, *[c for c in cfg.vax_order if c not in cfg.vax_cols]]),
                       cfg.key, list(cfg.vax_order))
     v = keep_cols(v, list(cfg.vax_cols))
-    m = parse_dates(main, cfg.date_token, cfg.date_format)
+    m = parse_dates(main, cfg.date_token, cfg.date_format, cfg.bad_dates)
     m = filter_before(m, cfg.max_date_col, cfg.max_date)
     return join_on_key(join_on_key(m, v, cfg.key), symp, cfg.key)
 

@@ -5,7 +5,9 @@ import pytest
 from sparkprep.operators import columns as C
 from sparkprep.operators import evaluate as V
 from sparkprep.operators import profile as A
+from sparkprep.operators import schema as S
 from sparkprep.operators.neighbors import knn_predict
+from sparkprep.plans.ingest import IngestConfig, ingest
 from sparkprep.plans.model import estimator
 from sparkprep.sources.files import read_csv
 
@@ -52,3 +54,35 @@ def test_position_follows_the_files_order(spark, tmp_path):
     (tmp_path / "b.csv").write_text("k,v\n" + "1,b\n" * 5000)
     df = read_csv(spark, str(tmp_path), position_col="_pos")
     assert df.orderBy("_pos").first().v == "a" and df.select("_pos").distinct().count() == 5001
+
+
+def test_bad_dates_and_types_fail_or_are_counted(spark):
+    raw = spark.createDataFrame([(1, "01/31/2021", "7"), (2, "2021-02-01", "x"), (3, None, None)], "id int, RECVDATE string, n string")
+    assert [r["RECVDATE"] is None for r in S.parse_dates(raw).orderBy("id").collect()] == [False, True, True]
+    assert S.parse_failures(raw).first()["RECVDATE"] == 1
+    assert S.cast_failures(raw, {"n": "int"}).first()["n"] == 1
+    with pytest.raises(Exception, match="unparsable value in RECVDATE: 2021-02-01"):
+        S.parse_dates(raw, bad="raise").collect()
+    with pytest.raises(Exception, match="unparsable value in n: x"):
+        S.apply_types(raw, {"n": "int"}, bad="raise").collect()
+
+
+def test_ingest_refuses_a_bad_date(spark):
+    main = spark.createDataFrame([(1, "01/31/2021"), (2, "2021-02-01")], "VAERS_ID int, RECVDATE string")
+    symptoms = spark.createDataFrame([(1, "a", None, None, None, None, 0), (2, "b", None, None, None, None, 1)],
+                                     "VAERS_ID int, SYMPTOM1 string, SYMPTOM2 string, SYMPTOM3 string, SYMPTOM4 string, SYMPTOM5 string, _pos long")
+    vax = spark.createDataFrame([(1, "MODERNA", 0), (2, "MODERNA", 1)], "VAERS_ID int, VAX_MANU string, _pos long")
+    with pytest.raises(Exception, match="unparsable value in RECVDATE"):
+        ingest(main, symptoms, vax, IngestConfig()).collect()
+    assert ingest(main, symptoms, vax, IngestConfig(bad_dates="null")).count() == 1
+
+
+def test_wide_group_tables_are_not_broadcast(spark, monkeypatch):
+    from sparkprep.operators import order
+    monkeypatch.setattr(order, "MAX_BROADCAST_BYTES", 1000)
+    big = spark.range(100).selectExpr("id % 3 as g", "id")
+    for width, hinted in ((10, True), (2000, False)):
+        small = spark.range(3).selectExpr("id as g", f"repeat('x', {width}) as wide")
+        out = order.join_small(big, small, ["g"])
+        assert out.count() == 100
+        assert ("strategy=broadcast" in out._jdf.queryExecution().analyzed().toString()) == hinted
