@@ -1,19 +1,25 @@
 """M6: exact k-nearest-neighbour vote without comparing every (query, train) pair.
 
-Triangle inequality: for a pivot ``c`` and ``r(x) = |x - c|``, any training
-row within distance ``w`` of a query ``q`` has ``|r(x) - r(q)| <= w``.  So
-each round joins a query only to the training rows whose ``r`` lies in a
-band of width ``w`` around ``r(q)``, as an equi-join on band buckets (each
-query explodes to three bucket ids); a second pivot prunes the candidates
-with the same bound.  A query is resolved when its k-th
-candidate distance is ``<= w``: nothing outside the band can be closer.
-Unresolved queries go to the next round with a wider band; once ``w``
-covers the whole range of ``r`` every query resolves.  The result is
-exact, with no cap on candidates, and the work per query is the number of
-training rows in its final band, not the whole training table.
+The training rows are dealt to the cells of many pivots (nearest pivot; a
+bounded, seeded choice of training rows), and each cell is cut into rings by
+the distance ``r`` to its pivot, so that no bucket grows with the table.  Two
+rounds answer every query exactly:
+
+1. A first k-th distance ``w`` comes from the query's own ring and from the
+   witnesses (a bounded number of rows) of its nearest cells.  It can only be
+   too large.
+2. The query visits the rings that may hold a row within ``w``.  For a cell
+   with pivot ``c`` the triangle inequality asks ``|r(x) - |q - c|| <= w``,
+   and the plane half-way between ``c`` and the pivot nearest to ``q`` must
+   not be farther than ``w``.
+
+The visits are an equi-join on (cell, ring).  There is no cap on candidates
+and no further round.  Bounds carry a relative slack for rounding, so ties at
+the k-th distance are kept.
 
 Training rows are first reduced to at most k copies per distinct feature
-vector (the smallest keys), so heavy duplication cannot blow up a band.
+vector (the smallest keys), and each distinct query vector is searched once,
+so copies on either side cannot blow up a bucket.
 
 The vote is the majority label of the k nearest (distance ties broken by
 training key); a tie between labels goes to the smallest label.
@@ -21,23 +27,27 @@ training key); a tie between labels goes to the smallest label.
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkprep.functions.exprs import hash_hex
 from sparkprep.session import cut_lineage
 
-SALT = 64        # salt buckets for the per-vector top-k (fixed value)
-MAX_ROUNDS = 64  # band widenings; the last band always covers every row (fixed value)
-START = 16.0     # first band holds about START * k training rows (fixed value)
-GROWTH = 4.0     # band width factor between rounds (fixed value)
+SALT = 64            # salt buckets for the per-vector top-k (fixed value)
+MAX_PIVOTS = 1024    # pivots, at most; a cell larger than a ring is cut into more rings (fixed value)
+RING_ROWS = 1024     # rows of a ring, about (fixed value)
+WITNESSES = 4        # witnesses per cell: so many times k (fixed value)
+SLACK = 1e-9         # relative slack of the bounds (fixed value)
 
 
-def _dist(a: str, b: str, features: Sequence[str]):
-    terms = [(F.col(f"{a}{f}") - F.col(f"{b}{f}")) * (F.col(f"{a}{f}") - F.col(f"{b}{f}")) for f in features]
+def _length(a, b, names: Sequence[str]) -> Column:
+    """Distance between two points, each given as a function from a feature to a column."""
+    terms = [(a(f) - b(f)) * (a(f) - b(f)) for f in names]
     return F.sqrt(reduce(lambda x, y: x + y, terms))
 
 
@@ -53,78 +63,143 @@ def _k_copies(tr: DataFrame, vec: Sequence[str], k: int) -> DataFrame:
     return second.where(F.col("_r") <= k).drop("_r")
 
 
-def knn_neighbors(train: DataFrame, query: DataFrame, features: Sequence[str], k: int,
-                  train_key: str, query_key: str, label: str, seed: int = 0) -> DataFrame:
-    """The k nearest training rows of every query row:
-    (query_key, train_key [``neighbor_<key>`` when both keys share a name],
-    label, distance, rank)."""
-    feats = list(features)
+def _constant(rows: list[dict], schema: str) -> Column:
+    """A bounded driver-side table as one array literal."""
+    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")
+
+
+def _nearest_k(cand: DataFrame, need: int) -> DataFrame:
+    order = Window.partitionBy("_qid").orderBy("distance", "_tk")
+    return cand.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= need)
+
+
+def _search(tr: DataFrame, qv: DataFrame, dims: Sequence[str], pivots: list[dict], need: int,
+            ring_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(candidates, first bounds) of the distinct query vectors ``qv``: the
+    candidates (_qid, _tk, _lab, distance) hold every row within a query's bound."""
+    point = ", ".join(f"{f} double" for f in dims)
+
+    def home(prefix, cells):
+        """Struct (d, id) of the nearest pivot."""
+        return F.array_min(F.transform(cells, lambda c: F.struct(
+            _length(lambda f: c[f], lambda f: F.col(prefix + f), dims).alias("d"), c["id"].alias("id"))))
+
+    plain = _constant(pivots, f"id int, {point}")
+    tr = cut_lineage(tr.withColumn("_home", home("t_", plain))
+                     .select("*", F.col("_home.id").alias("_cell"), F.col("_home.d").alias("_td")).drop("_home"))
+    stats = {r["_cell"]: r for r in tr.groupBy("_cell").agg(
+        F.count(F.lit(1)).alias("n"), F.min("_td").alias("lo"), F.max("_td").alias("hi")).collect()}
+    used = []
+    for p in pivots:
+        if p["id"] in stats:  # a pivot that lost its rows to a tie has no cell
+            s = stats[p["id"]]
+            rings = max(1, math.ceil(s["n"] / ring_rows)) if s["hi"] > s["lo"] else 1
+            used.append({**p, "id": len(used), "old": p["id"], "n": s["n"], "lo": s["lo"], "hi": s["hi"],
+                         "rings": rings, "step": max((s["hi"] - s["lo"]) / rings, 1e-300)})
+    cells = _constant(used, f"id int, {point}, old int, n long, lo double, hi double, rings long, step double")
+
+    def ring(c, d):
+        return F.least(F.greatest(F.floor((d - c["lo"]) / c["step"]), F.lit(0)), c["rings"] - 1)
+
+    renumber = F.element_at(_constant([{"v": next((u["id"] for u in used if u["old"] == p["id"]), -1)} for p in pivots],
+                                      "v int"), F.col("_cell") + 1)["v"]
+    tr = tr.withColumn("_cell", renumber)
+    tr = tr.withColumn("_ring", ring(F.element_at(cells, F.col("_cell") + 1), F.col("_td")))
+
+    qv = cut_lineage(qv.withColumn("_home", home("q_", cells)))
+    dist = _length(lambda f: F.col("q_" + f), lambda f: F.col("t_" + f), dims).alias("distance")
+    q_cols = ["_qid", *[f"q_{f}" for f in dims]]
+
+    # first bound: the query's own ring, and witnesses of the nearest cells
+    by_hash = Window.partitionBy("_cell").orderBy("_wh", "_tk")
+    witnesses = (tr.withColumn("_wh", F.xxhash64("_tk")).withColumn("_wr", F.row_number().over(by_hash))
+                 .where(F.col("_wr") <= WITNESSES * need).drop("_wh", "_wr"))
+    # so many nearest cells hold k witnesses in any case: the smallest cells together
+    few, total = 0, 0
+    for n in sorted(u["n"] for u in used):
+        few, total = few + 1, total + min(n, WITNESSES * need)
+        if total >= need:
+            break
+    near = F.slice(F.array_sort(F.transform(cells, lambda c: F.struct(
+        _length(lambda f: c[f], lambda f: F.col("q_" + f), dims).alias("d"), c["id"].alias("id")))), 1, few)
+    own = F.element_at(cells, F.col("_home.id") + 1)
+    first = (qv.select(*q_cols, F.explode(F.transform(near, lambda c: c["id"])).alias("_cell")).join(witnesses, "_cell")
+             .select("_qid", "_tk", dist)
+             .unionByName(qv.select(*q_cols, F.col("_home.id").alias("_cell"), ring(own, F.col("_home.d")).alias("_ring"))
+                          .join(tr, ["_cell", "_ring"]).select("_qid", "_tk", dist))
+             .distinct())
+    bound = _nearest_k(first, need).groupBy("_qid").agg(F.max("distance").alias("_w"))
+    bounded = cut_lineage(qv.join(bound, "_qid"))
+
+    # the rings that may hold a row within the bound
+    def visit(c):
+        d = _length(lambda f: c[f], lambda f: F.col("q_" + f), dims)
+        gap = _length(lambda f: c[f], lambda f: F.col("_hp")[f], dims)
+        w = F.col("_w") + F.lit(SLACK) * (d + c["hi"])
+        plane = (d - F.col("_home.d")) * (d + F.col("_home.d"))
+        hit = (d - w <= c["hi"]) & (d + w >= c["lo"]) & (plane <= 2.0 * gap * w)
+        return F.when(hit, F.struct(c["id"].alias("cell"), ring(c, d - w).alias("a"), ring(c, d + w).alias("b"),
+                                    (d - w).alias("da"), (d + w).alias("db")))
+
+    visits = (bounded.withColumn("_hp", F.element_at(cells, F.col("_home.id") + 1))
+              .select(*q_cols, "_w", F.explode(F.filter(F.transform(cells, visit), lambda v: v.isNotNull())).alias("_v"))
+              .select(*q_cols, "_w", F.col("_v.cell").alias("_cell"), F.col("_v.da").alias("_da"), F.col("_v.db").alias("_db"),
+                      F.explode(F.sequence("_v.a", "_v.b")).alias("_ring")))
+    cand = (visits.join(tr, ["_cell", "_ring"])
+            .where((F.col("_td") >= F.col("_da")) & (F.col("_td") <= F.col("_db")))
+            .select("_qid", "_tk", "_lab", "_w", dist))
+    return cand, bounded
+
+
+def _prepare(train: DataFrame, query: DataFrame, feats: Sequence[str], k: int, train_key: str, query_key: str,
+             label: str, seed: int):
+    """(training rows, query rows, distinct query vectors, dimension names, pivots, rows wanted per query)."""
     # a missing feature has no distance: refused, so that no row is lost on the way
     for side, df in (("training", train), ("query", query)):
-        if df.where(reduce(lambda a, b: a | b, [F.col(f).isNull() for f in feats])).limit(1).count():
+        odd = [F.col(f).isNull() | F.isnan(F.col(f).cast("double")) for f in feats]
+        if df.where(reduce(lambda a, b: a | b, odd)).limit(1).count():
             raise ValueError(f"NULL feature in a {side} row: impute or drop it before k-nearest neighbours")
-    # two pivots: the first two training rows in seeded hash order (the
-    # second only prunes candidates; any pivot gives a valid lower bound)
-    pivots = (train.select(*feats, hash_hex([train_key], seed).alias("_h"))
-              .orderBy("_h").select(*feats).limit(2).collect())
-    if not pivots:
+    dims = [f"x{i}" for i in range(len(feats))]
+    tr = train.select(F.col(train_key).alias("_tk"), F.col(label).alias("_lab"),
+                      *[F.col(f).cast("double").alias(f"t_{d}") for f, d in zip(feats, dims)])
+    tr = cut_lineage(_k_copies(tr, [f"t_{d}" for d in dims], k))
+    n_train = tr.count()
+    if not n_train:
         raise ValueError("empty training table")
-    pivot = {f: float(pivots[0][f]) for f in feats}
-    pivot2 = {f: float(pivots[-1][f]) for f in feats}
+    n_pivots = min(MAX_PIVOTS, 2 * math.isqrt(n_train) + 1)
+    # copies among the first rows only cost pivots
+    picked = (tr.select(*[f"t_{d}" for d in dims], hash_hex(["_tk"], seed).alias("_h"))
+              .orderBy("_h").limit(n_pivots).drop("_h").distinct().collect())
+    pivots = [{"id": i, **{d: float(p[f"t_{d}"]) for d in dims}} for i, p in enumerate(sorted(picked))]
+    qr = query.select(F.col(query_key).alias("_qk"), *[F.col(f).cast("double").alias(f"q_{d}") for f, d in zip(feats, dims)])
+    qv = cut_lineage(qr.select(*[f"q_{d}" for d in dims]).distinct().withColumn("_qid", F.monotonically_increasing_id()))
+    return tr, qr, qv, dims, pivots, min(k, n_train)
 
-    def radius(prefix, c=pivot):
-        terms = [(F.col(f"{prefix}{f}") - F.lit(c[f])) * (F.col(f"{prefix}{f}") - F.lit(c[f])) for f in feats]
-        return F.sqrt(reduce(lambda x, y: x + y, terms))
 
-    tr = train.select(F.col(train_key).alias("_tk"), F.col(label).alias("_lab"),
-                      *[F.col(f).cast("double").alias(f"t_{f}") for f in feats])
-    tr = cut_lineage(_k_copies(tr, [f"t_{f}" for f in feats], k)
-                     .withColumns({"_tr": radius("t_"), "_tr2": radius("t_", pivot2)}))
-    qr = query.select(F.col(query_key).alias("_qk"), *[F.col(f).cast("double").alias(f"q_{f}") for f in feats])
-    qr = qr.withColumns({"_qr": radius("q_"), "_qr2": radius("q_", pivot2)})
-
-    stats = tr.agg(F.count(F.lit(1)).alias("n"), F.min("_tr").alias("lo"), F.max("_tr").alias("hi")).first()
-    qstats = qr.agg(F.min("_qr").alias("lo"), F.max("_qr").alias("hi")).first()
-    n_train, span = int(stats["n"]), float(stats["hi"] - stats["lo"])
-    # a band this wide holds every training row for every query
-    full = max(float(stats["hi"]), float(qstats["hi"] or stats["hi"])) - \
-        min(float(stats["lo"]), float(qstats["lo"] if qstats["lo"] is not None else stats["lo"]))
-    need = min(k, n_train)
-    # start with a band expected to hold a few times k training rows
-    width = max(span * START * need / max(n_train, 1), 1e-12)
-    pending = qr
-    found = []
-    for _ in range(MAX_ROUNDS):
-        w = F.lit(width)
-        tb = tr.withColumn("_bk", F.floor(F.col("_tr") / w))
-        qb = pending.withColumn("_bk", F.explode(F.sequence(F.floor((F.col("_qr") - w) / w),
-                                                            F.floor((F.col("_qr") + w) / w))))
-        # rows outside the band are farther than w, and a query only settles
-        # once its k-th distance is <= w, so they can be dropped right away
-        cand = (qb.join(tb, "_bk")
-                .where((F.abs(F.col("_qr") - F.col("_tr")) <= w) & (F.abs(F.col("_qr2") - F.col("_tr2")) <= w))
-                .select("_qk", "_tk", "_lab", _dist("q_", "t_", feats).alias("distance")))
-        order = Window.partitionBy("_qk").orderBy("distance", "_tk")
-        top = cand.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= need)
-        top = top.checkpoint(eager=True)
-        covered = width >= full
-        done = (top.groupBy("_qk").agg(F.count(F.lit(1)).alias("_c"), F.max("distance").alias("_d"))
-                .where((F.col("_c") == need) & ((F.col("_d") <= F.lit(width)) | F.lit(covered)))
-                .select("_qk"))
-        found.append(top.join(done, "_qk", "left_semi"))
-        pending = pending.join(done, "_qk", "left_anti").checkpoint(eager=True)
-        if covered or pending.isEmpty():
-            break
-        width *= GROWTH
-    else:
-        if not pending.isEmpty():
-            raise RuntimeError(f"neighbours not settled after {MAX_ROUNDS} rounds")
-    out = reduce(lambda a, b: a.unionByName(b), found)
+def knn_neighbors(train: DataFrame, query: DataFrame, features: Sequence[str], k: int,
+                  train_key: str, query_key: str, label: str, seed: int = 0) -> DataFrame:
+    """The k nearest training rows of every query row:
+    (query_key, train_key [``neighbor_<key>`` when both keys share a name],
+    label, distance, rank)."""
+    tr, qr, qv, dims, pivots, need = _prepare(train, query, list(features), k, train_key, query_key, label, seed)
+    cand, _ = _search(tr, qv.select("_qid", *[f"q_{d}" for d in dims]), dims, pivots, need, RING_ROWS)
+    top = _nearest_k(cand.where(F.col("distance") <= F.col("_w")).drop("_w"), need)
+    # back to the rows of each vector; join_small's bound doesn't hold here, AQE splits hot vectors
+    vec = [f"q_{d}" for d in dims]
+    out = qr.join(cut_lineage(top.join(qv, "_qid")).drop("_qid"), vec)
     tk_name = train_key if train_key != query_key else f"neighbor_{train_key}"
     return out.select(F.col("_qk").alias(query_key), F.col("_tk").alias(tk_name),
                       F.col("_lab").alias(label), "distance", "rank")
 
 
+def knn_candidates(train: DataFrame, query: DataFrame, features: Sequence[str], k: int,
+                   train_key: str, query_key: str, label: str, seed: int = 0) -> int:
+    """Number of (query vector, training row) pairs whose distance the second
+    round computes: a measure of how well the pivots prune."""
+    tr, _, qv, dims, pivots, need = _prepare(train, query, list(features), k, train_key, query_key, label, seed)
+    return _search(tr, qv, dims, pivots, need, RING_ROWS)[0].count()
+
+
 def knn_predict(train: DataFrame, query: DataFrame, features: Sequence[str], label: str, k: int = 5,
                 train_key: str = "id", query_key: str = "id", out: str = "predicted_label") -> DataFrame:
     """M6: majority label among the k nearest training rows (uniform weights)."""

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from sparkprep.operators.neighbors import knn_neighbors, knn_predict
+from sparkprep.operators.neighbors import knn_candidates, knn_neighbors, knn_predict
 
 
 def _brute(tr, q, k):
@@ -59,3 +59,43 @@ def test_knn_far_away_queries(spark):
     for r in knn_neighbors(tdf, qdf, ["a", "b", "c"], 3, "id", "id", "y").collect():
         got.setdefault(r.id, []).append((r["rank"], r.neighbor_id))
     assert {k: [t for _, t in sorted(v)] for k, v in got.items()} == _brute(tr, q, 3)
+
+
+def _wide(spark, n_train, n_query, n_dim, seed):
+    """Rows around a few hundred centres in ``n_dim`` dimensions."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(200, n_dim)) * 5
+    x = centres[rng.integers(0, 200, n_train + n_query)] + rng.normal(size=(n_train + n_query, n_dim)) * 0.5
+    names = [f"f{i}" for i in range(n_dim)]
+    rows = [(i, *map(float, v), "a") for i, v in enumerate(x)]
+    schema = ", ".join(["id long", *[f"{n} double" for n in names], "y string"])
+    df = spark.createDataFrame(rows, schema)
+    return x, names, df.where(f"id < {n_train}"), df.where(f"id >= {n_train}").drop("y")
+
+
+def test_knn_ten_features_prunes_and_is_exact(spark):
+    n_train, n_query = 4000, 200
+    x, names, tdf, qdf = _wide(spark, n_train, n_query, 10, 5)
+    got = {}
+    for r in knn_neighbors(tdf, qdf, names, 5, "id", "id", "y").collect():
+        got.setdefault(r.id, []).append((r["rank"], r.neighbor_id))
+    d = np.sqrt(((x[n_train:, None, :] - x[None, :n_train, :]) ** 2).sum(-1))
+    want = {n_train + i: [int(j) for j in np.argsort(d[i], kind="stable")[:5]] for i in range(n_query)}
+    assert {k: [t for _, t in sorted(v)] for k, v in got.items()} == want
+    assert knn_candidates(tdf, qdf, names, 5, "id", "id", "y") < 0.1 * n_train * n_query
+
+
+def test_knn_rings_of_a_large_cell(spark, monkeypatch):
+    """Cells cut into many rings, copies on both sides, and more neighbours asked for than rows near by."""
+    from sparkprep.operators import neighbors
+    monkeypatch.setattr(neighbors, "RING_ROWS", 8)
+    monkeypatch.setattr(neighbors, "MAX_PIVOTS", 3)
+    tr, q, tdf, qdf = _data(spark, 300, 30, 7)
+    twice = qdf.unionByName(qdf.withColumn("id", qdf.id + 5000))
+    got = {}
+    for r in knn_neighbors(tdf, twice, ["a", "b", "c"], 40, "id", "id", "y").collect():
+        got.setdefault(r.id, []).append((r["rank"], r.neighbor_id))
+    want = _brute(tr, q, 40)
+    assert {k: [t for _, t in sorted(v)] for k, v in got.items()} == {**want, **{k + 5000: v for k, v in want.items()}}
+    assert knn_neighbors(tdf.limit(3), qdf, ["a", "b", "c"], 40, "id", "id", "y").count() == 3 * 30
+    assert knn_neighbors(tdf, qdf.limit(0), ["a", "b", "c"], 4, "id", "id", "y").count() == 0
