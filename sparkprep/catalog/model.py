@@ -762,6 +762,41 @@ def q_knn_vote(spark, sf):
     return knn_predict(train, query, ["x1", "x2", "x3"], "label", k=5)
 
 
+WIDE = [f"x{i}" for i in range(1, 10)]
+_WIDE_DIST = " + ".join(f"(te.{f} - tr.{f}) * (te.{f} - tr.{f})" for f in WIDE)
+
+
+@register("knn_wide", f"""
+with t as (select o_orderkey as id, o_orderstatus as label, o_totalprice / 10000 as x1, o_custkey / 100.0 as x2,
+  dayofyear(o_orderdate) / 30.0 as x3, cast(year(o_orderdate) - 1990 as double) as x4,
+  cast(isodow(o_orderdate) as double) as x5, cast(substr(o_orderpriority, 1, 1) as double) as x6,
+  ((o_orderkey * 37) % 101) / 10.0 as x7, ((o_orderkey * 53) % 97) / 10.0 as x8,
+  ((o_custkey * 29) % 89) / 10.0 as x9 from orders),
+sp as (select *, row_number() over (order by {_h('id', 4)}, id) - 1 < (select ceil(cast(0.2 as double) * count(*))
+  from orders) as is_test from t),
+te as (select * from sp where is_test), tr as (select * from sp where not is_test),
+d as (select te.id as qid, tr.id as tid, tr.label, sqrt({_WIDE_DIST}) as dist from te, tr),
+r as (select *, row_number() over (partition by qid order by dist, tid) as rn from d)
+select qid as id, tid as neighbor_id, label, rn as rank from r where rn <= 5
+""")
+def q_knn_wide(spark, sf):
+    """The neighbours themselves, by nine features."""
+    from sparkprep.operators.neighbors import knn_neighbors
+    o = table(spark, sf, "orders")
+    t = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("label"),
+                 (F.col("o_totalprice") / 10000).alias("x1"), (F.col("o_custkey") / 100.0).alias("x2"),
+                 (F.dayofyear("o_orderdate") / 30.0).alias("x3"),
+                 (F.year("o_orderdate") - 1990).cast("double").alias("x4"),
+                 (F.weekday("o_orderdate") + 1).cast("double").alias("x5"),
+                 F.substring("o_orderpriority", 1, 1).cast("double").alias("x6"),
+                 (((F.col("o_orderkey") * 37) % 101) / 10.0).alias("x7"),
+                 (((F.col("o_orderkey") * 53) % 97) / 10.0).alias("x8"),
+                 (((F.col("o_custkey") * 29) % 89) / 10.0).alias("x9"))
+    t = X.split_random(t, 0.2, 4, ["id"])
+    return knn_neighbors(t.where("split = 'train'"), t.where("split = 'test'"), WIDE, 5, "id", "id",
+                         "label").select("id", "neighbor_id", "label", F.col("rank").cast("long").alias("rank"))
+
+
 @register("train_knn", f"""
 with s as (select *, {RULE_HASH.format(seed="2")} as h from fx_rule),
 rk as (select *, row_number() over (partition by y order by h, l_orderkey, l_partkey, l_suppkey, l_linenumber) - 1 as rn from s),

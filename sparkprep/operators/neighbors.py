@@ -40,7 +40,7 @@ from sparkprep.session import cut_lineage
 
 SALT = 64            # salt buckets for the per-vector top-k (fixed value)
 MAX_PIVOTS = 1024    # pivots, at most; a cell larger than a ring is cut into more rings (fixed value)
-RING_ROWS = 1024     # rows of a ring, about (fixed value)
+RING_ROWS = 128      # rows of a ring, about (fixed value)
 WITNESSES = 4        # witnesses per cell: so many times k (fixed value)
 SLACK = 1e-9         # relative slack of the bounds (fixed value)
 
@@ -85,7 +85,9 @@ def _search(tr: DataFrame, qv: DataFrame, dims: Sequence[str], pivots: list[dict
             _length(lambda f: c[f], lambda f: F.col(prefix + f), dims).alias("d"), c["id"].alias("id"))))
 
     plain = _constant(pivots, f"id int, {point}")
-    tr = cut_lineage(tr.withColumn("_home", home("t_", plain))
+    # work per row is the number of pivots, not its bytes: as many tasks as the session asks for
+    tasks = int(tr.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tr = cut_lineage(tr.repartition(tasks, "_tk").withColumn("_home", home("t_", plain))
                      .select("*", F.col("_home.id").alias("_cell"), F.col("_home.d").alias("_td")).drop("_home"))
     stats = {r["_cell"]: r for r in tr.groupBy("_cell").agg(
         F.count(F.lit(1)).alias("n"), F.min("_td").alias("lo"), F.max("_td").alias("hi")).collect()}
@@ -106,7 +108,7 @@ def _search(tr: DataFrame, qv: DataFrame, dims: Sequence[str], pivots: list[dict
     tr = tr.withColumn("_cell", renumber)
     tr = tr.withColumn("_ring", ring(F.element_at(cells, F.col("_cell") + 1), F.col("_td")))
 
-    qv = cut_lineage(qv.withColumn("_home", home("q_", cells)))
+    qv = cut_lineage(qv.repartition(tasks, "_qid").withColumn("_home", home("q_", cells)))
     dist = _length(lambda f: F.col("q_" + f), lambda f: F.col("t_" + f), dims).alias("distance")
     q_cols = ["_qid", *[f"q_{f}" for f in dims]]
 
@@ -120,31 +122,37 @@ def _search(tr: DataFrame, qv: DataFrame, dims: Sequence[str], pivots: list[dict
         few, total = few + 1, total + min(n, WITNESSES * need)
         if total >= need:
             break
-    near = F.slice(F.array_sort(F.transform(cells, lambda c: F.struct(
+    near = F.slice(F.sort_array(F.transform(cells, lambda c: F.struct(
         _length(lambda f: c[f], lambda f: F.col("q_" + f), dims).alias("d"), c["id"].alias("id")))), 1, few)
     own = F.element_at(cells, F.col("_home.id") + 1)
-    first = (qv.select(*q_cols, F.explode(F.transform(near, lambda c: c["id"])).alias("_cell")).join(witnesses, "_cell")
-             .select("_qid", "_tk", dist)
-             .unionByName(qv.select(*q_cols, F.col("_home.id").alias("_cell"), ring(own, F.col("_home.d")).alias("_ring"))
-                          .join(tr, ["_cell", "_ring"]).select("_qid", "_tk", dist))
-             .distinct())
+    by_witness = (qv.select(*q_cols, F.explode(F.transform(near, lambda c: c["id"])).alias("_cell"))
+                  .join(witnesses, "_cell").select("_qid", "_tk", dist))
+    by_ring = (qv.select(*q_cols, F.col("_home.id").alias("_cell"), ring(own, F.col("_home.d")).alias("_ring"))
+               .join(tr, ["_cell", "_ring"]).select("_qid", "_tk", dist))
+    # a witness may lie in the own ring too
+    first = _nearest_k(by_witness, need).drop("rank").unionByName(_nearest_k(by_ring, need).drop("rank")).distinct()
     bound = _nearest_k(first, need).groupBy("_qid").agg(F.max("distance").alias("_w"))
-    bounded = cut_lineage(qv.join(bound, "_qid"))
-
-    # the rings that may hold a row within the bound
-    def visit(c):
-        d = _length(lambda f: c[f], lambda f: F.col("q_" + f), dims)
-        gap = _length(lambda f: c[f], lambda f: F.col("_hp")[f], dims)
-        w = F.col("_w") + F.lit(SLACK) * (d + c["hi"])
-        plane = (d - F.col("_home.d")) * (d + F.col("_home.d"))
-        hit = (d - w <= c["hi"]) & (d + w >= c["lo"]) & (plane <= 2.0 * gap * w)
-        return F.when(hit, F.struct(c["id"].alias("cell"), ring(c, d - w).alias("a"), ring(c, d + w).alias("b"),
-                                    (d - w).alias("da"), (d + w).alias("db")))
+    bounded = cut_lineage(qv.join(bound, "_qid").repartition(tasks, "_qid"))
 
+    # the rings that may hold a row within the bound; distances first, so that each is computed once
+    far = F.transform(cells, lambda c: F.struct(
+        c["id"].alias("id"), c["lo"].alias("lo"), c["hi"].alias("hi"),
+        _length(lambda f: c[f], lambda f: F.col("q_" + f), dims).alias("d"),
+        _length(lambda f: c[f], lambda f: F.col("_hp")[f], dims).alias("gap")))
+
+    def near_enough(v):
+        w = F.col("_w") + F.lit(SLACK) * (v["d"] + v["hi"])
+        plane = (v["d"] - F.col("_home.d")) * (v["d"] + F.col("_home.d"))
+        return (v["d"] - w <= v["hi"]) & (v["d"] + w >= v["lo"]) & (plane <= 2.0 * v["gap"] * w)
+
+    slack = F.col("_w") + F.lit(SLACK) * (F.col("_v.d") + F.col("_v.hi"))
+    cell = F.element_at(cells, F.col("_v.id") + 1)
     visits = (bounded.withColumn("_hp", F.element_at(cells, F.col("_home.id") + 1))
-              .select(*q_cols, "_w", F.explode(F.filter(F.transform(cells, visit), lambda v: v.isNotNull())).alias("_v"))
-              .select(*q_cols, "_w", F.col("_v.cell").alias("_cell"), F.col("_v.da").alias("_da"), F.col("_v.db").alias("_db"),
-                      F.explode(F.sequence("_v.a", "_v.b")).alias("_ring")))
+              .select(*q_cols, "_w", F.explode(F.filter(far, near_enough)).alias("_v"))
+              .select(*q_cols, "_w", F.col("_v.id").alias("_cell"),
+                      (F.col("_v.d") - slack).alias("_da"), (F.col("_v.d") + slack).alias("_db"), cell.alias("_c"))
+              .select(*q_cols, "_w", "_cell", "_da", "_db",
+                      F.explode(F.sequence(ring(F.col("_c"), F.col("_da")), ring(F.col("_c"), F.col("_db")))).alias("_ring")))
     cand = (visits.join(tr, ["_cell", "_ring"])
             .where((F.col("_td") >= F.col("_da")) & (F.col("_td") <= F.col("_db")))
             .select("_qid", "_tk", "_lab", "_w", dist))
@@ -166,7 +174,7 @@ def _prepare(train: DataFrame, query: DataFrame, feats: Sequence[str], k: int, t
     n_train = tr.count()
     if not n_train:
         raise ValueError("empty training table")
-    n_pivots = min(MAX_PIVOTS, 2 * math.isqrt(n_train) + 1)
+    n_pivots = min(MAX_PIVOTS, math.isqrt(n_train) + 1)
     # copies among the first rows only cost pivots
     picked = (tr.select(*[f"t_{d}" for d in dims], hash_hex(["_tk"], seed).alias("_h"))
               .orderBy("_h").limit(n_pivots).drop("_h").distinct().collect())
