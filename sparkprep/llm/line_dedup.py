@@ -4,24 +4,37 @@ across documents are dropped."""
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkprep.llm.common import iter_slices
 from sparkprep.session import cut_lineage
 
-#: (least constant tokens, least documents), from the longest templates down; templates with fewer constants never recur.
+#: (least constant tokens, least documents) of a template with variable parts, from the longest down; those with fewer constants never recur.
 TIERS = ((20, 2), (8, 5), (4, 50))
+EXACT_DOCS = 2  # documents that make a line recur word by word, whatever its length
 VARIABLE = re.compile(r"[0-9@]|://")
 FIELD = "<*>"
+PRIME, BASE = (1 << 61) - 1, 0x1B873593CC9E2D51
+
+
+def need(constants: int) -> int:
+    """Documents that make a template with variable parts recur; 0 if it never does."""
+    return next((n for least, n in TIERS if constants >= least), 0)
+
+
+def masked(tokens: list[str]) -> list[str]:
+    return [FIELD if VARIABLE.search(t) else t for t in tokens]
 
 
 def templates(line: str, depth: float = 0.5, same: float = 0.75) -> list[tuple[int, str]]:
-    """(constant tokens, template) of a line, as the tree files it.
+    """(documents needed, template) of a line, as the tree files it.
 
-    Tokens with a digit, an @ or :// are variable fields.  The path is the
+    The exact form is all tokens of the line, however few.  For the others,
+    tokens with a digit, an @ or :// are variable fields.  The path is the
     token count and the leading tokens; the leaves generalise the rest: the
     line as masked; its leading ``same`` share with a variable tail; its
     leading ``depth`` share and its end with a variable middle.  The general
@@ -29,51 +42,90 @@ def templates(line: str, depth: float = 0.5, same: float = 0.75) -> list[tuple[i
     """
     tokens = line.split()
     n = len(tokens)
-    if n < TIERS[-1][0]:
+    if not n:
         return []
+    out = [(EXACT_DOCS, "= " + " ".join(tokens))]
+    forms = []
     if VARIABLE.search(line):
-        tokens = [FIELD if VARIABLE.search(t) else t for t in tokens]
-    head, keep = -(-int(n * depth * 4) // 4), -(-int(n * same * 4) // 4)
-    forms = [tokens]
+        tokens = masked(tokens)
+        forms.append((0, tokens))
     if n >= 12:
-        forms += [tokens[:keep] + [FIELD], tokens[:head] + [FIELD] + tokens[n - (keep - head):]]
-    return [(sum(t is not FIELD for t in f), f"{n} {k} " + " ".join(f)) for k, f in enumerate(forms)]
+        head, keep = -(-int(n * depth * 4) // 4), -(-int(n * same * 4) // 4)
+        forms += [(1, tokens[:keep] + [FIELD]), (2, tokens[:head] + [FIELD] + tokens[n - (keep - head):])]
+    for k, f in forms:
+        if docs := need(sum(t is not FIELD for t in f)):
+            out.append((docs, f"{n} {k} " + " ".join(f)))
+    return out
+
+
+def passages(lines: list[str]) -> list[tuple[int, int, str]]:
+    """(place, documents needed, template) of the lines with variable fields
+    that have too few constants for the first tier (but enough for the last),
+    each with the lines around it that are too short as well.
+
+    A wrapped passage is judged as one unit: the line with those after it, and
+    with those before it, up to the constant tokens of the first tier.  So
+    each line of a shared passage with twice as many constants is met, by one
+    side or the other.  Lines without fields need no passage, their exact
+    form recurs by itself.  Runs are hashed from running sums.
+    """
+    import xxhash
+
+    if not any(map(VARIABLE.search, lines)):
+        return []
+    least, docs = TIERS[0]
+    at, size, alone, sums, power, short = [], [0], [0], [0], [1], []  # of non-empty lines: places; running constants, lines judged alone, hashes
+    for pos, line in enumerate(lines):
+        tokens = line.split()
+        if not tokens:
+            continue
+        tokens = masked(tokens)
+        constants = sum(t is not FIELD for t in tokens)
+        if TIERS[-1][0] <= constants < min(least, len(tokens)):
+            short.append(len(at))
+        at.append(pos)
+        size.append(size[-1] + constants)
+        alone.append(alone[-1] + (constants >= least))
+        sums.append((sums[-1] * BASE + xxhash.xxh64_intdigest(" ".join(tokens).encode())) % PRIME)
+        power.append(power[-1] * BASE % PRIME)
+    out = []
+    for i in short:
+        hi = bisect_left(size, size[i] + least)  # lines i to hi - 1
+        lo = bisect_right(size, size[i + 1] - least) - 1  # lines lo to i
+        for side, a, b in ((">", i, hi), ("<", lo, i + 1)):
+            if a >= 0 and b < len(size) and alone[a] == alone[b]:
+                out.append((at[i], docs, f"{side} {b - a} {(sums[b] - sums[a] * power[b - a]) % PRIME}"))
+    return out
 
 
 def line_templates(docs: DataFrame) -> DataFrame:
-    """(doc, ident, pos, constants, key) for the templates of every line; the key is a 64-bit hash."""
+    """(doc, ident, pos, need, key) for the templates of every line; the key is a 64-bit hash."""
     def run(batches):
         import xxhash
 
         for b in iter_slices(batches):
             out: list[tuple] = []
             for doc, ident, text in zip(*(b.column(k).to_pylist() for k in range(3))):
-                for pos, line in enumerate(text.split("\n")):
-                    for constants, t in templates(line):
-                        if constants >= TIERS[-1][0]:
-                            h = xxhash.xxh64_intdigest(t.encode())
-                            out.append((doc, ident, pos, constants, h - (1 << 64) if h >> 63 else h))
+                lines = text.split("\n")
+                for pos, least, t in [*((pos, *t) for pos, line in enumerate(lines) for t in templates(line)), *passages(lines)]:
+                    h = xxhash.xxh64_intdigest(t.encode())
+                    out.append((doc, ident, pos, least, h - (1 << 64) if h >> 63 else h))
             cols = list(zip(*out)) if out else [[]] * 5
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc", "ident", "pos", "constants", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc", "ident", "pos", "need", "key"])
 
     return docs.select("doc", "ident", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
-        run, "doc long, ident long, pos int, constants int, key long")
-
-
-def enough(constants: Column, n_docs: Column) -> Column:
-    test = F.lit(False)
-    for least, n in reversed(TIERS):
-        test = F.when(constants >= least, n_docs >= n).otherwise(test)
-    return test
+        run, "doc long, ident long, pos int, need int, key long")
 
 
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with the recurring lines taken out of the text,
     and n_lines and n_dropped (an input column of such a name is replaced).
 
-    A template recurs if it occurs in as many documents as ``TIERS`` asks for
-    its number of constant tokens.  Its first line (smallest id, then place)
+    A line recurs word by word if it occurs in ``EXACT_DOCS`` documents, however
+    short it is.  A template with variable parts recurs if it occurs in as many
+    documents as ``TIERS`` asks for its number of constant tokens; consecutive
+    lines count as one template (``passages``).  Its first line (smallest id, then place)
     stays, so nothing that only copies hold is lost; every other line of it
     goes, the rest of a document stays as it was.  A document that loses all
     its lines stays with an empty text.
@@ -90,13 +142,14 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     lines = cut_lineage(line_templates(rows))
     # one pass over all keys drops those of a single document; documents are counted exactly for the rest
     shared = lines.groupBy("key").agg(
-        F.min("constants").alias("constants"), F.min("ident").alias("low"), F.max("ident").alias("high"),
+        F.min("need").alias("need"), F.min("ident").alias("low"), F.max("ident").alias("high"),
         F.min(F.struct(F.coalesce("doc", F.lit((1 << 63) - 1)).alias("doc"), "ident", "pos")).alias("first")).where("low <> high")
     hits = cut_lineage(lines.select("key", "ident", "pos").join(shared.select(
-        "key", "constants", F.col("first.ident").alias("f_ident"), F.col("first.pos").alias("f_pos")), "key"))
-    n_docs = hits.groupBy("key", "constants", "ident").count().groupBy("key", "constants").agg(F.count("*").alias("n_docs"))
-    recurring = n_docs.where(enough(F.col("constants"), F.col("n_docs"))).select("key")
-    gone = (hits.where("ident <> f_ident or pos <> f_pos").join(recurring, "key", "left_semi")
+        "key", "need", F.col("first.ident").alias("f_ident"), F.col("first.pos").alias("f_pos")), "key"))
+    n_docs = hits.where("need > 2").groupBy("key", "need", "ident").count().groupBy("key", "need").agg(F.count("*").alias("n_docs"))
+    later = hits.where("ident <> f_ident or pos <> f_pos")
+    gone = (later.where("need > 2").join(n_docs.where("n_docs >= need").select("key"), "key", "left_semi").select("ident", "pos")
+            .unionByName(later.where("need <= 2").select("ident", "pos"))  # shared by two documents already
             .groupBy("ident").agg(F.collect_set("pos").alias("_gone")))
     parts = F.split(F.col(text_col).cast("string"), "\n", -1)
     kept = F.filter(parts, lambda line, at: ~F.array_contains(F.col("_gone"), at))

@@ -105,6 +105,23 @@ def test_lines(spark, odd, empty):
     assert line_dedup.drop_recurring_lines(empty).count() == 0
 
 
+def test_short_wrapped_and_numeric_lines_recur(spark):
+    wrapped = [prose(40 + k, 12) for k in range(6)]
+    rows = [(k, "\n".join([prose(500 + k, 15), "Read more", *wrapped, "1 2 3", "", prose(600 + k, 15)])) for k in range(2)]
+    # a passage whose lines differ in their fields only, in two documents; and its lines alone in others
+    dated = lambda k: [f"{prose(70 + j, 9)} on day {k}{j}" for j in range(5)]
+    rows += [(10 + k, "\n".join([f"{prose(520 + k, 9)} {k}", *dated(k), f"{prose(620 + k, 9)} {k}"])) for k in range(2)]
+    rows += [(20 + k, "\n".join([prose(540 + k, 15), f"{prose(90, 9)} on day {k}", prose(640 + k, 15)])) for k in range(2)]
+    got = {r.doc_id: r for r in line_dedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].text == rows[0][1] and got[1].text == f"{prose(501, 15)}\n\n{prose(601, 15)}" and got[1].n_dropped == 8
+    assert got[10].text == rows[2][1] and got[11].text == f"{prose(521, 9)} 1\n{prose(621, 9)} 1"
+    assert [got[20 + k].n_dropped for k in range(2)] == [0, 0]
+
+
+def test_passages_without_constants_are_linear():
+    assert line_dedup.passages(["12 34"] * 20_000) == []
+
+
 def test_simhash(spark, odd, empty):
     import xxhash
     base = prose(11, 400).split()
