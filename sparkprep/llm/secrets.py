@@ -3,6 +3,9 @@ randomness tests.  DataFrame expressions only."""
 
 from __future__ import annotations
 
+import math
+import random
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,12 +104,89 @@ def battery_p(b: Column) -> Column:
     mean, var = half, (k * k - 1) / 12  # of the uniform law
     z_corr = add(F.transform(pairs, lambda p: (p["x"] - mean) * (p["y"] - mean))) / (var * F.sqrt(n - 1))
     both = lambda z: 2 * (1 - normal_cdf(F.abs(z)))
-    clip = lambda p: F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12))
+    # a count that meets its mean exactly has p = 1, which by Cauchy's rule would outweigh any small p
+    clip = lambda p: F.least(F.greatest(p, F.lit(1e-12)), F.lit(0.99))
     score = sum(F.tan((0.5 - clip(p)) * 3.141592653589793) for p in (p_chi, both(z_runs), both(z_corr))) / 3
     return 0.5 - F.atan(score) / 3.141592653589793
 
 
-def find_secrets(docs: DataFrame, q: float = 0.05, middle: float = 0.5, bins: int = 64, least_sure: int = 20,
+# What ordinary identifiers are made of.
+ORDINARY = ("account action address archive article backup branch buffer button cache catalog center channel chapter client column comment config "
+            "control corner country create current customer data default delete detail document download element event example export feature field "
+            "figure file filter folder format front function group handler header history image import index input install item journal label language "
+            "layout level library link list local login main manager market master member memory message method middle model module monitor name network "
+            "north note number object office option order origin output page panel parent part path people picture place point policy press price print "
+            "process product profile project public query question random record region release remote report request result return river route sample "
+            "schema screen script section select server service session setting simple size source south special station status storage street string "
+            "student style submit summer support switch system table target template test text theme time title tool total train update upload user "
+            "value version view village volume water week width window winter word work year").split()
+ORDINARY_HEX = "face bead dead beef cafe fade deaf feed decade facade added bed cab dab fed ace bad dad add ad be ab fa".split()
+
+
+def ordinary_tokens(encoding: str, n: int, many: int, seed: int = 7) -> list[str]:
+    """Identifiers of ``n`` characters: words, written as the encoding has
+    them, with numbers in between; each has a letter and a digit."""
+    rng = random.Random(f"{seed} {encoding} {n}")
+    words = ORDINARY_HEX if encoding == "hex" else ORDINARY
+    digits = "234567" if encoding == "base32" else "0123456789"
+    glue = {"base64url": "-_"}.get(encoding, "")
+    out = []
+    while len(out) < many:
+        t = ""
+        mark = rng.choice(glue) if glue else ""
+        while len(t) < n:
+            w = rng.choice(words)
+            w = w.upper() if encoding == "base32" else w.capitalize() if encoding == "base64" else w
+            t += (mark if t else "") + w + ("".join(rng.choice(digits) for _ in range(rng.randint(1, 4))) if rng.random() < 0.4 else "")
+        t = t[:n]
+        if not any(c in digits for c in t):
+            t = t[:-1] + rng.choice(digits)
+        out.append(t)
+    return out
+
+
+def ordinary_tails(spark, strata: list[tuple[str, int]], bins: int, many: int = 1200, longest: int = 128) -> dict[tuple[str, int], list[float]]:
+    """Of each (encoding, length class): the share of ordinary tokens with p at
+    or above each bin's lower edge, at the class's shortest length (at most ``longest``)."""
+    rows = [(e, s, t) for e, s in strata for t in ordinary_tokens(e, min(max(math.ceil(2 ** (s / 2) - 1e-9), 20), longest), many)]
+    b = spark.createDataFrame(rows, "encoding string, size int, token string").select("encoding", "size", battery(F.col("token")).alias("b"))
+    p = b.where("b.encoding = encoding").select("encoding", "size", F.least(F.floor(battery_p(F.col("b")) * bins), F.lit(bins - 1)).cast("int").alias("bin"))
+    hist: dict[tuple, list[int]] = {}
+    for r in p.groupBy("encoding", "size", "bin").count().collect():
+        hist.setdefault((r["encoding"], r["size"]), [0] * bins)[r["bin"]] = r["count"]
+    return {k: [(sum(h[t:]) + 1) / (sum(h) + 1) for t in range(bins)] for k, h in hist.items()}
+
+
+def lowest_bins(strata: dict[tuple[str, int], list[int]], tails: dict[tuple[str, int], list[float]], q: float, top: float, bins: int,
+                least_sure: int) -> dict[tuple[str, int], int]:
+    """The lowest bin of each stratum that may be reported; strata without one are left out.
+
+    A histogram with few candidates borrows the neighbouring lengths of its
+    encoding, nearest first, for its share of random tokens and its false share.
+    """
+    out = {}
+    edge = int(top * bins)
+    for (e, s) in strata:
+        near = sorted((k for k in strata if k[0] == e), key=lambda k: (abs(k[1] - s), k[1]))
+        pool = [near[0]]
+        for k in near[1:]:
+            if sum(sum(strata[x]) for x in pool) >= least_sure:
+                break
+            pool.append(k)
+        # expected tokens at or above t: random ones by the uniform law, ordinary ones by the tails of their lengths
+        m = sum(sum(strata[k]) for k in pool)
+        tail = [sum(sum(strata[k]) * tails.get(k, [1.0] * bins)[t] for k in pool) / m for t in range(bins)]
+        above = [sum(sum(strata[k][t:]) for k in pool) for t in range(bins)]
+        share = 1 - edge / bins - tail[edge]
+        random_share = min(max((above[edge] / m - tail[edge]) / share, 0.0), 1.0) if share > 0 else 0.0
+        for t in range(bins):
+            if above[t] and m * (1 - random_share) * tail[t] <= q * above[t]:
+                out[e, s] = max(t, int(q * bins) + 1)
+                break
+    return out
+
+
+def find_secrets(docs: DataFrame, q: float = 0.05, top: float = 0.75, bins: int = 64, least_sure: int = 20,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, base (spans of the three patterns) and
     random (spans of kind ``random``), each an array of (start, end, kind).
@@ -115,14 +195,15 @@ def find_secrets(docs: DataFrame, q: float = 0.05, middle: float = 0.5, bins: in
     letter and a digit, outside the base spans.  Each gets the p-value of
     randomness of its inferred encoding (``battery``).  Ordinary tokens have
     p near zero once they are long enough for the tests to tell; random ones
-    have uniform p.  So in each stratum (encoding, length rounded down to a
-    power of sqrt 2) the p above ``middle`` give the number r of random tokens
-    (Storey's estimate), and of the tokens with p >= t about r * (1 - t) are
-    random and the rest are false.  A token is reported if t, its p's lower
-    bin edge, has a false share of at most ``q`` in its stratum.  Strata too
-    short for the tests to tell have a large false share at every t and report
-    nothing.  Strata with fewer than ``least_sure`` candidates are judged by
-    t >= q alone, as no share can be estimated.
+    have uniform p.  How much of the ordinary ones lies above each t is known
+    from identifiers made of words and numbers (``ordinary_tails``), for each
+    stratum (encoding, length rounded down to a power of sqrt 2).  The part of
+    the candidates above ``top`` beyond that gives the share of random tokens,
+    and a token is reported if t, its p's lower bin edge, has an expected share
+    of ordinary ones of at most ``q`` in its stratum (and t > q).  Strata too short for the
+    tests to tell have a large false share at every t and report nothing.
+    Strata with fewer than ``least_sure`` candidates are judged together with
+    the neighbouring lengths of their encoding.
 
     The histogram of p has (encodings x lengths x ``bins``) cells at most, so
     it is bounded whatever the input; it is broadcast.  Null and empty texts
@@ -152,25 +233,15 @@ def find_secrets(docs: DataFrame, q: float = 0.05, middle: float = 0.5, bins: in
     strata: dict[tuple, list[int]] = {}
     for r in hist:
         strata.setdefault((r["encoding"], r["size"]), [0] * bins)[r["bin"]] = r["count"]
-    least_bin = {}
-    for k, h in strata.items():
-        m = sum(h)
-        if m < least_sure:
-            least_bin[k] = int(q * bins) + 1
-            continue
-        true = min(m, sum(h[int(middle * bins):]) / (1 - middle))
-        for t in range(bins):
-            at = sum(h[t:])
-            if t / bins <= middle and at and at - true * (1 - t / bins) <= q * at:
-                least_bin[k] = t
-                break
+    tails = ordinary_tails(docs.sparkSession, sorted(strata), bins) if strata else {}
+    least_bin = lowest_bins(strata, tails, q, top, bins, least_sure)
     if least_bin:
         lookup = F.create_map(*[F.lit(x) for (e, s), t in sorted(least_bin.items()) for x in (f"{e}:{s}", t)])
         sure = F.filter("cand", lambda c: F.coalesce(c["bin"] >= lookup[F.concat(c["encoding"], F.lit(":"), c["size"].cast("string"))], F.lit(False)))
     else:
         sure = F.filter("cand", lambda c: F.lit(False))
-    random = F.transform(sure, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind")))
-    return rows.select(F.col("id").alias(id_col), "base", random.alias("random"))
+    spans = F.transform(sure, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind")))
+    return rows.select(F.col("id").alias(id_col), "base", spans.alias("random"))
 
 
 def span_text(spans: Column, order: list[str]) -> Column:
