@@ -22,6 +22,11 @@ def row_id() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), stand_in)
 
 
+def row_key() -> Column:
+    """A row by its id and text: rows that only share an id are told apart."""
+    return F.xxhash64(row_id(), F.coalesce("text", F.lit("")))
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
     return quality.keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -36,18 +41,20 @@ def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each SimHash group; one row of repeated rows."""
-    rows = docs.withColumn("_id", row_id())
-    groups = simhash.simhash_groups(rows, id_col="_id")
-    keep = groups.where("_id = component_id").select("_id").distinct()
-    return rows.join(keep, "_id").dropDuplicates(["_id"]).select(*docs.columns)
+    """The document of smallest id of each SimHash group; one row of repeated rows (same id and text)."""
+    rows = docs.withColumn("_key", row_key())
+    groups = simhash.simhash_groups(rows, id_col="_key").select("_key", "component_id").distinct()
+    first = F.min(F.struct(F.col("_id"), F.col("_key")))
+    keep = (groups.join(rows.select("_key", row_id().alias("_id")), "_key")
+            .groupBy("component_id").agg(first.alias("first")).select(F.col("first._key").alias("_key")))
+    return rows.join(keep, "_key").dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a leaked benchmark text."""
-    rows = docs.withColumn("_id", row_id())
-    leaks = decontaminate.find_leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_id")
-    return rows.join(leaks.select("_id").distinct(), "_id", "left_anti").select(*docs.columns)
+    rows = docs.withColumn("_key", row_key())
+    leaks = decontaminate.find_leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_key")
+    return rows.join(leaks.select("_key").distinct(), "_key", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,15 @@ def test_stages_keep_the_columns_and_take_effect(spark, tmp_path):
     assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
 
 
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
+    from test_operators import prose
+
+    a, b = prose(1, 200), prose(2, 200)
+    rows = [(7, a), (7, b), (7, b), (8, a), (3, prose(3, 200)), (7, prose(3, 200))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, corpus_pipeline.near_duplicates(spark, docs, SF).collect())) == sorted([(7, a), (7, b), rows[4]])
+
+
 def test_all_eleven_are_registered():
     names = [k for k in __spark_entry__.queries() if k == "pipeline" or k.startswith("op") and "_" in k and k[2:k.index("_")].isdigit()]
     assert len(names) == 11
