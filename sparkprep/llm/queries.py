@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkprep.llm import (decontaminate, embed_dedup, licenses, line_dedup, packing, preferences, quality, secrets,
-                           simhash, toxicity)
+from sparkprep.llm import (decontaminate, embed_dedup, filter_audit, language_id, licenses, line_dedup, packing, preferences,
+                           prefix_trie, quality, secrets, simhash, toxicity)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.array_join("labels", ",").alias("labels"), "score")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_language(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,7 +83,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_embedding_dedup, op3_line_dedup, op4_simhash_dedup, op5_preference_format, op6_decontamination,
-    op7_toxicity, op8_packing, op9_quality, op10_license_scan, pipeline)}
+    op7_toxicity, op8_packing, op9_quality, op10_license_scan, op11_filter_audit, op12_prefix_trie,
+    op13_language_id, pipeline)}
 
 ORACLES = {
     "op2_embedding_dedup": """
@@ -124,5 +137,79 @@ select pair_id, pair_id * 2 as chosen_id, pair_id * 2 + 1 as rejected_id, n as n
        case when na = 0 or nb = 0 then 'unpaired' when chosen is null and rejected is null then 'identical'
             when chosen is null then 'chosen_prefix' when rejected is null then 'rejected_prefix' else 'pair' end as status
 from g
+""",
+    "op11_filter_audit": r"""
+with d as (
+  select doc_id, coalesce(text, '') as t, coalesce(lang, '') as part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w
+  from documents),
+m as (
+  select doc_id, part,
+         case when len(w) < 100 then 1 else 0 end
+         + case when 100 * len(list_distinct(w)) < 80 * len(w) then 2 else 0 end
+         + case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) then 4 else 0 end
+         + case when regexp_matches(t, '[#$%&*|]') then 8 else 0 end
+         + case when coalesce(doc_id > min(doc_id) over (partition by t), false) then 16 else 0 end as mask
+  from d),
+l as (select doc_id, coalesce(max(quality), 0) as good, coalesce(max(toxic), 0) as toxic from labels group by 1),
+cell as (
+  select part, mask, count(*) as n, count(*) filter (good = 1) as good, count(*) filter (toxic = 1) as toxic
+  from m left join l using (doc_id) group by 1, 2),
+f as (select unnest(['A', 'B', 'C', 'D', 'E']) as f),
+o as (
+  select a.f || b.f || c.f || d.f || e.f as filter_order from f a, f b, f c, f d, f e
+  where length(regexp_replace(a.f || b.f || c.f || d.f || e.f, '[^A]', '', 'g')) = 1 and len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s as (
+  select filter_order, step, 1 << (ascii(substr(filter_order, step, 1)) - 65) as own,
+         coalesce(list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(substr(filter_order, i::int, 1)) - 65))), 0)::int as before
+  from o, (select unnest([1, 2, 3, 4, 5]) as step)),
+r as (
+  select part, filter_order, step, own,
+         coalesce(sum(n) filter (mask & (before | own) = 0), 0)::bigint as kept,
+         coalesce(sum(n) filter (mask & own <> 0 and mask & before = 0), 0)::bigint as removed,
+         coalesce(sum(n) filter (mask & own <> 0 and mask & before <> 0), 0)::bigint as redundant,
+         coalesce(sum(n) filter (mask = own), 0)::bigint as unique_fails,
+         coalesce(sum(good) filter (mask & own <> 0 and mask & before = 0), 0)::bigint as good_lost,
+         coalesce(sum(toxic) filter (mask & own <> 0 and mask & before = 0), 0)::bigint as toxic_lost
+  from cell, s group by 1, 2, 3, 4)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) over (partition by part, own))::bigint as shapley
+from r
+""",
+    "op12_prefix_trie": """
+with t as (
+  select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text,
+         row_number() over (partition by conv_id order by turn nulls first,
+           md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 as pos
+  from conversations where conv_id is not null),
+ids as (
+  select c, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(c::varchar, ''), lambda x: ascii(x)::bigint)),
+    lambda a, b: list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: xor(v >> 1, (v & 1) * 3988292384)))) % 9 as h
+  from (select distinct c from t)),
+r as (
+  select c, row_number() over (partition by c order by pos) as d, role, text from (
+    select i.c, t.pos, t.role, t.text from ids i join t on t.c = i.c - i.c % 5 and t.pos < i.h
+    union all
+    select t.c, t.pos, t.role, t.text from ids i join t on t.c = i.c and t.pos >= i.h)),
+p as (
+  select c, d, strlen(text) as size,
+         string_agg(strlen(role) || ':' || role || strlen(text) || ':' || text, '') over (partition by c order by d rows unbounded preceding) as prefix
+  from r
+  union all select c, 0, 0, '' from ids),
+node as (select d, prefix, min(c) as rep, count(*) as n, any_value(size) as size from p group by 1, 2),
+m as (select p.c, p.d, node.rep from p join node using (d, prefix)),
+tree as (
+  select node.d, node.prefix, node.rep, node.n, node.size, m.rep as parent
+  from node left join m on m.c = node.rep and m.d = node.d - 1),
+kids as (select d - 1 as d, parent as rep, count(*) as n_children from tree where d > 0 group by 1, 2),
+leaves as (
+  select m.d, m.rep, count(*) as n_leaves
+  from tree left join kids using (d, rep) join m on m.c = tree.rep and m.d <= tree.d where n_children is null group by 1, 2),
+saved as (select m.d, m.rep, sum((n - 1) * size) as saved from tree join m on m.c = tree.rep and m.d <= tree.d group by 1, 2),
+ends as (
+  select d, rep, sha256(string_agg(c::varchar, ',' order by c)) as sha
+  from (select c, d, rep, max(d) over (partition by c) as top from m) where d = top group by 1, 2)
+select rep as conv_id, d::bigint as depth, parent as parent_conv_id, n as n_convs, coalesce(n_children, 0) as n_children, n_leaves,
+       saved::bigint as saved_tokens, coalesce(sha, sha256('')) as ends_sha256
+from tree left join kids using (d, rep) left join leaves using (d, rep) left join saved using (d, rep) left join ends using (d, rep)
 """,
 }
