@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkprep.functions.exprs import hash_hex
+from sparkprep.session import cut_lineage
 
 
 MAX_BROADCAST_ROWS = 1_000_000  # per-group tables broadcast up to this many rows (fixed value)
@@ -171,7 +172,6 @@ def ordered_prefix_sums(df: DataFrame, order_by: Sequence[str], value_cols: Sequ
     """
     part = list(partition_by)
     if materialize:
-        from sparkprep.session import cut_lineage
         df = cut_lineage(df)
     b = with_bucket(df, order_by, False, buckets)
     w = Window.partitionBy(*part, "_b").orderBy(*[F.col(c) for c in order_by])
@@ -191,63 +191,183 @@ def ordered_prefix_sums(df: DataFrame, order_by: Sequence[str], value_cols: Sequ
     return out.select(*keep, *cols)
 
 
+ACCURACY = 5000        # of the quantile summaries; a bracket spans four in so many of a group's rows (fixed value)
+CELL_ROWS = 100_000    # rows that are sorted at a time, about (fixed value)
+MAX_LOCAL_GROUPS = 10_000  # groups whose brackets and results pass through the driver (fixed value)
+SORTED_CELLS = 2_000_000  # selected rows of all groups that are sorted by group alone (fixed value)
+
+
+def quantile_brackets(df: DataFrame, value_col: str, probs: Sequence[float], by: Sequence[str] = (),
+                      also: Sequence[Column] = ()) -> tuple[DataFrame, list | None]:
+    """First scan: per group ``_n``, ``_min``, ``_max``, the aggregates
+    ``also`` and for the i-th of ``probs`` a bracket (``_lo<i>``, ``_hi<i>``)
+    around the ranks that it asks for.
+
+    The brackets come from mergeable quantile summaries (one per task and
+    group, merged after the shuffle, of a size set by ``ACCURACY`` whatever
+    the rows), read a margin below and above the rank.  A group of few rows
+    is its own bracket.  Up to ``MAX_LOCAL_GROUPS`` groups become a local
+    table, and their sizes are returned, too; more are written to the shared folder.
+    """
+    x = F.col(value_col)
+    asked = [q for p in probs for q in (max(p - 2 / ACCURACY, 0.0), min(p + 2 / ACCURACY, 1.0))]
+    agg = df.where(x.isNotNull()).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(x).alias("_min"), F.max(x).alias("_max"),
+        F.percentile_approx(x, asked, ACCURACY).alias("_q"), *also)
+    few = F.col("_n") <= 2 * ACCURACY
+    ends = {}
+    for i in range(len(probs)):
+        for j, (name, end) in enumerate((("_lo", "_min"), ("_hi", "_max"))):
+            whole = few | F.lit(asked[2 * i + j] in (0.0, 1.0))
+            ends[f"{name}{i}"] = F.when(whole, F.col(end)).otherwise(F.col("_q")[2 * i + j])
+    out = agg.withColumns(ends).drop("_q").persist()
+    try:
+        rows = out.limit(MAX_LOCAL_GROUPS + 1).toArrow()
+        if rows.num_rows > MAX_LOCAL_GROUPS:
+            return cut_lineage(out), None
+        return df.sparkSession.createDataFrame(rows, out.schema), rows["_n"].to_pylist()
+    finally:
+        out.unpersist()
+
+
+def rank_cells(df: DataFrame, value_col: str, by: Sequence[str], brackets: DataFrame,
+               edges: Sequence[tuple[Column, Column]], local: bool = False, cut: bool = True) -> DataFrame:
+    """Second scan: count and select.  ``edges`` are intervals (low, high)
+    over the columns of ``brackets``.  A value inside an interval is kept with
+    its count; values between intervals are only counted.
+
+    Returns (by, ``_slot``, ``_sub``, ``_v``, ``_cnt``, ``_low``, ``_high``):
+    ordering by (_slot, _sub, _v) is ordering by value; odd slots are inside
+    and hold single values, even ones have a NULL ``_v`` and their least and
+    greatest value.  Of a large group an interval is cut in parts of equal
+    width (``_sub``) of about ``CELL_ROWS`` rows.  What is not selected never
+    leaves its task but as a count.  ``local``: the brackets are few;
+    without ``cut`` no interval is cut in parts.
+    """
+    by, x = list(by), F.col(value_col)
+    names = [(f"_e{i}", f"_f{i}") for i in range(len(edges))]
+    ends = {n: e for pair, edge in zip(names, edges) for n, e in zip(pair, edge)}
+    limits = brackets.select(*by, F.ceil(F.col("_n") * (4 / ACCURACY) / CELL_ROWS).alias("_parts"), *[e.alias(n) for n, e in ends.items()])
+    rows = df.where(x.isNotNull()).select(*by, x.alias("_x"))
+    if not by:
+        rows = attach_row(rows, limits)
+    elif local:
+        a, b = rows.alias("_a"), F.broadcast(limits).alias("_b")
+        same = reduce(lambda p, q: p & q, [F.col(f"_a.{k}").eqNullSafe(F.col(f"_b.{k}")) for k in by])
+        rows = a.join(b, same).select("_a.*", "_b._parts", *[f"_b.{n}" for n in ends])
+    else:
+        rows = join_small(rows, limits, by, null_safe=True)
+    slot, part, x = F, F, F.col("_x")
+    for i, (lo, hi) in enumerate(names):
+        slot = slot.when(x < F.col(lo), 2 * i).when(x <= F.col(hi), 2 * i + 1)
+        width = F.col(hi).cast("double") - F.col(lo).cast("double")
+        at = F.floor((x.cast("double") - F.col(lo).cast("double")) / width * F.col("_parts"))
+        even = (F.col("_parts") > 1) & (width > 0) & (width < float("inf"))
+        part = part.when(F.col("_slot") == 2 * i + 1, F.when(even, F.least(F.greatest(at, F.lit(0)), F.col("_parts") - 1)).otherwise(F.lit(0)))
+    inside = F.col("_slot") % 2 == 1
+    rows = rows.withColumn("_slot", slot.otherwise(2 * len(edges))).withColumn("_sub", part.otherwise(F.lit(0)) if cut else F.lit(0))
+    return rows.withColumn("_v", F.when(inside, x)).groupBy(*by, "_slot", "_sub", "_v").agg(
+        F.count(F.lit(1)).alias("_cnt"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))
+
+
+def _places(probs: Sequence[float], names: Sequence[str]) -> dict:
+    """Name -> (rank before, rank after, fraction) over the group size ``_total``."""
+    at = {nm: (F.col("_total") - 1) * F.lit(float(p)) for p, nm in zip(probs, names)}
+    return {nm: (F.floor(h), F.ceil(h), h - F.floor(h)) for nm, h in at.items()}
+
+
+def _value_at(rank: Column) -> Column:
+    """The value of the cell that holds a rank; ``_cl`` is the running count."""
+    return F.max(F.when((F.col("_cl") - F.col("_cnt") <= rank) & (rank < F.col("_cl")), F.col("_v")))
+
+
+def _between(below: Column, above: Column, share: Column) -> Column:
+    return (below + (above - below) * share).cast("double")
+
+
+def cell_quantiles(cells: DataFrame, probs: Sequence[float], by: Sequence[str], names: Sequence[str]) -> DataFrame | None:
+    """The quantiles from the (written) cells of :func:`rank_cells`, one row
+    per group; None if a wanted rank is not inside an interval.
+
+    Only the (slot, part) cells that hold a wanted rank are sorted; which
+    they are is told by the small table of cell sizes."""
+    by = list(by)
+    keys = [*by, "_slot", "_sub"]
+    before = Window.partitionBy(*by).orderBy("_slot", "_sub").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cells.groupBy(*keys).agg(F.sum("_cnt").alias("_bn")).select(
+        *keys, "_bn", F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_boff"),
+        F.sum("_bn").over(Window.partitionBy(*by)).alias("_total"))
+    places = _places(probs, names)
+    hit = reduce(lambda a, c: a | c, [(r >= F.col("_boff")) & (r < F.col("_boff") + F.col("_bn"))
+                                      for f, c, _ in places.values() for r in (f, c)])
+    target = sizes.where(hit)
+    if target.where("_slot % 2 = 0").limit(1).count():
+        return None
+    c, t = cells.alias("_c"), target.select(*keys, "_boff", "_total").alias("_t")
+    same = reduce(lambda p, q: p & q, [F.col(f"_c.{k}").eqNullSafe(F.col(f"_t.{k}")) for k in keys])
+    running = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = c.join(t, same).select("_c.*", "_t._boff", "_t._total").withColumn("_cl", F.col("_boff") + F.sum("_cnt").over(running))
+    return ranked.groupBy(*by).agg(*[_between(_value_at(f), _value_at(c), F.max(share)).alias(nm) for nm, (f, c, share) in places.items()])
+
+
+def quantile_summary(df: DataFrame, value_col: str, probs: Sequence[float], by: Sequence[str], names: Sequence[str],
+                     also: Sequence[Column] = (), edges=None, over_cells: Sequence[Column] = ()) -> tuple[DataFrame, DataFrame]:
+    """(brackets with the aggregates ``also``, quantiles with the aggregates
+    ``over_cells``) in two scans.
+
+    ``edges`` makes the intervals from the brackets in order of probability
+    (by default they are the intervals); ``over_cells`` may name the quantiles
+    and the columns of :func:`rank_cells`.  Few selected rows are sorted by
+    group, many by (group, slot, part).  If a summary missed a rank, which its
+    error bound rules out, everything is selected instead.
+    """
+    by, names = list(by), list(names)
+    brackets, sizes = quantile_brackets(df, value_col, probs, by, also)
+    pairs = [(F.col(f"_lo{i}"), F.col(f"_hi{i}")) for _, i in sorted((p, i) for i, p in enumerate(probs))]
+    for intervals in (edges(pairs) if edges else pairs, [(F.col("_min"), F.col("_max"))]):
+        whole = len(intervals) == 1
+        few = sizes is not None and SORTED_CELLS >= sum(
+            n if whole or n <= 2 * ACCURACY else n * 4 * len(intervals) / ACCURACY for n in sizes)
+        cells = rank_cells(df, value_col, by, brackets, intervals, sizes is not None, not few)
+        if few:
+            res = _sorted_quantiles(cells, probs, by, names, over_cells)
+        else:
+            cells = cut_lineage(cells)
+            res = cell_quantiles(cells, probs, by, names)
+            if res is not None and over_cells:
+                joined = join_small(cells, res, by, null_safe=True) if by else attach_row(cells, res)
+                res = joined.groupBy(*by).agg(*[F.first(nm).alias(nm) for nm in names], *over_cells)
+        if res is not None:
+            return brackets, res
+    raise RuntimeError("a rank is outside the range of its column")
+
+
+def _sorted_quantiles(cells: DataFrame, probs: Sequence[float], by: Sequence[str], names: Sequence[str],
+                      over_cells: Sequence[Column]) -> DataFrame | None:
+    """:func:`cell_quantiles` of few cells in one job, with ``over_cells``, as a local table."""
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+    running = group.orderBy("_slot", "_sub", "_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = cells.withColumns({"_cl": F.sum("_cnt").over(running), "_total": F.sum("_cnt").over(group)})
+    at = {nm: _between(_value_at(f).over(group), _value_at(c).over(group), share) for nm, (f, c, share) in _places(probs, names).items()}
+    out = ranked.withColumns(at).groupBy(*by).agg(*[F.first(nm).alias(nm) for nm in names], *over_cells, F.sum("_cnt").alias("_rows"))
+    rows = out.toArrow()
+    if any(n and v is None for nm in names for n, v in zip(rows["_rows"].to_pylist(), rows[nm].to_pylist())):
+        return None
+    return cells.sparkSession.createDataFrame(rows, out.schema).drop("_rows")
+
+
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
-                    by: Sequence[str] = (), names: Sequence[str] | None = None,
-                    buckets: int | None = None) -> DataFrame:
+                    by: Sequence[str] = (), names: Sequence[str] | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas / numpy default,
     DuckDB ``quantile_cont``), one row per ``by`` group; NULL values skipped.
 
-    1. Collapse to (group, value, count) with map-side combine; checkpoint it
-       (it is read several times).
-    2. Cut values into order-preserving buckets; per (group, bucket) totals
-       and their running offsets form a small table that says which bucket
-       holds each wanted rank (floor and ceil of ``(n - 1) * p``).
-    3. Only rows of those buckets are kept (semi join) and ranked by a window
-       per (group, bucket); the values at the wanted ranks are interpolated.
-
-    No group is gathered into one task (unlike the ``percentile`` aggregate),
-    and only about ``2 * len(probs)`` buckets per group are ever sorted.
+    Bracket and select: :func:`quantile_brackets` (one scan) encloses every
+    wanted rank, :func:`rank_cells` (a second scan) counts what lies below and
+    keeps what lies inside, from which the ranks are read.  The column is
+    never shuffled, only the few rows inside the brackets, and no group is
+    gathered into one task (unlike the ``percentile`` aggregate).
     """
-    from sparkprep.session import cut_lineage
-    names = list(names or [f"q{int(round(p * 100))}" for p in probs])
-    by = list(by)
-    x = F.col(value_col)
-    keys = [*by, "_b"]
-    null_safe = bool(by)
-    counts = cut_lineage(df.where(x.isNotNull()).groupBy(*by, value_col).agg(F.count(F.lit(1)).alias("_cnt")))
-    b = with_bucket(counts, [value_col], False, buckets)
-    bt = b.groupBy(*keys).agg(F.sum("_cnt").alias("_bn"))
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    bt = bt.select(*keys, "_bn", F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_boff"),
-                   F.sum("_bn").over(Window.partitionBy(*by)).alias("_total"))
-    wanted = []
-    for p in probs:
-        h = (F.col("_total") - 1) * F.lit(float(p))
-        wanted += [F.floor(h), F.ceil(h)]
-    hit_bucket = reduce(lambda a, c: a | c, [(r >= F.col("_boff")) & (r < F.col("_boff") + F.col("_bn"))
-                                             for r in wanted])
-    target = bt.where(hit_bucket)
-    scoped = join_small(b, target.select(*keys), keys, how="left_semi", null_safe=null_safe)
-    running = Window.partitionBy(*keys).orderBy(value_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    scoped = scoped.withColumn("_cl", F.sum("_cnt").over(running))
-    ranked = join_small(scoped, target.select(*keys, "_boff", "_total"), keys, null_safe=null_safe)
-    lo = F.col("_boff") + F.col("_cl") - F.col("_cnt")
-    hi = F.col("_boff") + F.col("_cl") - 1
-    aggs = []
-    for p, nm in zip(probs, names):
-        h = (F.col("_total") - 1) * F.lit(float(p))
-        f, c = F.floor(h), F.ceil(h)
-        aggs += [
-            F.max(F.when((lo <= f) & (f <= hi), x)).alias(f"_vf_{nm}"),
-            F.max(F.when((lo <= c) & (c <= hi), x)).alias(f"_vc_{nm}"),
-            F.max(h - f).alias(f"_fr_{nm}"),
-        ]
-    res = ranked.groupBy(*by).agg(*aggs)
-    cols = [*by]
-    for nm in names:
-        vf, vc, fr = F.col(f"_vf_{nm}"), F.col(f"_vc_{nm}"), F.col(f"_fr_{nm}")
-        cols.append((vf + (vc - vf) * fr).cast("double").alias(nm))
-    return res.select(*cols)
+    return quantile_summary(df, value_col, probs, by, names or [f"q{int(round(p * 100))}" for p in probs])[1]
 
 
 # ---------------------------------------------------------------- O1 - O4

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkprep.functions.exprs import hash_hex, np_round
-from sparkprep.operators.order import attach_row, exact_quantiles, join_small, rank_within
+from sparkprep.operators.order import attach_row, quantile_summary, rank_within
 
 
 def _unpivot_struct(one_row: DataFrame, rows: Sequence[Column]) -> DataFrame:
@@ -128,18 +128,14 @@ def grouped_proportions(df: DataFrame, by: str, target: str) -> DataFrame:
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Count, mean, std (sample), min, 25/50/75 % (linear), max per column.
 
-    Moments come from one aggregation over the long form; quartiles are exact
-    and distributed (:func:`exact_quantiles`), never a single-task sort.
+    Two scans of the long form: the moments come with the quartiles' brackets,
+    the second scan selects the quartiles (:func:`exact_quantiles`).
     """
     long = _stack(df, cols, "double").where(F.col("value").isNotNull())
-    moments = long.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        F.max("value").alias("max"))
-    q = exact_quantiles(long, "value", [0.25, 0.5, 0.75], by=["column_name"],
-                        names=["p25", "p50", "p75"])
+    spread = [F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")]
+    moments, q = quantile_summary(long, "value", [0.25, 0.5, 0.75], ["column_name"], ["p25", "p50", "p75"], spread)
     return moments.join(q, "column_name").select(
-        "column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+        "column_name", F.col("_n").alias("count"), "mean", "std", F.col("_min").alias("min"), "p25", "p50", "p75", F.col("_max").alias("max"))
 
 
 def continuous_report(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -204,25 +200,28 @@ def density(df: DataFrame, col: str, grid_size: int = 200, bins: int = 1024, cut
 
 def box_stats(df: DataFrame, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Quartiles, 1.5 IQR whiskers (most extreme data inside the fences),
-    outlier count, per group.  Quartiles are exact and distributed; the
-    per-group fence table is joined back (AQE broadcasts it when small)."""
+    outlier count, per group.  Two scans: as the quartiles lie in known
+    brackets, so do the fences; the second scan keeps the few values that may
+    be on either side of a fence, and the least and greatest of those between."""
     by = list(by)
-    yv = F.col(y).cast("double")
-    base = df.select(*by, yv.alias("_y")).where(F.col("_y").isNotNull())
+    base = df.select(*by, F.col(y).cast("double").alias("_y")).where(F.col("_y").isNotNull())
     if by:
         base = base.dropna(subset=by)
-    q = exact_quantiles(base, "_y", [0.25, 0.5, 0.75], by=by, names=["q1", "median", "q3"])
-    q = q.withColumn("_iqr", F.col("q3") - F.col("q1"))
-    q = q.withColumns({"_lf": F.col("q1") - 1.5 * F.col("_iqr"), "_uf": F.col("q3") + 1.5 * F.col("_iqr")})
-    joined = attach_row(base, q) if not by else join_small(base, q, by, null_safe=True)
-    yy = F.col("_y")
-    agg = joined.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("count"),
-        F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
-        F.min(F.when(yy >= F.col("_lf"), yy)).alias("whisker_low"),
-        F.max(F.when(yy <= F.col("_uf"), yy)).alias("whisker_high"),
-        F.count_if((yy < F.col("_lf")) | (yy > F.col("_uf"))).alias("outliers"))
-    return agg
+
+    def intervals(quartiles):
+        (lo1, hi1), _, (lo3, hi3) = quartiles
+        low = (lo1 - 1.5 * (hi3 - lo1), hi1 - 1.5 * (lo3 - hi1))
+        high = (lo3 + 1.5 * (lo3 - hi1), hi3 + 1.5 * (hi3 - lo1))
+        return [low, *quartiles, high]
+
+    iqr = F.col("q3") - F.col("q1")
+    low_fence, high_fence = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
+    low, high = F.col("_low"), F.col("_high")
+    whiskers = [F.min(F.when(low >= low_fence, low)).alias("whisker_low"), F.max(F.when(high <= high_fence, high)).alias("whisker_high"),
+                F.coalesce(F.sum(F.when((high < low_fence) | (low > high_fence), F.col("_cnt"))), F.lit(0)).alias("outliers")]
+    names = ["q1", "median", "q3"]
+    q = quantile_summary(base, "_y", [0.25, 0.5, 0.75], by, names, edges=intervals, over_cells=[F.coalesce(F.sum("_cnt"), F.lit(0)).alias("count"), *whiskers])[1]
+    return q.select(*by, "count", *names, "whisker_low", "whisker_high", "outliers")
 
 
 def percent_counts(df: DataFrame, col: str, hue: str | None = None) -> DataFrame:
@@ -305,35 +304,39 @@ def bivariate(df: DataFrame, ranking: DataFrame, n: int, target: str, task: str
     or the (feature, target) pairs of all rows for a numeric one, or of
     ``sample`` rows picked by a hash of the whole row if asked for.
     Ranked names missing from ``df`` are reported with kind 'missing'.
-    Output is one long table.
+    Output is one long table.  The features of a kind are summarized together
+    in their long form: two scans for all box summaries, two for all counts.
     """
     top = [r[0] for r in ranking.orderBy(F.col(score_col).desc(), F.col(feature_col))
            .select(feature_col).limit(n).collect()]
+    here = [f for f in top if f in df.columns]
+    numeric = [f for f in here if isinstance(df.schema[f].dataType, T.NumericType)]
+    other = [f for f in here if f not in numeric]
+    box = ["feature", F.lit("box").alias("kind"), "group", "count", "q1", "median", "q3", "whisker_low", "whisker_high", "outliers"]
+
+    def long(cols, kind, name, *keep):
+        pairs = [F.struct(F.lit(f).alias("feature"), F.col(f).cast(kind).alias(name)) for f in cols]
+        return df.select(*keep, F.inline(F.array(*pairs)))
+
     parts = []
-    for f in top:
-        if f not in df.columns:
-            parts.append(df.sparkSession.createDataFrame([(f, "missing")], "feature string, kind string"))
-            continue
-        numeric = isinstance(df.schema[f].dataType, T.NumericType)
-        if task == "classification" and numeric:
-            b = box_stats(df, f, [target]).select(
-                F.lit(f).alias("feature"), F.lit("box").alias("kind"),
-                F.col(target).cast("string").alias("group"), "count", "q1", "median", "q3",
-                "whisker_low", "whisker_high", "outliers")
-        elif task == "classification":
-            b = percent_counts(df, f, target).select(
-                F.lit(f).alias("feature"), F.lit("count").alias("kind"),
-                F.col(target).cast("string").alias("group"),
-                F.col(f).cast("string").alias("category"), "count", "percent")
-        elif not numeric:
-            b = box_stats(df, target, [f]).select(
-                F.lit(f).alias("feature"), F.lit("box").alias("kind"),
-                F.col(f).cast("string").alias("group"), "count", "q1", "median", "q3",
-                "whisker_low", "whisker_high", "outliers")
-        else:
-            rows = df if sample is None else (
-                df.withColumn("_h", F.xxhash64(*df.columns)).orderBy("_h", *df.columns).limit(sample))
-            b = (rows.select(F.lit(f).alias("feature"), F.lit("scatter").alias("kind"),
-                         F.col(f).cast("double").alias("x"), F.col(target).cast("double").alias("y")))
-        parts.append(b)
+    if task == "classification":
+        if numeric:
+            rows = long(numeric, "double", "_value", F.col(target).cast("string").alias("group"))
+            parts.append(box_stats(rows, "_value", ["feature", "group"]).select(*box))
+        if other:
+            parts.append(percent_counts_many(df, other, target).select(
+                F.col("column_name").alias("feature"), F.lit("count").alias("kind"), F.col(target).cast("string").alias("group"),
+                F.col("value").alias("category"), "count", "percent"))
+    else:
+        if other:
+            rows = long(other, "string", "group", F.col(target).cast("double").alias("_value"))
+            parts.append(box_stats(rows, "_value", ["feature", "group"]).select(*box))
+        if numeric:
+            if sample is not None:
+                df = df.withColumn("_h", F.xxhash64(*df.columns)).orderBy("_h", *df.columns).limit(sample)
+            rows = long(numeric, "double", "x", F.col(target).cast("double").alias("y"))
+            parts.append(rows.select("feature", F.lit("scatter").alias("kind"), "x", "y"))
+    lost = [(f, "missing") for f in top if f not in here]
+    if lost or not parts:
+        parts.append(df.sparkSession.createDataFrame(lost, "feature string, kind string"))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

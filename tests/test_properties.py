@@ -28,7 +28,7 @@ def test_prefix_sums_and_quantiles(spark, data):
     for r in cum.collect():
         want = sum(1 for g, v in data if g == r.g and v <= r.v)
         assert r.cum_count == want
-    q = {r.g: r for r in exact_quantiles(df, "v", [0.0, 0.3, 0.5, 1.0], by=["g"], buckets=3).collect()}
+    q = {r.g: r for r in exact_quantiles(df, "v", [0.0, 0.3, 0.5, 1.0], by=["g"]).collect()}
     for g in {g for g, _ in data}:
         vals = np.array([v for gg, v in data if gg == g], dtype=float)
         want = np.percentile(vals, [0, 30, 50, 100])
