@@ -1,25 +1,30 @@
 """M6: exact k-nearest-neighbour vote without comparing every (query, train) pair.
 
-The training rows are dealt to the cells of many pivots (nearest pivot; a
-bounded, seeded choice of training rows), and each cell is cut into rings by
-the distance ``r`` to its pivot, so that no bucket grows with the table.  Two
-rounds answer every query exactly:
-
-1. A first k-th distance ``w`` comes from the query's own ring and from the
-   witnesses (a bounded number of rows) of its nearest cells.  It can only be
-   too large.
-2. The query visits the rings that may hold a row within ``w``.  For a cell
-   with pivot ``c`` the triangle inequality asks ``|r(x) - |q - c|| <= w``,
-   and the plane half-way between ``c`` and the pivot nearest to ``q`` must
-   not be farther than ``w``.
-
-The visits are an equi-join on (cell, ring).  There is no cap on candidates
-and no further round.  Bounds carry a relative slack for rounding, so ties at
-the k-th distance are kept.
+A :class:`NeighborIndex` is a tree of cells over the training rows.  A cell of
+more than ``LEAF_ROWS`` rows is cut by up to ``FANOUT`` of its own rows
+(pivots, picked by a hash): each row goes to its nearest pivot.  So the number
+of cells grows with the table and a leaf does not; a build takes a pass per
+level, about log(rows) / log(FANOUT) of them.  The index is two tables (nodes
+with their children's pivots and radii, rows by leaf) that are written once
+and only read by searches.
+
+A search answers every query exactly in two walks down the tree, all queries
+together, a join per level:
+
+1. To the nearest child each time.  The pivots on the way and the rows of the
+   leaf, training rows all of them, give a first k-th distance ``w``.  It can
+   only be too large.
+2. To every child that may hold a row within ``w``: the triangle inequality
+   on its least and greatest distance to the pivot, and the plane half-way
+   to the sibling that is nearest to the query.  The leaves reached are joined with their
+   rows by the cell, again within the radius.
+
+There is no cap on candidates.  Bounds carry a relative slack for rounding,
+so ties at the k-th distance are kept.
 
 Training rows are first reduced to at most k copies per distinct feature
 vector (the smallest keys), and each distinct query vector is searched once,
-so copies on either side cannot blow up a bucket.
+so copies on either side cannot blow up a leaf.
 
 The vote is the majority label of the k nearest (distance ties broken by
 training key); a tie between labels goes to the smallest label.
@@ -28,20 +33,21 @@ training key); a tie between labels goes to the smallest label.
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkprep.functions.exprs import hash_hex
+from sparkprep.operators.order import MAX_BROADCAST_BYTES, MAX_BROADCAST_ROWS, join_small, local_table
 from sparkprep.session import cut_lineage
 
 SALT = 64            # salt buckets for the per-vector top-k (fixed value)
-MAX_PIVOTS = 1024    # pivots, at most; a cell larger than a ring is cut into more rings (fixed value)
-RING_ROWS = 128      # rows of a ring, about (fixed value)
-WITNESSES = 4        # witnesses per cell: so many times k (fixed value)
+FANOUT = 64          # children of a cell, about (fixed value)
+LEAF_ROWS = 256      # rows of a cell that is not cut further (fixed value)
+MAX_LEVELS = 60      # levels after which a cell is left as it is (fixed value)
+MAX_LOCAL_CELLS = 65_536  # cells of a level whose sizes pass through the driver (fixed value)
 SLACK = 1e-9         # relative slack of the bounds (fixed value)
 
 
@@ -63,9 +69,99 @@ def _k_copies(tr: DataFrame, vec: Sequence[str], k: int) -> DataFrame:
     return second.where(F.col("_r") <= k).drop("_r")
 
 
-def _constant(rows: list[dict], schema: str) -> Column:
-    """A bounded driver-side table as one array literal."""
-    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")
+@dataclass
+class NeighborIndex:
+    """Training rows by leaf (``rows``: _leaf, _td, _tk, _lab, t_x0, ...) and
+    the tree above them (``nodes``: level, cell, children)."""
+    dims: list
+    k: int
+    size: int
+    widths: list  # nodes per level
+    nodes: DataFrame
+    rows: DataFrame
+
+    def level(self, k: int) -> tuple[DataFrame, bool]:
+        """The nodes of a level, and whether they are few enough for a broadcast."""
+        size = self.widths[k] * 2 * FANOUT * (8 * len(self.dims) + 48)
+        few = self.widths[k] <= MAX_BROADCAST_ROWS and size <= MAX_BROADCAST_BYTES
+        return self.nodes.where(F.col("level") == k).select("cell", "children"), few
+
+    def save(self, path: str) -> None:
+        spark = self.rows.sparkSession
+        self.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+        self.rows.write.mode("overwrite").parquet(f"{path}/rows")
+        meta = {"dims": self.dims, "k": self.k, "size": self.size, "widths": self.widths}
+        spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/index")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> NeighborIndex:
+        meta = json.loads(spark.read.text(f"{path}/index").first()[0])
+        return NeighborIndex(**meta, nodes=spark.read.parquet(f"{path}/nodes"), rows=spark.read.parquet(f"{path}/rows"))
+
+
+def _refuse_missing(df: DataFrame, feats: Sequence[str], side: str) -> None:
+    """A missing feature has no distance: refused, so that no row is lost on the way."""
+    odd = [F.col(f).isNull() | F.isnan(F.col(f).cast("double")) for f in feats]
+    if df.where(reduce(lambda a, b: a | b, odd)).limit(1).count():
+        raise ValueError(f"NULL feature in a {side} row: impute or drop it before k-nearest neighbours")
+
+
+def build_index(train: DataFrame, features: Sequence[str], k: int, train_key: str, label: str, seed: int = 0) -> NeighborIndex:
+    """The tree of cells for searches of up to ``k`` neighbours.
+
+    A level is one pass over the rows whose cells are still large: each is
+    joined with its cell's pivots, compared with them, and written to the
+    shared folder with its new cell.  Pivots and radii are grouped aggregates,
+    a bounded number per cell."""
+    feats = list(features)
+    _refuse_missing(train, feats, "training")
+    dims = [f"x{i}" for i in range(len(feats))]
+    point = [f"t_{d}" for d in dims]
+    tr = train.select(F.col(train_key).alias("_tk"), F.col(label).alias("_lab"),
+                      *[F.col(f).cast("double").alias(t) for f, t in zip(feats, point)])
+    tasks = int(tr.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tr = cut_lineage(_k_copies(tr, point, k).repartition(tasks, "_tk"))
+    size = tr.count()
+    if not size:
+        raise ValueError("empty training table")
+    cur = tr.withColumns({"_cell": F.lit(""), "_n": F.lit(size).cast("long")})
+    here = F.struct(*[F.col(t).alias(d) for t, d in zip(point, dims)])
+    nodes, leaves, widths = [], [], []
+    for level in range(MAX_LEVELS):
+        # pivots: about four for a leaf's rows, so that few children are over it, at most FANOUT; the root has enough for a first bound
+        want = F.least(F.lit(FANOUT), F.greatest(F.lit(8), 4 * F.col("_n") / LEAF_ROWS)) if level else F.lit(max(FANOUT, 2 * k + 8))
+        u = F.pmod(F.xxhash64("_tk", F.lit(seed), F.lit(level)), F.lit(1 << 30)) / (1 << 30)
+        picks = cur.groupBy("_cell").agg(F.collect_set(F.when(u < want / F.col("_n"), here)).alias("some"), F.min_by(here, "_tk").alias("one"))
+        picks = picks.select("_cell", F.array_sort(F.array_distinct(F.concat("some", F.array("one")))).alias("pivots"))
+        picks, few = local_table(picks, MAX_LOCAL_CELLS // FANOUT)
+        home = F.array_min(F.transform("pivots", lambda p, i: F.struct(_length(lambda f: p[f], lambda f: F.col("t_" + f), dims).alias("d"), i.alias("i"))))
+        rows = (join_small(cur, picks, ["_cell"]) if few is None else cur.join(F.broadcast(picks), "_cell")).withColumn("_home", home)
+        rows = cut_lineage(rows.select("_tk", "_lab", *point, F.concat_ws(".", "_cell", F.col("_home.i").cast("string")).alias("_cell"),
+                                       F.col("_home.d").alias("_td")))
+        radii = rows.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"), F.min("_td").alias("lo"), F.max("_td").alias("hi"))
+        widths.append(picks.count() if few is None else few.num_rows)
+        radii, few = local_table(radii, MAX_LOCAL_CELLS)
+        kids = picks.select(F.col("_cell").alias("cell"), F.posexplode("pivots").alias("i", "p"))
+        kids = kids.withColumn("_cell", F.concat_ws(".", "cell", F.col("i").cast("string"))).join(radii, "_cell")
+        child = F.struct(F.col("_cell").alias("id"), *[F.col("p")[d].alias(d) for d in dims], "lo", "hi")
+        nodes.append(kids.groupBy(F.lit(level).alias("level"), "cell").agg(F.collect_list(child).alias("children")))
+        sizes = radii.select("_cell", "_n")
+        sized = join_small(rows, sizes, ["_cell"]) if few is None else rows.join(F.broadcast(sizes), "_cell")
+        large = F.lit(level + 1 < MAX_LEVELS) & (F.col("_n") > LEAF_ROWS)
+        leaves.append(sized.where(~large).select(F.col("_cell").alias("_leaf"), "_td", "_tk", "_lab", *point))
+        cur = sized.where(large).drop("_td")
+        if level + 1 == MAX_LEVELS or not (radii.where(large).limit(1).count() if few is None else max(few["_n"].to_pylist()) > LEAF_ROWS):
+            break
+    return NeighborIndex(dims, k, size, widths, cut_lineage(reduce(DataFrame.unionByName, nodes)), cut_lineage(reduce(DataFrame.unionByName, leaves)))
+
+
+def _walk(front: DataFrame, index: NeighborIndex, step) -> DataFrame:
+    """``step`` on each level, with the children of a row's cell (NULL for a leaf)."""
+    for k in range(len(index.widths)):
+        nodes, few = index.level(k)
+        f, n = front.alias("_f"), (F.broadcast(nodes) if few else nodes).alias("_n")
+        front = step(f.join(n, F.col("_f._cell") == F.col("_n.cell"), "left").select("_f.*", "_n.children"))
+    return front
 
 
 def _nearest_k(cand: DataFrame, need: int) -> DataFrame:
@@ -73,115 +169,84 @@ def _nearest_k(cand: DataFrame, need: int) -> DataFrame:
     return cand.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= need)
 
 
-def _search(tr: DataFrame, qv: DataFrame, dims: Sequence[str], pivots: list[dict], need: int,
-            ring_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(candidates, first bounds) of the distinct query vectors ``qv``: the
-    candidates (_qid, _tk, _lab, distance) hold every row within a query's bound."""
-    point = ", ".join(f"{f} double" for f in dims)
-
-    def home(prefix, cells):
-        """Struct (d, id) of the nearest pivot."""
-        return F.array_min(F.transform(cells, lambda c: F.struct(
-            _length(lambda f: c[f], lambda f: F.col(prefix + f), dims).alias("d"), c["id"].alias("id"))))
-
-    plain = _constant(pivots, f"id int, {point}")
-    # work per row is the number of pivots, not its bytes: as many tasks as the session asks for
-    tasks = int(tr.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tr = cut_lineage(tr.repartition(tasks, "_tk").withColumn("_home", home("t_", plain))
-                     .select("*", F.col("_home.id").alias("_cell"), F.col("_home.d").alias("_td")).drop("_home"))
-    stats = {r["_cell"]: r for r in tr.groupBy("_cell").agg(
-        F.count(F.lit(1)).alias("n"), F.min("_td").alias("lo"), F.max("_td").alias("hi")).collect()}
-    used = []
-    for p in pivots:
-        if p["id"] in stats:  # a pivot that lost its rows to a tie has no cell
-            s = stats[p["id"]]
-            rings = max(1, math.ceil(s["n"] / ring_rows)) if s["hi"] > s["lo"] else 1
-            used.append({**p, "id": len(used), "old": p["id"], "n": s["n"], "lo": s["lo"], "hi": s["hi"],
-                         "rings": rings, "step": max((s["hi"] - s["lo"]) / rings, 1e-300)})
-    cells = _constant(used, f"id int, {point}, old int, n long, lo double, hi double, rings long, step double")
-
-    def ring(c, d):
-        return F.least(F.greatest(F.floor((d - c["lo"]) / c["step"]), F.lit(0)), c["rings"] - 1)
-
-    renumber = F.element_at(_constant([{"v": next((u["id"] for u in used if u["old"] == p["id"]), -1)} for p in pivots],
-                                      "v int"), F.col("_cell") + 1)["v"]
-    tr = tr.withColumn("_cell", renumber)
-    tr = tr.withColumn("_ring", ring(F.element_at(cells, F.col("_cell") + 1), F.col("_td")))
-
-    qv = cut_lineage(qv.repartition(tasks, "_qid").withColumn("_home", home("q_", cells)))
+def _first_bounds(index: NeighborIndex, qv: DataFrame, need: int) -> DataFrame:
+    """``qv`` with ``_w``, a distance within which each query has ``need`` rows."""
+    def to(c):
+        return _length(lambda f: c[f], lambda f: F.col("q_" + f), index.dims)
+
+    def step(front):
+        at = F.transform("children", lambda c: F.struct(to(c).alias("d"), c["id"].alias("id")))
+        front = front.withColumn("_at", F.coalesce(at, F.array().cast("array<struct<d:double,id:string>>"))).drop("children")
+        # one pivot may be met on several levels: equal distances count once
+        seen = F.array_sort(F.array_distinct(F.concat("_seen", F.transform("_at", lambda a: a["d"]))))
+        return front.withColumns({"_seen": F.slice(seen, 1, need), "_cell": F.coalesce(F.array_min("_at")["id"], "_cell")}).drop("_at")
+
+    start = qv.withColumns({"_cell": F.lit(""), "_seen": F.array().cast("array<double>")})
+    low = _walk(start, index, step)
+    # a leaf's rows as one array: its distances are taken in place, no pair leaves the join
+    here = F.struct(*[F.col(f"t_{f}").alias(f) for f in index.dims])
+    packs = index.rows.groupBy("_leaf").agg(F.collect_list(here).alias("_points"))
+    low = low.join(packs, F.col("_cell") == F.col("_leaf")).withColumn("_near", F.slice(F.array_sort(F.transform("_points", to)), 1, need))
+    all_seen = F.array_sort(F.array_distinct(F.concat("_seen", "_near")))
+    w = F.least(F.get("_near", F.lit(need - 1)), F.get(all_seen, F.lit(need - 1)))
+    return low.select(qv.columns + [F.coalesce(w, F.lit(float("inf"))).alias("_w")])
+
+
+def _search(index: NeighborIndex, qv: DataFrame, need: int) -> DataFrame:
+    """Candidates (_qid, _tk, _lab, _w, distance) of the distinct query
+    vectors ``qv``: they hold every row within a query's bound."""
+    dims = index.dims
+    q_cols = ["_qid", *[f"q_{f}" for f in dims], "_w"]
+    bounded = cut_lineage(_first_bounds(index, qv, need))
+
+    def step(front):
+        at = F.transform("children", lambda c: F.struct(
+            _length(lambda f: c[f], lambda f: F.col("q_" + f), dims).alias("d"), *[c[f].alias(f) for f in dims], c["id"].alias("id"),
+            c["lo"].alias("lo"), c["hi"].alias("hi")))
+        front = front.withColumn("_at", at).withColumn("_best", F.array_min("_at")).drop("children")
+
+        def reach(c):
+            return F.col("_w") + F.lit(SLACK) * (c["d"] + c["hi"])
+
+        def may_hold(c):
+            gap = _length(lambda f: c[f], lambda f: F.col("_best")[f], dims)
+            plane = (c["d"] - F.col("_best")["d"]) * (c["d"] + F.col("_best")["d"])
+            return (c["d"] - reach(c) <= c["hi"]) & (c["d"] + reach(c) >= c["lo"]) & (plane <= 2.0 * gap * reach(c))
+
+        go = F.transform(F.filter("_at", may_hold), lambda c: F.struct(
+            c["id"].alias("id"), (c["d"] - reach(c)).alias("from"), (c["d"] + reach(c)).alias("to")))
+        stay = F.array(F.struct(F.col("_cell").alias("id"), F.col("_from").alias("from"), F.col("_to").alias("to")))
+        front = front.select(*q_cols, F.explode(F.when(F.col("_at").isNull(), stay).otherwise(go)).alias("_v"))
+        return front.select(*q_cols, F.col("_v.id").alias("_cell"), F.col("_v.from").alias("_from"), F.col("_v.to").alias("_to"))
+
+    nothing = F.lit(None).cast("double")
+    visits = _walk(bounded.select(*q_cols, F.lit("").alias("_cell"), nothing.alias("_from"), nothing.alias("_to")), index, step)
     dist = _length(lambda f: F.col("q_" + f), lambda f: F.col("t_" + f), dims).alias("distance")
-    q_cols = ["_qid", *[f"q_{f}" for f in dims]]
-
-    # first bound: the query's own ring, and witnesses of the nearest cells
-    by_hash = Window.partitionBy("_cell").orderBy("_wh", "_tk")
-    witnesses = (tr.withColumn("_wh", F.xxhash64("_tk")).withColumn("_wr", F.row_number().over(by_hash))
-                 .where(F.col("_wr") <= WITNESSES * need).drop("_wh", "_wr"))
-    # so many nearest cells hold k witnesses in any case: the smallest cells together
-    few, total = 0, 0
-    for n in sorted(u["n"] for u in used):
-        few, total = few + 1, total + min(n, WITNESSES * need)
-        if total >= need:
-            break
-    near = F.slice(F.sort_array(F.transform(cells, lambda c: F.struct(
-        _length(lambda f: c[f], lambda f: F.col("q_" + f), dims).alias("d"), c["id"].alias("id")))), 1, few)
-    own = F.element_at(cells, F.col("_home.id") + 1)
-    by_witness = (qv.select(*q_cols, F.explode(F.transform(near, lambda c: c["id"])).alias("_cell"))
-                  .join(witnesses, "_cell").select("_qid", "_tk", dist))
-    by_ring = (qv.select(*q_cols, F.col("_home.id").alias("_cell"), ring(own, F.col("_home.d")).alias("_ring"))
-               .join(tr, ["_cell", "_ring"]).select("_qid", "_tk", dist))
-    # a witness may lie in the own ring too
-    first = _nearest_k(by_witness, need).drop("rank").unionByName(_nearest_k(by_ring, need).drop("rank")).distinct()
-    bound = _nearest_k(first, need).groupBy("_qid").agg(F.max("distance").alias("_w"))
-    bounded = cut_lineage(qv.join(bound, "_qid").repartition(tasks, "_qid"))
-
-    # the rings that may hold a row within the bound; distances first, so that each is computed once
-    far = F.transform(cells, lambda c: F.struct(
-        c["id"].alias("id"), c["lo"].alias("lo"), c["hi"].alias("hi"),
-        _length(lambda f: c[f], lambda f: F.col("q_" + f), dims).alias("d"),
-        _length(lambda f: c[f], lambda f: F.col("_hp")[f], dims).alias("gap")))
-
-    def near_enough(v):
-        w = F.col("_w") + F.lit(SLACK) * (v["d"] + v["hi"])
-        plane = (v["d"] - F.col("_home.d")) * (v["d"] + F.col("_home.d"))
-        return (v["d"] - w <= v["hi"]) & (v["d"] + w >= v["lo"]) & (plane <= 2.0 * v["gap"] * w)
-
-    slack = F.col("_w") + F.lit(SLACK) * (F.col("_v.d") + F.col("_v.hi"))
-    cell = F.element_at(cells, F.col("_v.id") + 1)
-    visits = (bounded.withColumn("_hp", F.element_at(cells, F.col("_home.id") + 1))
-              .select(*q_cols, "_w", F.explode(F.filter(far, near_enough)).alias("_v"))
-              .select(*q_cols, "_w", F.col("_v.id").alias("_cell"),
-                      (F.col("_v.d") - slack).alias("_da"), (F.col("_v.d") + slack).alias("_db"), cell.alias("_c"))
-              .select(*q_cols, "_w", "_cell", "_da", "_db",
-                      F.explode(F.sequence(ring(F.col("_c"), F.col("_da")), ring(F.col("_c"), F.col("_db")))).alias("_ring")))
-    cand = (visits.join(tr, ["_cell", "_ring"])
-            .where((F.col("_td") >= F.col("_da")) & (F.col("_td") <= F.col("_db")))
+    return (visits.join(index.rows, (F.col("_cell") == F.col("_leaf")) & (F.col("_td") >= F.col("_from")) & (F.col("_td") <= F.col("_to")))
             .select("_qid", "_tk", "_lab", "_w", dist))
-    return cand, bounded
 
 
-def _prepare(train: DataFrame, query: DataFrame, feats: Sequence[str], k: int, train_key: str, query_key: str,
-             label: str, seed: int):
-    """(training rows, query rows, distinct query vectors, dimension names, pivots, rows wanted per query)."""
-    # a missing feature has no distance: refused, so that no row is lost on the way
-    for side, df in (("training", train), ("query", query)):
-        odd = [F.col(f).isNull() | F.isnan(F.col(f).cast("double")) for f in feats]
-        if df.where(reduce(lambda a, b: a | b, odd)).limit(1).count():
-            raise ValueError(f"NULL feature in a {side} row: impute or drop it before k-nearest neighbours")
-    dims = [f"x{i}" for i in range(len(feats))]
-    tr = train.select(F.col(train_key).alias("_tk"), F.col(label).alias("_lab"),
-                      *[F.col(f).cast("double").alias(f"t_{d}") for f, d in zip(feats, dims)])
-    tr = cut_lineage(_k_copies(tr, [f"t_{d}" for d in dims], k))
-    n_train = tr.count()
-    if not n_train:
-        raise ValueError("empty training table")
-    n_pivots = min(MAX_PIVOTS, math.isqrt(n_train) + 1)
-    # copies among the first rows only cost pivots
-    picked = (tr.select(*[f"t_{d}" for d in dims], hash_hex(["_tk"], seed).alias("_h"))
-              .orderBy("_h").limit(n_pivots).drop("_h").distinct().collect())
-    pivots = [{"id": i, **{d: float(p[f"t_{d}"]) for d in dims}} for i, p in enumerate(sorted(picked))]
-    qr = query.select(F.col(query_key).alias("_qk"), *[F.col(f).cast("double").alias(f"q_{d}") for f, d in zip(feats, dims)])
-    qv = cut_lineage(qr.select(*[f"q_{d}" for d in dims]).distinct().withColumn("_qid", F.monotonically_increasing_id()))
-    return tr, qr, qv, dims, pivots, min(k, n_train)
+def _vectors(index: NeighborIndex, query: DataFrame, feats: Sequence[str], query_key: str) -> tuple[DataFrame, DataFrame]:
+    """Query rows (_qk, q_x0, ...) and their distinct vectors with a number."""
+    _refuse_missing(query, feats, "query")
+    cols = [f"q_{d}" for d in index.dims]
+    qr = query.select(F.col(query_key).alias("_qk"), *[F.col(f).cast("double").alias(c) for f, c in zip(feats, cols)])
+    # work per vector is the pivots on its way, not its bytes: as many tasks as the session asks for
+    tasks = int(qr.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return qr, cut_lineage(qr.select(*cols).distinct().repartition(tasks, *cols).withColumn("_qid", F.monotonically_increasing_id()))
+
+
+def index_neighbors(index: NeighborIndex, query: DataFrame, features: Sequence[str], query_key: str, k: int | None = None) -> DataFrame:
+    """The k nearest training rows of every query row: (_qk, _tk, _lab, distance, rank)."""
+    k = index.k if k is None else k
+    if k > index.k:
+        raise ValueError(f"the index was built for {index.k} neighbours, not {k}")
+    need = min(k, index.size)
+    qr, qv = _vectors(index, query, list(features), query_key)
+    top = _nearest_k(_search(index, qv, need).where(F.col("distance") <= F.col("_w")).drop("_w"), need)
+    # back to the rows of each vector; join_small's bound doesn't hold here, AQE splits hot vectors
+    out = qr.join(cut_lineage(top.join(qv, "_qid")).drop("_qid"), [f"q_{d}" for d in index.dims])
+    return out.select("_qk", "_tk", "_lab", "distance", "rank")
 
 
 def knn_neighbors(train: DataFrame, query: DataFrame, features: Sequence[str], k: int,
@@ -189,23 +254,16 @@ def knn_neighbors(train: DataFrame, query: DataFrame, features: Sequence[str], k
     """The k nearest training rows of every query row:
     (query_key, train_key [``neighbor_<key>`` when both keys share a name],
     label, distance, rank)."""
-    tr, qr, qv, dims, pivots, need = _prepare(train, query, list(features), k, train_key, query_key, label, seed)
-    cand, _ = _search(tr, qv.select("_qid", *[f"q_{d}" for d in dims]), dims, pivots, need, RING_ROWS)
-    top = _nearest_k(cand.where(F.col("distance") <= F.col("_w")).drop("_w"), need)
-    # back to the rows of each vector; join_small's bound doesn't hold here, AQE splits hot vectors
-    vec = [f"q_{d}" for d in dims]
-    out = qr.join(cut_lineage(top.join(qv, "_qid")).drop("_qid"), vec)
+    nb = index_neighbors(build_index(train, features, k, train_key, label, seed), query, features, query_key)
     tk_name = train_key if train_key != query_key else f"neighbor_{train_key}"
-    return out.select(F.col("_qk").alias(query_key), F.col("_tk").alias(tk_name),
-                      F.col("_lab").alias(label), "distance", "rank")
+    return nb.select(F.col("_qk").alias(query_key), F.col("_tk").alias(tk_name), F.col("_lab").alias(label), "distance", "rank")
 
 
-def knn_candidates(train: DataFrame, query: DataFrame, features: Sequence[str], k: int,
-                   train_key: str, query_key: str, label: str, seed: int = 0) -> int:
-    """Number of (query vector, training row) pairs whose distance the second
-    round computes: a measure of how well the pivots prune."""
-    tr, _, qv, dims, pivots, need = _prepare(train, query, list(features), k, train_key, query_key, label, seed)
-    return _search(tr, qv, dims, pivots, need, RING_ROWS)[0].count()
+def knn_candidates(index: NeighborIndex, query: DataFrame, features: Sequence[str], query_key: str) -> tuple[int, int]:
+    """(query vectors, (vector, training row) pairs whose distance the second
+    walk computes): a measure of how well the cells prune."""
+    _, qv = _vectors(index, query, list(features), query_key)
+    return qv.count(), _search(index, qv, min(index.k, index.size)).count()
 
 
 def knn_predict(train: DataFrame, query: DataFrame, features: Sequence[str], label: str, k: int = 5,
@@ -218,10 +276,9 @@ def knn_predict(train: DataFrame, query: DataFrame, features: Sequence[str], lab
             .select(query_key, F.col(label).alias(out)))
 
 
-def knn_shares(train: DataFrame, query: DataFrame, features: Sequence[str], label: str, n_classes: int, k: int = 5,
-               train_key: str = "id", query_key: str = "id", out: str = "proba") -> DataFrame:
+def knn_shares(index: NeighborIndex, query: DataFrame, features: Sequence[str], n_classes: int, query_key: str,
+               out: str = "proba") -> DataFrame:
     """M11 for kNN: the share of each class 0 .. n_classes - 1 among the k
-    nearest training rows, as an array."""
-    nb = knn_neighbors(train, query, features, k, train_key, query_key, label)
-    shares = [F.avg((F.col(label) == F.lit(c)).cast("double")) for c in range(n_classes)]
-    return nb.groupBy(query_key).agg(F.array(*shares).alias(out))
+    nearest training rows of a stored index, as an array."""
+    shares = [F.avg((F.col("_lab") == F.lit(c)).cast("double")) for c in range(n_classes)]
+    return index_neighbors(index, query, features, query_key).groupBy(F.col("_qk").alias(query_key)).agg(F.array(*shares).alias(out))

@@ -43,6 +43,20 @@ def join_small(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str =
     return a.join(b, cond, how).select("_big.*", *[F.col(f"_small.{c}") for c in other])
 
 
+def local_table(df: DataFrame, most: int):
+    """(table, its rows as an Arrow table) of an aggregate of up to ``most``
+    rows, which passes through the driver; a larger one is written to the
+    shared folder: (table, None)."""
+    out = df.persist()
+    try:
+        rows = out.limit(most + 1).toArrow()
+        if rows.num_rows > most:
+            return cut_lineage(out), None
+        return df.sparkSession.createDataFrame(rows, out.schema), rows
+    finally:
+        out.unpersist()
+
+
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Append the columns of a one-row aggregate (a total, a range, a set of
     moments) to every row.  The row is computed once and its values become
@@ -220,14 +234,8 @@ def quantile_brackets(df: DataFrame, value_col: str, probs: Sequence[float], by:
         for j, (name, end) in enumerate((("_lo", "_min"), ("_hi", "_max"))):
             whole = few | F.lit(asked[2 * i + j] in (0.0, 1.0))
             ends[f"{name}{i}"] = F.when(whole, F.col(end)).otherwise(F.col("_q")[2 * i + j])
-    out = agg.withColumns(ends).drop("_q").persist()
-    try:
-        rows = out.limit(MAX_LOCAL_GROUPS + 1).toArrow()
-        if rows.num_rows > MAX_LOCAL_GROUPS:
-            return cut_lineage(out), None
-        return df.sparkSession.createDataFrame(rows, out.schema), rows["_n"].to_pylist()
-    finally:
-        out.unpersist()
+    out, rows = local_table(agg.withColumns(ends).drop("_q"), MAX_LOCAL_GROUPS)
+    return out, None if rows is None else rows["_n"].to_pylist()
 
 
 def rank_cells(df: DataFrame, value_col: str, by: Sequence[str], brackets: DataFrame,

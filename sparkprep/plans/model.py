@@ -30,6 +30,7 @@ from sparkprep.operators import evaluate as V
 from sparkprep.operators.explain import shapley_values
 from sparkprep.operators.features import (OneHotModel, ScalerModel, check_features, class_weights,
                                           fit_one_hot, fit_scaler)
+from sparkprep.operators.neighbors import NeighborIndex, build_index, knn_shares
 from sparkprep.operators.order import union_all
 from sparkprep.operators.rows import feature_names
 from sparkprep.operators.sampling import class_counts, kfold, split_random, split_stratified, with_cuts
@@ -122,8 +123,8 @@ class Bundle:
     onehot: OneHotModel | None = None
     scaler: ScalerModel | None = None
     raw_features: list = field(default_factory=list)
-    # KNN keeps its (prepared) training rows instead of a fitted stage
-    neighbors: DataFrame | None = None
+    # KNN keeps an index of its (prepared) training rows instead of a fitted stage
+    neighbors: NeighborIndex | None = None
     k: int = 5
     # (family, params, score) of every setting the automatic choice tried
     trials: list = field(default_factory=list)
@@ -195,12 +196,12 @@ def train(df: DataFrame, target: str, model_type: str, params: Mapping | None =
         prepared = class_weights(prepared, "label", "weight")
         weight = "weight"
     if model_type == "KNN":
-        # lazy learner: the "model" is the prepared training table (written
-        # by save_bundle); prediction is the exact band-join vote
+        # lazy learner: the "model" is an index of the prepared training table,
+        # built once (and written by save_bundle); prediction only reads it
         b.k = int(params.get("n_neighbors", 5))
         # distance ties go to the smallest key, or (without one) to the smallest label
         ident = F.struct(*[F.col(c) for c in key]) if key else F.struct("label", *feats)
-        b.neighbors = cut_lineage(prepared.select(*feats, F.col("label"), ident.alias("_nid")))
+        b.neighbors = build_index(prepared.select(*feats, F.col("label"), ident.alias("_nid")), feats, b.k, "_nid", "label", seed)
         return b, train_df, test_df
     # Spark ML makes many passes over its input (one per tree level or
     # optimizer iteration): keep the assembled training table cached for the
@@ -224,12 +225,10 @@ def predict(b: Bundle, df: DataFrame) -> DataFrame:
     """Adds ``predicted_label`` and, when the model has them,
     ``proba`` (array of class probabilities) and ``p`` (positive class)."""
     if b.model_type == "KNN":
-        from sparkprep.operators.neighbors import knn_shares
         q = _prepare(df, b, with_label=False).withColumn("_qid", F.struct(*[F.col(f).cast("double").alias(f) for f in b.features]))
         # the vote depends on the features alone: rows of one vector share it
         vectors = cut_lineage(q.select("_qid").distinct())
-        votes = knn_shares(b.neighbors, vectors.select("_qid", "_qid.*"), b.features, "label", len(b.classes), k=b.k,
-                           train_key="_nid", query_key="_qid", out="proba")
+        votes = knn_shares(b.neighbors, vectors.select("_qid", "_qid.*"), b.features, len(b.classes), "_qid")
         scored = q.join(votes, "_qid").drop("_qid")
         # the most votes; a tie goes to the smallest class
         scored = scored.withColumn("prediction", (F.array_position("proba", F.array_max("proba")) - 1).cast("double"))
@@ -309,10 +308,10 @@ def write_reports(results: Mapping[str, DataFrame | None], folder: str, tag: str
 
 
 def save_bundle(b: Bundle, path: str) -> None:
-    """Spark ML directory (or, for KNN, the training rows as Parquet) +
+    """Spark ML directory (or, for KNN, the neighbour index as Parquet) +
     JSON side file (names, classes, encoders, scaler)."""
     if b.model_type == "KNN":
-        b.neighbors.write.mode("overwrite").parquet(f"{path}/neighbors")
+        b.neighbors.save(f"{path}/neighbors")
     else:
         b.pipeline.write().overwrite().save(f"{path}/pipeline")
     meta = {"model_type": b.model_type, "target": b.target, "features": b.features,
@@ -335,7 +334,7 @@ def load_bundle(spark, path: str) -> Bundle:
                   None if knn else PipelineModel.load(f"{path}/pipeline"),
                   meta["classes"], OneHotModel(meta["onehot"]) if meta["onehot"] else None,
                   ScalerModel(sc["kind"], sc["center"], sc["scale"]) if sc else None, meta["raw_features"],
-                  spark.read.parquet(f"{path}/neighbors") if knn else None, int(meta.get("k", 5)))
+                  NeighborIndex.load(spark, f"{path}/neighbors") if knn else None, int(meta.get("k", 5)))
 
 
 def score_batch(spark, df: DataFrame, path: str, key: Sequence[str] = ()) -> DataFrame:

@@ -1,8 +1,10 @@
 """Exact kNN against numpy brute force."""
 
 import numpy as np
+import pytest
 
-from sparkprep.operators.neighbors import knn_candidates, knn_neighbors, knn_predict
+from sparkprep.operators import neighbors
+from sparkprep.operators.neighbors import build_index, knn_candidates, knn_neighbors, knn_predict
 
 
 def _brute(tr, q, k):
@@ -82,14 +84,17 @@ def test_knn_ten_features_prunes_and_is_exact(spark):
     d = np.sqrt(((x[n_train:, None, :] - x[None, :n_train, :]) ** 2).sum(-1))
     want = {n_train + i: [int(j) for j in np.argsort(d[i], kind="stable")[:5]] for i in range(n_query)}
     assert {k: [t for _, t in sorted(v)] for k, v in got.items()} == want
-    assert knn_candidates(tdf, qdf, names, 5, "id", "id", "y") < 0.1 * n_train * n_query
+    _, pairs = knn_candidates(build_index(tdf, names, 5, "id", "y"), qdf, names, "id")
+    assert pairs < 0.1 * n_train * n_query
 
 
-def test_knn_rings_of_a_large_cell(spark, monkeypatch):
-    """Cells cut into many rings, copies on both sides, and more neighbours asked for than rows near by."""
-    from sparkprep.operators import neighbors
-    monkeypatch.setattr(neighbors, "RING_ROWS", 8)
-    monkeypatch.setattr(neighbors, "MAX_PIVOTS", 3)
+@pytest.mark.parametrize("few", [True, False])
+def test_knn_deep_tree(spark, monkeypatch, few):
+    """Many levels, copies on both sides, and more neighbours asked for than rows near by; with joins instead of broadcasts, too."""
+    monkeypatch.setattr(neighbors, "LEAF_ROWS", 6)
+    monkeypatch.setattr(neighbors, "FANOUT", 4)
+    if not few:
+        monkeypatch.setattr(neighbors, "MAX_BROADCAST_ROWS", 0)
     tr, q, tdf, qdf = _data(spark, 300, 30, 7)
     twice = qdf.unionByName(qdf.withColumn("id", qdf.id + 5000))
     got = {}
@@ -99,3 +104,33 @@ def test_knn_rings_of_a_large_cell(spark, monkeypatch):
     assert {k: [t for _, t in sorted(v)] for k, v in got.items()} == {**want, **{k + 5000: v for k, v in want.items()}}
     assert knn_neighbors(tdf.limit(3), qdf, ["a", "b", "c"], 40, "id", "id", "y").count() == 3 * 30
     assert knn_neighbors(tdf, qdf.limit(0), ["a", "b", "c"], 4, "id", "id", "y").count() == 0
+
+
+def test_knn_levels_grow_and_candidates_do_not(spark):
+    """The tree grows with the table: candidates per query stay about the same."""
+    rng = np.random.default_rng(11)
+    per_query = []
+    for n in (2_000, 20_000):
+        tdf = spark.createDataFrame([(i, *map(float, v), "a") for i, v in enumerate(rng.random((n, 2)))], "id long, a double, b double, y string")
+        qdf = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(rng.random((100, 2)))], "id long, a double, b double")
+        index = build_index(tdf, ["a", "b"], 5, "id", "y")
+        assert index.rows.count() == n and index.rows.groupBy("_leaf").count().where(f"count > {neighbors.LEAF_ROWS}").count() == 0
+        vectors, pairs = knn_candidates(index, qdf, ["a", "b"], "id")
+        per_query.append(pairs / vectors)
+    assert max(per_query) <= 2 * min(per_query)
+
+
+def test_knn_bundle_builds_its_index_once(spark, monkeypatch, tmp_path):
+    from sparkprep.plans import model
+    builds = []
+    monkeypatch.setattr(model, "build_index", lambda *a, **k: builds.append(1) or build_index(*a, **k))
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(800, 2))
+    df = spark.createDataFrame([(i, float(a), float(b), "in" if a * a + b * b < 1 else "out") for i, (a, b) in enumerate(x)], "id long, a double, b double, t string")
+    b, _, test = model.train(df, "t", "KNN", {"n_neighbors": 7}, key=["id"])
+    model.save_bundle(b, str(tmp_path / "knn"))
+    c = model.load_bundle(spark, str(tmp_path / "knn"))
+    first = {r.id: (r.predicted_label, r.p) for r in model.predict(b, test).collect()}
+    assert first == {r.id: (r.predicted_label, r.p) for r in model.predict(c, test).collect()}
+    assert first == {r.id: (r.predicted_label, r.p) for r in model.predict(c, test).collect()}
+    assert len(builds) == 1 and np.mean([first[r.id][0] == r.t for r in test.collect()]) > 0.9
