@@ -4,6 +4,7 @@ hierarchical residual packing."""
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 
 import numpy as np
@@ -43,19 +44,32 @@ class TokenBytes(dict):
         return ids
 
 
-def encoder(ranks_path: str, pattern: str):
-    """text -> ids as bytes, kept in the worker between tasks."""
+def encoder(ranks_path: str, pattern: str, vocabulary_path: str | None = None):
+    """text -> ids as bytes, kept in the worker between tasks.
+
+    A text that holds one of the added tokens of the vocabulary file is
+    encoded by that file's tokenizer, which gives such a token one id wherever it stands."""
     state = worker_state()
-    if state.get("ranks_path") != ranks_path:
+    if state.get("ranks_path") != ranks_path or state.get("vocabulary_path") != vocabulary_path:
         import tiktoken
 
+        state["added"], state["whole"], state["vocabulary_path"] = None, None, vocabulary_path
+        if vocabulary_path:
+            from tokenizers import Tokenizer
+
+            whole = Tokenizer.from_file(vocabulary_path)
+            added = [t.content for t in whole.get_added_tokens_decoder().values()]
+            state["added"], state["whole"] = re.compile("|".join(map(re.escape, added))) if added else None, whole
+
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         bpe = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         state["ranks_path"], state["cache"], state["bpe"] = ranks_path, TokenBytes(bpe.encode_ordinary), bpe
-    words, bpe = state["cache"], state["bpe"]
+    words, bpe, added, whole = state["cache"], state["bpe"], state["added"], state["whole"]
 
     def encode(text: str) -> bytes:
+        if added and added.search(text):
+            return np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         first, *rest = text.split(" ")
         if all(rest) and not any(w[0].isspace() for w in rest if w[0] < "!" or w[0] > "~"):
             return np.array(bpe.encode_ordinary(first), dtype="<u4").tobytes() + b"".join(map(words.__getitem__, rest))
@@ -116,10 +130,10 @@ def emit(batch: pa.RecordBatch, rows: int = 2048):
 
 
 def tokenize_and_fit(docs: DataFrame, capacity: int, ranks_path: str, pattern: str, flush: int,
-                     id_col: str, text_col: str) -> DataFrame:
+                     id_col: str, text_col: str, vocabulary_path: str | None = None) -> DataFrame:
     """First level: ids, pieces and best fit inside each input partition."""
     def run(batches):
-        encode = encoder(ranks_path, pattern)
+        encode = encoder(ranks_path, pattern, vocabulary_path)
         next_id = TaskContext.get().partitionId() << 32
         rows: list[tuple] = []
 
@@ -170,13 +184,13 @@ def refit(underfull: DataFrame, capacity: int, level: int) -> DataFrame:
 
 
 def pack(docs: DataFrame, capacity: int = 1024, nearly_full: float = 0.998, fan_in: int = 8,
-         rows_per_task: int = 100_000, ranks_path: str | None = None, pattern: str | None = None,
+         rows_per_task: int = 100_000, ranks_path: str | None = None, pattern: str | None = None, vocabulary_path: str | None = None,
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32,
     sequence_id, offset.
 
     A document is its token ids (a byte-level BPE given by ``ranks_path`` and
-    its split ``pattern``) and the end id 2; null and empty texts are the end
+    its split ``pattern``; added tokens by the tokenizer of ``vocabulary_path``, if given) and the end id 2; null and empty texts are the end
     id alone.  A document longer than ``capacity`` is cut so that only its
     first piece may be shorter.  Each input partition packs its pieces by
     best-fit decreasing (at most 2 x ``rows_per_task`` at a time) and emits the bins
@@ -191,7 +205,8 @@ def pack(docs: DataFrame, capacity: int = 1024, nearly_full: float = 0.998, fan_
         import public_tokenizers
 
         ranks_path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    now = cut_lineage(tokenize_and_fit(docs, capacity, ranks_path, pattern, 2 * rows_per_task, id_col, text_col))
+        vocabulary_path = public_tokenizers.path("byte_bpe_50k.json")
+    now = cut_lineage(tokenize_and_fit(docs, capacity, ranks_path, pattern, 2 * rows_per_task, id_col, text_col, vocabulary_path))
     limit = nearly_full * capacity
     parts, level, done, before = max(1, now.rdd.getNumPartitions()), 0, [], None
     while True:

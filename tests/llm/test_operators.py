@@ -253,6 +253,20 @@ def test_packing(spark, odd, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_of_added_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    tok, end = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), "<|endoftext|>"
+    texts = [end, f"end {end} next", f"{end}{end}", f"a{end}b  {end}\n", f" {end}", f"{end} ", "<|endoftext", f"é {end} 漢字", prose(4, 700) + end + prose(5, 700), end * 3000]
+    got = {}
+    for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for k, t in enumerate(texts):
+        ids = tok.encode(t, add_special_tokens=False).ids + [2]
+        assert sum(r.length for r in got[k]) == len(ids)
+        assert all(zlib.crc32(np.array(ids[r.start:r.start + r.length], dtype="<u4").tobytes()) == r.ids_crc32 for r in got[k])
+
+
 def test_quality(spark, odd, empty, labels):
     rows = [(k, prose(k, 150) if k % 2 else " ".join(f"{w.upper()}!!" for w in prose(k, 100).split())) for k in range(400)]
     lab = spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id long, quality int")
