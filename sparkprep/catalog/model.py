@@ -477,6 +477,14 @@ def q_train_dt_sampled(spark, sf):
         F.count(F.lit(1)).alias("n"), (F.avg(right) >= 0.99).alias("mostly_right"))
 
 
+@register("train_dt_sampled_rows")
+def q_train_dt_sampled_rows(spark, sf):
+    """Every row's prediction of the same tree; which leaves are mixed depends on the draws."""
+    b, _, _ = _fit(spark, sf, "DT", {"max_depth": 30, "max_features": "sqrt", "min_samples_leaf": 2,
+                                     "random_state": 2, "class_weight": "balanced"})
+    return _predicted(b, _rule(spark, sf))
+
+
 @register("train_rfc", RULE_PRED_SQL, ["fx_rule"])
 def q_train_rfc(spark, sf):
     b, _, _ = _fit(spark, sf, "RFC", {**TREE, "n_estimators": 5, "max_features": "all", "random_state": 1})
@@ -611,6 +619,46 @@ def q_search_random(spark, sf):
         drawn["maxDepth"].between(1, 5) & drawn["minInstancesPerNode"].isin(1, 2, 5, 10) & fresh).alias("in_space"))
 
 
+@register("search_random_wide", """select cast(range as integer) as setting, 1.0::double as mean_score, true as in_space
+from range(4)""")
+def q_search_random_wide(spark, sf):
+    """Draws from 10^12 listed settings and a range: none of them is listed."""
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.feature import VectorAssembler
+    df = VectorAssembler(inputCols=["x1", "x2", "x3"], outputCol="features").transform(
+        _rule(spark, sf).withColumn("label", F.col("y").cast("double")))
+    space = {"maxBins": range(64, 1064), "minInstancesPerNode": range(1, 1001), "seed": range(10**6),
+             "minInfoGain": M.Range(1e-9, 1e-3, log=True)}
+    scores, _ = M.random_search(df, DecisionTreeClassifier(maxDepth=3), space, n_iter=4, k=3, seed=2, key=RULE_KEY)
+    drawn = F.from_json("params", "maxBins int, minInstancesPerNode int, seed int, minInfoGain double")
+    return scores.select("setting", F.round("mean_score", 9).alias("mean_score"), (
+        drawn["maxBins"].between(64, 1063) & drawn["minInstancesPerNode"].between(1, 1000) & drawn["seed"].between(0, 999_999)
+        & drawn["minInfoGain"].between(1e-9, 1e-3)).alias("in_space"))
+
+
+@register("learning_curve_forest")
+def q_learning_curve_forest(spark, sf):
+    """The curve of a forest, with means and deviations as they come."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+    df = VectorAssembler(inputCols=["x1", "x2", "x3"], outputCol="features").transform(
+        _rule(spark, sf).withColumn("label", F.col("y").cast("double")))
+    return M.learning_curve(df, RandomForestClassifier(numTrees=5, maxBins=64), [100, 1000, 5000], k=3, key=RULE_KEY)
+
+
+@register("compare_models_trained", """
+select model, 1.0::double as accuracy, 1.0::double as f1_weighted, 1 as rank_accuracy, 1 as rank_f1_weighted, true as best
+from (values ('DT'), ('LR')) t(model)
+""")
+def q_compare_models_trained(spark, sf):
+    """Two models, each trained on the rule."""
+    rows = []
+    for kind, params in [("DT", TREE), ("LR", {})]:
+        b, _, test = M.train(_rule(spark, sf), "y", kind, params, key=RULE_KEY, split=True, seed=2)
+        rows.append(M.evaluate(b, test, key=RULE_KEY, name=kind)["scores"])
+    return _r(M.compare_models(rows, ["accuracy", "f1_weighted"]), ["accuracy", "f1_weighted"])
+
+
 @register("learning_curve", """select size, 1.0::double as train_mean, true as valid_ok
 from (values (100), (1000), (5000)) t(size)""")
 def q_learning_curve(spark, sf):
@@ -695,6 +743,30 @@ def q_shapley_linear(spark, sf):
     return _r(sv, ["shap_value", "base", "fx"], 9)
 
 
+@register("shapley_kernel", f"""
+with t as (select o_orderkey as id, o_totalprice / 1000 as x1, cast(o_custkey as double) as x2,
+  cast((o_orderkey * 37) % 101 as double) as x3 from orders),
+ex as (select * from t order by {_h('id', 11)}, id limit 50),
+bg as (select x1 as b1, x2 as b2, x3 as b3 from t order by {_h('id', 12)}, id limit 100),
+v as (
+  select id, x1 * x2 + 2.0 * x3 as v123, avg(b1 * b2 + 2.0 * b3) as v0, avg(x1 * b2 + 2.0 * b3) as v1, avg(b1 * x2 + 2.0 * b3) as v2,
+         avg(b1 * b2 + 2.0 * x3) as v3, x1 * x2 + avg(2.0 * b3) as v12, avg(x1 * b2) + 2.0 * x3 as v13, avg(b1 * x2) + 2.0 * x3 as v23
+  from ex, bg group by id, x1, x2, x3),
+s as (
+  select id, v0 as base, v123 as fx, unnest(['x1', 'x2', 'x3']) as feature,
+         unnest([(v1 - v0) / 3 + (v12 - v2) / 6 + (v13 - v3) / 6 + (v123 - v23) / 3,
+                 (v2 - v0) / 3 + (v12 - v1) / 6 + (v23 - v3) / 6 + (v123 - v13) / 3,
+                 (v3 - v0) / 3 + (v13 - v1) / 6 + (v23 - v2) / 6 + (v123 - v12) / 3]) as shap_value from v)
+select id, feature, round(shap_value, 5) as shap_value, round(base, 5) as base, round(fx, 5) as fx from s
+""")
+def q_shapley_kernel(spark, sf):
+    """Weighted least squares over all coalitions, against the exact values of a score with an interaction."""
+    t = _shap_table(spark, sf)
+    explain, background = X.sample_n(t, 50, 11, ["id"]), X.sample_n(t, 100, 12, ["id"])
+    score = lambda df: df.withColumn("score", F.col("x1") * F.col("x2") + 2.0 * F.col("x3"))
+    return _r(E.kernel_shapley_values(score, explain, background, SHAP_FEATS, "id", bg_key=["id"]), ["shap_value", "base", "fx"], 5)
+
+
 @register("shapley_importance", f"""with {SHAP_SQL}
 select feature, round(avg(abs(shap_value)), 9) as shap_feature_importance from sv group by feature
 """)

@@ -18,9 +18,13 @@ rows x samples x (features + 1).
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Callable, Sequence
 from functools import reduce
+from itertools import combinations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,6 +114,110 @@ def shapley_values(score: Callable[[DataFrame], DataFrame], explain: DataFrame,
         *[f"_a.{c}" for c in by], "feature", "shap_value", "base", "fx")
 
 
+def kernel_coalitions(n_features: int, n_coalitions: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(coalitions as rows of 0 and 1, their kernel weights), never empty or full.
+
+    All of them if there are no more than ``n_coalitions``.  Otherwise sizes
+    are taken whole from the outside in, as they weigh most, while they fit;
+    the rest is drawn by size, each with its complement, and shares the
+    weight of the sizes that are left."""
+    m, rng = n_features, np.random.default_rng(seed)
+    if m > 62:
+        raise ValueError(f"{m} features, over the 62 that coalitions are made of")
+    weight = {s: (m - 1) / (s * (m - s)) for s in range(1, m)}  # of all coalitions of a size together
+    rows, weights, left = [], [], dict(weight)
+    for s in range(1, m // 2 + 1):
+        sizes = sorted({s, m - s})
+        n = sum(math.comb(m, t) for t in sizes)
+        if len(rows) + n > n_coalitions:
+            break
+        for t in sizes:
+            rows += [sum(1 << j for j in c) for c in combinations(range(m), t)]
+            weights += [weight[t] / math.comb(m, t)] * math.comb(m, t)
+            left.pop(t)
+    if left:
+        sizes = sorted(left)
+        p = np.array([left[t] for t in sizes])
+        drawn = Counter()
+        while len(drawn) < max(2, n_coalitions - len(rows)) and sum(drawn.values()) < 20 * n_coalitions:
+            c = sum(1 << int(j) for j in rng.permutation(m)[:rng.choice(sizes, p=p / p.sum())])
+            drawn.update([c, (1 << m) - 1 - c])
+        each = sum(left.values()) / sum(drawn.values())
+        rows += list(drawn)
+        weights += [each * n for n in drawn.values()]
+    z = np.array([[c >> j & 1 for j in range(m)] for c in rows], dtype=float).reshape(len(rows), m)
+    return z, np.array(weights)
+
+
+def kernel_solution(z: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(g, h): Shapley value j = sum over coalitions of g[., j] * (value - base) + h[j] * (fx - base).
+
+    The weighted least squares with the last value fixed by the sum of all.
+    The coalitions are the same for every row, so one solution of the normal equations serves all rows."""
+    m = z.shape[1]
+    if m == 1:
+        return np.zeros((len(z), 1)), np.ones(1)
+    x = z[:, :-1] - z[:, -1:]
+    solve = np.linalg.pinv((x * weights[:, None]).T @ x) @ (x * weights[:, None]).T  # (m - 1) x coalitions
+    h = -solve @ z[:, -1]
+    return np.concatenate([solve, -solve.sum(axis=0, keepdims=True)]).T, np.append(h, 1 - h.sum())
+
+
+def kernel_shapley_values(score: Callable[[DataFrame], DataFrame], explain: DataFrame, background: DataFrame,
+                          features: Sequence[str], id_col: str, n_coalitions: int = 2048, seed: int = 0,
+                          bg_key: Sequence[str] | None = None, score_col: str = "score",
+                          classes: Sequence[str | None] | None = None) -> DataFrame:
+    """E2 by weighted least squares: the same columns as :func:`shapley_values`.
+
+    A coalition's value is the mean output over the whole background with the
+    coalition's features set to the row's.  With ``n_coalitions`` of at least
+    2 ** features - 2 the result is exact, otherwise coalitions are sampled by
+    their kernel weight (:func:`kernel_coalitions`).
+
+    rows x coalitions x background rows are made by ``explode`` and an
+    equi-join on the background's row number, scored in one pass and averaged
+    by a grouped sum; a second grouped sum applies the solved equations,
+    whose coefficients are a table of coalitions x features.  Nothing is gathered per row.  The background must be a bounded
+    sample, as every row meets all of it.
+    """
+    feats = list(features)
+    z, weights = kernel_coalitions(len(feats), n_coalitions, seed)
+    g, h = kernel_solution(z, weights)
+    bg = index_background(background.select(*(bg_key or []), *feats), bg_key or feats, seed)
+    b_count = bg.count()
+    if b_count == 0:
+        raise ValueError("empty background sample")
+    bg = bg.select("_bg", *[F.col(f).alias(f"_b_{f}") for f in feats])
+    spark = explain.sparkSession
+    masks = [int(sum(1 << j for j in range(len(feats)) if r[j])) for r in z] + [0, (1 << len(feats)) - 1]
+    coalitions = F.broadcast(spark.createDataFrame(list(enumerate(masks)), "_z int, _mask long"))
+    rows = explain.select(id_col, *feats).withColumn("_z", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1)))).join(coalitions, "_z")
+    full = F.col("_mask") == masks[-1]  # needs no background
+    rows = rows.withColumn("_bg", F.explode(F.when(full, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(b_count - 1)))))
+    paired = rows.join(F.broadcast(bg) if b_count <= MAX_BROADCAST_BACKGROUND else bg, "_bg")
+    own = {f: F.col("_mask").bitwiseAND(F.lit(1 << j)) != 0 for j, f in enumerate(feats)}
+    scored = score(paired.select(id_col, "_z", *[F.when(own[f], F.col(f)).otherwise(F.col(f"_b_{f}")).alias(f) for f in feats]))
+    by = [id_col]
+    if classes is None:
+        scored = scored.select(id_col, "_z", F.col(score_col).cast("double").alias("_f"))
+    else:
+        by = [id_col, "class"]
+        names = F.array(*[F.lit(c).cast("string") for c in classes])
+        scored = scored.select(id_col, "_z", F.posexplode(score_col).alias("_o", "_f")).select(
+            id_col, F.element_at(names, F.col("_o") + 1).alias("class"), "_z", F.col("_f").cast("double").alias("_f"))
+    value = scored.groupBy(*by, "_z").agg(F.avg("_f").alias("_v"))
+    factors = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(g)], "_z int, _g array<double>")
+    value = value.join(F.broadcast(factors), "_z", "left")
+    none, all_ = F.col("_z") == len(z), F.col("_z") == len(z) + 1
+    sums = value.groupBy(*by).agg(
+        F.max(F.when(none, F.col("_v"))).alias("base"), F.max(F.when(all_, F.col("_v"))).alias("fx"),
+        *[F.coalesce(F.sum(F.col("_v") * F.col("_g")[j]), F.lit(0.0)).alias(f"_s{j}") for j in range(len(feats))])
+    spare = [float(v) for v in g.sum(axis=0)]
+    parts = [F.struct(F.lit(f).alias("feature"), (F.col(f"_s{j}") - F.lit(spare[j]) * F.col("base")
+                                                  + F.lit(float(h[j])) * (F.col("fx") - F.col("base"))).alias("shap_value")) for j, f in enumerate(feats)]
+    return sums.select(*by, "base", "fx", F.inline(F.array(*parts))).select(*by, "feature", "shap_value", "base", "fx")
+
+
 def shapley_importance(sv: DataFrame) -> DataFrame:
     """Mean absolute Shapley value per feature, descending."""
     return (sv.groupBy("feature").agg(F.avg(F.abs("shap_value")).alias("shap_feature_importance"))

@@ -9,6 +9,7 @@ sizes), never over data rows.
 from __future__ import annotations
 
 import json
+import math
 import random
 import time
 from collections.abc import Mapping, Sequence
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkprep.operators import evaluate as V
-from sparkprep.operators.explain import shapley_values
+from sparkprep.operators.explain import kernel_shapley_values, shapley_values
 from sparkprep.operators.features import (OneHotModel, ScalerModel, check_features, class_weights,
                                           fit_one_hot, fit_scaler)
 from sparkprep.operators.neighbors import NeighborIndex, build_index, knn_shares
@@ -126,7 +127,7 @@ class Bundle:
     # KNN keeps an index of its (prepared) training rows instead of a fitted stage
     neighbors: NeighborIndex | None = None
     k: int = 5
-    # (family, params, score) of every setting the automatic choice tried
+    # every setting the automatic choice tried
     trials: list = field(default_factory=list)
 
     @property
@@ -354,20 +355,82 @@ SPARK_NAMES = {"max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode
 METRICS = {"roc_auc": "areaUnderROC", "average_precision": "areaUnderPR", "f1_weighted": "f1"}
 
 
-def _grid(est, space: Mapping[str, Sequence]):
-    """All settings of a search space (the reference's names or Spark's); a
-    name the estimator lacks is an error."""
-    g = ParamGridBuilder()
+@dataclass(frozen=True)
+class Range:
+    """A continuous range of a parameter, on a log scale or of whole numbers if asked for."""
+    low: float
+    high: float
+    log: bool = False
+    whole: bool = False
+
+    def at(self, u: float):
+        """The value at a share ``u`` of the way from low to high."""
+        low, high = (math.log(self.low), math.log(self.high)) if self.log else (self.low, self.high)
+        v = low + u * (high - low)
+        v = math.exp(v) if self.log else v
+        return int(min(self.high, max(self.low, round(v)))) if self.whole else float(min(self.high, max(self.low, v)))
+
+    def share(self, value) -> float:
+        """The inverse of :meth:`at`."""
+        scale = math.log if self.log else float
+        width = scale(self.high) - scale(self.low)
+        return (scale(value) - scale(self.low)) / width if width else 0.0
+
+
+def _axes(est, space: Mapping[str, Sequence | Range]) -> list:
+    """(parameter, values or range) of a search space (the reference's names
+    or Spark's); a name the estimator lacks is an error."""
+    axes = []
     for name, values in space.items():
         spark_name = SPARK_NAMES.get(name, name)
         if not est.hasParam(spark_name):
             raise ValueError(f"{type(est).__name__} has no counterpart for {name!r}")
-        if spark_name == "maxDepth" and max(values) > MAX_TREE_DEPTH:
-            raise ValueError(f"max_depth {max(values)} is beyond Spark ML's limit of {MAX_TREE_DEPTH}")
-        g = g.addGrid(est.getParam(spark_name), [str(v) for v in values] if spark_name == "featureSubsetStrategy" else list(values))
+        ranged = isinstance(values, Range)
+        if spark_name == "maxDepth" and (values.high if ranged else max(values)) > MAX_TREE_DEPTH:
+            raise ValueError(f"max_depth {values.high if ranged else max(values)} is beyond Spark ML's limit of {MAX_TREE_DEPTH}")
+        if not ranged:
+            values = [str(v) for v in values] if spark_name == "featureSubsetStrategy" else values if isinstance(values, range) else list(values)
+        axes.append((est.getParam(spark_name), values))
+    return axes
+
+
+def _grid(est, space: Mapping[str, Sequence]):
+    """All settings of a search space."""
+    g = ParamGridBuilder()
+    for param, values in _axes(est, space):
+        g = g.addGrid(param, values)
     return g.build()
 
 
+def draw_settings(est, space: Mapping[str, Sequence | Range], n: int, seed) -> list:
+    """``n`` seeded settings of a space that is never listed.
+
+    The listed values of all parameters make a number in mixed radix: a draw is
+    one index, none is drawn twice unless a parameter has a range.  If there are no more than ``n``
+    of them (and no range), all are returned in order."""
+    axes = _axes(est, space)
+    listed = [(p, v) for p, v in axes if not isinstance(v, Range)]
+    ranged = [(p, v) for p, v in axes if isinstance(v, Range)]
+    total = math.prod(len(v) for _, v in listed)
+    rng = random.Random(seed)
+    if ranged:
+        picks = [rng.randrange(total) for _ in range(n)] if total else []
+    elif total <= n:
+        picks = range(total)
+    else:
+        picks = {}
+        while len(picks) < n:
+            picks[rng.randrange(total)] = None
+    out = []
+    for index in picks:
+        m = {}
+        for param, values in listed:
+            index, at = divmod(index, len(values))
+            m[param] = values[at]
+        out.append({**m, **{param: r.at(rng.random()) for param, r in ranged}})
+    return out
+
+
 def _evaluator(metric: str, is_clf: bool = True):
     metric = METRICS.get(metric, metric)
     if metric in ("areaUnderROC", "areaUnderPR"):
@@ -396,12 +459,11 @@ def grid_search(df: DataFrame, est, space: Mapping[str, Sequence], k: int = 3, m
     return _score_table(df, maps, cvm.avgMetrics), cvm.bestModel
 
 
-def random_search(df: DataFrame, est, space: Mapping[str, Sequence], n_iter: int = 100, k: int = 3,
+def random_search(df: DataFrame, est, space: Mapping[str, Sequence | Range], n_iter: int = 100, k: int = 3,
                   metric: str = "f1", seed: int = 2, key: Sequence[str] = ()) -> tuple[DataFrame, object]:
-    """``n_iter`` settings drawn (seeded, without repetition) from the grid."""
-    maps = _grid(est, space)
-    rng = random.Random(seed)
-    chosen = rng.sample(maps, min(n_iter, len(maps)))
+    """``n_iter`` settings drawn (seeded, without repetition) from lists
+    and ranges of values (:func:`draw_settings`)."""
+    chosen = draw_settings(est, space, n_iter, seed)
     cvm = _cv(est, chosen, k, metric, seed).fit(_folded(df, k, seed, key))
     return _score_table(df, chosen, cvm.avgMetrics), cvm.bestModel
 
@@ -439,16 +501,31 @@ def learning_curve(df: DataFrame, est, sizes: Sequence[int], k: int = 5, seed: i
                                    F.avg("valid").alias("valid_mean"), F.stddev_pop("valid").alias("valid_std"))
 
 
+_DEPTH, _LEAF = Range(2, 20, whole=True), Range(1, 64, log=True, whole=True)
+_LINEAR = {"regParam": Range(1e-6, 1.0, log=True), "elasticNetParam": Range(0.0, 1.0)}
+_TREE = {"maxDepth": _DEPTH, "minInstancesPerNode": _LEAF}
+_FOREST = {"numTrees": Range(4, 64, log=True, whole=True), "maxDepth": Range(3, 15, whole=True), "minInstancesPerNode": _LEAF}
 AUTO_SPACES = {
-    # candidate families and parameter values for the budgeted search (fixed values)
-    "clf": [("LR", {"regParam": [0.0, 0.01, 0.1]}),
-            ("DT", {"maxDepth": [3, 5, 8, 12]}),
-            ("RFC", {"numTrees": [10, 30], "maxDepth": [5, 8]})],
-    "reg": [("DTR", {"maxDepth": [3, 5, 8, 12]}),
-            ("LinReg", {"regParam": [0.0, 0.01, 0.1]}),
-            ("RFR", {"numTrees": [10, 30], "maxDepth": [5, 8]})],
+    # candidate families of the budgeted search: a cheap first setting, the ranges (fixed values)
+    "clf": [("LR", {"regParam": 0.0}, _LINEAR), ("DT", {"maxDepth": 3}, _TREE), ("RFC", {"numTrees": 5, "maxDepth": 5}, _FOREST)],
+    "reg": [("DTR", {"maxDepth": 3}, _TREE), ("LinReg", {"regParam": 0.0}, _LINEAR), ("RFR", {"numTrees": 5, "maxDepth": 5}, _FOREST)],
 }
-AUTO_BINS = 128  # candidate thresholds per feature of the tree families (fixed value)
+AUTO_BINS = 128    # candidate thresholds per feature of the tree families (fixed value)
+AUTO_ROWS = 10_000  # rows of the first sample (fixed value)
+AUTO_CLASS = 500    # rows of a class that every sample has, if there are as many (fixed value)
+AUTO_GROWTH = 4     # times the rows from one rung to the next; one of three settings goes on (fixed value)
+AUTO_DRAWS = 2      # drawn settings per family beside the first (fixed value)
+
+
+@dataclass(frozen=True)
+class Trial:
+    """One setting scored on one sample."""
+    rung: int
+    family: str
+    params: str
+    rows: int
+    seconds: float
+    score: float
 
 
 def _family(name):
@@ -457,40 +534,88 @@ def _family(name):
             "DTR": DecisionTreeRegressor(maxBins=AUTO_BINS), "RFR": RandomForestRegressor(maxBins=AUTO_BINS)}[name]
 
 
+def _near(space: Mapping[str, Range], params: Mapping, rng: random.Random, step: float = 0.15) -> dict:
+    """A setting a step away from ``params`` in a random direction."""
+    out = dict(params)
+    for name, r in space.items():
+        u = r.share(max(r.low, min(r.high, params[name]))) if name in params else 0.0
+        out[name] = r.at(min(1.0, max(0.0, u + rng.uniform(-step, step))))
+    return out
+
+
 def auto_search(df: DataFrame, feats: Sequence[str], is_clf: bool, budget_s: float = 30, seed: int = 2,
                 k: int = 3, assembled: bool = False, metric: str | None = None, weight: str | None = None,
-                key: Sequence[str] = ()):
-    """M7 / M8: try Spark ML families x settings by k-fold CV until the time
-    budget is spent; return the best (unfitted) estimator and the trial table.
+                key: Sequence[str] = ()) -> tuple[object, list[Trial]]:
+    """M7 / M8: a cost-frugal search over families of Spark ML models and real
+    parameter ranges until the time budget is spent; returns the best
+    (unfitted) estimator and the trials.
+
+    Successive halving: the first rung scores, by k-fold CV on a small sample,
+    each family's cheap first setting and some drawn ones.  The best third
+    goes on to the next rung, with ``AUTO_GROWTH`` times the rows, and so does
+    a setting a step away from the leader; the last rung is the whole table.  Samples are nested
+    and chosen by a hash, rare classes keep ``AUTO_CLASS`` rows.  No fit begins after
+    the budget (but the first).  The result is the best setting of the
+    largest sample that was reached; a tie goes to the one tried first.
 
     ``metric``: ``roc_auc`` by default for two classes, weighted F1 for more,
-    RMSE for a number.  The first best setting wins a tie.  All settings see
-    the same folds."""
+    RMSE for a number.  All settings of a rung see the same folds."""
     if not assembled:
         df = VectorAssembler(inputCols=list(feats), outputCol="features", handleInvalid="keep").transform(df)
     deadline = time.monotonic() + budget_s
+    classes = class_counts(df, "label") if is_clf else {}
     if metric is None:
-        metric = "rmse" if not is_clf else "roc_auc" if len(class_counts(df, "label")) == 2 else "f1"
-    larger = _evaluator(metric, is_clf).isLargerBetter()
-    folded = _folded(df, k, seed, key).persist(StorageLevel.MEMORY_AND_DISK)
-    best, best_score, trials = None, None, []
+        metric = "rmse" if not is_clf else "roc_auc" if len(classes) == 2 else "f1"
+    sign = 1 if _evaluator(metric, is_clf).isLargerBetter() else -1
+    by = list(key) or [F.to_json(F.struct(vector_to_array("features").alias("f"), "label"))]
+    folded = _folded(df, k, seed, key).withColumn("_u", F.pmod(F.xxhash64(*by, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40))
+    folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
+    rng, trials, best = random.Random(seed), [], None
+    spaces = {fam: space for fam, _, space in AUTO_SPACES["clf" if is_clf else "reg"]}
     try:
-        for fam, space in AUTO_SPACES["clf" if is_clf else "reg"]:
-            est = _family(fam).setLabelCol("label").setFeaturesCol("features")
-            if weight:
-                est = est.setWeightCol(weight)
-            for m in _grid(est, space):
-                if time.monotonic() > deadline and best is not None:
+        total = folded.count()
+        todo = [(fam, first) for fam, first, _ in AUTO_SPACES["clf" if is_clf else "reg"]]
+        todo += [(fam, {name: r.at(rng.random()) for name, r in space.items()}) for _ in range(AUTO_DRAWS) for fam, space in spaces.items()]
+        rung, share = 0, min(1.0, AUTO_ROWS / max(total, 1))
+        while todo:
+            least = {c: AUTO_CLASS / n for c, n in classes.items() if n}
+            keep = F.lit(share)
+            for c, s in least.items():
+                keep = F.when(F.col("label") == F.lit(float(c)), F.lit(max(share, min(1.0, s)))).otherwise(keep)
+            sample = folded if share >= 1 else folded.where(F.col("_u") < keep).persist(StorageLevel.MEMORY_AND_DISK)
+            rows, scored = (total if share >= 1 else sample.count()), []
+            for fam, params in todo:
+                if time.monotonic() > deadline and trials:
                     break
-                s = _cv(est, [m], k, metric, seed, is_clf).fit(folded).avgMetrics[0]
-                trials.append((fam, json.dumps({p.name: v for p, v in m.items()}, sort_keys=True), float(s)))
-                if best_score is None or (s > best_score if larger else s < best_score):
-                    best, best_score = est.copy(m), s
+                est = _family(fam).setLabelCol("label").setFeaturesCol("features")
+                est = est.setWeightCol(weight) if weight else est
+                m = {est.getParam(name): v for name, v in params.items()}
+                began = time.monotonic()
+                s = float(_cv(est, [m], k, metric, seed, is_clf).fit(sample).avgMetrics[0])
+                trials.append(Trial(rung, fam, json.dumps(params, sort_keys=True), rows, time.monotonic() - began, s))
+                scored.append((sign * s, fam, params, est.copy(m)))
+            if share < 1:
+                sample.unpersist()
+            scored.sort(key=lambda e: -e[0])
+            if scored:
+                best = scored[0][3]
+            if share >= 1 or time.monotonic() > deadline:
+                break
+            todo = [(fam, params) for _, fam, params, _ in scored[:max(1, -(-len(scored) // 3))]]
+            leader, params = todo[0]
+            todo.append((leader, _near(spaces[leader], params, rng)))
+            rung, share = rung + 1, min(1.0, share * AUTO_GROWTH)
     finally:
         folded.unpersist()
     return best, trials
 
 
+def trial_table(spark, trials: Sequence[Trial]) -> DataFrame:
+    """(rung, family, params, rows, seconds, score) of an automatic choice, in the order tried."""
+    rows = [(i, t.rung, t.family, t.params, t.rows, t.seconds, t.score) for i, t in enumerate(trials)]
+    return spark.createDataFrame(rows, "trial int, rung int, family string, params string, rows long, seconds double, score double")
+
+
 LOWER_IS_BETTER = ("log_loss", "mae", "mse", "rmse")
 
 
@@ -507,10 +632,11 @@ def compare_models(score_tables: Sequence[DataFrame], metrics: Sequence[str]) ->
 
 
 def shapley_model(b: Bundle, explain: DataFrame, background: DataFrame, id_col: str, n_samples: int = 10,
-                  seed: int = 0, bg_key: Sequence[str] | None = None) -> DataFrame:
+                  seed: int = 0, bg_key: Sequence[str] | None = None, kernel: bool = False) -> DataFrame:
     """E2 on a trained model: (id, class, feature, shap_value, base, fx) with
     one result per class of a classifier with probabilities (a regressor's
-    class is NULL).  The features are the raw ones, before encoding and scaling."""
+    class is NULL).  The features are the raw ones, before encoding and scaling.
+    ``kernel``: by weighted least squares over up to ``n_samples`` coalitions."""
     classes = [str(c) for c in b.classes] if b.is_classifier else [None]
 
     def score(df: DataFrame) -> DataFrame:
@@ -519,7 +645,8 @@ def shapley_model(b: Bundle, explain: DataFrame, background: DataFrame, id_col:
             raise ValueError(f"{b.model_type} has no class probabilities to explain")
         return out.withColumn("score", F.col("proba") if b.is_classifier else F.array(F.col("prediction").cast("double")))
 
-    return shapley_values(score, explain, background, b.raw_features, id_col, n_samples, seed, bg_key, classes=classes)
+    solve = kernel_shapley_values if kernel else shapley_values
+    return solve(score, explain, background, b.raw_features, id_col, n_samples, seed, bg_key, classes=classes)
 
 
 def set_sizes(split_df: DataFrame, split_col: str = "split") -> DataFrame:

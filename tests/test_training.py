@@ -1,11 +1,16 @@
 """Training input checks, kNN probabilities, searches and Shapley values of trained models."""
 
+import math
+from itertools import combinations
+
+import numpy as np
 import pytest
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from sparkprep.operators import features as Fe
+from sparkprep.operators.explain import kernel_shapley_values
 from sparkprep.plans import model as M
 
 
@@ -94,3 +99,82 @@ def test_shapley_of_a_regressor_and_of_three_classes(spark):
     r, _, _ = M.train(num, "yr", "RFR", {"n_estimators": 2, "max_depth": 4}, key=["id"], split=False)
     out = M.shapley_model(r, num.where("id < 5"), num.where("id >= 200"), "id", n_samples=4, bg_key=["id"])
     assert out.count() == 5 and out.where("class is not null").count() == 0
+
+
+def test_draws_of_a_space_that_is_never_listed(spark):
+    est = DecisionTreeClassifier()
+    space = {"max_depth": range(1, 11), "min_samples_leaf": range(1, 10**6 + 1), "random_state": range(10**6)}
+    drawn = [{p.name: v for p, v in m.items()} for m in M.draw_settings(est, space, 500, 1)]
+    assert len({tuple(m.values()) for m in drawn}) == 500
+    assert all(1 <= m["maxDepth"] <= 10 and 1 <= m["minInstancesPerNode"] <= 10**6 and 0 <= m["seed"] < 10**6 for m in drawn)
+    assert {m["maxDepth"] for m in drawn} == set(range(1, 11))
+    assert M.draw_settings(est, space, 500, 1) == M.draw_settings(est, space, 500, 1) != M.draw_settings(est, space, 500, 2)
+    few = M.draw_settings(est, {"max_depth": [1, 2], "min_samples_leaf": [1, 5]}, 100, 0)
+    assert len({tuple(m.values()) for m in few}) == len(few) == 4
+    ranged = M.draw_settings(est, {"minInfoGain": M.Range(1e-6, 1e-2, log=True), "max_depth": M.Range(2, 4, whole=True)}, 200, 0)
+    gains = [v for m in ranged for p, v in m.items() if p.name == "minInfoGain"]
+    assert 0.3 < np.mean([g < 1e-4 for g in gains]) < 0.7 and min(gains) >= 1e-6
+    assert {v for m in ranged for p, v in m.items() if p.name == "maxDepth"} == {2, 3, 4}
+    with pytest.raises(ValueError):
+        M.draw_settings(est, {"max_depth": M.Range(2, 99, whole=True)}, 3, 0)
+
+
+def test_automatic_choice_grows_the_sample_for_the_leaders(spark, monkeypatch):
+    monkeypatch.setattr(M, "AUTO_ROWS", 150)
+    monkeypatch.setattr(M, "AUTO_CLASS", 20)
+    monkeypatch.setattr(M, "AUTO_SPACES", {**M.AUTO_SPACES, "clf": M.AUTO_SPACES["clf"][:2]})
+    rng = np.random.default_rng(0)
+    rows = [(i, float(a), float(b), float((a > 0) != (b > 0)) if i % 40 else 2.0) for i, (a, b) in enumerate(rng.normal(size=(1200, 2)))]
+    df = spark.createDataFrame(rows, "id long, a double, b double, label double")
+    est, trials = M.auto_search(df, ["a", "b"], True, budget_s=600, key=["id"])
+    rungs = sorted({t.rung for t in trials})
+    assert rungs == [0, 1, 2]
+    sizes = [{t.rows for t in trials if t.rung == r} for r in rungs]
+    assert all(len(s) == 1 for s in sizes) and 150 < min(sizes[0]) < 260 and min(sizes[1]) > 2 * min(sizes[0]) and sizes[2] == {1200}
+    assert [sum(t.rung == r for t in trials) for r in rungs] == [6, 3, 2]
+    last = [t for t in trials if t.rung == 2]
+    assert max(t.score for t in last) > 0.9 and type(est).__name__ == "DecisionTreeClassifier"
+    assert M.trial_table(spark, trials).where("seconds > 0").count() == len(trials)
+    _, short = M.auto_search(df, ["a", "b"], True, budget_s=0, key=["id"])
+    assert len(short) == 1
+
+
+@pytest.mark.parametrize("n_coalitions", [62, 30])
+def test_kernel_shapley_values(spark, n_coalitions):
+    rng = np.random.default_rng(1)
+    x, bg = rng.normal(size=(5, 6)), rng.normal(size=(12, 6))
+    names = [f"x{i}" for i in range(6)]
+    frame = lambda v: spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(v)], "id long, " + ", ".join(f"{n} double" for n in names))
+    c = [F.col(n) for n in names]
+    two = lambda df: df.withColumn("score", F.array(c[0] * c[1] + c[2] * c[2] - 3 * c[3], c[4] * 1.0))
+    fn = lambda v: np.stack([v[:, 0] * v[:, 1] + v[:, 2] ** 2 - 3 * v[:, 3], v[:, 4]])
+
+    def value(row, s):
+        v = bg.copy()
+        v[:, list(s)] = row[list(s)]
+        return fn(v).mean(axis=1)
+
+    got = {}
+    for r in kernel_shapley_values(two, frame(x), frame(bg), names, "id", n_coalitions, bg_key=["id"], classes=["a", "b"]).collect():
+        got.setdefault((r.id, r["class"]), {})[r.feature] = r
+    assert len(got) == 10
+    for (i, k), parts in got.items():
+        want = np.zeros((2, 6))
+        for size in range(6):
+            for s in combinations(range(6), size):
+                for j in set(range(6)) - set(s):
+                    want[:, j] += math.factorial(size) * math.factorial(5 - size) / 720 * (value(x[i], [*s, j]) - value(x[i], s))
+        mine = [parts[n].shap_value for n in names]
+        assert abs(sum(mine) - (parts["x0"].fx - parts["x0"].base)) < 1e-9
+        if n_coalitions == 62:
+            assert np.allclose(mine, want["ab".index(k)], atol=1e-9)
+        else:
+            assert np.allclose(mine, want["ab".index(k)], atol=1.0)
+
+
+def test_kernel_shapley_of_a_model(spark):
+    num = _table(spark).select("id", "a", (F.col("a") * 2).alias("b"), (F.col("a") * 2).alias("yr"))
+    r, _, _ = M.train(num, "yr", "RFR", {"n_estimators": 2, "max_depth": 4}, key=["id"], split=False)
+    out = M.shapley_model(r, num.where("id < 5"), num.where("id >= 280"), "id", n_samples=100, bg_key=["id"], kernel=True)
+    sums = out.groupBy("id").agg(F.sum("shap_value").alias("s"), F.first("base").alias("b"), F.first("fx").alias("f"))
+    assert out.count() == 10 and sums.where(F.abs(F.col("s") - F.col("f") + F.col("b")) > 1e-9).count() == 0
