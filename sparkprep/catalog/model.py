@@ -511,6 +511,25 @@ def q_train_svm(spark, sf):
     return _predicted(b, _rule(spark, sf))
 
 
+@register("train_svm_ring", """select kernel, (select count(*) from orders) as n, kernel = 'rbf' as learned
+from (values ('linear'), ('rbf')) k(kernel)""")
+def q_train_svm_ring(spark, sf):
+    """A rule no plane can part, y = inside a circle: learned with Fourier features, saved and read again."""
+    o = table(spark, sf, "orders")
+    t = o.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") * 37 % 101 / 100).alias("x1"), (F.col("o_custkey") * 53 % 97 / 96).alias("x2"))
+    inside = F.pow(F.col("x1") - 0.5, F.lit(2)) + F.pow(F.col("x2") - 0.5, F.lit(2)) < 0.1
+    t = t.withColumn("y", inside.cast("int"))
+    parts = []
+    for kernel in ("linear", "rbf"):
+        b, _, _ = M.train(t, "y", "SVM", {"kernel": kernel, "C": 10.0, "max_iter": 30, **({"n_components": 128} if kernel == "rbf" else {})}, key=["id"], split=False, seed=2)
+        path = shared_path(spark, "bundle")
+        M.save_bundle(b, path)
+        right = F.avg((F.col("predicted_label").cast("int") == F.col("y")).cast("double"))
+        parts.append(M.predict(M.load_bundle(spark, path), t).agg(
+            F.lit(kernel).alias("kernel"), F.count(F.lit(1)).alias("n"), (right >= 0.95).alias("learned")))
+    return parts[0].unionByName(parts[1])
+
+
 @register("auto_classification", RULE_PRED_SQL, ["fx_rule"])
 def q_auto_classification(spark, sf):
     b, _, _ = _fit(spark, sf, "Auto-Classification", {"time_budget": 10})

@@ -20,7 +20,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -42,7 +42,7 @@ MAX_TREE_DEPTH = 30  # Spark ML limit (fixed value)
 TREE_PARAMS = {"max_depth", "min_samples_leaf", "max_bins", "max_features", "criterion", "random_state"}
 LINEAR_PARAMS = {"max_iter", "tol", "reg", "C", "class_weight"}
 PARAMS = {"DT": TREE_PARAMS | {"class_weight"}, "RFC": TREE_PARAMS | {"class_weight", "n_estimators"},
-          "RFR": TREE_PARAMS | {"n_estimators"}, "LR": LINEAR_PARAMS, "SVM": LINEAR_PARAMS}
+          "RFR": TREE_PARAMS | {"n_estimators"}, "LR": LINEAR_PARAMS, "SVM": LINEAR_PARAMS | {"kernel", "gamma", "n_components", "random_state"}}
 OTHER_PARAMS = {"KNN": {"n_neighbors"}, "Auto-Classification": {"time_budget", "metric", "class_weight"},
                 "Auto-Regression": {"time_budget", "metric"}}
 
@@ -108,11 +108,35 @@ def estimator(model_type: str, params: Mapping | None = None, label: str = "labe
         return LogisticRegression(maxIter=int(p.get("max_iter", 100)), regParam=reg,
                                   tol=float(p.get("tol", 1e-4)), **common, **wcol)
     if model_type == "SVM":
+        if p.get("kernel", "linear") != "linear":
+            raise ValueError("the kernel needs a feature map, which train() makes")
         return LinearSVC(maxIter=int(p.get("max_iter", 100)), regParam=reg,
                          tol=float(p.get("tol", 1e-4)), **common, **wcol)
     raise ValueError(f"Unsupported model type specified: {model_type!r}")
 
 
+def fourier_map(df: DataFrame, feats: Sequence[str], n_components: int = 256, gamma: float | str = "scale", seed: int = 0) -> list:
+    """Pipeline stages from the features to random Fourier features, whose
+    inner products approximate exp(-gamma * squared distance).
+
+    cos(w x + b) for seeded normal w and uniform b, as SQL expressions, so the
+    map is saved with the pipeline and runs without Python.  ``gamma``
+    'scale': 1 over the features' number times their overall variance."""
+    if gamma == "scale":
+        x = [F.col(f).cast("double") for f in feats]
+        both = df.agg(*[F.avg(c) for c in x], *[F.avg(c * c) for c in x]).first()
+        n = len(feats)
+        spread = sum(both[n:]) / n - (sum(both[:n]) / n) ** 2
+        gamma = 1 / (n * spread) if spread > 0 else 1.0
+    rng = random.Random(seed)
+    terms = []
+    for k in range(n_components):
+        w = " + ".join(f"cast(`{f}` as double) * ({rng.gauss(0, math.sqrt(2 * float(gamma)))!r}D)" for f in feats)
+        terms.append(f"cos({w} + ({rng.uniform(0, 2 * math.pi)!r}D)) * ({math.sqrt(2 / n_components)!r}D) as _rff{k}")
+    cosines = SQLTransformer(statement=f"select *, {', '.join(terms)} from __THIS__")
+    return [cosines, VectorAssembler(inputCols=[f"_rff{k}" for k in range(n_components)], outputCol="features", handleInvalid="keep")]
+
+
 @dataclass
 class Bundle:
     """Trained model + everything scoring needs (M13 persists it)."""
@@ -207,16 +231,22 @@ def train(df: DataFrame, target: str, model_type: str, params: Mapping | None =
     # Spark ML makes many passes over its input (one per tree level or
     # optimizer iteration): keep the assembled training table cached for the
     # fit only (recomputed from lineage if an executor is lost).
-    assembler = VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep")
+    front = [VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep")]
+    if model_type == "SVM":
+        kernel, shape = params.pop("kernel", "linear"), {"gamma": params.pop("gamma", "scale"), "n_components": params.pop("n_components", 256),
+                                                         "seed": params.pop("random_state", seed)}
+        if kernel not in ("linear", "rbf"):
+            raise ValueError(f"SVM has no kernel {kernel!r}")
+        front = fourier_map(prepared, feats, **shape) if kernel == "rbf" else front
     cols = ["features", "label"] + (["weight"] if weight else [])
-    fit_input = assembler.transform(prepared).select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
+    fit_input = PipelineModel(stages=front).transform(prepared).select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if model_type.startswith("Auto"):
             est, b.trials = auto_search(fit_input, feats, is_clf, params.get("time_budget", 30), seed, assembled=True,
                                         metric=params.get("metric"), weight=weight)
         else:
             est = estimator(model_type, params, weight=weight, n_rows=fit_input.count())
-        b.pipeline = PipelineModel(stages=[assembler, est.fit(fit_input)])
+        b.pipeline = PipelineModel(stages=[*front, est.fit(fit_input)])
     finally:
         fit_input.unpersist()
     return b, train_df, test_df
@@ -237,6 +267,7 @@ def predict(b: Bundle, df: DataFrame) -> DataFrame:
         scored = scored.withColumn("predicted_label", F.element_at(labels, F.col("prediction").cast("int") + 1))
         return scored.withColumn("p", F.col("proba")[1]) if len(b.classes) == 2 else scored
     scored = b.pipeline.transform(_prepare(df, b, with_label=False))
+    scored = scored.drop(*[c for c in scored.columns if c.startswith("_rff")])
     if b.is_classifier:
         labels = F.array(*[F.lit(str(c)) for c in b.classes])
         scored = scored.withColumn("predicted_label", F.element_at(labels, F.col("prediction").cast("int") + 1))

@@ -178,3 +178,19 @@ def test_kernel_shapley_of_a_model(spark):
     out = M.shapley_model(r, num.where("id < 5"), num.where("id >= 280"), "id", n_samples=100, bg_key=["id"], kernel=True)
     sums = out.groupBy("id").agg(F.sum("shap_value").alias("s"), F.first("base").alias("b"), F.first("fx").alias("f"))
     assert out.count() == 10 and sums.where(F.abs(F.col("s") - F.col("f") + F.col("b")) > 1e-9).count() == 0
+
+
+def test_fourier_features_approximate_the_kernel(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(20, 3))
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, a double, b double, c double")
+    for gamma in ("scale", 0.3):
+        out = df
+        for stage in M.fourier_map(df, ["a", "b", "c"], 300, gamma, 1):
+            out = stage.transform(out)
+        z = np.array([r.features.toArray() for r in out.orderBy("id").select("features").collect()])
+        g = 1 / (3 * x.var()) if gamma == "scale" else gamma
+        want = np.exp(-g * ((x[:, None] - x[None]) ** 2).sum(axis=2))
+        assert np.abs(z @ z.T - want).max() < 0.3 and np.abs(z @ z.T - want).mean() < 0.06
+    with pytest.raises(ValueError):
+        M.estimator("SVM", {"kernel": "rbf"})
