@@ -3,9 +3,9 @@ NA tokens / encodings / quoted multi-line text, and stage read / write.
 
 CSV is read with an all-string schema first so that every NA token is
 handled the same way in every column, then typed with ``try_cast`` (a bad
-value becomes NULL rather than failing the job).  Multi-line CSV files are
-not splittable; convert them to Parquet once (``write_stage``) and work
-from there.
+value becomes NULL rather than failing the job).  A file is read by several
+tasks whether or not its quoted fields hold line breaks
+(:mod:`sparkprep.sources.csv_records`).
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkprep.sources.csv_records import ENCODINGS, has_quoted_breaks, read_records
+
 # Extra NA spellings the reference adds for its main table (fixed values).
 MAIN_NA_TOKENS = ("n/a", "na", "-", "<NA>", "Na", "None", "none")
 
@@ -26,22 +28,34 @@ def _string_schema(schema: T.StructType) -> T.StructType:
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
              na_tokens: Sequence[str] = (), encoding: str = "UTF-8", multiline: bool = True,
-             glob: str | None = None, position_col: str | None = None) -> DataFrame:
+             glob: str | None = None, position_col: str | None = None, splittable: bool = True) -> DataFrame:
     """Header CSV; ``na_tokens`` (beyond the empty field) become NULL.
 
+    ``multiline`` allows line breaks inside quoted fields.  One scan tells if
+    there are any: without them every line is a record, with them
+    :func:`read_records` puts the records together, so several tasks share a file either
+    way.  Other encodings than ``ENCODINGS``, and ``splittable=False`` (for quotes inside unquoted fields), are read by
+    one task per file.
+
     ``position_col`` adds the row's position in file order, a struct of file
     path, offset of the split and id within the scan, for
     operators whose result follows input order (first row per key, string
     collapse)."""
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    cut = multiline and splittable and encoding.upper() in ENCODINGS
+    breaks = cut and has_quoted_breaks(spark, path, encoding, glob)
     reader = (spark.read.option("header", True).option("encoding", encoding)
-              .option("multiLine", multiline).option("quote", '"').option("escape", '"')
-              .option("mode", "PERMISSIVE"))
+              .option("multiLine", bool(breaks if cut else multiline)).options(**options))
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if schema is not None:
         reader = reader.schema(_string_schema(schema))
     df = reader.csv(path)
-    if position_col:  # a scan packs files into tasks by size, so ids alone don't follow the files' order
+    if breaks:
+        df = read_records(spark, path, df.columns, options, encoding, glob)
+        if not position_col:
+            df = df.drop("_file", "_start", "_id")
+    elif position_col:  # a scan packs files into tasks by size, so ids alone don't follow the files' order
         df = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
                        F.monotonically_increasing_id().alias("_id"))
     tokens = list(na_tokens)
