@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
 
 from sparkprep.functions.exprs import np_round
 from sparkprep.operators import columns as C
@@ -129,10 +130,26 @@ def test_grouped_proportions(spark):
     assert out == {("a", "y"): 2 / 3, ("a", "n"): 1 / 3, ("b", "y"): 1.0}
 
 
-def test_collapse_chunked_equals_single_stage(spark):
-    rows = [(k, pos, f"s{pos}") for k in (1, 2) for pos in range(200 if k == 1 else 3)]
-    df = spark.createDataFrame(rows, "k int, pos int, s string")
+def test_collapse_of_hot_keys_equals_single_stage(spark):
+    rows = [(k, ((pos * 7919) % 3000, "f" if pos % 3 else None), f"s{pos}" if pos % 5 else None)
+            for k in (1, 2, None) for pos in range({1: 3000, 2: 3, None: 2500}[k])]
+    df = spark.createDataFrame(rows, "k int, pos struct<a:int,b:string>, s string")
     one = {r.k: r.s for r in K.collapse_strings(df, "k", "s", ["pos"]).collect()}
-    two = {r.k: r.s for r in K.collapse_strings(df, "k", "s", ["pos"], chunked=True).collect()}
-    assert one == two
-    assert one[1] == ",".join(f"s{i}" for i in range(200))
+    two = K.collapse_strings(df, ["k"], "s", ["pos"], hot_rows=400)
+    assert one == {r.k: r.s for r in two.collect()} and len(one) == 3
+    assert one[2] == "s2,s1"
+    assert K.hot_keys(df, ["k"], 400) and not K.hot_keys(df, ["k"])
+    assert K.collapse_strings(df.where("k = 7"), "k", "s", ["pos"]).count() == 0
+
+
+def test_runs_of_a_hot_key_are_even(spark):
+    """A key with a third of all rows, and order values that repeat."""
+    from statistics import median
+    df = spark.range(90_000).select((F.col("id") % 3 * (F.col("id") % 1000)).alias("k"), F.xxhash64("id").alias("pos"), F.col("id").cast("string").alias("s"))
+    hot = df.where("k = 0")
+    runs = K.key_runs(hot, ["k"], ["pos"], 2_000).groupBy("_b").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi")).orderBy("_b").collect()
+    sizes = [r["n"] for r in runs]
+    assert len(runs) > 20 and max(sizes) < 2 * median(sizes) and sum(sizes) == hot.count()
+    assert all(a["hi"] < b["lo"] for a, b in zip(runs, runs[1:]))
+    whole = {r.k: r.s for r in K.collapse_strings(df, "k", "s", ["pos"]).collect()}
+    assert whole == {r.k: r.s for r in K.collapse_strings(df, "k", "s", ["pos"], hot_rows=2_000).collect()}
