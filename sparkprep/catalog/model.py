@@ -123,6 +123,14 @@ def q_kfold_assign(spark, sf):
     return X.kfold(fx_eval(spark, sf).select("id", "y"), 3, 2, ["id"], label="y")
 
 
+@register("kfold_ranges", f"""
+with {RANKED_EVAL}
+select id, y, cast((rn * 5) // nc as integer) as fold from rk join cnt using (y)
+""", ["fx_eval"])
+def q_kfold_ranges(spark, sf):
+    return X.stratified_folds(fx_eval(spark, sf).select("id", "y"), 5, 2, ["id"], "y")
+
+
 @register("kfold_plain", f"""
 select id, cast({_hi(['id'], 5)} % 5 as integer) as fold from fx_eval
 """, ["fx_eval"])

@@ -36,3 +36,20 @@ def test_classes_without_a_cut_and_empty_tables(spark):
 def test_too_many_classes(spark):
     with pytest.raises(ValueError, match="classes"):
         X.class_counts(_table(spark), "id", most=100)
+
+
+def test_stratified_folds_are_even_and_need_no_shuffle(spark):
+    df = _table(spark)
+    out = X.stratified_folds(df, 7, 3, ["id"], "y")
+    ordered = out.withColumn("h", hash_hex(["id"], 3)).collect()
+    by = defaultdict(list)
+    for r in sorted(ordered, key=lambda r: (r["h"], r["id"])):
+        by[r["y"]].append(r["fold"])
+    for y, folds in by.items():
+        assert folds == [p * 7 // len(folds) for p in range(len(folds))]
+        sizes = [folds.count(f) for f in range(7)]
+        assert max(sizes) - min(sizes) <= 1
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "rangepartitioning" not in plan and "SortMergeJoin" not in plan
+    assert X.stratified_folds(df, 1, 3, ["id"], "y").groupBy("fold").count().collect() == [(0, 500)]
+    assert X.stratified_folds(df.where("id < 0"), 3, 3, ["id"], "y").count() == 0
