@@ -6,12 +6,57 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkprep.session import cut_lineage
 
 
+CHUNK = 256  # entries that ``carry`` appends one by one
+
+
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def carry(items: Column, state: Column, step, kind: str) -> Column:
+    """The array of outputs (of SQL type ``kind``) of a left-to-right pass:
+    ``step(state, item)`` gives the next state and the item's output.
+
+    ``aggregate`` copies its whole state at each step, so one growing list costs
+    the square of the items.  Here a list grows to ``CHUNK`` entries only, and lists
+    are gathered once a chunk.
+    """
+    none, nones = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+
+    def one(acc, x):
+        after, out = step(acc["state"], x)
+        return F.struct(after.alias("state"), F.array_append(acc["out"], out.cast(kind)).alias("out"))
+
+    def chunk(acc, part):
+        part_done = F.aggregate(part, F.struct(acc["state"].alias("state"), none.alias("out")), one)
+        return bind(part_done, lambda r: F.struct(r["state"].alias("state"), F.array_append(acc["done"], r["out"]).alias("done")))
+
+    def run(it):
+        last = F.greatest(F.floor((F.size(it) - 1) / CHUNK), F.lit(0)).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(it, i * CHUNK + 1, CHUNK))
+        return F.aggregate(parts, F.struct(state.alias("state"), nones.alias("done")), chunk, lambda a: F.flatten(a["done"]))
+
+    return bind(items, run)
+
+
+def count_below(ordered: Column, x: Column) -> Column:
+    """How many entries of a sorted array are below ``x``, by halving (arrays up to 2^30)."""
+    def step(acc, _):
+        mid = F.shiftright(acc["lo"] + acc["hi"], 1)
+        low = (acc["lo"] < acc["hi"]) & (F.get(ordered, mid) < x)
+        return F.struct(F.when(low, mid + 1).otherwise(acc["lo"]).alias("lo"),
+                        F.when(low | (acc["lo"] >= acc["hi"]), acc["hi"]).otherwise(mid).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(30)), F.struct(F.lit(0).alias("lo"), F.size(ordered).alias("hi")), step, lambda a: a["lo"])
+
+
 def iter_slices(batches, rows: int = 256):
     """Arrow batches in slices of at most ``rows`` rows, so that the Python
     objects made from long texts stay few at a time."""

@@ -9,6 +9,8 @@ import operator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkprep.llm.common import bind, carry, count_below
+
 # The base phrases and their labels.
 PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
 
@@ -132,15 +134,27 @@ def spans(norm: Column, rule: Column) -> Column:
     pattern = F.concat(F.lit("(?<= )(?:"), rule["pattern"], F.lit(")(?= )"))
     steps = F.filter(F.zip_with(F.split(norm, pattern, -1), F.regexp_extract_all(norm, pattern, F.lit(0)),
                                 lambda a, b: F.struct(F.length(a).alias("gap"), F.length(b).alias("size"))), lambda s: s["size"].isNotNull())
-    kind = "array<struct<start:int,end:int,prio:int,label:string>>"
+    kind = "struct<start:int,end:int,prio:int,label:string>"
+
+    def step(at, s):
+        begin = at + s["gap"]
+        return begin + s["size"], F.struct(begin.alias("start"), (begin + s["size"]).alias("end"), rule["prio"].alias("prio"), rule["label"].alias("label"))
+
+    return F.when(F.rlike(norm, pattern), carry(steps, F.lit(0), step, kind)).otherwise(F.array().cast(f"array<{kind}>"))
+
+
+def word_spans(norm: Column, found: Column) -> Column:
+    """(word, n, prio, label) of the detections: their places in the array of
+    all words' starts, which is built once from running lengths."""
+    starts = carry(F.split(F.substring(norm, F.lit(2), F.length(norm)), " ", -1), F.lit(1), lambda at, w: (at + F.length(w) + 1, at), "int")
 
-    def step(acc, s):
-        begin = acc["at"] + s["gap"]
-        span = F.struct(begin.alias("start"), (begin + s["size"]).alias("end"), rule["prio"].alias("prio"), rule["label"].alias("label"))
-        return F.struct((begin + s["size"]).alias("at"), F.array_append(acc["out"], span).alias("out"))
+    def place(at):
+        first = lambda d: count_below(at, d["start"])
+        return F.transform(found, lambda d: F.struct(first(d).cast("long").alias("word"), (count_below(at, d["end"] + 1) - first(d)).cast("long").alias("n"),
+                                                     d["prio"].alias("prio"), d["label"].alias("label")))
 
-    return F.when(F.rlike(norm, pattern), F.aggregate(
-        steps, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, lambda a: a["out"])).otherwise(F.array().cast(kind))
+    none = F.array().cast("array<struct<word:bigint,n:bigint,prio:int,label:string>>")
+    return F.when(F.size(found) > 0, bind(starts, place)).otherwise(none)
 
 
 def resolve(found: Column) -> Column:
@@ -154,16 +168,15 @@ def resolve(found: Column) -> Column:
     """
     levels = F.sequence(F.lit(1), F.lit(len(WEIGHT)))
     fields = lambda d, end, hit: F.struct(d["start"].alias("start"), end.alias("end"), d["prio"].alias("prio"), d["label"].alias("label"), hit.alias("hit"))
-    kind = "array<struct<start:int,end:int,prio:int,label:string,hit:boolean>>"
+    kind = "struct<start:int,end:int,prio:int,label:string,hit:boolean>"
 
     def sweep(order, hits, carried, init):
-        def step(acc, d):
-            hit = d["hit"] | F.exists(levels, lambda p: hits(p, F.element_at(acc["seen"], p), d))
-            seen = F.transform(acc["seen"], lambda v, i: F.when(i + 1 == d["prio"], carried(v, d)).otherwise(v))
-            return F.struct(seen.alias("seen"), F.array_append(acc["out"], fields(d, d["end"], hit)).alias("out"))
+        def step(seen, d):
+            hit = d["hit"] | F.exists(levels, lambda p: hits(p, F.element_at(seen, p), d))
+            after = F.transform(seen, lambda v, i: F.when(i + 1 == d["prio"], carried(v, d)).otherwise(v))
+            return after, fields(d, d["end"], hit)
 
-        return F.aggregate(order, F.struct(F.array(*[F.lit(init)] * len(WEIGHT)).alias("seen"), F.array().cast(kind).alias("out")),
-                           step, lambda a: a["out"])
+        return carry(order, F.array(*[F.lit(init)] * len(WEIGHT)), step, kind)
 
     order = F.array_sort(F.transform(found, lambda d: fields(d, -d["end"], F.lit(False))))  # the longer of two starts first
     order = F.transform(order, lambda d: fields(d, -d["end"], d["hit"]))
@@ -210,9 +223,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = src.select("id", norm, n_words.alias("n_words"), found.alias("found"), between.alias("between"), places.alias("places"))
     tail = spaces(F.element_at("between", -1)) + spaces(F.element_at("places", -1))
     base = F.array_sort(F.array_distinct(F.transform("places", lambda p: F.coalesce(*[F.when(p == w, F.lit(name)) for w, name in PHRASES]))))
-    words = F.transform("found", lambda d: F.struct(
-        (spaces(F.substring(F.col("norm"), F.lit(1), d["start"])) - 1).cast("long").alias("word"),
-        (spaces(F.substring(F.col("norm"), d["start"] + 1, d["end"] - d["start"])) + 1).cast("long").alias("n"), d["prio"].alias("prio"), d["label"].alias("label")))
+    words = word_spans(F.col("norm"), F.col("found"))
     n_base = F.size("places").cast("long")
     surest = F.array_min(F.transform("found", lambda d: d["prio"]))
     weights = F.create_map(*[F.lit(x) for p, w in WEIGHT.items() for x in (p, w)])

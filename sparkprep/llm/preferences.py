@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkprep.llm.common import carry
+
 
 def rendered(turn: Column) -> Column:
     return F.concat(F.lit("<|"), F.coalesce(turn["role"], F.lit("")), F.lit("|>\n"), F.coalesce(turn["text"], F.lit("")), F.lit("\n<|end|>\n"))
@@ -19,16 +21,12 @@ def render(turns: Column) -> Column:
 def loss_spans(turns: Column, learn: str) -> Column:
     """start:end of what each ``learn`` turn's writer said, end mark included,
     in code points of the rendered completion."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc, t):
+    def step(at, t):
         size = F.length(rendered(t))
         head = F.length(F.coalesce(t["role"], F.lit(""))) + 5
-        span = F.concat_ws(":", acc["at"] + head, acc["at"] + size - 1)
-        return F.struct((acc["at"] + size).alias("at"),
-                        F.when(t["role"] == learn, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+        return at + size, F.when(t["role"] == learn, F.concat_ws(":", at + head, at + size - 1))
 
-    return F.array_join(F.aggregate(turns, start, step, lambda a: a["out"]), ",")
+    return F.array_join(carry(turns, F.lit(0), step, "string"), ",")  # a masked turn's null is left out
 
 
 def format_preferences(turns: DataFrame, pairs: DataFrame, learn: str = "assistant", conv_col: str = "conv_id",

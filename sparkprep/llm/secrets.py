@@ -9,6 +9,8 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkprep.llm.common import bind, carry, count_below
+
 # The pattern kinds, their patterns, and the least size of what must match.
 KINDS = [
     ("assign", r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"),
@@ -33,17 +35,29 @@ def match_spans(text: Column, pattern: str, kind: str, group: int | None = None,
     tested = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     steps = F.zip_with(F.zip_with(between, found, lambda a, b: F.struct(F.length(a).alias("gap"), F.length(b).alias("size"))),
                        tested, lambda s, t: F.struct(s["gap"].alias("gap"), s["size"].alias("size"), F.length(t).alias("key")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
-    def step(acc, s):
-        begin = acc["at"] + s["gap"]
+    def step(at, s):
+        begin = at + s["gap"]
         end = begin + s["size"]
-        span = F.struct(begin.alias("start"), end.alias("end"), F.lit(kind).alias("kind"))
-        return F.struct(F.coalesce(end, acc["at"]).alias("at"),
-                        F.when(s["key"] >= least, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+        return end, F.when(s["key"] >= least, F.struct(begin.alias("start"), end.alias("end"), F.lit(kind).alias("kind")))
+
+    spans = carry(F.filter(steps, lambda s: s["size"].isNotNull()), F.lit(0), step, "struct<start:int,end:int,kind:string>")
+    return F.when(F.rlike(text, F.lit(pattern)), F.filter(spans, lambda s: s.isNotNull())).otherwise(F.array().cast(SPAN))
+
+
+def apart(spans: Column, others: Column) -> Column:
+    """The spans that overlap none of ``others``: of those that begin before a
+    span's end, the farthest end so far tells."""
+    def free(order):
+        ends = carry(order, F.lit(0), lambda far, s: (F.greatest(far, s["end"]), F.greatest(far, s["end"])), "int")
+
+        def keep(far):
+            starts = F.transform(order, lambda s: s["start"])
+            return bind(starts, lambda st: F.filter(spans, lambda c: F.coalesce(F.get(far, count_below(st, c["end"]) - 1), F.lit(0)) <= c["start"]))
+
+        return bind(ends, keep)
 
-    folded = F.aggregate(F.filter(steps, lambda s: s["size"].isNotNull()), start, step, lambda a: a["out"])
-    return F.when(F.rlike(text, F.lit(pattern)), folded).otherwise(F.array().cast(SPAN))
+    return F.when((F.size(spans) == 0) | (F.size(others) == 0), spans).otherwise(bind(F.array_sort(others), free))
 
 
 def normal_cdf(z: Column) -> Column:
@@ -215,7 +229,7 @@ def find_secrets(docs: DataFrame, q: float = 0.05, top: float = 0.75, bins: int
     base = F.concat(*[match_spans(F.col("text"), p, k, 1 if k == "assign" else None, MIN_ASSIGN if k == "assign" else 0)
                       for k, p in KINDS])
     rows = src.select("id", "text", base.alias("base"), match_spans(F.col("text"), CANDIDATE, "random").alias("cand"))
-    outside = F.filter("cand", lambda c: ~F.exists("base", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
+    outside = apart(F.col("cand"), F.col("base"))
     rows = rows.select("id", "base", F.transform(outside, lambda c: F.struct(
         c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"),
         F.substring(F.col("text"), c["start"] + 1, c["end"] - c["start"]).alias("token"))).alias("cand"))

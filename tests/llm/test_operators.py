@@ -296,3 +296,18 @@ def test_licenses(spark, odd, empty):
     assert "cc-by-4.0" in got[0].labels
     assert licenses.scan_licenses(odd).count() == odd.count() and licenses.scan_licenses(empty).count() == 0
     assert len(licenses.rules()) > 200
+
+
+def test_many_matches_in_one_text(spark):
+    """More matches than one chunk of the pass over them, against plain counting."""
+    n = 1500
+    docs = spark.createDataFrame([(1, "cc by x " * n), (2, "token=" + "a" * 9 + " token=" * n), (3, "password=abcdefgh1 " * n)], "doc_id long, text string")
+    lic = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
+    assert [(f.word, f.n) for f in lic[1].found] == [(3 * i, 2) for i in range(n)] and lic[1].last_word == 3 * (n - 1)
+    sec = {r.doc_id: r for r in secrets.find_secrets(docs).collect()}
+    assert [(s.start, s.end) for s in sec[3].base] == [(19 * i, 19 * i + 18) for i in range(n)]
+    turns = spark.createDataFrame([(0, 0, "user", "hi"), *[(c, t, "assistant" if t % 3 else "user", f"{c}{t}") for c in (0, 1) for t in range(1, n)]],
+                                  "conv_id long, turn int, role string, text string")
+    row = preferences.format_neighbours(turns).first()
+    spans = [tuple(map(int, s.split(":"))) for s in row.chosen_loss.split(",")]
+    assert [row.chosen[a:b] for a, b in spans] == [f"0{t}\n<|end|>" for t in range(1, n) if t % 3]
