@@ -6,23 +6,31 @@ import re
 import uuid
 import zlib
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkprep.llm.common import iter_slices, sum_blocks, worker_state
-from sparkprep.session import cut_lineage
+from sparkprep.llm.common import iter_slices, worker_state
+from sparkprep.session import shared_path
 
 WORD = re.compile(rb"[a-z0-9\x80-\xff']+")
 DISCOUNT = 0.75
-BLOCK = 1 << 16
-CONTEXT = 5  # bytes of context at the class level; the shared levels have 4 to 1
-#: Rows of the count table: words per class; class level counts and context totals; shared counts and totals by context length; bit sets.
-WORDS, GRAMS, TOTALS, SHARED, SHARED_TOTALS, BITS, SHARED_BITS, ROWS = 0, 2, 4, 6, 10, 14, 16, 20
-FEATURES = ["llr", "best", "top3", "peak4", "strong", "size"]
+#: Letters of the spelling models: 0 before a word, a-z, 0-9, the apostrophe, 16 for the bytes beyond ASCII (by their
+#: low half), and the last one after a word.  A gram is three letters and the next: at most LETTERS ** 4 of them.
+LETTERS = 55
+CONTEXT = 3
+LETTER = np.zeros(256, dtype=np.int64)
+LETTER[np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789'", dtype=np.uint8)] = np.arange(1, 38)
+LETTER[128:] = 38 + (np.arange(128) & 15)
+LETTER[2] = LETTERS - 1
+STRONG = 3.0  # log ratio of a word that counts as telling
+HOT_BYTES = 64  # longer words are never broadcast
+FEATURES = ["llr", "best", "strong", "size"]
 
 
 def fold(id_col: str) -> Column:
@@ -34,39 +42,38 @@ def words_of(text: str) -> list[bytes]:
     return WORD.findall(text.lower().encode())
 
 
-def contexts(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Every byte of the words, end marks included: its word, its value, and
-    the hashes of its contexts of 0 to CONTEXT bytes, which stop at the word's
-    start mark."""
-    flat = np.frombuffer(b"\x02".join(words) + b"\x02", dtype=np.uint8)
+def word_key(word: bytes) -> int:
+    """64-bit hash of a word, signed; joins tell words apart by it."""
+    h = xxhash.xxh64_intdigest(word)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Every letter of the words, end marks included: its word, and its gram
+    (the three letters before it and itself, as a number to base LETTERS)."""
+    letter = LETTER[np.frombuffer(b"\x02".join(words) + b"\x02", dtype=np.uint8)]
     size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
-    word = np.repeat(np.arange(len(words)), size)
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-    h = np.full(len(flat), 0x9E3779B97F4A7C15, dtype=np.uint64)
-    out = [h]
+    place = np.arange(len(letter)) - np.repeat(np.cumsum(size) - size, size)
+    key = letter.copy()
     for j in range(1, CONTEXT + 1):
-        before = np.ones(len(flat), dtype=np.uint64)  # start mark
-        if len(flat) > j:
-            before[j:] = flat[:-j]
-        before[place < j] = 1
-        h = (h ^ before) * np.uint64(0xBF58476D1CE4E5B9)
-        h = np.where(place + 1 >= j, h ^ (h >> np.uint64(31)), out[-1])
-        out.append(h)
-    return word, flat, out
-
+        before = np.zeros(len(letter), dtype=np.int64)
+        before[j:] = letter[:-j] if len(letter) > j else 0
+        before[place < j] = 0
+        key += before * LETTERS ** j
+    return np.repeat(np.arange(len(words)), size), key
 
-def slot(h: np.ndarray, mask: int, byte: np.ndarray | None = None) -> np.ndarray:
-    if byte is not None:
-        h = (h ^ (byte.astype(np.uint64) + np.uint64(0x100))) * np.uint64(0x94D049BB133111EB)
-    return ((h ^ (h >> np.uint64(32))) & np.uint64(mask)).astype(np.int64)
 
+def pack_texts(docs: DataFrame) -> DataFrame:
+    """(id, text): lower-cased texts, compressed for the shuffle to their labels."""
+    def run(batches):
+        for b in iter_slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array((zlib.compress(t.lower().encode(), 1) for t in b.column(1).to_pylist()), pa.binary())], ["id", "text"])
 
-def word_slot(words: list[bytes], mask: int) -> np.ndarray:
-    return np.fromiter(map(zlib.crc32, words), dtype=np.int64, count=len(words)) & mask
+    return docs.select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, text binary")
 
 
 def count_words(train: DataFrame) -> DataFrame:
-    """(word, c0, c1): exact counts of every word of (text, label) rows, per class."""
+    """(word, c0, c1): exact 64-bit counts of every word of (packed text, label) rows, per class."""
     def run(batches):
         seen: tuple[Counter, Counter] = (Counter(), Counter())
 
@@ -78,7 +85,7 @@ def count_words(train: DataFrame) -> DataFrame:
 
         for b in iter_slices(batches):
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                seen[label].update(words_of(text))
+                seen[label].update(WORD.findall(zlib.decompress(text)))
             if len(seen[0]) + len(seen[1]) > 500_000:
                 yield from rows()
                 seen = (Counter(), Counter())
@@ -88,86 +95,112 @@ def count_words(train: DataFrame) -> DataFrame:
     return part.groupBy("word").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
 
 
-def count_grams(table: DataFrame, slots: int) -> DataFrame:
-    """Blocks of the hashed count table of a (word, c0, c1) table, one set per
-    task; block -1 has the number of different words per class.
-
-    The class level counts every occurrence; the shared levels count each
-    word once, so that a byte's count is the number of words it continues.
-    """
+def count_grams(table: DataFrame) -> DataFrame:
+    """(gram, n0, n1, words) of a (word, c0, c1) table: how often each class
+    writes the gram, and at how many places of different words it stands."""
     def run(batches):
-        out = np.zeros((ROWS, slots), dtype=np.uint32)
-        types = np.zeros((ROWS, min(BLOCK, slots)), dtype=np.uint32)
-        mask = slots - 1
-        for b in iter_slices(batches, 8192):
-            words = b.column(0).to_pylist()
-            count = [b.column(1 + k).to_numpy() for k in range(2)]
-            at = word_slot(words, mask)
-            word, byte, ctx = contexts(words)
-            bit = np.uint32(1) << (byte.astype(np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(27))
-            for k in range(2):
-                out[WORDS + k] += np.bincount(at, count[k], slots).astype(np.uint32)
-                n = count[k][word]
-                some = n > 0
-                types[k, 0] += (count[k] > 0).sum()
-                c, g = slot(ctx[-1], mask)[some], slot(ctx[-1], mask, byte)[some]
-                out[GRAMS + k] += np.bincount(g, n[some], slots).astype(np.uint32)
-                out[TOTALS + k] += np.bincount(c, n[some], slots).astype(np.uint32)
-                np.bitwise_or.at(out[BITS + k], c, bit[some])
-            for j in range(1, CONTEXT):
-                c = slot(ctx[j], mask)
-                out[SHARED + j - 1] += np.bincount(slot(ctx[j], mask, byte), minlength=slots).astype(np.uint32)
-                out[SHARED_TOTALS + j - 1] += np.bincount(c, minlength=slots).astype(np.uint32)
-                np.bitwise_or.at(out[SHARED_BITS + j - 1], c, bit)
-        src = TaskContext.get().partitionId()
-        for block, part in [(-1, types), *((at // BLOCK, out[:, at:at + BLOCK]) for at in range(0, slots, BLOCK))]:
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([src], pa.int32()),
-                                                  pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["block", "src", "data"])
-
-    return table.mapInArrow(run, "block int, src int, data binary")
-
-
-def distinct(bits: np.ndarray) -> np.ndarray:
-    """Different continuations, from 32 hashed bits (linear counting)."""
-    return -32 * np.log(np.maximum(32 - np.bitwise_count(bits), 0.5) / 32)
-
-
-def word_ratios(words: list[bytes], m: dict) -> np.ndarray:
-    """log P(word | toxic) - log P(word | ordinary) of distinct words."""
-    total, mask = m["total"], m["total"].shape[1] - 1
-    word, byte, ctx = contexts(words)
+        total = None
+
+        def add(key, n):
+            at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=np.int64)
+            return key[at], np.add.reduceat(n, at, axis=0) if len(at) else n
+
+        for b in iter_slices(batches, 32768):
+            word, key = grams(b.column(0).to_pylist())
+            count = np.stack([b.column(1).to_numpy(), b.column(2).to_numpy(), np.ones(b.num_rows, dtype=np.int64)], axis=1)
+            order = np.argsort(key, kind="stable")
+            part = add(key[order], count[word[order]])
+            if total is not None:
+                key = np.concatenate([total[0], part[0]])
+                order = np.argsort(key, kind="stable")
+                part = add(key[order], np.concatenate([total[1], part[1]])[order])
+            total = part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(total[0]), *(pa.array(np.ascontiguousarray(total[1][:, k])) for k in range(3))], ["gram", "n0", "n1", "words"])
+
+    part = table.mapInArrow(run, "gram long, n0 long, n1 long, words long")
+    return part.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("words").alias("words"))
+
+
+def spelling_model(gram: np.ndarray, n: np.ndarray, words: np.ndarray) -> dict:
+    """Log-probabilities per class of all known grams, and what the others need.
+
+    Shared levels of 0 to 2 letters of context: a letter's count is the number
+    of places in different words of both classes.  The class level has 3 letters.
+    """
+    order = np.argsort(gram)
+    gram, n, words = gram[order], n[order], words[order]
+    shared = np.full(LETTERS, 1 / (LETTERS - 1))  # by letter; later by context and letter
+    for j in range(CONTEXT):
+        count = np.bincount(gram % LETTERS ** (j + 1), words, LETTERS ** (j + 1)).reshape(-1, LETTERS)
+        total, types = count.sum(axis=1, keepdims=True), (count > 0).sum(axis=1, keepdims=True)
+        lower = np.tile(shared.reshape(-1, LETTERS), (LETTERS if j else 1, 1))
+        shared = np.where(total > 0, (np.maximum(count - DISCOUNT, 0) + DISCOUNT * types * lower) / np.maximum(total, 1), lower)
+    shared = shared.reshape(-1)
+    lower = shared[gram % LETTERS ** CONTEXT]
+    at = np.flatnonzero(np.r_[True, gram[1:] // LETTERS != gram[:-1] // LETTERS]) if len(gram) else np.zeros(0, dtype=np.int64)
+    run = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(gram)]))
+    known, weight = [], []
+    for k in range(2):
+        total = np.add.reduceat(n[:, k], at) if len(at) else np.zeros(0)
+        types = np.add.reduceat((n[:, k] > 0).astype(np.int64), at) if len(at) else np.zeros(0)
+        w = np.where(total > 0, DISCOUNT * types / np.maximum(total, 1), 1.0)  # weight of the shared level
+        known.append(np.log(np.maximum(n[:, k] - DISCOUNT, 0) / np.maximum(total[run], 1) + w[run] * lower))
+        weight.append(np.log(w))
+    return {"gram": gram, "known": known, "context": gram[at] // LETTERS, "weight": weight, "shared": np.log(shared)}
+
+
+def find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``x`` in sorted ``keys``, and whether they are there."""
+    if not len(keys):
+        return np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=bool)
+    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+    return at, keys[at] == x
+
+
+def word_ratios(words: list[bytes], m: dict, counts=None) -> np.ndarray:
+    """log P(word | toxic) - log P(word | ordinary) of distinct words; without
+    ``counts`` (an array per class) neither class has them."""
+    word, gram = grams(words)
     first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-
-    def level(p, count, n, bits):
-        n = n.astype(np.float64)
-        count = np.minimum(count, n)
-        t = np.minimum(distinct(bits), n)
-        return np.where(n > 0, (np.maximum(count - DISCOUNT, 0) + DISCOUNT * t * p) / np.maximum(n, 1), p)
-
-    p = np.full(len(byte), 1 / 128)
-    for j in range(1, CONTEXT):
-        c = slot(ctx[j], mask)
-        p = level(p, total[SHARED + j - 1][slot(ctx[j], mask, byte)], total[SHARED_TOTALS + j - 1][c], total[SHARED_BITS + j - 1][c])
-    c, g, at = slot(ctx[-1], mask), slot(ctx[-1], mask, byte), word_slot(words, mask)
+    at, there = find(m["gram"], gram)
+    ctx, seen = find(m["context"], gram // LETTERS)
     logs = []
     for k in range(2):
-        spelled = np.exp(np.maximum(np.add.reduceat(np.log(level(p, total[GRAMS + k][g], total[TOTALS + k][c], total[BITS + k][c])), first), -200))
+        p = m["shared"][gram % LETTERS ** CONTEXT]
+        if len(m["gram"]):
+            p = np.where(there, m["known"][k][at], p + np.where(seen, m["weight"][k][ctx], 0.0))
+        spelled = np.exp(np.maximum(np.add.reduceat(p, first), -200))
         n = max(m["tokens"][k], 1)
-        logs.append(np.log(np.maximum(total[WORDS + k][at] - DISCOUNT, 0) / n + DISCOUNT * max(m["types"][k], 1) / n * spelled))
+        own = np.maximum(counts[k] - DISCOUNT, 0) / n if counts is not None else 0.0
+        logs.append(np.log(own + DISCOUNT * max(m["types"][k], 1) / n * spelled))
     return logs[1] - logs[0]
 
 
-def summary(r: np.ndarray) -> tuple:
-    """Of a text's word ratios: the mean (the length-normalised comparison),
-    the best word, the mean of the best three, the best mean of four words in
-    a row, log of 1 + the words beyond 3, log of 1 + all words."""
-    if not len(r):
-        return (0.0,) * len(FEATURES)
-    top = np.sort(r)[-3:]
-    sums = np.concatenate([[0.0], np.cumsum(r)])
-    peak = (sums[4:] - sums[:-4]).max() / 4 if len(r) >= 4 else sums[-1] / 4
-    return float(r.mean()), float(top[-1]), float(top.sum() / 3), float(peak), float(np.log1p((r > 3).sum())), float(np.log1p(len(r)))
+def ratio_table(table: DataFrame, shared) -> DataFrame:
+    """(word, key, ratio) of a (word, c0, c1) table."""
+    def run(batches):
+        for b in iter_slices(batches, 16384):
+            words = b.column(0).to_pylist()
+            r = word_ratios(words, shared.value, [b.column(1).to_numpy(), b.column(2).to_numpy()]) if words else []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(word_key, words)), pa.int64()), pa.array(r, pa.float64())], ["word", "key", "ratio"])
+
+    return table.mapInArrow(run, "word binary, key long, ratio double")
+
+
+def hot_count(table: DataFrame, hot_words: int) -> float:
+    """Least count of the words to broadcast: at most ``hot_words`` words of up
+    to HOT_BYTES bytes have it.  Counts are told by eighths of their log, so
+    some 500 rows reach the driver."""
+    step = F.floor(8 * F.log2((F.col("c0") + F.col("c1")).cast("double"))).cast("int")
+    sizes = table.where(F.length("word") <= HOT_BYTES).groupBy(step.alias("step")).count().collect()
+    least, room = float("inf"), hot_words
+    for r in sorted(sizes, key=lambda r: -r["step"]):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["step"]
+    return least
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 1.0) -> np.ndarray:
@@ -182,22 +215,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float =
     return w
 
 
-def fit_counts(train: DataFrame, slots: int, tasks: int) -> dict:
-    total, types = np.zeros((ROWS, slots), dtype=np.uint32), [0, 0]
-    width = min(BLOCK, slots)
-    # every task returns a table, so a bounded number of tasks; slots / 65536 rows reach the driver
-    blocks = count_grams(count_words(train).coalesce(tasks), slots)
-    for r in sum_blocks(blocks, "uint32", (ROWS, width), bits=ROWS - BITS).toLocalIterator():
-        part = np.frombuffer(zlib.decompress(r["data"]), dtype=np.uint32).reshape(ROWS, width)
-        if r["block"] < 0:
-            types = part[:2, 0].tolist()
-        else:
-            total[:, r["block"] * width:(r["block"] + 1) * width] = part
-    tokens = total[WORDS:WORDS + 2].sum(axis=1, dtype=np.int64).tolist()
-    return {"total": total, "tokens": tokens, "types": types, "name": uuid.uuid4().hex}
-
-
-def score_toxicity(docs: DataFrame, labels: DataFrame, slots: int = 1 << 20, fit_rows: int = 50_000, tasks: int = 32,
+def score_toxicity(docs: DataFrame, labels: DataFrame, hot_words: int = 1 << 20, fit_rows: int = 50_000,
                    id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """One row per input row: id, held_out, the features (``FEATURES``), score, predicted.
 
@@ -207,50 +225,98 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, slots: int = 1 << 20, fit
     ``fit_rows`` of its labelled rows, picked by a hash of the id.
 
     Both models are interpolated Kneser-Ney: discounted counts of the word in
-    the class; then its spelling, byte by byte after 5 bytes of context, in
-    the class; then after 4 to 1 bytes by continuation counts that the two
+    the class; then its spelling, letter by letter after 3 letters of context, in
+    the class; then after 2 to 0 letters by continuation counts that the two
     classes share, so that what neither class knows well says nothing.  Words
-    are counted exactly by a grouped sum over all labelled texts; the model
-    folds the counts into ``slots`` hashed cells, which bounds it (80 bytes a
-    slot, broadcast, made by at most ``tasks`` tasks) whatever the corpus.  A text's first feature is its
-    length-normalised log-likelihood ratio; the others say how toxic its worst words are.
-
-    Null and empty texts have features 0.  A null id is in no fold: scored,
+    are counted exactly, in a table that grows with the corpus and is never
+    gathered: its up to ``hot_words`` most frequent words (of 64 bytes or less) are
+    broadcast, the other words of a text are joined to it by key.  Which words are
+    broadcast doesn't change a result.  Grams of four letters out of ``LETTERS`` are
+    bounded by themselves.  A text's features are its length-normalised
+    log-likelihood ratio, its most toxic word, log of 1 + the words beyond
+    ``STRONG`` and log of 1 + all words.
+
+    Null and empty texts have features 0.  Very long texts are scored whole, a text's
+    rare words are one row until they are joined.  A null id is in no fold: scored,
     never learned from, held_out false.  Several labels of an id: the largest;
-    null labels are none.  Without calibration rows of both kinds all scores
+    null labels are none.  Rows that repeat are counted and scored each.  Without
+    calibration rows of both kinds all scores
     are the share of toxic labels, 0.5 without labels.  An empty table gives
     an empty result; other columns are ignored.
     """
+    spark = docs.sparkSession
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        path = shared_path(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), fold(id_col).cast("int").alias("fold"))
     known = (labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
              .groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
              .withColumn("f", F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(5))))
-    train = src.where("fold between 1 and 3").select("id", "text").join(
+    train = pack_texts(src.where("fold between 1 and 3")).join(
         known.where("f between 1 and 3").select("id", "label").hint("merge"), "id")  # labels grow with the corpus: never broadcast
-    model = fit_counts(train, slots, tasks)
-    model["packed"], model["shape"] = zlib.compress(model["total"].tobytes(), 1), model.pop("total").shape
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    table = written(count_words(train), "toxicity-words")
+    t = table.agg(*(F.coalesce(F.sum(f"c{k}"), F.lit(0)).alias(f"n{k}") for k in range(2)),
+                  *(F.count(F.when(F.col(f"c{k}") > 0, 1)).alias(f"t{k}") for k in range(2))).first()
+    g = count_grams(table).toPandas()  # at most LETTERS ** 4 rows
+    model = spelling_model(g["gram"].to_numpy(np.int64), g[["n0", "n1"]].to_numpy(np.int64), g["words"].to_numpy(np.int64))
+    model |= {"tokens": [int(t["n0"]), int(t["n1"])], "types": [t["t0"], t["t1"]]}
+    shared = spark.sparkContext.broadcast(model)
+    step = F.floor(8 * F.log2((F.col("c0") + F.col("c1")).cast("double")))
+    is_hot = (F.length("word") <= HOT_BYTES) & (step >= F.lit(hot_count(table, hot_words)))
+    hot = ratio_table(table.where(is_hot), shared).select("word", "ratio").toArrow()
+    # at most hot_words words of at most HOT_BYTES bytes
+    hot_shared = spark.sparkContext.broadcast((uuid.uuid4().hex, hot.column("word").combine_chunks(), hot.column("ratio").to_numpy()))
+    kind = src.schema["id"].dataType.simpleString()
+    names = ["row", "id", "fold", "n", "total", "best", "strong", "keys", "counts", "unseen"]
 
     def run(batches):
-        m, state = shared.value, worker_state()
-        if state.get("toxicity_model") != m["name"]:
-            state["toxicity_model"], state["toxicity_words"] = m["name"], {}
-            state["toxicity_total"] = np.frombuffer(zlib.decompress(m["packed"]), dtype=np.uint32).reshape(m["shape"])
-        m = {**m, "total": state["toxicity_total"]}
-        ratio = state["toxicity_words"]
+        state, (name, *_) = worker_state(), hot_shared.value
+        if state.get("toxicity_model") != name:
+            state["toxicity_model"], state["toxicity_unseen"] = name, {}
+            state["toxicity_hot"] = dict(zip(hot_shared.value[1].to_pylist(), hot_shared.value[2].tolist()))
+        hot, unseen, nan = state["toxicity_hot"], state["toxicity_unseen"], float("nan")
+        row = TaskContext.get().partitionId() << 40
         for b in iter_slices(batches):
-            texts = [words_of(t) for t in b.column(1).to_pylist()]
-            if len(ratio) > 400_000:
-                ratio.clear()
-            new = list({w for t in texts for w in t} - ratio.keys())
+            if len(unseen) > 200_000:
+                unseen.clear()
+            sums, rest = [], []
+            for words in map(words_of, b.column(1).to_pylist()):
+                r = np.fromiter(map(hot.get, words, repeat(nan)), dtype=np.float64, count=len(words))
+                cold = np.isnan(r)
+                rest.append(Counter([words[k] for k in np.flatnonzero(cold).tolist()]))
+                r = r[~cold]
+                sums.append((len(words), float(r.sum()), float(r.max()) if len(r) else None, int((r > STRONG).sum())))
+            new = list({w for c in rest for w in c} - unseen.keys())
             for at in range(0, len(new), 16384):
                 part = new[at:at + 16384]
-                ratio.update(zip(part, word_ratios(part, m).tolist()))
-            f = zip(*(summary(np.array(list(map(ratio.__getitem__, t)))) for t in texts))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, pa.float64()) for c in f)], ["id", "fold", *FEATURES])
-
-    kind = src.schema["id"].dataType.simpleString()
-    feats = cut_lineage(src.select("id", "text", "fold").mapInArrow(run, f"id {kind}, fold int, " + ", ".join(f"{c} double" for c in FEATURES)))
+                unseen.update(zip(part, zip(map(word_key, part), word_ratios(part, shared.value).tolist())))
+            flat = [unseen[w] for c in rest for w in c]
+            cut = pa.array(np.cumsum([0, *map(len, rest)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.arange(row, row + b.num_rows)), b.column(0), b.column(2),
+                *(pa.array(c, k) for c, k in zip(zip(*sums), (pa.int64(), pa.float64(), pa.float64(), pa.int64()))),
+                pa.ListArray.from_arrays(cut, pa.array([k for k, _ in flat], pa.int64())),
+                pa.ListArray.from_arrays(cut, pa.array([n for c in rest for n in c.values()], pa.int64())),
+                pa.ListArray.from_arrays(cut, pa.array([u for _, u in flat], pa.float64()))], names)
+            row += b.num_rows
+
+    # row numbers hold for this written table only
+    rows = written(src.mapInArrow(run, f"row long, id {kind}, fold int, n long, total double, best double, strong long, "
+                                       "keys array<long>, counts array<long>, unseen array<double>"), "toxicity-rows")
+    cold = ratio_table(table.where(~is_hot), shared).select("key", "ratio")
+    rest = (rows.where(F.size("keys") > 0).select("row", F.inline(F.arrays_zip("keys", "counts", "unseen"))).withColumnRenamed("keys", "key")
+            .join(cold.hint("merge"), "key", "left").select("row", "counts", F.coalesce("ratio", "unseen").alias("r"))
+            .groupBy("row").agg(F.sum(F.col("counts") * F.col("r")).alias("r_total"), F.max("r").alias("r_best"),
+                                F.sum(F.when(F.col("r") > STRONG, F.col("counts")).otherwise(0)).alias("r_strong")))
+    zero = F.lit(0)
+    feats = rows.drop("keys", "counts", "unseen").join(rest, "row", "left").select(
+        "id", "fold", F.coalesce((F.col("total") + F.coalesce("r_total", zero)) / F.nullif(F.col("n"), zero), F.lit(0.0)).alias("llr"),
+        F.coalesce(F.greatest("best", "r_best"), F.lit(0.0)).alias("best"),
+        F.log1p(F.col("strong") + F.coalesce("r_strong", zero)).alias("strong"), F.log1p("n").alias("size"))
+    feats = written(feats, "toxicity-features")
     n = known.where("f = 4").count()
     pick = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) < int(min(1.0, fit_rows / max(n, 1)) * (1 << 30))
     fit = feats.where("fold = 4").join(known.where("f = 4").where(pick).select("id", "label"), "id").select("id", "label", *FEATURES).limit(2 * fit_rows).toPandas()

@@ -215,13 +215,13 @@ def test_toxicity(spark, odd, empty, labels):
                 w[i] = ["zorgul", "zorgan", "zorgit"][int(rng.integers(0, 3))]
         rows.append((k, " ".join(w)))
         lab.append((k, int(k % 3 == 0)))
-    out = toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(lab, "doc_id long, toxic int"), slots=1 << 16).collect()
+    out = toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(lab, "doc_id long, toxic int")).collect()
     held = [r for r in out if r.held_out]
     assert {r.doc_id for r in held} == {k for k in range(600) if zlib.crc32(str(k).encode()) % 5 == 0}
     assert np.mean([r.predicted == (r.doc_id % 3 == 0) for r in held]) > 0.95
-    assert toxicity.score_toxicity(odd, labels, slots=1 << 16).where("score between 0 and 1").count() == odd.count()
-    assert toxicity.score_toxicity(odd, labels.limit(0), slots=1 << 16).where("score = 0.5").count() == odd.count()
-    assert toxicity.score_toxicity(empty, labels, slots=1 << 16).count() == 0
+    assert toxicity.score_toxicity(odd, labels).where("score between 0 and 1").count() == odd.count()
+    assert toxicity.score_toxicity(odd, labels.limit(0)).where("score = 0.5").count() == odd.count()
+    assert toxicity.score_toxicity(empty, labels).count() == 0
 
 
 def test_packing(spark, odd, empty):
@@ -311,3 +311,61 @@ def test_many_matches_in_one_text(spark):
     row = preferences.format_neighbours(turns).first()
     spans = [tuple(map(int, s.split(":"))) for s in row.chosen_loss.split(",")]
     assert [row.chosen[a:b] for a, b in spans] == [f"0{t}\n<|end|>" for t in range(1, n) if t % 3]
+
+
+def test_toxicity_against_brute_force(spark):
+    """Interpolated Kneser-Ney written out for one word at a time; the words that are broadcast change nothing."""
+    from collections import Counter, defaultdict
+
+    rng = np.random.default_rng(5)
+    vocabulary = ["été", "don't", "x9", "zorgul", "zorgan", "aa", "ab", "the", "of", "漢字", "abcabcabc", "q"]
+    texts = {k: " ".join(vocabulary[i] for i in rng.integers(0, 12 if k % 3 else 9, 1 + k % 17)) + f" rare{k}" for k in range(60)}
+    texts[60], texts[61] = "", "never" + "y" * 300 + " seen THE x9"
+    label = {k: int(k % 3 == 0) for k in range(60)}
+
+    def words(t):
+        return [w.encode() for w in re.findall(r"[a-z0-9'\u0080-\U0010ffff]+", t.lower())]
+
+    def letters(w):
+        known = b"abcdefghijklmnopqrstuvwxyz0123456789'"
+        return [0, 0, 0, *(known.index(c) + 1 if c in known else 38 + (c & 15) for c in w), 54]
+
+    train = [k for k in texts if zlib.crc32(str(k).encode()) % 5 in (1, 2, 3) and k in label]
+    count = [Counter(w for k in train if label[k] == c for w in words(texts[k])) for c in range(2)]
+    shared, own = [defaultdict(Counter) for _ in range(3)], [defaultdict(Counter) for _ in range(2)]
+    for w in set(count[0]) | set(count[1]):
+        s = letters(w)
+        for i in range(3, len(s)):
+            for j in range(3):
+                shared[j][tuple(s[i - j:i])][s[i]] += 1
+            for c in range(2):
+                own[c][tuple(s[i - 3:i])][s[i]] += count[c][w]
+
+    def level(table, context, x, lower):
+        seen = +table[context] if context in table else Counter()
+        n = sum(seen.values())
+        return (max(seen[x] - 0.75, 0) + 0.75 * len(seen) * lower) / n if n else lower
+
+    def ratio(w):
+        s, out = letters(w), []
+        for c in range(2):
+            log = 0.0
+            for i in range(3, len(s)):
+                p = 1 / 54
+                for j in range(3):
+                    p = level(shared[j], tuple(s[i - j:i]), s[i], p)
+                log += np.log(level(own[c], tuple(s[i - 3:i]), s[i], p))
+            n = sum(count[c].values())
+            out.append(np.log(max(count[c][w] - 0.75, 0) / n + 0.75 * len(count[c]) / n * np.exp(max(log, -200))))
+        return out[1] - out[0]
+
+    docs = spark.createDataFrame(list(texts.items()) + [(61, texts[61]), (None, "the of")], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame(list(label.items()), "doc_id long, toxic int")
+    for hot in (1 << 20, 4, 0):
+        got = toxicity.score_toxicity(docs, labels, hot_words=hot).collect()
+        assert len(got) == 64 and sum(r.doc_id == 61 for r in got) == 2
+        for r in got:
+            want = [ratio(w) for w in words(texts.get(r.doc_id, "the of"))]
+            assert r.llr == pytest.approx(np.mean(want) if want else 0, abs=1e-9)
+            assert r.best == pytest.approx(max(want, default=0), abs=1e-9)
+            assert r.strong == pytest.approx(np.log1p(sum(x > 3 for x in want))) and r.size == pytest.approx(np.log1p(len(want)))
