@@ -132,7 +132,7 @@ def score_texts(p: dict, texts: list[str | None]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logit.astype(np.float64), -30, 30)))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fit_docs: int = 8_000,
+def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fit_docs: int = 8_000, fit_passages: int = 150_000,
                   id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """One row per input row: id, held_out, score, predicted (1 if score >=
     ``threshold``).  Input columns other than id and text are ignored.
@@ -141,7 +141,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fi
     network, gated attention weighs the passages, and the weighted sum is
     scored.  All weights are learned from document labels alone, on at most about
     ``fit_docs`` labelled documents whose id's crc32 mod 5 is not 0, picked by
-    a hash of the id; every document is scored over its whole text.
+    a hash of the id, with at most ``fit_passages`` passages in all (documents in an order
+    by hash; of one document at most a 64th, evenly spread); every document is scored over its whole text.
+
+    Of rows with one id, the fit takes one (least text hash).  Very long texts are scored whole.
 
     Null and empty texts are one passage of zeros.  A null id is scored, never
     learned from, and held_out is false.  Several labels of an id: the
@@ -150,7 +153,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fi
     """
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), fold(id_col).cast("int").alias("fold"))
     # a fixed-size network
-    shared = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, fit_docs, id_col, text_col, label_col))
+    shared = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, fit_docs, fit_passages, id_col, text_col, label_col))
 
     def run(batches):
         for b in iter_slices(batches, 128):
@@ -162,11 +165,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fi
                       (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fit_docs: int = 8_000,
+def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fit_docs: int = 8_000, fit_passages: int = 150_000,
                  id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """The rows of ``docs`` that ``score_quality`` gives ``threshold`` or more,
     all columns as they were; one narrow pass after the fit."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, fit_docs, id_col, text_col, label_col))
+    shared = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, fit_docs, fit_passages, id_col, text_col, label_col))
     at = docs.columns.index(text_col)
 
     def run(batches):
@@ -176,7 +179,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fit
     return docs.mapInArrow(run, docs.schema)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, fit_docs: int, id_col: str, text_col: str, label_col: str) -> dict:
+def fit_quality(docs: DataFrame, labels: DataFrame, fit_docs: int, fit_passages: int, id_col: str, text_col: str, label_col: str) -> dict:
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     known = (labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
              .groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
@@ -184,18 +187,28 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_docs: int, id_col: str,
     n = known.count()
     pick = F.pmod(F.xxhash64("id", F.lit(13)), F.lit(1 << 30)) < int(min(1.0, fit_docs / max(n, 1)) * (1 << 30))
     chosen = known.where(pick).select("id", "label").limit(2 * fit_docs)  # the limit only bounds the hash's spread
+    each = max(fit_passages // 64, 1)
 
     def run(batches):
         for b in iter_slices(batches, 128):
-            rows = [encode(t) for t in b.column(0).to_pylist()]
+            rows = [x if len(x) <= each else x[np.arange(each) * len(x) // each] for x in map(encode, b.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([r.tobytes() for r in rows], pa.binary())], ["id", "label", "rows"])
 
     kind = src.schema["id"].dataType.simpleString()
-    # at most 2 x fit_docs ids are broadcast; their passages reach the driver
-    fit = src.select("id", "text").join(F.broadcast(chosen), "id").select("text", "id", "label").mapInArrow(
-        run, f"id {kind}, label int, rows binary").toPandas().sort_values("id", kind="stable")
-    y = fit["label"].to_numpy(dtype=np.float64)
+    # at most 2 x fit_docs ids are broadcast; one row of each (an id may stand in many) is encoded
+    first = F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text")
+    fit = src.select("id", "text").join(F.broadcast(chosen), "id").groupBy("id", "label").agg(first).select("text", "id", "label").mapInArrow(
+        run, f"id {kind}, label int, rows binary")
+    got, room = [], fit_passages
+    for r in fit.orderBy(F.xxhash64("id", F.lit(29)), "id").toLocalIterator():
+        x = np.frombuffer(r["rows"], dtype=np.float32).reshape(-1, WIDTH)
+        room -= len(x)
+        if room < 0 and got:
+            break
+        got.append((r["id"], r["label"], x))
+    got.sort(key=lambda r: r[0])
+    y = np.array([r[1] for r in got], dtype=np.float64)
     if len(set(y)) < 2:
         return {"share": float(y.mean()) if len(y) else 0.5}
-    rows = [np.frombuffer(r, dtype=np.float32).reshape(-1, WIDTH) for r in fit["rows"]]
+    rows = [r[2] for r in got]
     return train(np.concatenate(rows), np.cumsum([0, *map(len, rows)])[:-1], y)
