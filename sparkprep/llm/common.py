@@ -15,6 +15,14 @@ from sparkprep.session import cut_lineage
 CHUNK = 256  # entries that ``carry`` appends one by one
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, or with underscores before it until no column in ``taken`` has it (in any case of letters)."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name = "_" + name
+    return name
+
+
 def bind(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, however often the body uses it."""
     return F.transform(F.array(value), body)[0]

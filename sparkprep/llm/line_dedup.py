@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkprep.llm.common import iter_slices
+from sparkprep.llm.common import free_name, iter_slices
 from sparkprep.session import cut_lineage
 
 #: (least constant tokens, least documents) of a template with variable parts, from the longest down; those with fewer constants never recur.
@@ -131,12 +131,13 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     its lines stays with an empty text.
 
     Rows with the same id and text are one document: they lose the same lines
-    and count once.  Null texts stay null (0 lines); a null id sorts last.  An
+    and count once.  Very long texts are read whole.  Null texts stay null (0 lines); a null id sorts last.  An
     empty table gives an empty result.  Only hashes are shuffled to find the
     templates, with partial counts before each shuffle; a template in a third
     of all documents is joined by a skew-splittable join.
     """
     keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    own, drop = free_name(docs.columns, "_ident"), free_name(docs.columns, "_gone")
     ident = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), ident.alias("ident"), F.col(text_col).cast("string").alias("text"))
     lines = cut_lineage(line_templates(rows))
@@ -150,11 +151,11 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     later = hits.where("ident <> f_ident or pos <> f_pos")
     gone = (later.where("need > 2").join(n_docs.where("n_docs >= need").select("key"), "key", "left_semi").select("ident", "pos")
             .unionByName(later.where("need <= 2").select("ident", "pos"))  # shared by two documents already
-            .groupBy("ident").agg(F.collect_set("pos").alias("_gone")))
+            .groupBy("ident").agg(F.collect_set("pos").alias(drop)))
     parts = F.split(F.col(text_col).cast("string"), "\n", -1)
-    kept = F.filter(parts, lambda line, at: ~F.array_contains(F.col("_gone"), at))
-    out = docs.select(*keep, ident.alias("_ident")).join(gone.withColumnRenamed("ident", "_ident"), "_ident", "left")
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(parts, lambda line, at: ~F.array_contains(F.col(drop), at))
+    out = docs.select(*keep, ident.alias(own)).join(gone.withColumnRenamed("ident", own), own, "left")
+    text = F.when(F.col(drop).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in keep],
                       F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),
-                      F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"))
+                      F.coalesce(F.size(drop), F.lit(0)).cast("long").alias("n_dropped"))

@@ -369,3 +369,68 @@ def test_toxicity_against_brute_force(spark):
             assert r.llr == pytest.approx(np.mean(want) if want else 0, abs=1e-9)
             assert r.best == pytest.approx(max(want, default=0), abs=1e-9)
             assert r.strong == pytest.approx(np.log1p(sum(x > 3 for x in want))) and r.size == pytest.approx(np.log1p(len(want)))
+
+
+def longest_common(a: list, b: list) -> int:
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b):
+            before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def test_decontamination_recall_near_the_limit(spark):
+    """Altered copies of benchmark items inside real documents; a plain subsequence count says which ones have to be found."""
+    path = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text")
+    bench = spark.read.parquet(f"{path}/benchmark.parquet")
+    split = lambda t: re.findall(r"[a-z0-9'\u0080-\U0010ffff]+", t.lower())
+    texts = [r.text for r in docs.where("length(text) between 300 and 3000").orderBy("doc_id").limit(120).collect()]
+    rng, rows, expected = np.random.default_rng(8), [], set()
+    for k, item in enumerate(bench.orderBy("item_id").collect()):
+        for j, share in enumerate((0.85, 0.75, 0.7) * 3):
+            around, altered = split(texts[(9 * k + j) % len(texts)]), []
+            for w in split(item.text):
+                altered.append(w if rng.random() < share else around[int(rng.integers(len(around)))])
+                if rng.random() < 0.1:
+                    altered.append(around[int(rng.integers(len(around)))])
+            at = int(rng.integers(len(around)))
+            rows.append((-1 - len(rows), " ".join(around[:at] + altered + around[at:])))
+            words, answer = split(item.text), split(decontaminate.answer_of(item.text))
+            common = longest_common(words, altered) / len(words)
+            if common >= 0.8 or common >= 0.65 and longest_common(answer, altered) >= 0.6 * len(answer):
+                expected.add((rows[-1][0], item.item_id))
+    planted = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs.unionByName(planted), bench).where("doc_id < 0").collect()}
+    print(f"recall {len(expected & got) / len(expected):.3f} of {len(expected)}")
+    assert len(expected) > 150 and len(expected & got) >= 0.9 * len(expected)
+
+
+def test_decontamination_of_few_words(spark):
+    items = [(1, "Big red dog"), (2, "Ja"), (3, "red dog"), (4, "?!"), (5, None), (6, "big RED dog"), (7, "dog dog dog dog")]
+    texts = ["a big red dog. ja", "big red", "dog", "jaja big, red; DOG", None, "", "dog dog dog dog dog", "red\ndog"]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(2, "dog"), (None, "ja")], "doc_id long, text string").coalesce(1)
+    got = decontaminate.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = [(0, 1, 1), (0, 2, 4), (0, 3, 2), (0, 6, 1), (3, 1, 1), (3, 3, 2), (3, 6, 1), (6, 7, 0), (7, 3, 0), (None, 2, 0)]
+    assert sorted(((r.doc_id, r.item_id, r.word) for r in got), key=str) == sorted(want, key=str)
+    assert all(r.cosine is None and r.lcs == r.answer == 1 for r in got)
+
+
+def test_line_dedup_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(k, f"{prose(1, 9)}\n{k}", 10 + k, f"g{k}", k) for k in range(3)], "doc_id long, text string, _ident long, _GONE string, __gone long")
+    got = {r.doc_id: r for r in line_dedup.drop_recurring_lines(docs).collect()}
+    assert [(got[k].text, got[k]._ident, got[k]._GONE, got[k]["__gone"]) for k in (1, 2)] == [("1", 11, "g1", 1), ("2", 12, "g2", 2)]
+    assert got[0].text == f"{prose(1, 9)}\n0"
+
+
+def test_quality_fit_is_bounded(spark):
+    docs = spark.createDataFrame([(k, prose(k, 40 + 30 * (k % 2)) if k % 2 else "x y " * 20) for k in range(40)], "doc_id long, text string")
+    hot = spark.range(0, 3000, 1, 4).select(F.lit(6).cast("long").alias("doc_id"), F.concat(F.lit("x y "), F.col("id").cast("string")).alias("text"))
+    long = spark.createDataFrame([(41, prose(5, 70_000))], "doc_id long, text string")
+    lab = spark.createDataFrame([(k, k % 2) for k in range(42)] + [(6, None), (6, 0)], "doc_id long, quality int")
+    for passages in (150_000, 128):
+        p = quality.fit_quality(docs.unionByName(hot).unionByName(long), lab, 8000, passages, "doc_id", "text", "quality")
+        assert p
+    out = quality.score_quality(docs.unionByName(hot), lab).collect()
+    assert len(out) == 3040 and sum(r.doc_id == 6 for r in out) == 3001 and all(0 <= r.score <= 1 for r in out)
