@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkprep.llm import decontaminate, line_dedup, packing, quality, simhash
+from sparkprep.llm.common import free_name
 from sparkprep.session import shared_path
 
 
@@ -42,19 +43,21 @@ def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each SimHash group; one row of repeated rows (same id and text)."""
-    rows = docs.withColumn("_key", row_key())
-    groups = simhash.simhash_groups(rows, id_col="_key").select("_key", "component_id").distinct()
-    first = F.min(F.struct(F.col("_id"), F.col("_key")))
-    keep = (groups.join(rows.select("_key", row_id().alias("_id")), "_key")
-            .groupBy("component_id").agg(first.alias("first")).select(F.col("first._key").alias("_key")))
-    return rows.join(keep, "_key").dropDuplicates(["_key"]).select(*docs.columns)
+    key = free_name([*docs.columns, "component_id", "first", "_id"], "_key")
+    rows = docs.withColumn(key, row_key())
+    groups = simhash.simhash_groups(rows.select(key, "text"), id_col=key).select(key, "component_id").distinct()
+    first = F.min(F.struct(F.col("_id"), F.col(key)))
+    keep = (groups.join(rows.select(key, row_id().alias("_id")), key)
+            .groupBy("component_id").agg(first.alias("first")).select(F.col(f"first.{key}").alias(key)))
+    return rows.join(keep, key).dropDuplicates([key]).select(*docs.columns)
 
 
 def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a leaked benchmark text."""
-    rows = docs.withColumn("_key", row_key())
-    leaks = decontaminate.find_leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_key")
-    return rows.join(leaks.select("_key").distinct(), "_key", "left_anti").select(*docs.columns)
+    key = free_name(docs.columns, "_key")
+    rows = docs.withColumn(key, row_key())
+    leaks = decontaminate.find_leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=key)
+    return rows.join(leaks.select(key).distinct(), key, "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
