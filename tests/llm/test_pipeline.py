@@ -36,3 +36,16 @@ def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
 def test_all_fourteen_are_registered():
     names = [k for k in __spark_entry__.queries() if k == "pipeline" or k.startswith("op") and "_" in k and k[2:k.index("_")].isdigit()]
     assert len(names) == 14
+
+
+def test_clashing_columns_and_empty_documents(spark):
+    from test_operators import prose
+
+    rows = [(k, t, f"k{k}", -k, 5, 6) for k, t in enumerate([prose(4, 200), prose(4, 200) + " end", None, "", prose(6, 30_000)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string, _id long, n_chars long, component_id long")
+    for stage, kept in ((corpus_pipeline.near_duplicates, {0, 2, 4}), (corpus_pipeline.benchmark_filter, {0, 1, 2, 3, 4})):
+        got = stage(spark, docs, SF).collect()
+        assert {r.doc_id for r in got} == kept and all(tuple(r) == rows[r.doc_id] for r in got)
+    empty = docs.limit(0).drop("component_id").selectExpr("*", "'x' as lang", "'y' as source")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0
