@@ -16,6 +16,9 @@ from sparkprep.session import cut_lineage
 #: (least constant tokens, least documents) of a template with variable parts, from the longest down; those with fewer constants never recur.
 TIERS = ((20, 2), (8, 5), (4, 50))
 EXACT_DOCS = 2  # documents that make a line recur word by word, whatever its length
+#: Lines of LEAF_TOKENS tokens are generalised by what their leaf of the tree holds: a token stays if it stands at its place in
+#: LEAF_DOCS documents of the leaf; the template counts with LEAF_CONSTANTS tokens left, which are LEAF_SHARE of the line.
+LEAF_TOKENS, LEAF_DOCS, LEAF_CONSTANTS, LEAF_SHARE = (6, 11), 5, 5, 2 / 3
 VARIABLE = re.compile(r"[0-9@]|://")
 FIELD = "<*>"
 PRIME, BASE = (1 << 61) - 1, 0x1B873593CC9E2D51
@@ -118,6 +121,54 @@ def line_templates(docs: DataFrame) -> DataFrame:
         run, "doc long, ident long, pos int, need int, key long")
 
 
+def leaf_lines(docs: DataFrame) -> DataFrame:
+    """(doc, ident, pos, leaf, tokens): the lines of LEAF_TOKENS tokens, filed
+    by token count and first token; tokens as hashes, 0 for a masked field."""
+    def run(batches):
+        import xxhash
+
+        for b in iter_slices(batches):
+            rows, tokens, size = [], [], [0]
+            for doc, ident, text in zip(*(b.column(k).to_pylist() for k in range(3))):
+                for pos, line in enumerate(text.split("\n")):
+                    t = line.split()
+                    if LEAF_TOKENS[0] <= len(t) <= LEAF_TOKENS[1] and not VARIABLE.search(t[0]):
+                        h = [0 if VARIABLE.search(x) else xxhash.xxh64_intdigest(x.encode()) >> 1 | 1 for x in t]
+                        rows.append((doc, ident, pos, h[0] ^ len(t) << 1))
+                        tokens += h
+                        size.append(len(tokens))
+            cols = list(zip(*rows)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64()))),
+                                              pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(tokens, pa.int64()))],
+                                             ["doc", "ident", "pos", "leaf", "tokens"])
+
+    return docs.select("doc", "ident", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
+        run, "doc long, ident long, pos int, leaf long, tokens array<long>")
+
+
+def learned_templates(docs: DataFrame) -> DataFrame:
+    """(doc, ident, pos, need, key) for the short lines that their leaf generalises.
+
+    A leaf learns its fields from its lines: a token that stands at its place
+    in fewer than LEAF_DOCS documents of the leaf is one, whatever it looks
+    like.  Everything is counted by grouped sums, a leaf is never gathered:
+    the counts of (leaf, place, token) are joined back to the lines' tokens.
+    """
+    lines = leaf_lines(docs)
+    # leaves of few documents learn nothing: no line of theirs can reach the counts
+    wide = lines.groupBy("leaf", "ident").count().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= LEAF_DOCS).select("leaf")
+    lines = cut_lineage(lines.join(wide, "leaf", "left_semi"))
+    tokens = lines.select("doc", "ident", "pos", "leaf", F.posexplode("tokens").alias("place", "token"))
+    known = (tokens.where("token <> 0").groupBy("leaf", "place", "token", "ident").count()
+             .groupBy("leaf", "place", "token").agg(F.count("*").alias("docs")).where(F.col("docs") >= LEAF_DOCS).select("leaf", "place", "token"))
+    kept = tokens.join(known, ["leaf", "place", "token"]).groupBy("doc", "ident", "pos", "leaf").agg(
+        F.sort_array(F.collect_set(F.struct("place", "token"))).alias("kept"))  # at most 11; rows may repeat
+    size = F.size("kept")
+    n = lines.select("ident", "pos", F.size("tokens").alias("n")).distinct()
+    return kept.where(size >= LEAF_CONSTANTS).join(n, ["ident", "pos"]).where((size < F.col("n")) & (size >= LEAF_SHARE * F.col("n"))).select(
+        "doc", "ident", "pos", F.lit(LEAF_DOCS).alias("need"), F.xxhash64(F.lit("leaf"), "leaf", "kept").alias("key"))
+
+
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with the recurring lines taken out of the text,
     and n_lines and n_dropped (an input column of such a name is replaced).
@@ -125,7 +176,8 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     A line recurs word by word if it occurs in ``EXACT_DOCS`` documents, however
     short it is.  A template with variable parts recurs if it occurs in as many
     documents as ``TIERS`` asks for its number of constant tokens; consecutive
-    lines count as one template (``passages``).  Its first line (smallest id, then place)
+    lines count as one template (``passages``).  Lines of 6 to 11 tokens also have the template that
+    their leaf learns (``learned_templates``), in LEAF_DOCS documents.  Its first line (smallest id, then place)
     stays, so nothing that only copies hold is lost; every other line of it
     goes, the rest of a document stays as it was.  A document that loses all
     its lines stays with an empty text.
@@ -140,7 +192,7 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     own, drop = free_name(docs.columns, "_ident"), free_name(docs.columns, "_gone")
     ident = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), ident.alias("ident"), F.col(text_col).cast("string").alias("text"))
-    lines = cut_lineage(line_templates(rows))
+    lines = cut_lineage(line_templates(rows)).unionByName(cut_lineage(learned_templates(rows)))
     # one pass over all keys drops those of a single document; documents are counted exactly for the rest
     shared = lines.groupBy("key").agg(
         F.min("need").alias("need"), F.min("ident").alias("low"), F.max("ident").alias("high"),

@@ -434,3 +434,38 @@ def test_quality_fit_is_bounded(spark):
         assert p
     out = quality.score_quality(docs.unionByName(hot), lab).collect()
     assert len(out) == 3040 and sum(r.doc_id == 6 for r in out) == 3001 and all(0 <= r.score <= 1 for r in out)
+
+
+def test_leaves_learn_fields(spark):
+    """Short templates whose fields are ordinary words, against a plain count per leaf."""
+    from collections import defaultdict
+
+    names = "anna bert cora dirk emil fred gina".split()
+    lines = {k: [f"user {names[k]} has logged in today", f"{prose(800 + k, 8)}"] for k in range(7)}
+    lines[7] = ["user anna has gone home for good", "user hugo has logged in 2024", "user ivan was logged in today"]
+    lines |= {10 + k: [f"one two three {names[k]} five six seven {names[-k]}", f"a b {names[k]} {names[k - 1]} {names[k - 2]} f"] for k in range(4)}
+    lines |= {20 + k: [f"the price of {w} is low this week"] for k, w in enumerate(["tea"] * 6 + ["rice", "milk", "salt", "corn"])}
+    docs = spark.createDataFrame([(k, "\n".join(v)) for k, v in lines.items()] + [(0, "\n".join(lines[0]))], "doc_id long, text string").repartition(3)
+    support = defaultdict(set)
+    for k, ls in lines.items():
+        for line in ls:
+            t = line.split()
+            for j, x in enumerate(t):
+                support[len(t), t[0], j, x].add(k)
+    groups = defaultdict(set)
+    for k, ls in lines.items():
+        for pos, line in enumerate(ls):
+            t = line.split()
+            form = tuple(x if len(support[len(t), t[0], j, x]) >= 5 and not any(c.isdigit() for c in x) else "<*>" for j, x in enumerate(t))
+            constants = len(form) - form.count("<*>")
+            if 6 <= len(t) <= 11 and "<*>" in form and constants >= 5 and constants >= 2 / 3 * len(t):
+                groups[form].add((k, pos))
+    rows = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("doc_id", "text").alias("ident"), "text")
+    got = defaultdict(set)
+    for r in line_dedup.learned_templates(rows).collect():
+        got[r.key].add((r.doc, r.pos))
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values())) and len(groups) == 2
+    out = {r.doc_id: r.text for r in line_dedup.drop_recurring_lines(docs).collect()}
+    assert out[0].startswith("user anna") and all("logged" not in out[k] for k in range(1, 7)) and out[7] == "\n".join(lines[7])
+    assert out[20] == lines[20][0] and [out[20 + k] for k in range(1, 6)] == [""] * 5  # word by word
+    assert [bool(out[26 + k]) for k in range(4)] == [True] * 4  # four documents of the learned form are too few
