@@ -20,6 +20,7 @@ EXACT_DOCS = 2  # documents that make a line recur word by word, whatever its le
 #: LEAF_DOCS documents of the leaf; the template counts with LEAF_CONSTANTS tokens left, which are LEAF_SHARE of the line.
 LEAF_TOKENS, LEAF_DOCS, LEAF_CONSTANTS, LEAF_SHARE = (6, 11), 5, 5, 2 / 3
 VARIABLE = re.compile(r"[0-9@]|://")
+BLANK = r"(?U)[\s\x1c-\x1f]+"  # what separates tokens, for Spark's split
 FIELD = "<*>"
 PRIME, BASE = (1 << 61) - 1, 0x1B873593CC9E2D51
 
@@ -124,26 +125,11 @@ def line_templates(docs: DataFrame) -> DataFrame:
 def leaf_lines(docs: DataFrame) -> DataFrame:
     """(doc, ident, pos, leaf, tokens): the lines of LEAF_TOKENS tokens, filed
     by token count and first token; tokens as hashes, 0 for a masked field."""
-    def run(batches):
-        import xxhash
-
-        for b in iter_slices(batches):
-            rows, tokens, size = [], [], [0]
-            for doc, ident, text in zip(*(b.column(k).to_pylist() for k in range(3))):
-                for pos, line in enumerate(text.split("\n")):
-                    t = line.split()
-                    if LEAF_TOKENS[0] <= len(t) <= LEAF_TOKENS[1] and not VARIABLE.search(t[0]):
-                        h = [0 if VARIABLE.search(x) else xxhash.xxh64_intdigest(x.encode()) >> 1 | 1 for x in t]
-                        rows.append((doc, ident, pos, h[0] ^ len(t) << 1))
-                        tokens += h
-                        size.append(len(tokens))
-            cols = list(zip(*rows)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64()))),
-                                              pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(tokens, pa.int64()))],
-                                             ["doc", "ident", "pos", "leaf", "tokens"])
-
-    return docs.select("doc", "ident", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
-        run, "doc long, ident long, pos int, leaf long, tokens array<long>")
+    lines = docs.select("doc", "ident", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "line"))
+    words = lines.select("doc", "ident", "pos", F.array_remove(F.split("line", BLANK), "").alias("words")).where(F.size("words").between(*LEAF_TOKENS))
+    hashed = F.transform("words", lambda w: F.when(w.rlike(VARIABLE.pattern), F.lit(0).cast("long")).otherwise(F.xxhash64(w)))
+    return words.select("doc", "ident", "pos", hashed.alias("tokens")).where(F.col("tokens")[0] != 0).select(
+        "doc", "ident", "pos", F.xxhash64(F.size("tokens"), F.col("tokens")[0]).alias("leaf"), "tokens")
 
 
 def learned_templates(docs: DataFrame) -> DataFrame:
@@ -154,10 +140,10 @@ def learned_templates(docs: DataFrame) -> DataFrame:
     like.  Everything is counted by grouped sums, a leaf is never gathered:
     the counts of (leaf, place, token) are joined back to the lines' tokens.
     """
-    lines = leaf_lines(docs)
+    lines = cut_lineage(leaf_lines(docs))
     # leaves of few documents learn nothing: no line of theirs can reach the counts
     wide = lines.groupBy("leaf", "ident").count().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= LEAF_DOCS).select("leaf")
-    lines = cut_lineage(lines.join(wide, "leaf", "left_semi"))
+    lines = lines.join(wide, "leaf", "left_semi")
     tokens = lines.select("doc", "ident", "pos", "leaf", F.posexplode("tokens").alias("place", "token"))
     known = (tokens.where("token <> 0").groupBy("leaf", "place", "token", "ident").count()
              .groupBy("leaf", "place", "token").agg(F.count("*").alias("docs")).where(F.col("docs") >= LEAF_DOCS).select("leaf", "place", "token"))
