@@ -19,6 +19,7 @@ EXACT_DOCS = 2  # documents that make a line recur word by word, whatever its le
 #: Lines of LEAF_TOKENS tokens are generalised by what their leaf of the tree holds: a token stays if it stands at its place in
 #: LEAF_DOCS documents of the leaf; the template counts with LEAF_CONSTANTS tokens left, which are LEAF_SHARE of the line.
 LEAF_TOKENS, LEAF_DOCS, LEAF_CONSTANTS, LEAF_SHARE = (6, 11), 5, 5, 2 / 3
+SALTS = 64
 VARIABLE = re.compile(r"[0-9@]|://")
 BLANK = r"(?U)[\s\x1c-\x1f]+"  # what separates tokens, for Spark's split
 FIELD = "<*>"
@@ -143,7 +144,9 @@ def learned_templates(docs: DataFrame) -> DataFrame:
     lines = cut_lineage(leaf_lines(docs))
     # leaves of few documents learn nothing: no line of theirs can reach the counts
     wide = lines.groupBy("leaf", "ident").count().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= LEAF_DOCS).select("leaf")
-    lines = lines.join(wide, "leaf", "left_semi")
+    salt = F.pmod(F.xxhash64("ident"), F.lit(SALTS)).cast("int")  # one leaf may hold a third of all lines
+    wide = wide.select("leaf", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    lines = lines.withColumn("salt", salt).join(wide, ["leaf", "salt"], "left_semi")
     tokens = lines.select("doc", "ident", "pos", "leaf", F.posexplode("tokens").alias("place", "token"))
     known = (tokens.where("token <> 0").groupBy("leaf", "place", "token", "ident").count()
              .groupBy("leaf", "place", "token").agg(F.count("*").alias("docs")).where(F.col("docs") >= LEAF_DOCS).select("leaf", "place", "token"))
