@@ -77,6 +77,23 @@ def blocks_of(cut: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(cut[:-1], n) + step * (np.arange(n.sum()) - np.repeat(first, n)), n
 
 
+def sums_of_runs(y: np.ndarray, at: np.ndarray, heads: np.ndarray, steps: int = 8) -> np.ndarray:
+    """Sums of y[at] over the runs that begin at ``heads``: the runs' first rows together,
+    step by step, and the rest of each long run."""
+    size = np.diff([*heads, len(at)])
+    order = np.argsort(-size, kind="stable")
+    first, size = heads[order], size[order]
+    out = y[at[first]]
+    for k in range(1, steps):
+        n = int(np.searchsorted(-size, -k))  # runs of more than k rows
+        out[:n] += y[at[first[:n] + k]]
+    for i in range(int(np.searchsorted(-size, -steps))):
+        out[i] += y[at[first[i] + steps:first[i] + size[i]]].sum(axis=0)
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
 def randomised_svd(words: DataFrame, idf: np.ndarray, rank: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Right singular vectors (features x rank) and singular values of the TF-IDF
     matrix A of all 48-word passages of ``words``.  A word counts once in a
@@ -90,12 +107,12 @@ def randomised_svd(words: DataFrame, idf: np.ndarray, rank: int, seed: int = 3)
     """
     features, width = len(idf), rank + 8
     omega = np.random.default_rng(seed).normal(size=(features, width)).astype(np.float32)
-    shared = words.sparkSession.sparkContext.broadcast((omega, idf.astype(np.float32)))
+    shared = words.sparkSession.sparkContext.broadcast(np.concatenate([omega * idf.astype(np.float32)[:, None], np.zeros((1, width), dtype=np.float32)]))
     rows = features + width
     pad = -(-rows // FEATURE_BLOCK) * FEATURE_BLOCK
 
     def run(batches):
-        r, w = shared.value
+        r = shared.value  # row ``features`` is zero
         out = np.zeros((pad, width))
         for b in iter_slices(batches, 64):
             flat, cut = lists(b.column(0))
@@ -103,14 +120,19 @@ def randomised_svd(words: DataFrame, idf: np.ndarray, rank: int, seed: int = 3)
                 continue
             at, _ = blocks_of(cut, STEP * LONG)
             passage = np.repeat(np.arange(len(at)), np.diff([*at, len(flat)]))
-            once = np.unique((flat % features).astype(np.int64) * len(at) + passage)  # by feature, then passage
-            f, passage = once // len(at), once % len(at)
-            order = np.argsort(passage, kind="stable")
-            heads = np.flatnonzero(np.r_[True, np.diff(passage[order]) > 0])
-            y = np.add.reduceat(r[f[order]] * w[f[order]][:, None], heads)
+            once = np.sort(passage * features + (flat % features).astype(np.int64))  # by passage, then feature
+            once = once[np.r_[True, np.diff(once) > 0]]
+            f, passage = once % features, once // features
+            first = np.flatnonzero(np.r_[True, np.diff(passage) > 0])
+            size = np.diff([*first, len(f)])
+            y = np.zeros((len(first), width), dtype=np.float32)
+            for k in range(STEP * LONG):
+                y += r[np.where(k < size, f[np.minimum(first + k, len(f) - 1)], features)]
             out[features:rows] += y.T @ y
+            order = np.argsort(f.astype(np.min_scalar_type(features)), kind="stable")
+            f, passage = f[order], passage[order]
             heads = np.flatnonzero(np.r_[True, np.diff(f) > 0])
-            out[f[heads]] += np.add.reduceat(y[passage] * w[f][:, None], heads)
+            out[f[heads]] += sums_of_runs(y, passage, heads)
         src = TaskContext.get().partitionId()
         for k in (k for k in range(0, pad, FEATURE_BLOCK) if out[k:k + FEATURE_BLOCK].any()):  # most tasks meet no fit document
             yield pa.RecordBatch.from_arrays([pa.array([k // FEATURE_BLOCK], pa.int32()), pa.array([src], pa.int32()),
@@ -119,7 +141,7 @@ def randomised_svd(words: DataFrame, idf: np.ndarray, rank: int, seed: int = 3)
     total = np.zeros((pad, width))
     for r in sum_blocks(words.select("words").mapInArrow(run, "block int, src int, data binary"), "float32", (FEATURE_BLOCK, width)).toLocalIterator():
         total[r["block"] * FEATURE_BLOCK:(r["block"] + 1) * FEATURE_BLOCK] = np.frombuffer(zlib.decompress(r["data"]), dtype=np.float32).reshape(FEATURE_BLOCK, width)
-    gram, cross = total[features:rows], total[:features]
+    gram, cross = total[features:rows], total[:features] * idf[:, None]
     size, vec = np.linalg.eigh(gram)
     ok = size > 1e-9 * max(size.max(), 1e-30)
     b = cross @ (vec[:, ok] / np.sqrt(size[ok]))
@@ -175,7 +197,7 @@ def answer_of(text: str) -> str:
     return parts[-1] if parts else ""
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, features: int = 1 << 14, rank: int = 56, skip: int = 8, fit_docs: int = 10_000,
+def find_leaks(docs: DataFrame, benchmark: DataFrame, features: int = 1 << 14, rank: int = 56, skip: int = 8, fit_docs: int | None = None,
                min_cosine: float = 0.4, min_lcs: float = 0.65, sure_lcs: float = 0.8, min_answer: float = 0.6, min_words: int = 5,
                items_per_pass: int = 4096, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                answer_col: str | None = None) -> DataFrame:
@@ -184,8 +206,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, features: int = 1 << 14, r
 
     All texts are cut into windows of 24 and 48 words that start every 12 and
     24 words.  TF-IDF weights come from the document counts of all texts over
-    ``features`` hashed words; a randomised SVD of rank ``rank``, fitted as an index on the
-    passages of at most about ``fit_docs`` documents, gives the latent space:
+    ``features`` hashed words; a randomised SVD of rank ``rank``, fitted on the passages of all
+    texts (of about ``fit_docs`` of them, if given), gives the latent space:
     ``rank`` directions, whitened by the singular values, without the ``skip``
     leading ones, which all texts of a language share.  Every window meets every item there
     (the benchmark is the query set, ``items_per_pass`` items at a time), and
@@ -209,8 +231,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, features: int = 1 << 14, r
     kind, item_kind = words.schema["id"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"{id_col} {kind}, {item_col} {item_kind}, cosine double, lcs double, answer double, word long"
     idf = np.log((1 + n) / (1 + df)) + 0.1
-    share = F.lit(int(min(1.0, fit_docs / max(n, 1)) * (1 << 30)))
-    v, s = randomised_svd(words.where(F.pmod(F.xxhash64("words", F.lit(5)), F.lit(1 << 30)) < share), idf, rank + skip)
+    fit = words
+    if fit_docs is not None:
+        share = F.lit(int(min(1.0, fit_docs / max(n, 1)) * (1 << 30)))
+        fit = words.where(F.pmod(F.xxhash64("words", F.lit(5)), F.lit(1 << 30)) < share)
+    v, s = randomised_svd(fit, idf, rank + skip)
     v, s = (v[:, skip:], s[skip:]) if len(s) > 2 * skip else (v, s)
     latent = (idf[:, None] * v / np.maximum(s, 1e-9 * max(s.max(initial=0), 1e-30))).astype(np.float32)
 
