@@ -240,11 +240,13 @@ def train(df: DataFrame, target: str, model_type: str, params: Mapping | None =
             raise ValueError(f"SVM has no kernel {kernel!r}")
         front = fourier_map(prepared, feats, **shape) if kernel == "rbf" else front
     cols = ["features", "label"] + (["weight"] if weight else [])
+    keys = [f"_key{i}" for i in range(len(key))] if model_type.startswith("Auto") else []
+    cols += [F.col(c).alias(name) for c, name in zip(key, keys)]
     fit_input = PipelineModel(stages=front).transform(prepared).select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if model_type.startswith("Auto"):
             est, b.trials = auto_search(fit_input, feats, is_clf, params.get("time_budget", 30), seed, assembled=True,
-                                        metric=params.get("metric"), weight=weight)
+                                        metric=params.get("metric"), weight=weight, key=keys)
         else:
             est = estimator(model_type, params, weight=weight, n_rows=fit_input.count())
         b.pipeline = PipelineModel(stages=[*front, est.fit(fit_input)])
@@ -620,7 +622,8 @@ def auto_search(df: DataFrame, feats: Sequence[str], is_clf: bool, budget_s: flo
     each family's cheap first setting and some drawn ones.  The best third
     goes on to the next rung, with ``AUTO_GROWTH`` times the rows, and so does
     a setting a step away from the leader; the last rung is the whole table.  Samples are nested
-    and chosen by a hash, rare classes keep ``AUTO_CLASS`` rows.  No fit begins after
+    and chosen row by row, by a hash of the key and the row (without a key, of its place and the
+    row), so that copies of a row are drawn one by one; rare classes keep ``AUTO_CLASS`` rows.  No fit begins after
     the budget (but the first).  The result is the best setting of the
     largest sample that was reached; a tie goes to the one tried first.
 
@@ -633,8 +636,11 @@ def auto_search(df: DataFrame, feats: Sequence[str], is_clf: bool, budget_s: flo
     if metric is None:
         metric = "rmse" if not is_clf else "roc_auc" if len(classes) == 2 else "f1"
     sign = 1 if _evaluator(metric, is_clf).isLargerBetter() else -1
-    by = list(key) or [F.to_json(F.struct(vector_to_array("features").alias("f"), "label"))]
-    folded = _folded(df, k, seed, key).withColumn("_u", F.pmod(F.xxhash64(*by, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40))
+    if not key:
+        df, key = df.withColumn("_row", F.monotonically_increasing_id()), ["_row"]
+    row = F.xxhash64(*key, vector_to_array("features"), "label", F.lit(seed))
+    folded = df.select("features", "label", *([weight] if weight else []), F.pmod(row, F.lit(1 << 40)).alias("_u"))
+    folded = kfold(folded, k, seed, ["_u"], fold_col="_fold").withColumn("_u", F.col("_u") / float(1 << 40))
     folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
     rng, trials, best = random.Random(seed), [], None
     spaces = {fam: space for fam, _, space in AUTO_SPACES["clf" if is_clf else "reg"]}
