@@ -39,6 +39,7 @@ from sparkprep.operators.sampling import class_counts, kfold, split_random, spli
 from sparkprep.session import cut_lineage
 
 MAX_TREE_DEPTH = 30  # Spark ML limit (fixed value)
+MAP_BYTES = 64 << 20  # Fourier features of a task's rows (fixed value)
 
 TREE_PARAMS = {"max_depth", "min_samples_leaf", "max_bins", "max_features", "criterion", "random_state"}
 LINEAR_PARAMS = {"max_iter", "tol", "reg", "C", "class_weight"}
@@ -238,11 +239,19 @@ def train(df: DataFrame, target: str, model_type: str, params: Mapping | None =
                                                          "seed": params.pop("random_state", seed)}
         if kernel not in ("linear", "rbf"):
             raise ValueError(f"SVM has no kernel {kernel!r}")
-        front = fourier_map(prepared, feats, **shape) if kernel == "rbf" else front
+        if kernel == "rbf":
+            # the fit keeps the mapped rows as blocks of its own, so only the plain rows are cached here,
+            # dealt so that a task maps MAP_BYTES at a time
+            prepared = prepared.select(*feats, "label", *(["weight"] if weight else []))
+            tasks = -(-prepared.count() * 8 * int(shape["n_components"]) // MAP_BYTES)
+            prepared = prepared.repartition(max(tasks, df.sparkSession.sparkContext.defaultParallelism))
+            front = fourier_map(prepared, feats, **shape)
+    mapped = len(front) > 1
     cols = ["features", "label"] + (["weight"] if weight else [])
     keys = [f"_key{i}" for i in range(len(key))] if model_type.startswith("Auto") else []
     cols += [F.col(c).alias(name) for c, name in zip(key, keys)]
-    fit_input = PipelineModel(stages=front).transform(prepared).select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
+    fit_input = PipelineModel(stages=front).transform(prepared).select(*cols)
+    cached = (prepared if mapped else fit_input).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if model_type.startswith("Auto"):
             est, b.trials = auto_search(fit_input, feats, is_clf, params.get("time_budget", 30), seed, assembled=True,
@@ -251,7 +260,7 @@ def train(df: DataFrame, target: str, model_type: str, params: Mapping | None =
             est = estimator(model_type, params, weight=weight, n_rows=fit_input.count())
         b.pipeline = PipelineModel(stages=[*front, est.fit(fit_input)])
     finally:
-        fit_input.unpersist()
+        cached.unpersist()
     return b, train_df, test_df
 
 
