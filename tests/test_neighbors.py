@@ -134,3 +134,27 @@ def test_knn_bundle_builds_its_index_once(spark, monkeypatch, tmp_path):
     assert first == {r.id: (r.predicted_label, r.p) for r in model.predict(c, test).collect()}
     assert first == {r.id: (r.predicted_label, r.p) for r in model.predict(c, test).collect()}
     assert len(builds) == 1 and np.mean([first[r.id][0] == r.t for r in test.collect()]) > 0.9
+
+
+@pytest.mark.parametrize("features", [3, 9])
+def test_knn_hot_cells_are_shared_and_grown_cells_stay_exact(spark, monkeypatch, features):
+    """Many queries of one cell are shared by tasks, candidates held are cut to the best, cells grow
+    once there are as many as allowed; ties at the k-th distance go to the smallest key."""
+    for name, value in (("LEAF_ROWS", 8), ("FANOUT", 4), ("MAX_CELLS", 5), ("TASK_QUERIES", 7), ("HELD_PAIRS", 10), ("MAX_LOCAL_CELLS", 2)):
+        monkeypatch.setattr(neighbors, name, value)
+    rng = np.random.default_rng(17)
+    xt, xq = rng.integers(0, 4, (400, features)).astype(float), rng.integers(0, 4, (50, features)).astype(float)
+    xq[:30] = xt[0] + rng.random((30, features)) / 8
+    names = [f"f{i}" for i in range(features)]
+    schema = "id long, " + ", ".join(f"{n} double" for n in names)
+    tdf = spark.createDataFrame([(400 - i, *map(float, v), f"c{i % 3}") for i, v in enumerate(xt)], schema + ", y string")
+    qdf = spark.createDataFrame([(1000 + i, *map(float, v)) for i, v in enumerate(xq)], schema)
+    index = build_index(tdf, names, 6, "id", "y")
+    assert 1 < index.nodes.count() <= 5 and index.rows.groupBy("_leaf").count().where("count > 8").count() == 0
+    got = {}
+    for r in neighbors.index_neighbors(index, qdf, names, "id").collect():
+        got.setdefault(r._qk, []).append((r["rank"], r._tk, r._lab, r.distance))
+    d = np.sqrt(((xq[:, None, :] - xt[None, :, :]) ** 2).sum(-1))
+    for i in range(50):
+        want = sorted((d[i, j], 400 - j, f"c{j % 3}") for j in range(400))[:6]
+        assert [(t, lab) for _, t, lab, _ in sorted(got[1000 + i])] == [(t, lab) for _, t, lab in want]
