@@ -158,3 +158,18 @@ def test_knn_hot_cells_are_shared_and_grown_cells_stay_exact(spark, monkeypatch,
     for i in range(50):
         want = sorted((d[i, j], 400 - j, f"c{j % 3}") for j in range(400))[:6]
         assert [(t, lab) for _, t, lab, _ in sorted(got[1000 + i])] == [(t, lab) for _, t, lab in want]
+
+
+def test_knn_vote_from_several_cells(spark, monkeypatch):
+    """Votes gathered from rows of several cells, by queries on the borders between them."""
+    monkeypatch.setattr(neighbors, "LEAF_ROWS", 5)
+    monkeypatch.setattr(neighbors, "FANOUT", 2)
+    tr, _, tdf, _ = _data(spark, 200, 1, 21)
+    index = build_index(tdf, ["a", "b", "c"], 7, "id", "y")
+    q = {1000 + i: tuple((r.low if i % 2 else r.high)) for i, r in enumerate(index.nodes.orderBy("cell").collect())}
+    assert len(q) >= 10
+    qdf = spark.createDataFrame([(i, *x) for i, x in q.items()], "id long, a double, b double, c double")
+    pred = {r.id: r.predicted_label for r in knn_predict(tdf, qdf, ["a", "b", "c"], "y", k=7).collect()}
+    for i, near in _brute(tr, q, 7).items():
+        labels = [tr[t][1] for t in near]
+        assert pred[i] == min(set(labels), key=lambda lb: (-labels.count(lb), lb))
