@@ -42,6 +42,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkprep.operators.order import MAX_BROADCAST_ROWS, local_table
 from sparkprep.session import cut_lineage
@@ -330,8 +331,8 @@ def _in_cells(index: NeighborIndex, visits: DataFrame, need: int, cells: list |
     tasks = int(visits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = visits.join(sizes, "_cell").withColumn("_part", F.pmod(F.xxhash64("_qid"), "_parts")).drop("_parts")
     right = index.rows.join(sizes, "_cell").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
-    found = "array<struct<_ord:bigint,_tk:{},_lab:{},distance:double>>".format(
-        *[index.rows.schema[c].dataType.simpleString() for c in ("_tk", "_lab")])
+    kinds = index.rows.schema
+    found = T.ArrayType(T.StructType([T.StructField(c, kinds[c].dataType) for c in ("_ord", "_tk", "_lab")] + [T.StructField("distance", T.DoubleType())]))
 
     def search(q: pa.Table, t: pa.Table) -> pa.Table:
         own = q.column("_cell")[0].as_py() if len(q) else None
@@ -359,9 +360,11 @@ def _in_cells(index: NeighborIndex, visits: DataFrame, need: int, cells: list |
                 pa.array(np.searchsorted(who[by], np.arange(len(q) + 1)), pa.int32()), pa.array(what[by]))}
         return pa.table(out)
 
-    schema = f"_qid bigint, _near {found}, _pairs bigint"
+    schema = T.StructType().add("_qid", T.LongType()).add("_near", found).add("_pairs", T.LongType())
     if cells is not None:
-        schema += "".join(f", {c} double" for c in [*q_cols, "_w"]) + ", _cells array<bigint>"
+        for c in [*q_cols, "_w"]:
+            schema.add(c, T.DoubleType())
+        schema.add("_cells", T.ArrayType(T.LongType()))
     by = ["_cell", "_part"]
     return left.repartition(tasks, *by).groupBy(*by).cogroup(right.repartition(tasks, *by).groupBy(*by)).applyInArrow(search, schema)
 
