@@ -395,7 +395,8 @@ def score_batch(spark, df: DataFrame, path: str, key: Sequence[str] = ()) -> Dat
 SPARK_NAMES = {"max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode", "max_features": "featureSubsetStrategy",
                "n_estimators": "numTrees", "max_bins": "maxBins", "random_state": "seed", "max_iter": "maxIter",
                "criterion": "impurity"}
-CV_THREADS = 4  # fits of a search at a time (fixed value)
+CV_THREADS = 4  # fits of a search at a time, at most (fixed value)
+FIT_BYTES = 128 << 20  # rows of a task of a search's table, as a fit keeps them (fixed value)
 METRICS = {"roc_auc": "areaUnderROC", "average_precision": "areaUnderPR", "f1_weighted": "f1"}
 
 
@@ -497,9 +498,27 @@ def _fit_columns(df: DataFrame, est, maps) -> list[str]:
     return [c for c in df.columns if c in named | {"label", "_fold"}]
 
 
+def _row_bytes(df: DataFrame) -> int:
+    """About what a fit keeps of a row: Spark ML's tree points take some 100 bytes and a number per feature."""
+    return 100 + 8 * sum((f.metadata or {}).get("ml_attr", {}).get("num_attrs", 1) for f in df.schema)
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly to tasks of ``FIT_BYTES``, if there are more than one task holds: a fit
+    caches the rows of a task as one block, and partitions are as large as the input's splits."""
+    tasks = -(-df.count() * _row_bytes(df) // FIT_BYTES)
+    return df if tasks <= 1 else df.repartition(max(tasks, df.sparkSession.sparkContext.defaultParallelism))
+
+
+def _fits_at_a_time(df: DataFrame, rows: int) -> int:
+    """``CV_THREADS`` fits if the caches of all take ``FIT_BYTES`` of a core; one, if one fit has tasks for all cores."""
+    room = df.sparkSession.sparkContext.defaultParallelism * FIT_BYTES
+    return max(1, min(CV_THREADS, room // max(1, rows * _row_bytes(df))))
+
+
 def cross_validate(folded: DataFrame, est, maps, k: int, metric: str, is_clf: bool = True) -> list[float]:
     """Mean score of each setting over the folds ``_fold`` of a cached table; folds and
-    settings are filters of that one table, ``CV_THREADS`` fits at a time."""
+    settings are filters of that one table, up to ``CV_THREADS`` fits at a time."""
     rows = {r["_fold"]: r["n"] for r in folded.groupBy("_fold").agg(F.count(F.lit(1)).alias("n")).collect()}
     for fold in range(k):
         if not rows.get(fold) or rows[fold] == sum(rows.values()):
@@ -511,15 +530,18 @@ def cross_validate(folded: DataFrame, est, maps, k: int, metric: str, is_clf: bo
         model = est.fit(folded.where(F.col("_fold") != fold), params)
         return ev.evaluate(model.transform(folded.where(F.col("_fold") == fold), params))
 
-    with ThreadPool(CV_THREADS) as pool:
+    with ThreadPool(_fits_at_a_time(folded, sum(rows.values()))) as pool:
         scores = pool.map(inheritable_thread_target(folded.sparkSession)(score), [(fold, m) for fold in range(k) for m in maps], 1)
     return [sum(scores[i::len(maps)]) / k for i in range(len(maps))]
 
 
 def _search(df: DataFrame, est, maps, k: int, metric: str, seed, key: Sequence[str]) -> tuple[DataFrame, object]:
-    """(score table, model of the best setting, fitted on all rows)."""
+    """(score table, model of the best setting, fitted on all rows).
+
+    The narrow table is kept on the executors' disks: a fit caches its rows in
+    memory, and a block that is kept as bytes in memory is unrolled there as a whole."""
     folded = _folded(df, k, seed, key)
-    folded = folded.select(*_fit_columns(folded, est, maps)).persist(StorageLevel.MEMORY_AND_DISK)
+    folded = _spread(folded.select(*_fit_columns(folded, est, maps))).persist(StorageLevel.DISK_ONLY)
     try:
         scores = cross_validate(folded, est, maps, k, metric)
         pick = max if _evaluator(metric).isLargerBetter() else min
